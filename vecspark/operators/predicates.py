@@ -179,3 +179,61 @@ def physical_containment(rows: DataFrame, pairs: DataFrame, key: str = "pid") ->
     miss = x.groupBy("child", "parent").agg(F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing"))
     return pairs.join(miss, ["child", "parent"], "left").fillna({"missing": 0}) \
                 .withColumn("contained", F.col("missing") == 0)
+
+
+# ------------------------------------------------------------------ signatures, fingerprints, overlaps
+
+SIG_BITS = 63
+
+
+def tag_signature_bit(tag: Column) -> Column:
+    """Hash-seeded one-bit signature of a tag/word."""
+    return F.pow(F.lit(2.0), F.pmod(F.xxhash64(tag), F.lit(SIG_BITS))).cast("long")   # exact: 2^b, b < 63
+
+
+def signature_filter(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
+    """AND filter through a binary signature pre-check, then the exact check → ``(qid, id)``.
+
+    Row signature = OR of its tags' bits; a row can only match when
+    ``qsig & ~rowsig = 0``.  Candidates come from the postings of the query's
+    smallest tag (equi-join); the one-word signature test prunes them before the
+    exact array test.  Empty filters match every row.
+    """
+    def sig(col):
+        return F.aggregate(F.transform(col, tag_signature_bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    rows = base_tagged.select("id", "tags", sig("tags").alias("sig"))
+    q = filters.select("qid", "ftags", "is_and", sig("ftags").alias("qsig"))
+    post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
+    drive = q.where(F.size("ftags") > 0).withColumn("t", F.array_min("ftags"))
+    cand = post.join(F.broadcast(drive), "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
+    hit = cand.where(tag_match(F.col("tags"), F.col("ftags"), F.col("is_and"))).select("qid", "id")
+    roots = q.where(F.size("ftags") == 0).select("qid", F.lit(0).alias("_k"))
+    every = rows.select("id", F.lit(0).alias("_k")).join(F.broadcast(roots), "_k").select("qid", "id")
+    return hit.unionByName(every)
+
+
+def row_set_fingerprint(rows: DataFrame, key: str = "pid") -> DataFrame:
+    """Order-free 128-bit fingerprint and count of each predicate's row set."""
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("card"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("fp1"),
+        F.sum(F.xxhash64(F.col("id"), F.lit(7919)).cast("decimal(38,0)")).alias("fp2"))
+
+
+def pred_bitmaps(rows: DataFrame, key: str = "pid") -> DataFrame:
+    return (rows.select(key, F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("pos"))
+                .groupBy(key, "bucket").agg(F.bitmap_construct_agg("pos").alias("bm")))
+
+
+def pair_overlap(rows: DataFrame, pairs: DataFrame, key: str = "pid") -> DataFrame:
+    """``|A ∩ B|`` and ``|A ∪ B|`` of predicate pairs ``(a, b)`` bucket by bucket with bitmap aggregates."""
+    bms = pred_bitmaps(rows, key)
+    side_a = pairs.select("a", "b", F.col("a").alias(key))
+    side_b = pairs.select("a", "b", F.col("b").alias(key))
+    both = side_a.unionByName(side_b).join(bms, key)
+    per = both.groupBy("a", "b", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("bitmap_and_agg(bm)").alias("band"), F.bitmap_or_agg("bm").alias("bor"))
+    agg = per.groupBy("a", "b").agg(
+        F.sum(F.when(F.col("n") == 2, F.bitmap_count("band")).otherwise(F.lit(0))).cast("long").alias("inter"),
+        F.sum(F.bitmap_count("bor")).cast("long").alias("uni"))
+    return pairs.join(agg, ["a", "b"], "left").fillna({"inter": 0, "uni": 0})
