@@ -257,8 +257,8 @@ def knn_routed(spark, sf):
     q, bt, p, c, qf, rt = _routed(spark, sf)
     card = P.filter_cardinality(bt, qf.select("ftags", "is_and"))
     qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
-    st = W.strategy(rt, qcard, p)
-    subsets = routing.materialise(bt, c.select("pid", "ftags", "is_and"), "subsets")
+    st = W.strategy(rt, qcard, p).checkpoint()          # one row per query
+    subsets = routing.materialise(bt, c.select("pid", "ftags", "is_and").checkpoint(), "subsets")
     return _fin(routing.knn_routed(bt, qf, st, subsets, TOPK))
 
 

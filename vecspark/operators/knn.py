@@ -85,7 +85,8 @@ def knn_filtered(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, metr
         return _union(parts)
     # auto: exact cardinality of each distinct filter decides the route
     card = P.filter_cardinality(base_tagged, queries_f.select("ftags", "is_and").distinct())
-    routed = queries_f.join(F.broadcast(card), ["ftags", "is_and"], "left")
+    # one row per query: written once to the checkpoint folder so each route re-reads it, not its plan
+    routed = queries_f.join(F.broadcast(card), ["ftags", "is_and"], "left").checkpoint()
     small = routed.where((F.size("ftags") > 0) & (F.col("card") <= cutoff)).drop("card")
     large = routed.where((F.size("ftags") == 0) | (F.col("card") > cutoff)).drop("card")
     parts = []

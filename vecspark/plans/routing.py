@@ -49,7 +49,7 @@ def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame
     subset → masked scan of the one subset partition it was routed to;
     root   → masked scan of the base.
     """
-    q = queries_f.join(strategy.select("qid", "strategy", "route"), "qid")
+    q = queries_f.join(strategy.select("qid", "strategy", "route"), "qid").checkpoint()   # one row per query
     parts = []
     brute = q.where(F.col("strategy") == "brute")
     post = P.postings(base_tagged)
