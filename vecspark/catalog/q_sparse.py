@@ -22,8 +22,10 @@ def _rank_sql(score_sql: str, k: int = TOPK) -> str:
             f"ORDER BY score DESC, id) AS INTEGER) AS rk FROM ({score_sql}) WHERE score > 0) WHERE rk <= {k}")
 
 
-def _sp(spark, sf):
-    return fx.sparse_docs(spark, sf), fx.sparse_queries(spark, sf)
+def _sp(spark, sf, restrict: bool = False):
+    """(docs, queries); ``restrict`` counts only document terms that occur in some query."""
+    q = fx.sparse_queries(spark, sf)
+    return fx.sparse_docs(spark, sf, vocab=q if restrict else None), q
 
 
 def _round(df):
@@ -33,14 +35,14 @@ def _round(df):
 @register("sparse_mips", cte("sparse_docs", "sparse_queries") + _rank_sql(
     "SELECT q.qid, d.id, sum(q.w * d.w) AS score FROM sparse_queries q JOIN sparse_docs d ON d.dim = q.dim GROUP BY q.qid, d.id"))
 def sparse_mips(spark, sf):
-    d, q = _sp(spark, sf)
+    d, q = _sp(spark, sf, restrict=True)
     return _round(S.mips(d, q, TOPK))
 
 
 @register("sparse_saturated", cte("sparse_docs", "sparse_queries") + _rank_sql(
     f"SELECT q.qid, d.id, round(sum(q.w * (d.w / (d.w + {K1}))), 9) AS score FROM sparse_queries q JOIN sparse_docs d ON d.dim = q.dim GROUP BY q.qid, d.id"))
 def sparse_saturated(spark, sf):
-    d, q = _sp(spark, sf)
+    d, q = _sp(spark, sf, restrict=True)
     # fractional sums depend on summation order: rank on the score rounded to 1e-9
     s = S.scores(d, q, weight=S.saturated(K1)).withColumn("score", F.round("score", 9))
     return _round(S.rank_by_score(s, TOPK).select("qid", "rk", "id", "score"))

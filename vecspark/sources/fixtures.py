@@ -153,15 +153,25 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sparse vectors
 
-def sparse_from_text(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Bag of words: split on single space, term → dim, term count → w."""
-    return (df.select(F.col(id_col).alias("id"),
-                      F.explode(F.split(F.col(text_col), " ")).alias("dim"))
-              .groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("w")))
+def sparse_from_text(df: DataFrame, id_col: str, text_col: str = "text",
+                     vocab: DataFrame | None = None) -> DataFrame:
+    """Bag of words: split on single space, term → dim, term count → w (whole texts).
+
+    Texts are hash-partitioned by id first: the later ``(id, dim)`` count is then
+    satisfied by that partitioning (no second exchange of the exploded tokens) and
+    small files still spread over all cores.  With ``vocab(dim)`` (broadcast) only
+    those terms are counted — for a search, terms absent from every query score 0.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(max(parts, 1), "id")
+    tok = src.select("id", F.explode(F.split(F.col("text"), " ")).alias("dim"))
+    if vocab is not None:
+        tok = tok.join(F.broadcast(vocab.select("dim").distinct()), "dim", "left_semi")
+    return tok.groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def sparse_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_from_text(read(spark, sf_dir, "documents"), "doc_id")
+def sparse_docs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    return sparse_from_text(read(spark, sf_dir, "documents"), "doc_id", vocab=vocab)
 
 
 def sparse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
