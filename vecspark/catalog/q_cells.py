@@ -132,3 +132,22 @@ def kmeans_cells(spark, sf):
 def spherical_kmeans_cells(spark, sf):
     _, b, _ = _setup(spark, sf)
     return C.kmeans_cells(b, N_CELLS, cosine=True)
+
+
+@register("bucket_layout", _ccte("tag_arr", extra=[
+    "ky AS (SELECT a.id, a.cell, list_sum(list_transform(range(0, 4), lambda j: CASE WHEN list_contains(t.tags, CAST(j AS INTEGER)) "
+    "THEN CAST(pow(2, 3 - j) AS BIGINT) ELSE 0 END)) AS props FROM asg a JOIN tag_arr t ON t.id = a.id)"]) + """
+SELECT id, cell, props, row_number() OVER (PARTITION BY cell ORDER BY props, id) AS pos FROM ky""")
+def bucket_layout(spark, sf):
+    """Rows of each cell laid out sorted by their property code (tags 0..3 as bits), then id."""
+    from vecspark.operators.ranking import global_row_number
+    _, b, cents = _setup(spark, sf)
+    a = C.assign(fx.with_tag_array(b), cents)
+    props = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(3)),
+                                    lambda j: F.when(F.array_contains("tags", j), F.shiftleft(F.lit(1), 3) / F.pow(F.lit(2), j)).otherwise(0)),
+                        F.lit(0.0), lambda acc, x: acc + x).cast("long")
+    k = a.select("id", "cell", props.alias("props"))
+    ordk = k.withColumn("_o", F.col("props") * F.lit(1 << 40) + F.col("id"))
+    pos = global_row_number(ordk, ["cell"], "_o", "gpos")
+    first = pos.groupBy("cell").agg(F.min("gpos").alias("_p0"))
+    return pos.join(F.broadcast(first), "cell").select("id", "cell", "props", (F.col("gpos") - F.col("_p0") + 1).alias("pos"))

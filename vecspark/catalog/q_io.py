@@ -67,3 +67,44 @@ def fvecs_roundtrip(spark, sf):
     path = os.path.join(folder, "vectors.fvecs")
     B.write_fvecs(fx.vectors(spark, sf), path)
     return _summary(B.read_fvecs(spark, path, block_rows=128))
+
+
+def _qorder(queries):
+    from vecspark.operators.ranking import global_row_number
+    q = queries.select("qid").withColumn("_k", F.lit(0))
+    return global_row_number(q, ["_k"], "qid", "qpos").select("qid", (F.col("qpos") - 1).alias("qpos"))
+
+
+@register("knn_truth_roundtrip", cte("queries", "base") +
+          "SELECT qid, rk, id FROM (SELECT q.qid, b.id, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY "
+          "list_sum(list_transform(list_zip(q.qv, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.id) AS INTEGER) AS rk "
+          "FROM queries q, base b) WHERE rk <= 10")
+def knn_truth_roundtrip(spark, sf):
+    """Exact truth written as an ids-then-distances binary file at computed offsets, read back by query blocks."""
+    import os
+    from vecspark.operators import knn as K
+    queries, base = fx.split(fx.vectors(spark, sf))
+    folder = shared_dir(spark, f"truth-{uuid.uuid4().hex[:12]}").replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "truth.ibin")
+    qo = _qorder(queries).checkpoint()
+    B.write_knn_usbin(K.knn(base, queries, 10), qo, path, 10)
+    back = B.read_knn_usbin(spark, path, block_queries=8)
+    return back.join(F.broadcast(qo), "qpos").select("qid", "rk", "id")
+
+
+@register("range_result_roundtrip", cte("queries", "base") +
+          "SELECT q.qid, b.id FROM queries q, base b WHERE "
+          "list_sum(list_transform(list_zip(q.qv, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) < 1.5")
+def range_result_roundtrip(spark, sf):
+    """Ragged range result (counts, ids, distances) written at computed offsets and read back."""
+    import os
+    from vecspark.operators import knn as K
+    queries, base = fx.split(fx.vectors(spark, sf))
+    folder = shared_dir(spark, f"range-{uuid.uuid4().hex[:12]}").replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "range.rbin")
+    qo = _qorder(queries).checkpoint()
+    B.write_range(K.range_search(base, queries, 1.5), qo, path)
+    back = B.read_range(spark, path, block_queries=8)
+    return back.join(F.broadcast(qo), "qpos").select("qid", "id")

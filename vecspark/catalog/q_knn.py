@@ -272,3 +272,69 @@ def base_without_queries(spark, sf):
     vec = fx.vectors(spark, sf)
     queries = vec.where(fx.is_query(F.col("id"))).select("id")
     return vec.join(queries, "id", "left_anti").select("id", "label")
+
+
+# ------------------------------------------------------------------ I9 covering, L5 halves, B12/B13 transforms
+
+@register("knn_covering", cte("queries", "base", "tag_arr", "filters_tag") + topk_sql(
+    _TAGGED_PAIRS.format(d=l2("q.qv", "b.v"), cond="len(f.ftags) = 0 OR list_has_any(t.tags, f.ftags)")))
+def knn_covering(spark, sf):
+    """OR filters answered by searching several materialised subsets that together cover them."""
+    from vecspark.plans import routing, workload as W
+    queries, base = fx.split(fx.vectors(spark, sf))
+    bt = fx.with_tag_array(base)
+    qf = fx.filters_tag(queries, False)
+    p = W.Params(n=bt.count(), cutoff=CUTOFF)
+    cands = W.candidates(bt, fx.workload(spark, sf), p).select("pid", "ftags", "is_and", "card").checkpoint()
+    plan = routing.cover_plan(qf, cands, p.n)
+    subsets = routing.materialise(bt, cands.select("pid", "ftags", "is_and"), "cover-subsets")
+    return _fin(routing.knn_covering(bt, qf, plan, subsets, TOPK))
+
+
+_HALF_SQL = ("nb AS (SELECT max(id) + 1 AS nb FROM vectors),\n"
+             "hb AS (SELECT b.*, CASE WHEN b.id < nb.nb // 2 THEN [1, 2] ELSE [3, 4] END AS tags FROM base b, nb),\n"
+             "hq AS (SELECT q.*, CASE WHEN q.qid < nb.nb // 2 THEN [3, 4] ELSE [1, 2] END AS ftags FROM queries q, nb)")
+
+
+@register("halves_filtered_knn", cte("queries", "base", extra=_HALF_SQL) + topk_sql(
+    f"SELECT q.qid, b.id, {l2('q.qv', 'b.v')} AS dist FROM hq q, hb b WHERE list_has_all(b.tags, q.ftags)"))
+def halves_filtered_knn(spark, sf):
+    """Half/half tags: each query must find its neighbours in the other half of the ids."""
+    from vecspark.sources import generators as G
+    vec = fx.vectors(spark, sf)
+    nb = vec.agg(F.max("id")).first()[0] + 1
+    queries, base = fx.split(vec)
+    return _fin(K.knn_filtered(G.halves(base, nb), G.halves_queries(queries, nb), TOPK, "l2", cutoff=CUTOFF))
+
+
+@register("random_rotation", cte("vectors") +
+          "SELECT id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM vectors")
+def random_rotation(spark, sf):
+    """Seeded orthogonal rotation; reported through the (preserved) squared norms."""
+    from vecspark.operators import transforms as T
+    vec = fx.vectors(spark, sf).select("id", "v")
+    d = len(vec.first()["v"])
+    rot = T.random_rotation(vec, d)
+    return rot.select("id", F.round(D.sq_norm("v"), 6).alias("norm2"))
+
+
+@register("pca_project")
+def pca_project(spark, sf):
+    """Top-16 principal components of the vectors (Spark ML; no SQL twin)."""
+    from vecspark.operators import transforms as T
+    return T.pca_project(fx.vectors(spark, sf), 16)
+
+
+@register("pairwise_transform_knn_ip", cte("queries", "base") + topk_sql(
+    f"SELECT q.qid, b.id, {DIST['ip']('q.qv', 'b.v')} AS dist FROM queries q, base b"))
+def pairwise_transform_knn_ip(spark, sf):
+    """Inner-product k-NN after the x·L / q·L⁻ᵀ transform (Gram Cholesky): same answer as on raw vectors."""
+    from vecspark.operators import transforms as T
+    queries, base = fx.split(fx.vectors(spark, sf))
+    d = len(base.first()["v"])
+    tb, tq = T.ip_preserving_pair(base.select("id", "v"), queries.select("qid", "qv"), d)
+    out = K.knn(tb, tq, TOPK, "ip")
+    # re-score the chosen ids on the raw vectors (exact value), order unchanged
+    raw = out.join(base.select("id", "v"), "id").join(queries.select("qid", "qv"), "qid") \
+             .select("qid", "rk", "id", D.ip_dist("qv", "v").alias("dist"))
+    return _fin(raw)

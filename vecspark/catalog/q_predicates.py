@@ -363,3 +363,12 @@ def csr_offsets(spark, sf):
     vec = fx.with_tag_array(fx.vectors(spark, sf))
     nnz = vec.select("id", F.size("tags").cast("long").alias("nnz"))
     return global_prefix_sum(nnz, "id", "nnz", "offset").select("id", "nnz", "offset")
+
+
+@register("gen_tags_graded", cte("vectors") + """
+SELECT id, CAST(j AS INTEGER) AS tag FROM vectors, range(19) r(j)
+WHERE ((id * 2654435761 + (j + 1) * 40503) % 1000003) % 100 < 5 * (j + 1)""")
+def gen_tags_graded(spark, sf):
+    """Graded-selectivity tags: tag j on about 5(j+1) % of the rows (hash-seeded)."""
+    from vecspark.sources import generators as G
+    return G.graded_tags(fx.vectors(spark, sf).select("id"))

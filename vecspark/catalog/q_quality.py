@@ -246,3 +246,55 @@ def truth_subset_check(spark, sf):
 def truth_monotone(spark, sf):
     truth, _ = _truth_run(spark, sf)
     return Q.monotone_violations(truth)
+
+
+BURST_MAX = 20
+IOU_T = [(1200 + 30 * j) / 1000.0 for j in range(21)]
+
+
+@register("drop_bursty_queries", cte("queries", "base") + f"""
+SELECT q.qid, count(b.id) AS matches FROM queries q LEFT JOIN base b ON {l2('q.qv', 'b.v')} < {RADIUS}
+GROUP BY q.qid HAVING count(b.id) <= {BURST_MAX}""")
+def drop_bursty_queries(spark, sf):
+    """Candidate queries with more than 20 range matches are dropped; the rest with their match count."""
+    queries, base = fx.split(fx.vectors(spark, sf))
+    cnt = K.range_search(base, queries, RADIUS).groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
+    per = queries.select("qid").join(cnt, "qid", "left").fillna({"matches": 0})
+    return per.where(F.col("matches") <= BURST_MAX)
+
+
+@register("best_iou_threshold", cte("queries", "base", extra=_RANGE + """,
+th AS (SELECT j, (1200 + 30 * j) / 1000.0 AS t FROM range(21) r(j)),
+sq AS (SELECT qc.qid, bc.id, """ + _int_l2('qc.c', 'bc.c') + """ * (((mm.hi - mm.lo) / 255.0) * ((mm.hi - mm.lo) / 255.0)) AS dist FROM qcodes qc, codes bc, mm),
+iou AS (SELECT th.t, count(*) FILTER (WHERE sq.dist < th.t AND g.id IS NOT NULL) AS inter,
+          count(*) FILTER (WHERE sq.dist < th.t) AS nb FROM th, sq LEFT JOIN gt g ON g.qid = sq.qid AND g.id = sq.id GROUP BY th.t)""") + """
+SELECT t, round(inter / ((SELECT count(*) FROM gt) + nb - inter), 6) AS iou FROM iou
+ORDER BY inter / ((SELECT count(*) FROM gt) + nb - inter) DESC, t LIMIT 1""")
+def best_iou_threshold(spark, sf):
+    """Compressed-distance threshold whose matches best agree (IoU) with the exact matches at radius r."""
+    qs, gt, _ = _range_tables(spark, sf)
+    queries, base = fx.split(fx.vectors(spark, sf))
+    mm = base.select(F.explode("v").alias("x")).agg(F.min("x").cast("double").alias("lo"),
+                                                    F.max("x").cast("double").alias("hi")).first()
+    lo, hi = mm["lo"], mm["hi"]
+    scale = ((hi - lo) / 255.0) * ((hi - lo) / 255.0)
+    bc = base.select("id", D.sq8_encode("v", F.lit(lo), F.lit(hi)).alias("c"))
+    qc = queries.select("qid", D.sq8_encode("qv", F.lit(lo), F.lit(hi)).alias("c"))
+    tmax = max(IOU_T)
+    sq = blockscan.scan(bc, qc, vec="c", qvec="c", mode="radius", radius=tmax / scale * (1 + 1e-9), inclusive=True)
+    sq = sq.withColumn("dist", F.col("dist") * F.lit(scale)).where(F.col("dist") < tmax)
+    hit = sq.join(gt.withColumn("_g", F.lit(1)), ["qid", "id"], "left")
+    # the first threshold each pair passes: thresholds are few, so test them in one array expression
+    ts = F.array(*[F.lit(t) for t in IOU_T])
+    first = F.array_position(F.transform(ts, lambda t: F.col("dist") < t), True)
+    per = hit.withColumn("j0", first).where(F.col("j0") > 0).groupBy("j0").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("_g", F.lit(0))).alias("ok"))
+    ngt = gt.count()
+    th = spark.createDataFrame([(j + 1, t) for j, t in enumerate(IOU_T)], "j0 long, t double")
+    from pyspark.sql import Window
+    w = Window.orderBy("j0").rowsBetween(Window.unboundedPreceding, 0)      # 21 rows
+    c = th.join(per, "j0", "left").fillna({"n": 0, "ok": 0}) \
+          .withColumn("nb", F.sum("n").over(w)).withColumn("inter", F.sum("ok").over(w))
+    c = c.withColumn("iou", F.col("inter") / (F.lit(ngt) + F.col("nb") - F.col("inter")))
+    best = c.orderBy(F.col("iou").desc(), "t").limit(1)
+    return best.select("t", F.round("iou", 6).alias("iou"))

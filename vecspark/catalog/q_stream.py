@@ -189,3 +189,21 @@ SELECT id FROM (SELECT id, arg_max(op, seq) AS op FROM op_log WHERE op IN ('inse
 def stream_live_set(spark, sf):
     """Structured Streaming replay of the op log (file source, foreachBatch merge); final live ids."""
     return incremental.stream_live_set(spark, fx.op_log(spark, sf))
+
+
+SWITCH_SHARE = 0.5    # re-partition once the live set exceeds half the vectors
+
+
+@register("stream_strategy", cte("vectors", "runbook", extra=_steps_sql("(SELECT id FROM vectors WHERE id % 25 <> 0)")) + f"""
+, n AS (SELECT count(*) AS n FROM vectors WHERE id % 25 <> 0)
+SELECT s.s AS step, count(l.id) AS live, CASE WHEN count(l.id) > {SWITCH_SHARE} * max(n.n) THEN 'partitioned' ELSE 'brute' END AS strategy
+FROM ss s LEFT JOIN live l ON l.step = s.s, n GROUP BY s.s""")
+def stream_strategy(spark, sf):
+    """Per search step: live-set size and the search strategy it selects (brute force below the limit)."""
+    queries, base = fx.split(fx.vectors(spark, sf))
+    rb = fx.runbook(spark, sf)
+    n = base.count()
+    live = replay.live_set_at_step(rb, base.select("id")).groupBy("step").agg(F.count(F.lit(1)).alias("live"))
+    steps = rb.where(F.col("op") == "search").select(F.col("step"))
+    x = steps.join(live, "step", "left").fillna({"live": 0})
+    return x.select("step", "live", F.when(F.col("live") > SWITCH_SHARE * n, "partitioned").otherwise("brute").alias("strategy"))

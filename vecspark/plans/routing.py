@@ -66,3 +66,40 @@ def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame
     for p_ in parts[1:]:
         out = out.unionByName(p_)
     return out
+
+
+def cover_plan(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
+    """Covering an OR filter by several subsets: each of its tags is routed on its own.
+
+    ``(qid, tag, route)``: for tag t the smallest materialised subset containing all
+    rows with t (else the root); the union of the routes covers the query's rows.
+    """
+    from vecspark.plans import workload as W
+    per_tag = filters.where(F.size("ftags") > 0).select(
+        "qid", F.explode(F.array_distinct("ftags")).alias("tag"))
+    keyed = per_tag.withColumn("tq", F.concat_ws(":", F.col("qid").cast("string"), F.col("tag").cast("string")))
+    rt = W.route(keyed.select(F.col("tq").alias("qid"), F.array("tag").alias("ftags"), F.lit(True).alias("is_and")),
+                 subsets, root_card)
+    return keyed.join(rt.select(F.col("qid").alias("tq"), "route"), "tq").select("qid", "tag", "route")
+
+
+def knn_covering(base_tagged: DataFrame, queries_f: DataFrame, plan: DataFrame, subsets: DataFrame,
+                 k: int = 10, metric: str = "l2") -> DataFrame:
+    """Search every covering subset with the query's own filter, de-duplicate by id, re-rank.
+
+    Empty filters go to the root.  Equal to the exact filtered k-NN because the
+    routes' union contains every matching row.
+    """
+    routes = plan.select("qid", "route").distinct().checkpoint()     # (query, subset) pairs: small
+    parts = []
+    for pid in [r[0] for r in routes.select("route").distinct().collect()]:
+        qs = queries_f.join(routes.where(F.col("route") == pid).select("qid"), "qid")
+        src = base_tagged if pid == "root" else subsets.where(F.col("pid") == pid).select("id", "v", "tags")
+        parts.append(K.blockscan.scan(src, qs, k=k, metric=metric, tag_filter=True))
+    empty = queries_f.where(F.size("ftags") == 0)
+    parts.append(K.blockscan.scan(base_tagged, empty, k=k, metric=metric, tag_filter=True))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    out = out.dropDuplicates(["qid", "id"])
+    return K.rank_topk(out, k).select("qid", "rk", "id", "dist")

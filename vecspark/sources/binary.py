@@ -143,3 +143,97 @@ def write_fvecs(df: DataFrame, path: str) -> None:
     from vecspark.operators.ranking import global_row_number
     pos = global_row_number(rows.withColumn("_k", F.lit(0)), ["_k"], "id", "pos").withColumn("pos", F.col("pos") - 1)
     pos.select("pos", "v").mapInPandas(run, "n long").collect()
+
+
+# ------------------------------------------------------------------ k-NN truth (usbin) and ragged range results
+
+def _preallocate(path: str, nbytes: int, header: bytes) -> None:
+    with open(path, "wb") as f:
+        f.truncate(nbytes)
+        f.seek(0)
+        f.write(header)
+
+
+def _scatter(df: DataFrame, path: str, cols: list[tuple[str, str, int]]) -> None:
+    """Each task writes its rows' values at precomputed byte offsets ``(value col, dtype, offset col)``."""
+    def run(it):
+        with open(path, "r+b") as f:
+            for pdf in it:
+                for vcol, dt, ocol in cols:
+                    vals = pdf[vcol].to_numpy().astype(dt)
+                    for off, b in zip(pdf[ocol].to_numpy(), vals):
+                        f.seek(int(off))
+                        f.write(np.asarray(b, dtype=dt).tobytes())
+        yield pd.DataFrame({"ok": [1]})
+    df.mapInPandas(run, "ok int").collect()
+
+
+def write_knn_usbin(knn: DataFrame, qorder: DataFrame, path: str, k: int) -> None:
+    """``(qid, rk, id, dist)`` with exactly k rows per query → header (nq, k), ids block, distances block.
+
+    ``qorder(qid, qpos)`` gives each query's row (0-based); offsets are computed per row.
+    """
+    nq = qorder.count()
+    total = nq * k
+    _preallocate(path, 8 + 8 * total, struct.pack("<II", nq, k))
+    x = knn.join(F.broadcast(qorder), "qid").withColumn("slot", F.col("qpos") * k + F.col("rk") - 1)
+    x = x.withColumn("id_off", 8 + 4 * F.col("slot")).withColumn("d_off", 8 + 4 * total + 4 * F.col("slot"))
+    _scatter(x.select("id", "dist", "id_off", "d_off"), path, [("id", "<u4", "id_off"), ("dist", "<f4", "d_off")])
+
+
+def read_knn_usbin(spark: SparkSession, path: str, block_queries: int = 4096) -> DataFrame:
+    """``(qpos, rk, id, dist)`` read in blocks of queries."""
+    nq, k = _xbin_header(path)
+    total = nq * k
+    blocks = [(s, min(nq, s + block_queries) - s) for s in range(0, nq, block_queries)]
+    spec = spark.createDataFrame(blocks, "start long, cnt long").repartition(max(1, len(blocks)))
+
+    def run(it):
+        for pdf in it:
+            for s, cnt in pdf.itertuples(index=False):
+                ids = np.fromfile(path, dtype="<u4", count=cnt * k, offset=8 + 4 * s * k)
+                ds = np.fromfile(path, dtype="<f4", count=cnt * k, offset=8 + 4 * total + 4 * s * k)
+                yield pd.DataFrame({"qpos": np.repeat(np.arange(s, s + cnt), k), "rk": np.tile(np.arange(1, k + 1), cnt),
+                                    "id": ids.astype(np.int64), "dist": ds.astype(np.float64)})
+    return spec.mapInPandas(run, "qpos long, rk int, id long, dist double")
+
+
+def write_range(res: DataFrame, qorder: DataFrame, path: str) -> None:
+    """Ragged range result: header (nq, total), ``nres[nq]``, ids, distances (closest first per query)."""
+    from vecspark.operators.ranking import global_prefix_sum
+    from pyspark.sql import Window
+    nres = qorder.join(res.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").fillna({"n": 0})
+    lims = global_prefix_sum(nres, "qpos", "n", "lim")
+    nq = qorder.count()
+    total = res.count()
+    _preallocate(path, 8 + 4 * nq + 8 * total, struct.pack("<II", nq, total))
+    base = 8 + 4 * nq
+    _scatter(lims.withColumn("off", 8 + 4 * F.col("qpos")).select("n", "off"), path, [("n", "<u4", "off")])
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    x = (res.join(F.broadcast(lims.select("qid", "lim")), "qid").withColumn("r", F.row_number().over(w) - 1)
+            .withColumn("slot", F.col("lim") + F.col("r")))
+    x = x.withColumn("id_off", base + 4 * F.col("slot")).withColumn("d_off", base + 4 * total + 4 * F.col("slot"))
+    _scatter(x.select("id", "dist", "id_off", "d_off"), path, [("id", "<u4", "id_off"), ("dist", "<f4", "d_off")])
+
+
+def read_range(spark: SparkSession, path: str, block_queries: int = 4096) -> DataFrame:
+    """``(qpos, id, dist)`` from a ragged range file; limits come from the ``nres`` block."""
+    nq, total = _xbin_header(path)
+    nres = np.fromfile(path, dtype="<u4", count=nq, offset=8).astype(np.int64)
+    lims = np.r_[0, np.cumsum(nres)]
+    blocks = [(s, min(nq, s + block_queries), int(lims[s]), int(lims[min(nq, s + block_queries)]))
+              for s in range(0, nq, block_queries)]
+    spec = spark.createDataFrame(blocks, "q0 long, q1 long, r0 long, r1 long").repartition(max(1, len(blocks)))
+    base = 8 + 4 * nq
+    nres_bc = spark.sparkContext.broadcast(nres)
+
+    def run(it):
+        nr = nres_bc.value
+        for pdf in it:
+            for q0, q1, r0, r1 in pdf.itertuples(index=False):
+                cnt = r1 - r0
+                ids = np.fromfile(path, dtype="<u4", count=cnt, offset=base + 4 * r0)
+                ds = np.fromfile(path, dtype="<f4", count=cnt, offset=base + 4 * total + 4 * r0)
+                yield pd.DataFrame({"qpos": np.repeat(np.arange(q0, q1), nr[q0:q1]), "id": ids.astype(np.int64),
+                                    "dist": ds.astype(np.float64)})
+    return spec.mapInPandas(run, "qpos long, id long, dist double")
