@@ -182,8 +182,7 @@ def filter_attr_wildcard(spark, sf):
     ra_ex = ra.select("id", "ra", F.posexplode("ra").alias("p", "code"))
     c1 = ra_ex.join(F.broadcast(fixed), (ra_ex.p == fixed.p) & (ra_ex.code == F.element_at(fixed.qa, fixed.p + 1)))
     c1 = c1.where(ok).select("qid", "id")
-    free = qa.where(F.col("p").isNull()).select("qid", F.lit(0).alias("_k"))
-    c2 = ra.withColumn("_k", F.lit(0)).join(F.broadcast(free), "_k").select("qid", "id")
+    c2 = P.match_all(ra.select("id"), qa.where(F.col("p").isNull()).select("qid"))
     return c1.unionByName(c2)
 
 

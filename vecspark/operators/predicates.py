@@ -152,11 +152,14 @@ def subsumption_edges(preds: DataFrame, key: str = "pid") -> DataFrame:
         F.struct(F.col("p_ftags").alias("ftags"), F.col("p_is_and").alias("is_and")).alias("parent"))
     cand = cand.where(subsumes("child", "parent")).select(
         F.col("c_key").alias("child"), F.col("p_key").alias("parent")).distinct()
-    # root parents
-    roots = par.where(F.size("ftags") == 0).select(F.col(key).alias("parent"), F.lit(0).alias("_k"))
-    to_root = c.select(F.col(key).alias("child"), F.lit(0).alias("_k")).join(F.broadcast(roots), "_k") \
-               .select("child", "parent")
-    return cand.unionByName(to_root).distinct()
+    # root parents (empty filters, at most two keys): every predicate is their child
+    roots = [r[0] for r in par.where(F.size("ftags") == 0).select(key).distinct().collect()]
+    out = cand
+    if roots:
+        to_root = c.select(F.col(key).alias("child"),
+                           F.explode(F.array(*[F.lit(r) for r in roots])).alias("parent"))
+        out = out.unionByName(to_root)
+    return out.distinct()
 
 
 def range_subsumes(child: str, parent: str) -> Column:
@@ -207,9 +210,21 @@ def signature_filter(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
     drive = q.where(F.size("ftags") > 0).withColumn("t", F.array_min("ftags"))
     cand = post.join(F.broadcast(drive), "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
     hit = cand.where(tag_match(F.col("tags"), F.col("ftags"), F.col("is_and"))).select("qid", "id")
-    roots = q.where(F.size("ftags") == 0).select("qid", F.lit(0).alias("_k"))
-    every = rows.select("id", F.lit(0).alias("_k")).join(F.broadcast(roots), "_k").select("qid", "id")
-    return hit.unionByName(every)
+    return hit.unionByName(match_all(rows, q.where(F.size("ftags") == 0)))
+
+
+def match_all(rows: DataFrame, queries: DataFrame, max_queries: int = 1 << 16) -> DataFrame:
+    """``(qid, id)`` for queries whose filter matches every row (the output is inherently rows × queries).
+
+    The (bounded) list of such query ids is expanded per row with ``explode``, so no
+    nested-loop join is planned; larger lists are processed in slices.
+    """
+    qids = [r[0] for r in queries.select("qid").distinct().collect()]
+    out = None
+    for i in range(0, len(qids), max_queries):
+        part = rows.select(F.explode(F.array(*[F.lit(q) for q in qids[i:i + max_queries]])).alias("qid"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "qid long, id long")
 
 
 def row_set_fingerprint(rows: DataFrame, key: str = "pid") -> DataFrame:
