@@ -151,3 +151,37 @@ def bucket_layout(spark, sf):
     pos = global_row_number(ordk, ["cell"], "_o", "gpos")
     first = pos.groupBy("cell").agg(F.min("gpos").alias("_p0"))
     return pos.join(F.broadcast(first), "cell").select("id", "cell", "props", (F.col("gpos") - F.col("_p0") + 1).alias("pos"))
+
+
+N_PROPS = 4
+CAPS_BUDGET = 50
+K2 = 4
+
+
+@register("caps_buckets")
+def caps_buckets(spark, sf):
+    """Per-cell property buckets chosen by repeated most-frequent tag (recurrence; no SQL twin)."""
+    _, b, cents = _setup(spark, sf)
+    return C.property_buckets(C.assign(fx.with_tag_array(b), cents), N_PROPS)
+
+
+@register("caps_knn", _ccte("tag_arr", "filters_tag", extra=[
+    f"ord AS (SELECT q.qid, c.cid AS cell, row_number() OVER (PARTITION BY q.qid ORDER BY {l2('q.qv', 'c.c')}, c.cid) AS prk FROM queries q, cents c)",
+    "m AS (SELECT f.qid, a.id, a.cell FROM filters_tag f, asg a JOIN tag_arr t ON t.id = a.id WHERE len(f.ftags) = 0 OR list_has_all(t.tags, f.ftags))",
+    "cnt AS (SELECT o.qid, o.cell, o.prk, (SELECT count(*) FROM m WHERE m.qid = o.qid AND m.cell = o.cell) AS n FROM ord o)",
+    f"kept AS (SELECT qid, cell FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY prk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cnt) WHERE before < {CAPS_BUDGET})"]) + topk_sql(
+    f"SELECT m.qid, b.id, {l2('q.qv', 'b.v')} AS dist FROM m JOIN kept k ON k.qid = m.qid AND k.cell = m.cell "
+    "JOIN base b ON b.id = m.id JOIN queries q ON q.qid = m.qid"))
+def caps_knn(spark, sf):
+    """Filtered k-NN probing cells nearest-first until 50 matching rows are gathered (approximate search)."""
+    q, b, cents = _setup(spark, sf)
+    qf = fx.filters_tag(q, True)
+    a = C.assign(fx.with_tag_array(b), cents)
+    return _fin(C.budget_probe_knn(a, qf, cents, TOPK, CAPS_BUDGET))
+
+
+@register("two_level_cells")
+def two_level_cells(spark, sf):
+    """Sub-cells trained per cell on a bounded sample (seeded; no SQL twin)."""
+    _, b, cents = _setup(spark, sf)
+    return C.two_level(b, cents, K2)

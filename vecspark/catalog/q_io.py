@@ -108,3 +108,19 @@ def range_result_roundtrip(spark, sf):
     B.write_range(K.range_search(base, queries, 1.5), qo, path)
     back = B.read_range(spark, path, block_queries=8)
     return back.join(F.broadcast(qo), "qpos").select("qid", "id")
+
+
+@register("sorted_normal_attrs", cte("vectors") + """
+, z AS (SELECT id,
+   sqrt(-2.0 * ln((CAST((id * 2654435761 + 40503 * 1) % 1000003 AS DOUBLE) + 0.5) / 1000003.0)) * cos(2.0 * 3.141592653589793 * ((CAST((id * 2654435761 + 40503 * 2) % 1000003 AS DOUBLE) + 0.5) / 1000003.0)) AS z0,
+   sqrt(-2.0 * ln((CAST((id * 2654435761 + 40503 * 3) % 1000003 AS DOUBLE) + 0.5) / 1000003.0)) * cos(2.0 * 3.141592653589793 * ((CAST((id * 2654435761 + 40503 * 4) % 1000003 AS DOUBLE) + 0.5) / 1000003.0)) AS z1
+   FROM vectors),
+r AS (SELECT id, row_number() OVER (ORDER BY id) AS rid FROM vectors),
+v0 AS (SELECT z0 AS a0, row_number() OVER (ORDER BY z0, id) AS rid FROM z),
+v1 AS (SELECT z1 AS a1, row_number() OVER (ORDER BY z1, id) AS rid FROM z)
+SELECT r.id, round(v0.a0, 6) AS a0, round(v1.a1, 6) AS a1 FROM r JOIN v0 ON v0.rid = r.rid JOIN v1 ON v1.rid = r.rid""")
+def sorted_normal_attrs(spark, sf):
+    """Two sorted standard-normal attributes (row position = rank), hash-seeded."""
+    from vecspark.sources import generators as G
+    out = G.sorted_normal_attrs(fx.vectors(spark, sf).select("id"))
+    return out.select("id", F.round("a0", 6).alias("a0"), F.round("a1", 6).alias("a1"))

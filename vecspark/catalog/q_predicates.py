@@ -371,3 +371,20 @@ def gen_tags_graded(spark, sf):
     """Graded-selectivity tags: tag j on about 5(j+1) % of the rows (hash-seeded)."""
     from vecspark.sources import generators as G
     return G.graded_tags(fx.vectors(spark, sf).select("id"))
+
+
+SIG_DESIGN_BITS = 16
+
+
+@register("signature_design")
+def signature_design(spark, sf):
+    """Balanced word → bit assignment (greedy per bit; no SQL twin)."""
+    _, bt = _base_q(spark, sf)
+    return P.design_signatures(bt, SIG_DESIGN_BITS)
+
+
+@register("filter_signature_designed", _filter_sql("len(f.ftags) = 0 OR list_has_all(bt.tags, f.ftags)"))
+def filter_signature_designed(spark, sf):
+    """AND filters with the designed signatures as pre-check: equal to the exact filter."""
+    queries, bt = _base_q(spark, sf)
+    return P.designed_signature_filter(bt, fx.filters_tag(queries, True), P.design_signatures(bt, SIG_DESIGN_BITS))

@@ -207,3 +207,17 @@ def stream_strategy(spark, sf):
     steps = rb.where(F.col("op") == "search").select(F.col("step"))
     x = steps.join(live, "step", "left").fillna({"live": 0})
     return x.select("step", "live", F.when(F.col("live") > SWITCH_SHARE * n, "partitioned").otherwise("brute").alias("strategy"))
+
+
+@register("runbook_generate")
+def runbook_generate(spark, sf):
+    """Clustered runbook over cluster-contiguous ids (hash-seeded shares; no SQL twin)."""
+    from vecspark.operators import cells as C
+    from vecspark.sources import generators as G
+    from vecspark.operators.ranking import per_group_offsets
+    vec = fx.vectors(spark, sf)
+    cents = vec.where(F.col("id") < fx.N_CENTROIDS).select(F.col("id").alias("cid"), F.col("v").alias("c"))
+    a = C.assign(vec, cents)
+    counts = a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = per_group_offsets(counts, "cell")
+    return G.runbook_from_cells(cells)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import distance as D
 from vecspark.operators import blockscan
 from vecspark.operators.ranking import global_row_number, per_group_offsets
+from vecspark.session import cut_lineage
 
 MAX_CENTROIDS = 1 << 20
 
@@ -123,3 +124,106 @@ def kmeans_cells(rows: DataFrame, k: int, seed: int = 1, cosine: bool = False, m
     km = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine" if cosine else "euclidean")
     model = km.fit(feats)
     return model.transform(feats).select("id", F.col("prediction").cast("long").alias("cell"))
+
+
+def _kmeans_np(X: np.ndarray, k: int, iters: int) -> np.ndarray:
+    """Lloyd iterations from the first k points (rows arrive in a deterministic order)."""
+    C = X[:k].copy()
+    for _ in range(iters):
+        d = (X * X).sum(1)[:, None] - 2 * X @ C.T + (C * C).sum(1)[None, :]
+        lab = d.argmin(1)
+        for j in range(len(C)):
+            m = lab == j
+            if m.any():
+                C[j] = X[m].mean(0)
+    return C
+
+
+def two_level(rows: DataFrame, centroids: DataFrame, k2: int, sample_per_cell: int = 4096,
+              iters: int = 10, seed: int = 7) -> DataFrame:
+    """Second-level cells: ``(id, cell, subcell)``.
+
+    Level 2 is trained per cell on a Bernoulli sample of expected size at most
+    ``sample_per_cell`` (``sampleBy``), so no task receives a whole hot cell; every
+    row is then assigned to the nearest sub-centroid of its own cell in its partition.
+    """
+    a = assign(rows, centroids).select("id", "cell", "v")
+    sizes = {r["cell"]: r["n"] for r in a.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
+    fr = {c: min(1.0, sample_per_cell / n) for c, n in sizes.items()}
+    sample = a.sampleBy("cell", fr, seed).withColumn("h", F.xxhash64("id"))
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "id"])
+        X = as_matrix_safe(pdf["v"])
+        C = _kmeans_np(X, min(k2, len(X)), iters)
+        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "sid": np.arange(len(C)), "c": list(C)})
+    subs = sample.groupBy("cell").applyInPandas(train, "cell long, sid long, c array<double>").collect()
+    table: dict[int, tuple] = {}
+    for r in subs:            # cells × k2 sub-centroids: small, broadcast
+        table.setdefault(r["cell"], []).append((r["sid"], np.asarray(r["c"], dtype=np.float64)))
+    table = {c: (np.array([s for s, _ in v]), np.vstack([x for _, x in v])) for c, v in table.items()}
+    bc = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        t = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = blockscan.as_matrix(pdf["v"])
+            sub = np.empty(len(pdf), dtype=np.int64)
+            for cell, idx in pdf.groupby("cell").indices.items():
+                sids, C = t[cell]
+                D2 = np.zeros((len(idx), len(C)))
+                for j in range(X.shape[1]):        # exact ordered sums, ties to the smaller sub-centroid id
+                    diff = X[idx, j][:, None] - C[None, :, j]
+                    D2 += diff * diff
+                sub[idx] = sids[np.lexsort((np.broadcast_to(sids, D2.shape), D2), axis=1)[:, 0]]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "cell": pdf["cell"].to_numpy(), "subcell": sub})
+    return a.mapInPandas(run, "id long, cell long, subcell long")
+
+
+def as_matrix_safe(col: pd.Series) -> np.ndarray:
+    return blockscan.as_matrix(col) if len(col) else np.zeros((0, 0))
+
+
+def property_buckets(assigned_tagged: DataFrame, n_props: int) -> DataFrame:
+    """Per cell, the most frequent remaining tag opens the next bucket, ``n_props`` times.
+
+    ``(id, cell, bucket, prop)``: a row goes to the first bucket whose property it
+    carries; rows with none of them form the last bucket (prop null).  Each round is
+    one (cell, tag) count over the rows not yet placed.
+    """
+    remaining = cut_lineage(assigned_tagged.select("id", "cell", "tags"))
+    placed = []
+    for b in range(n_props):
+        props = top_property(remaining).select("cell", F.col("tag").alias("prop"))
+        hit = remaining.join(F.broadcast(props), "cell").where(F.array_contains("tags", F.col("prop")))
+        placed.append(hit.select("id", "cell", F.lit(b).alias("bucket"), "prop"))
+        remaining = cut_lineage(remaining.join(hit.select("id"), "id", "left_anti"))
+    placed.append(remaining.select("id", "cell", F.lit(n_props).alias("bucket"), F.lit(None).cast("int").alias("prop")))
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def budget_probe_knn(assigned_tagged: DataFrame, queries_f: DataFrame, centroids: DataFrame, k: int,
+                     budget: int, metric: str = "l2") -> DataFrame:
+    """Probe cells nearest-first until ``budget`` filter-matching rows are gathered, then exact top-k.
+
+    A cell is probed while the matching rows of the cells before it are fewer than
+    the budget.  Per (query, cell) match counts are an aggregate; the probe order
+    is the k-NN of the query over the (few) centroids.
+    """
+    from vecspark.operators import predicates as P
+    ncell = centroids.count()
+    order = probes(queries_f.select("qid", "qv"), centroids, int(ncell), metric)
+    rows = P.pred_rows(assigned_tagged, queries_f.select("qid", "ftags", "is_and"), key="qid")
+    cnt = rows.join(assigned_tagged.select("id", "cell"), "id").groupBy("qid", "cell").agg(F.count(F.lit(1)).alias("n"))
+    o = order.join(cnt, ["qid", "cell"], "left").fillna({"n": 0})
+    w = Window.partitionBy("qid").orderBy("prk").rowsBetween(Window.unboundedPreceding, -1)   # <= n_cells rows per query
+    keep = o.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < budget) \
+            .select("qid", "cell")
+    cand = rows.join(assigned_tagged.select("id", "cell"), "id").join(keep, ["qid", "cell"]).select("qid", "id")
+    from vecspark.operators import knn as K
+    return K.knn_prefilter(assigned_tagged, queries_f, cand, k, metric)

@@ -9,7 +9,7 @@ Tables:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -252,3 +252,57 @@ def pair_overlap(rows: DataFrame, pairs: DataFrame, key: str = "pid") -> DataFra
         F.sum(F.when(F.col("n") == 2, F.bitmap_count("band")).otherwise(F.lit(0))).cast("long").alias("inter"),
         F.sum(F.bitmap_count("bor")).cast("long").alias("uni"))
     return pairs.join(agg, ["a", "b"], "left").fillna({"inter": 0, "uni": 0})
+
+
+# ------------------------------------------------------------------ designed (balanced) signatures
+
+def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
+    """Word → bit table with every bit set on fewer than half of the rows (when a word allows).
+
+    Words are taken in a hash order; bit b receives the longest run of the next
+    words whose rows (rows containing any of them) stay under N/2.  For each bit
+    one aggregation finds, per row, its first word at or after the current
+    position, and the cut is read off the cumulative counts.  Returns ``(tag, bit)``.
+    """
+    from vecspark.operators.ranking import ordered_positions
+    from vecspark.session import cut_lineage
+    spark = base_tagged.sparkSession
+    post = postings(base_tagged)
+    vocab = post.select("tag").distinct().withColumn("h", F.xxhash64("tag"))
+    vocab = ordered_positions(vocab, ["h", "tag"], F.floor(F.col("h") / F.lit(float(1 << 44))), "wr") \
+        .withColumn("wr", F.col("wr") - 1).select("tag", "wr")
+    vocab = cut_lineage(vocab)
+    n_words = vocab.count()
+    n = base_tagged.count()
+    need = -(-n // 2)                   # rows covered must stay <= ceil(n/2) - 1
+    pr = cut_lineage(post.join(F.broadcast(vocab), "tag").select("id", "wr"))
+    cuts, offset = [], 0
+    for b in range(n_bits):
+        if offset >= n_words:
+            break
+        first = pr.where(F.col("wr") >= offset).groupBy("id").agg(F.min("wr").alias("f"))
+        hist = first.groupBy("f").agg(F.count(F.lit(1)).alias("c"))
+        w = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)   # at most one row per word
+        hit = hist.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") >= need).agg(F.min("f")).first()[0]
+        hi = n_words - 1 if hit is None else max(offset, hit - 1)
+        cuts.append((b, offset, hi))
+        offset = hi + 1
+    table = spark.createDataFrame(cuts, "bit int, lo long, hi long")
+    return vocab.join(F.broadcast(table), (F.col("wr") >= F.col("lo")) & (F.col("wr") <= F.col("hi"))) \
+                .select("tag", "bit")
+
+
+def designed_signature_filter(base_tagged: DataFrame, filters: DataFrame, design: DataFrame) -> DataFrame:
+    """AND filter with the designed signatures as pre-check (same answer as the exact filter)."""
+    bits = design.withColumn("m", F.pow(F.lit(2.0), F.col("bit")).cast("long"))
+    rs = (postings(base_tagged).join(F.broadcast(bits), "tag", "left")
+          .groupBy("id").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("sig")))
+    rows = base_tagged.select("id", "tags").join(rs, "id")
+    qs = (filters.select("qid", F.explode("ftags").alias("tag")).join(F.broadcast(bits), "tag", "left")
+          .groupBy("qid").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("qsig")))
+    q = filters.select("qid", "ftags", "is_and").join(qs, "qid", "left").fillna({"qsig": 0})
+    post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
+    drive = q.where(F.size("ftags") > 0).withColumn("t", F.array_min("ftags"))
+    cand = post.join(F.broadcast(drive), "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
+    hit = cand.where(tag_match(F.col("tags"), F.col("ftags"), F.col("is_and"))).select("qid", "id")
+    return hit.unionByName(match_all(rows.select("id"), q.where(F.size("ftags") == 0)))

@@ -61,3 +61,17 @@ def global_prefix_sum(df: DataFrame, order: str, value: str, out: str = "offset"
     return (b.join(F.broadcast(offs), "_sub")
              .withColumn(out, (F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
              .drop("_sub", "_off"))
+
+
+def ordered_positions(df: DataFrame, order: list[str], bucket: Column, out: str = "pos") -> DataFrame:
+    """1-based global position in ``order``; ``bucket`` must be a long that is monotone in that order.
+
+    Counts per bucket are prefix-summed (small table); row_number runs inside a bucket.
+    """
+    b = df.withColumn("_b", bucket.cast("long"))
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
+    w = Window.partitionBy("_b").orderBy(*order)
+    return (b.join(F.broadcast(offs), "_b").withColumn(out, F.col("_off") + F.row_number().over(w))
+             .drop("_b", "_off"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from vecspark.operators import predicates as P
 from vecspark.operators.ranking import global_row_number
+from vecspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -167,14 +168,15 @@ def select(cands: DataFrame, p: Params, max_rounds: int | None = None) -> DataFr
     pid) is the one row brought back.  Returns ``(round, pid, benefit, size, used)``.
     """
     spark = cands.sparkSession
-    m = with_models(cands, p).cache()
+    m = cut_lineage(with_models(cands, p))
     edges = lattice(cands)
     nodes = m.select("pid", "card", "size")
     e = (edges.join(nodes.select(F.col("pid").alias("parent"), F.col("card").alias("p_card"), "size"), "parent")
               .join(m.select(F.col("pid").alias("child"), F.col("card").alias("c_card"), "cnt"), "child")
               .withColumn("up", upward_cost(F.col("p_card"), F.col("c_card"), p))
-              .select("child", "parent", "up", "cnt", "size")).cache()
-    best = m.select(F.col("pid").alias("child"), F.least("bf_cost", "root_cost").alias("best"))
+              .select("child", "parent", "up", "cnt", "size"))
+    e = cut_lineage(e)
+    best = cut_lineage(m.select(F.col("pid").alias("child"), F.least("bf_cost", "root_cost").alias("best")))
     budget = total_budget(p)
     used, chosen, rows = 0, set(), []
     n_nodes = m.count()
@@ -186,7 +188,9 @@ def select(cands: DataFrame, p: Params, max_rounds: int | None = None) -> DataFr
         if chosen:
             ben = ben.where(~F.col("parent").isin(list(chosen)))
         ben = ben.withColumn("benefit", F.when(F.col("size") > 0, F.col("gain") / F.col("size")).otherwise(0.0))
-        win = ben.orderBy(F.col("benefit").desc(), F.col("parent")).select("parent", "size", "benefit").first()
+        # the round's winner by one aggregate: largest benefit, ties to the smallest pid
+        win = ben.agg(F.min_by(F.struct("parent", "size", "benefit"),
+                               F.struct((-F.col("benefit")).alias("nb"), F.col("parent"))).alias("w")).first()["w"]
         if win is None:
             break
         pid, size, benefit = win["parent"], int(win["size"]), float(win["benefit"])
@@ -197,8 +201,7 @@ def select(cands: DataFrame, p: Params, max_rounds: int | None = None) -> DataFr
         served = e.where(F.col("parent") == pid).select("child", F.col("up").alias("new"))
         best = (best.join(served, "child", "left")
                     .select("child", F.least("best", F.coalesce("new", "best")).alias("best")))
-        if rnd % 8 == 0:
-            best = best.checkpoint()       # cut the lineage of the refreshed costs
+        best = cut_lineage(best)           # one row per candidate: each round starts from a short plan
     return spark.createDataFrame(rows, "round int, pid string, benefit double, size long, used long")
 
 

@@ -50,3 +50,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.replace("file:", ""), "tables", name)
+
+
+def cut_lineage(df):
+    """Persist, then checkpoint into the shared checkpoint folder (written once from the cache).
+
+    Used inside iterative jobs so each round starts from a short plan; a lost
+    executor re-reads the checkpoint instead of replaying every round.
+    """
+    return df.persist().checkpoint()
