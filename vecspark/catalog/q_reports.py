@@ -120,3 +120,17 @@ def runs_export(spark, sf):
     R.export_csv(_runs(spark, sf), path)
     return spark.read.schema("algorithm string, dataset string, parameters string, recall double, qps double") \
                 .option("header", True).csv(path)
+
+
+@register("parse_logs", cte("runs") + """
+, g AS (SELECT *, algorithm || '_' || dataset || '_' || CAST(run_id % 4 AS VARCHAR) AS grp FROM runs),
+h AS (SELECT grp, sum(indexsize) AS size, sum(build) AS build FROM g GROUP BY grp)
+SELECT g.grp, g.algorithm AS indexkey, h.size AS index_size, round(h.build, 3) AS add_time,
+       g.parameters || '-' || CAST(g.run_id AS VARCHAR) AS parameters, round(g.mean_latency * 1000.0, 4) AS time_ms,
+       round(g.recall, 4) AS r1, round(g.recall, 4) AS r10, round(g.recall, 4) AS r100 FROM g JOIN h ON h.grp = g.grp""")
+def parse_logs(spark, sf):
+    """Run logs written per (algorithm, dataset, bucket) as text, parsed back into metric rows."""
+    from vecspark.sources import logs as L
+    folder = shared_dir(spark, f"logs-{uuid.uuid4().hex[:12]}")
+    L.write_run_logs(_runs(spark, sf), folder)
+    return L.parse_logs(spark, folder)

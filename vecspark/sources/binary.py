@@ -155,15 +155,23 @@ def _preallocate(path: str, nbytes: int, header: bytes) -> None:
 
 
 def _scatter(df: DataFrame, path: str, cols: list[tuple[str, str, int]]) -> None:
-    """Each task writes its rows' values at precomputed byte offsets ``(value col, dtype, offset col)``."""
+    """Each task writes its rows' values at precomputed byte offsets ``(value col, dtype, offset col)``.
+
+    Offsets are sorted inside the task and contiguous runs are written with one call.
+    """
     def run(it):
         with open(path, "r+b") as f:
             for pdf in it:
                 for vcol, dt, ocol in cols:
+                    offs = pdf[ocol].to_numpy(dtype=np.int64)
                     vals = pdf[vcol].to_numpy().astype(dt)
-                    for off, b in zip(pdf[ocol].to_numpy(), vals):
-                        f.seek(int(off))
-                        f.write(np.asarray(b, dtype=dt).tobytes())
+                    order = np.argsort(offs, kind="stable")
+                    offs, vals = offs[order], vals[order]
+                    size = np.dtype(dt).itemsize
+                    breaks = np.flatnonzero(np.diff(offs) != size) + 1
+                    for lo, hi in zip(np.r_[0, breaks], np.r_[breaks, len(offs)]):
+                        f.seek(int(offs[lo]))
+                        f.write(vals[lo:hi].tobytes())
         yield pd.DataFrame({"ok": [1]})
     df.mapInPandas(run, "ok int").collect()
 
@@ -237,3 +245,61 @@ def read_range(spark: SparkSession, path: str, block_queries: int = 4096) -> Dat
                 yield pd.DataFrame({"qpos": np.repeat(np.arange(q0, q1), nr[q0:q1]), "id": ids.astype(np.int64),
                                     "dist": ds.astype(np.float64)})
     return spec.mapInPandas(run, "qpos long, id long, dist double")
+
+
+# ------------------------------------------------------------------ CSR sparse matrices
+
+def write_spmat(sp: DataFrame, path: str, n_rows: int, dims: DataFrame) -> None:
+    """Long-form ``(id, col, w)`` (``col`` an int column index) → CSR file at computed offsets.
+
+    Layout: int64 (nrow, ncol, nnz); int64 indptr[nrow+1]; int32 indices[nnz]; float32 data[nnz].
+    ``indptr`` is a prefix sum of per-row counts; entries are ordered by (row, col).
+    """
+    from pyspark.sql import Window
+    from vecspark.operators.ranking import global_prefix_sum
+    spark = sp.sparkSession
+    ncol = dims.count()
+    nnz = sp.count()
+    rows = spark.range(n_rows).select(F.col("id"))
+    per = rows.join(sp.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").fillna({"n": 0})
+    ptr = global_prefix_sum(per, "id", "n", "ptr").checkpoint()
+    hdr = np.array([n_rows, ncol, nnz], dtype="<i8").tobytes()
+    base_i = 24 + 8 * (n_rows + 1)
+    base_d = base_i + 4 * nnz
+    _preallocate(path, base_d + 4 * nnz, hdr)
+    with open(path, "r+b") as f:     # the closing pointer
+        f.seek(24 + 8 * n_rows)
+        f.write(np.array([nnz], dtype="<i8").tobytes())
+    _scatter(ptr.withColumn("off", 24 + 8 * F.col("id")).select("ptr", "off"), path, [("ptr", "<i8", "off")])
+    w = Window.partitionBy("id").orderBy("col")
+    x = (sp.join(ptr.select("id", "ptr"), "id").withColumn("slot", F.col("ptr") + F.row_number().over(w) - 1)
+           .withColumn("i_off", base_i + 4 * F.col("slot")).withColumn("d_off", base_d + 4 * F.col("slot")))
+    _scatter(x.select("col", "w", "i_off", "d_off"), path, [("col", "<i4", "i_off"), ("w", "<f4", "d_off")])
+
+
+def read_spmat(spark: SparkSession, path: str, block_rows: int = 65536) -> DataFrame:
+    """``(id, col, w)`` by row blocks; each task checks its indices are in ``[0, ncol)`` and its pointers ordered."""
+    with open(path, "rb") as f:
+        nrow, ncol, nnz = np.frombuffer(f.read(24), dtype="<i8")
+    last = np.fromfile(path, dtype="<i8", count=1, offset=24 + 8 * int(nrow))[0]
+    if last != nnz:
+        raise ValueError("indptr does not end at nnz")
+    base_i = 24 + 8 * (int(nrow) + 1)
+    base_d = base_i + 4 * int(nnz)
+    blocks = [(s, min(int(nrow), s + block_rows)) for s in range(0, int(nrow), block_rows)]
+    spec = spark.createDataFrame(blocks, "r0 long, r1 long").repartition(max(1, len(blocks)))
+
+    def run(it):
+        for pdf in it:
+            for r0, r1 in pdf.itertuples(index=False):
+                ptr = np.fromfile(path, dtype="<i8", count=r1 - r0 + 1, offset=24 + 8 * r0)
+                if (np.diff(ptr) < 0).any():
+                    raise ValueError("indptr not monotone")
+                cnt = int(ptr[-1] - ptr[0])
+                idx = np.fromfile(path, dtype="<i4", count=cnt, offset=base_i + 4 * int(ptr[0]))
+                val = np.fromfile(path, dtype="<f4", count=cnt, offset=base_d + 4 * int(ptr[0]))
+                if cnt and ((idx < 0).any() or (idx >= ncol).any()):
+                    raise ValueError("column index out of bounds")
+                yield pd.DataFrame({"id": np.repeat(np.arange(r0, r1), np.diff(ptr)), "col": idx.astype(np.int32),
+                                    "w": val.astype(np.float64)})
+    return spec.mapInPandas(run, "id long, col int, w double")
