@@ -332,6 +332,8 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark: SparkSession = base.sparkSession
+    from vecspark.session import ship_package
+    ship_package(spark)
     kinds, want = set(), []
     cols = {"vec": vec, "id": id_col}
     base_cols = [id_col, vec]

@@ -10,8 +10,9 @@ Two physical paths give the same exact answer:
   cardinality, so it is only used for queries whose cardinality is at most the
   brute-force cutoff ``B`` (candidate rows are bounded by ``nq * B``).
 
-``knn_filtered(..., strategy="auto")`` routes each query by its exact
-cardinality, like the reference's brute-force cutoff.
+``knn_filtered(..., strategy="auto")`` routes each query by the pre-filter's
+work (the postings of its driving tags) against the brute-force cutoff; the
+exact-cardinality routing of the workload plans is in ``plans.workload``.
 """
 
 from __future__ import annotations
@@ -83,12 +84,16 @@ def knn_filtered(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, metr
         if not empty.isEmpty():
             parts.append(knn(base_tagged, empty, k, metric, tag_filter=True))
         return _union(parts)
-    # auto: exact cardinality of each distinct filter decides the route
-    card = P.filter_cardinality(base_tagged, queries_f.select("ftags", "is_and").distinct())
+    # auto: route on the pre-filter's own work — the postings it would read: the rarest
+    # tag's frequency for AND (also an upper bound on the cardinality), the sum for OR
+    ex = queries_f.where(F.size("ftags") > 0).select("qid", "is_and", F.explode(F.array_distinct("ftags")).alias("tag"))
+    work = (ex.join(F.broadcast(tag_freq), "tag", "left").fillna({"df": 0})
+              .groupBy("qid", "is_and").agg(F.min("df").alias("mn"), F.sum("df").alias("sm"))
+              .select("qid", F.when(F.col("is_and"), F.col("mn")).otherwise(F.col("sm")).alias("work")))
     # one row per query: written once to the checkpoint folder so each route re-reads it, not its plan
-    routed = queries_f.join(F.broadcast(card), ["ftags", "is_and"], "left").checkpoint()
-    small = routed.where((F.size("ftags") > 0) & (F.col("card") <= cutoff)).drop("card")
-    large = routed.where((F.size("ftags") == 0) | (F.col("card") > cutoff)).drop("card")
+    routed = queries_f.join(work, "qid", "left").checkpoint()
+    small = routed.where(F.col("work").isNotNull() & (F.col("work") <= cutoff)).drop("work")
+    large = routed.where(F.col("work").isNull() | (F.col("work") > cutoff)).drop("work")
     parts = []
     cand = _prefilter_candidates(base_tagged, postings, small, tag_freq)
     parts.append(knn_prefilter(base_tagged, small, cand, k, metric))

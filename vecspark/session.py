@@ -29,6 +29,7 @@ def get_session(app: str = "vecspark", cpus: str | int | None = None,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +60,34 @@ def cut_lineage(df):
     executor re-reads the checkpoint instead of replaying every round.
     """
     return df.persist().checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vecspark`` importable in every Python worker (``addPyFile`` of a zip, once per application).
+
+    Functions run by ``mapInPandas`` / ``applyInPandas`` are pickled by reference to
+    this package, so executors must be able to import it.  The zip is written to
+    the shared checkpoint folder and distributed by Spark.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import vecspark
+    pkg = os.path.dirname(os.path.abspath(vecspark.__file__))
+    folder = shared_dir(spark, "pyfiles").replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    zpath = os.path.join(folder, f"vecspark-{key}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
