@@ -111,34 +111,40 @@ def topk_triples(qi, ids, d, k):
     return qi[keep], ids[keep], d[keep]
 
 
+def filter_groups(ftags: list, is_and: np.ndarray) -> tuple[list, np.ndarray]:
+    """Distinct normalised filters of a query block and each query's index into them (once per block)."""
+    keys: dict = {}
+    fidx = np.empty(len(ftags), dtype=np.int64)
+    for qi, ft in enumerate(ftags):
+        key = (bool(is_and[qi]), tuple(sorted({int(t) for t in ft})))
+        fidx[qi] = keys.setdefault(key, len(keys))
+    return list(keys), fidx
+
+
 def _tag_masks(block: QueryBlock, row_tags: pd.Series, b: int) -> np.ndarray:
-    """(nq, b) boolean: row satisfies the query's tag filter (AND / OR, empty = all)."""
+    """(nq, b) boolean: row satisfies the query's tag filter (AND / OR, empty = all).
+
+    One mask per *distinct* filter of the block (precomputed groups), then gathered per query.
+    """
+    groups, fidx = block.extra["filter_groups"]
     lengths = row_tags.map(lambda a: 0 if a is None else len(a)).to_numpy()
     flat = (np.concatenate([np.asarray(a) for a in row_tags if a is not None and len(a)])
             if lengths.sum() else np.zeros(0, dtype=np.int64))
     owner = np.repeat(np.arange(b), lengths)
-    wanted = {int(t) for ft in block.ftags for t in ft}
-    hit = {}
-    for t in wanted:
-        h = np.zeros(b, dtype=bool)
-        h[owner[flat == t]] = True
-        hit[t] = h
-    keys = {}
-    fidx = np.empty(len(block.ftags), dtype=np.int64)
-    rows = []
-    for qi, ft in enumerate(block.ftags):
-        key = (bool(block.is_and[qi]), tuple(sorted(int(t) for t in ft)))
-        if key not in keys:
-            keys[key] = len(rows)
-            if not key[1]:
-                m = np.ones(b, dtype=bool)
-            else:
-                m = hit[key[1][0]].copy()
-                for t in key[1][1:]:
-                    m = (m & hit[t]) if key[0] else (m | hit[t])
-            rows.append(m)
-        fidx[qi] = keys[key]
-    return np.vstack(rows)[fidx]
+    wanted = np.array(sorted({t for _, ts in groups for t in ts}), dtype=np.int64)
+    H = np.zeros((len(wanted), b), dtype=bool)          # row has tag: one scatter over the postings
+    if len(wanted) and len(flat):
+        pos = np.searchsorted(wanted, flat)
+        ok = (pos < len(wanted)) & (wanted[np.minimum(pos, len(wanted) - 1)] == flat)
+        H[pos[ok], owner[ok]] = True
+    rows = np.empty((len(groups), b), dtype=bool)
+    for g, (is_and, ts) in enumerate(groups):
+        if not ts:
+            rows[g] = True
+            continue
+        sub = H[np.searchsorted(wanted, ts)]
+        rows[g] = sub.all(axis=0) if is_and else sub.any(axis=0)
+    return rows[fidx]
 
 
 def _range_masks(block: QueryBlock, a0: np.ndarray, a1: np.ndarray) -> np.ndarray:
@@ -301,6 +307,7 @@ def _build_block(rows, qvec: str, kinds: set, radius) -> QueryBlock:
     if "tags" in kinds:
         blk.ftags = [np.asarray(r["ftags"] or [], dtype=np.int64) for r in rows]
         blk.is_and = np.array([bool(r["is_and"]) for r in rows])
+        blk.extra["filter_groups"] = filter_groups(blk.ftags, blk.is_and)
     if "range" in kinds:
         blk.ranges = np.array([[np.nan if r[c] is None else r[c] for c in ("lo0", "hi0", "lo1", "hi1")]
                                for r in rows], dtype=np.float64)

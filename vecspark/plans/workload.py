@@ -65,7 +65,8 @@ def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params) -> DataFr
     t = tally(workload)
     card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"))
     c = t.join(F.broadcast(card), ["ftags", "is_and"]).where(F.col("card") >= p.cutoff)
-    return c.withColumn("ord", F.row_number().over(Window.orderBy("card", "pid")))  # one row per distinct predicate
+    # one row per distinct predicate: written once, reused by lattice, selection and routing
+    return cut_lineage(c.withColumn("ord", F.row_number().over(Window.orderBy("card", "pid"))))
 
 
 def selectivity_profile(base_tagged: DataFrame, workload: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def route(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
                .withColumn("qkey", P.filter_key(F.col("ftags"), F.col("is_and")))
     qn = f.select(F.col("qkey").alias("pid"), "ftags", "is_and").distinct()
     sn = subsets.select("pid", "ftags", "is_and")
-    both = qn.unionByName(sn).distinct()
+    both = cut_lineage(qn.unionByName(sn).distinct())     # distinct predicates of queries and subsets: small
     edges = P.subsumption_edges(both, key="pid")
     sc = subsets.select(F.col("pid").alias("parent"), "card")
     cand = edges.join(F.broadcast(sc), "parent").withColumnRenamed("child", "qkey")
