@@ -92,7 +92,7 @@ def _recall(truth, run, count):
 METRICS: dict[str, Metric] = {
     "k-nn": Metric("k-nn", "max", _recall),
     "ap": Metric("ap", "max", lambda gt, res: Q.range_ap(gt, res)),
-    "qps": Metric("qps", "max", lambda runs: runs.select("run_id", (F.col("count") / (F.col("count") / F.col("qps"))).alias("qps"))),
+    "qps": Metric("qps", "max", lambda runs: runs.select("run_id", "qps")),
     "build": Metric("build", "min", lambda runs: runs.select("run_id", "build")),
     "indexsize": Metric("indexsize", "min", lambda runs: runs.select("run_id", "indexsize")),
     "queriessize": Metric("queriessize", "min", lambda runs: runs.select("run_id", (F.col("indexsize") / F.col("qps")).alias("queriessize"))),

@@ -31,14 +31,14 @@ def _runs(spark, sf):
 
 @register("run_metrics", cte("runs") +
           "SELECT run_id, round(qps, 6) AS qps, build, indexsize, round(distcomps / (run_count * count), 6) AS dist_comps_per_query, "
-          "mean_latency, round(count / qps, 9) AS best_search_time FROM runs")
+          "mean_latency, round(count / NULLIF(qps, 0), 9) AS best_search_time FROM runs")
 def run_metrics(spark, sf):
     return R.run_metrics(_runs(spark, sf))
 
 
 @register("best_run", cte("runs") + """
 SELECT algorithm, dataset, arg_min(run_id, struct_pack(t := count / qps, r := run_id)) AS run_id, round(min(count / qps), 9) AS best_search_time
-FROM runs GROUP BY algorithm, dataset""")
+FROM runs WHERE qps > 0 GROUP BY algorithm, dataset""")
 def best_run(spark, sf):
     return R.best_run(_runs(spark, sf))
 
@@ -64,7 +64,7 @@ def operating_points_recall(spark, sf):
 
 
 @register("caching_detector", cte("runs") +
-          f"SELECT run_id, round((t_first - t_last) / t_first, 6) AS drop FROM runs WHERE (t_first - t_last) / t_first > {CACHE_THR}")
+          f"SELECT run_id, round((t_first - t_last) / NULLIF(t_first, 0), 6) AS drop FROM runs WHERE (t_first - t_last) / NULLIF(t_first, 0) > {CACHE_THR}")
 def caching_detector(spark, sf):
     return R.caching_detector(_runs(spark, sf), CACHE_THR)
 
@@ -78,8 +78,8 @@ def energy_stats(spark, sf):
 
 @register("cost_projection", cte("runs") + f"""
 , best AS (SELECT algorithm, dataset, max(qps) AS qps, arg_max(watt_seconds / count, qps) AS wspq FROM runs WHERE recall >= {RECALL_THR} GROUP BY algorithm, dataset)
-SELECT algorithm, dataset, CAST(ceil({TARGET_QPS} / qps) AS BIGINT) AS systems, round(ceil({TARGET_QPS} / qps) * {MSRP_USD}, 6) AS capex,
-       round(qps * (wspq / 3600000.0) * 3600.0 * 8760.0 * {YEARS} * {USD_PER_KWH} * ceil({TARGET_QPS} / qps), 6) AS opex FROM best""")
+SELECT algorithm, dataset, CAST(ceil({TARGET_QPS} / NULLIF(qps, 0)) AS BIGINT) AS systems, round(ceil({TARGET_QPS} / NULLIF(qps, 0)) * {MSRP_USD}, 6) AS capex,
+       round(qps * (wspq / 3600000.0) * 3600.0 * 8760.0 * {YEARS} * {USD_PER_KWH} * ceil({TARGET_QPS} / NULLIF(qps, 0)), 6) AS opex FROM best""")
 def cost_projection(spark, sf):
     return R.cost_projection(_runs(spark, sf), RECALL_THR, TARGET_QPS, MSRP_USD, USD_PER_KWH, YEARS)
 
@@ -94,7 +94,7 @@ def leaderboard_score(spark, sf):
 
 
 @register("shard_qps_model", cte("runs") + """
-SELECT run_id, round(1.0 / ((count / qps - mean_latency / 1000.0) / 2 + mean_latency / 1000.0), 6) AS qps_two_shards FROM runs""")
+SELECT run_id, round(1.0 / ((count / NULLIF(qps, 0) - mean_latency / 1000.0) / 2 + mean_latency / 1000.0), 6) AS qps_two_shards FROM runs""")
 def shard_qps_model(spark, sf):
     return R.shard_qps_model(_runs(spark, sf))
 

@@ -14,13 +14,13 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return runs.select(
         "run_id", F.round("qps", 6).alias("qps"), "build", "indexsize",
         F.round(F.col("distcomps") / (F.col("run_count") * F.col("count")), 6).alias("dist_comps_per_query"),
-        "mean_latency", F.round(F.col("count") / F.col("qps"), 9).alias("best_search_time"))
+        "mean_latency", F.round(F.col("count") / F.nullif(F.col("qps"), F.lit(0.0)), 9).alias("best_search_time"))
 
 
 def best_run(runs: DataFrame) -> DataFrame:
     """Per (algorithm, dataset) the run with the smallest search time (ties: smallest run id)."""
-    t = F.col("count") / F.col("qps")
-    return runs.groupBy("algorithm", "dataset").agg(F.min(F.struct(t.alias("t"), F.col("run_id").alias("r"))).alias("b")) \
+    t = F.col("count") / F.col("qps")      # runs without a measured throughput (qps = 0) are not candidates
+    return runs.where(F.col("qps") > 0).groupBy("algorithm", "dataset").agg(F.min(F.struct(t.alias("t"), F.col("run_id").alias("r"))).alias("b")) \
                .select("algorithm", "dataset", F.col("b.r").alias("run_id"), F.round("b.t", 9).alias("best_search_time"))
 
 
@@ -47,7 +47,7 @@ def operating_points_recall(runs: DataFrame, qps_thr: float) -> DataFrame:
 
 
 def caching_detector(runs: DataFrame, thr: float) -> DataFrame:
-    drop = (F.col("t_first") - F.col("t_last")) / F.col("t_first")
+    drop = (F.col("t_first") - F.col("t_last")) / F.nullif(F.col("t_first"), F.lit(0.0))
     return runs.where(drop > thr).select("run_id", F.round(drop, 6).alias("drop"))
 
 
@@ -62,7 +62,7 @@ def cost_projection(runs: DataFrame, recall_thr: float, target_qps: float, msrp:
     """Systems to reach the target QPS, capex and 5-year energy opex at the best qualifying operating point."""
     best = runs.where(F.col("recall") >= recall_thr).groupBy("algorithm", "dataset").agg(
         F.max("qps").alias("qps"), F.max_by(F.col("watt_seconds") / F.col("count"), "qps").alias("wspq"))
-    systems = F.ceil(F.lit(target_qps) / F.col("qps"))
+    systems = F.ceil(F.lit(target_qps) / F.nullif(F.col("qps"), F.lit(0.0)))
     opex = (F.col("qps") * (F.col("wspq") / 3600000.0) * 3600.0 * 8760.0 * years * usd_kwh * systems)
     return best.select("algorithm", "dataset", systems.cast("long").alias("systems"),
                        F.round(systems * msrp, 6).alias("capex"), F.round(opex, 6).alias("opex"))
@@ -79,7 +79,7 @@ def leaderboard(runs: DataFrame, qps_thr: float, baseline: str, min_datasets: in
 def shard_qps_model(runs: DataFrame) -> DataFrame:
     """Two half-size shards: half the scan time plus the (unsplit) quantiser time."""
     tq = F.col("mean_latency") / 1000.0
-    t2 = (F.col("count") / F.col("qps") - tq) / 2 + tq
+    t2 = (F.col("count") / F.nullif(F.col("qps"), F.lit(0.0)) - tq) / 2 + tq
     return runs.select("run_id", F.round(1.0 / t2, 6).alias("qps_two_shards"))
 
 
