@@ -70,7 +70,9 @@ cand AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDE
 """ + _rank_sql("SELECT c.qid, c.id, sum(q.w * d.w) AS score FROM cand c JOIN sparse_docs d ON d.id = c.id "
                 "JOIN sparse_queries q ON q.qid = c.qid AND q.dim = d.dim GROUP BY c.qid, c.id"))
 def sparse_two_stage(spark, sf):
+    from vecspark.session import cut_lineage
     d, q = _sp(spark, sf)
+    d = cut_lineage(d)          # used by both stages
     return _round(S.two_stage(d, q, TOPK, DOC_T, QUERY_T, CAND_R))
 
 

@@ -62,7 +62,10 @@ def two_stage(docs: DataFrame, queries: DataFrame, k: int, doc_t: int, query_t:
     cand = rank_by_score(scores(prune_topt(docs, doc_t), prune_topt(queries.withColumnRenamed("qid", "id"), query_t)
                                 .withColumnRenamed("id", "qid")), r).select("qid", "id")
     q = _maybe_broadcast(queries.select("qid", "dim", F.col("w").alias("qw")))
-    full = (cand.join(docs, "id").join(q, ["qid", "dim"])
+    # full-list rescoring only needs document terms that some query has (others contribute 0)
+    vocab = _maybe_broadcast(queries.select("dim").distinct())
+    useful = docs.join(vocab, "dim", "left_semi")
+    full = (cand.join(useful, "id").join(q, ["qid", "dim"])
                 .groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
                 .where(F.col("score") > 0))
     return rank_by_score(full, k).select("qid", "rk", "id", "score")
