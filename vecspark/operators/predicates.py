@@ -275,7 +275,7 @@ def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
     n_words = vocab.count()
     n = base_tagged.count()
     need = -(-n // 2)                   # rows covered must stay <= ceil(n/2) - 1
-    pr = cut_lineage(post.join(F.broadcast(vocab), "tag").select("id", "wr"))
+    pr = cut_lineage(post.join(vocab, "tag").select("id", "wr"))      # vocabulary-sized: AQE picks the join
     cuts, offset = [], 0
     for b in range(n_bits):
         if offset >= n_words:
@@ -295,10 +295,10 @@ def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
 def designed_signature_filter(base_tagged: DataFrame, filters: DataFrame, design: DataFrame) -> DataFrame:
     """AND filter with the designed signatures as pre-check (same answer as the exact filter)."""
     bits = design.withColumn("m", F.pow(F.lit(2.0), F.col("bit")).cast("long"))
-    rs = (postings(base_tagged).join(F.broadcast(bits), "tag", "left")
+    rs = (postings(base_tagged).join(bits, "tag", "left")
           .groupBy("id").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("sig")))
     rows = base_tagged.select("id", "tags").join(rs, "id")
-    qs = (filters.select("qid", F.explode("ftags").alias("tag")).join(F.broadcast(bits), "tag", "left")
+    qs = (bits.join(F.broadcast(filters.select("qid", F.explode("ftags").alias("tag"))), "tag", "right")
           .groupBy("qid").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("qsig")))
     q = filters.select("qid", "ftags", "is_and").join(qs, "qid", "left").fillna({"qsig": 0})
     post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
