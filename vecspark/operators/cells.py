@@ -67,7 +67,9 @@ def ivf_knn(assigned: DataFrame, queries: DataFrame, probe: DataFrame, k: int, m
             tag_filter: bool = False) -> DataFrame:
     """Exact top-k among rows of the probed cells (optionally with the query's tag filter)."""
     from vecspark.operators import predicates as P
-    cand = probe.select("qid", "cell").join(assigned.select("id", "cell", "v", *(["tags"] if tag_filter else [])), "cell")
+    # probes are query-sized (nq · nprobe) and broadcast: a hot cell never becomes one shuffle partition
+    cand = assigned.select("id", "cell", "v", *(["tags"] if tag_filter else [])).join(
+        F.broadcast(probe.select("qid", "cell")), "cell")
     q = queries.select("qid", "qv", *(["ftags", "is_and"] if tag_filter else []))
     j = cand.join(F.broadcast(q), "qid")
     if tag_filter:

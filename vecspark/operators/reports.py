@@ -24,17 +24,24 @@ def best_run(runs: DataFrame) -> DataFrame:
                .select("algorithm", "dataset", F.col("b.r").alias("run_id"), F.round("b.t", 9).alias("best_search_time"))
 
 
-def pareto(runs: DataFrame) -> DataFrame:
+def pareto(runs: DataFrame, buckets_per_octave: int = 16) -> DataFrame:
     """Frontier per dataset: by qps desc then recall desc, keep rows whose recall beats every earlier row.
 
-    Duplicate (recall, qps) points collapse to one (smallest run id) before the
-    window, which then runs over distinct operating points only.
+    Duplicate (recall, qps) points collapse to one (smallest run id).  A dataset may
+    hold a third of all runs, so the running maximum is split: points are grouped in
+    qps buckets (log scale, equal qps → same bucket), the best recall of all
+    higher-qps buckets comes from a small per-bucket table, and the window runs
+    inside one bucket only.
     """
     d = (runs.where((F.col("recall") > 0) & (F.col("qps") > 0))
-             .groupBy("dataset", "recall", "qps").agg(F.min("run_id").alias("run_id")))
-    w = Window.partitionBy("dataset").orderBy(F.col("qps").desc(), F.col("recall").desc()) \
+             .groupBy("dataset", "recall", "qps").agg(F.min("run_id").alias("run_id"))
+             .withColumn("_qb", F.floor(F.log2("qps") * buckets_per_octave).cast("long")))
+    bmax = d.groupBy("dataset", "_qb").agg(F.max("recall").alias("_bm"))
+    wb = Window.partitionBy("dataset").orderBy(F.col("_qb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = bmax.select("dataset", "_qb", F.max("_bm").over(wb).alias("_carry"))     # buckets: few rows
+    w = Window.partitionBy("dataset", "_qb").orderBy(F.col("qps").desc(), F.col("recall").desc()) \
               .rowsBetween(Window.unboundedPreceding, -1)
-    m = d.withColumn("prev", F.max("recall").over(w))
+    m = d.join(carry, ["dataset", "_qb"]).withColumn("prev", F.greatest(F.max("recall").over(w), F.col("_carry")))
     return m.where(F.col("prev").isNull() | (F.col("recall") > F.col("prev"))).select("dataset", "run_id", "recall", "qps")
 
 

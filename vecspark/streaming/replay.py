@@ -44,18 +44,32 @@ def get_items(vectors: DataFrame, requested: DataFrame, tomb: DataFrame) -> Data
                      .withColumn("dim", F.when(F.col("status") == "missing", F.lit(None)).otherwise(F.col("dim"))))
 
 
-def tombstone_log(op_log: DataFrame) -> DataFrame:
+SEQ_BUCKET = 1 << 20      # log positions per sub-bucket (bounds every per-label window)
+
+
+def tombstone_log(op_log: DataFrame, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Strict delete / un-delete semantics per op: state before, and outcome or error.
 
     insert: absent → insert, live → update, deleted → undelete;
     delete: live → delete, absent → error_unknown_label, deleted → error_already_deleted.
+
+    The state before an op needs the label's previous op and whether it was ever
+    inserted before.  A label may own a third of the log, so windows run inside
+    (label, seq-bucket) groups and the carry-in from earlier buckets comes from a
+    small per-(label, bucket) summary with its own prefix window.
     """
-    ops = op_log.where(F.col("op").isin("insert", "delete"))
-    w = Window.partitionBy("id").orderBy("seq")
-    prev = F.lag("op").over(w)
-    ins_before = F.sum(F.when(F.col("op") == "insert", 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    x = ops.withColumn("_prev", prev).withColumn("_ins", F.coalesce(ins_before, F.lit(0)))
+    ops = op_log.where(F.col("op").isin("insert", "delete")).withColumn("_b", (F.col("seq") / bucket).cast("long"))
+    summ = ops.groupBy("id", "_b").agg(F.max_by("op", "seq").alias("_last"),
+                                       F.sum(F.when(F.col("op") == "insert", 1).otherwise(0)).alias("_ni"))
+    wb = Window.partitionBy("id").orderBy("_b")            # buckets of one label: few rows
+    summ = summ.select("id", "_b", F.lag("_last").over(wb).alias("_carry_op"),
+                       F.coalesce(F.sum("_ni").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry_ni"))
+    w = Window.partitionBy("id", "_b").orderBy("seq")      # one bounded bucket
+    x = (ops.join(summ, ["id", "_b"])
+            .withColumn("_prev", F.coalesce(F.lag("op").over(w), F.col("_carry_op")))
+            .withColumn("_ins", F.col("_carry_ni") + F.coalesce(
+                F.sum(F.when(F.col("op") == "insert", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0))))
     before = (F.when(F.col("_prev").isNull(), "absent")
                .when(F.col("_prev") == "insert", "live")
                .when(F.col("_ins") > 0, "deleted").otherwise("absent"))
