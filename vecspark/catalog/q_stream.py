@@ -164,14 +164,17 @@ def _events_runbook(spark, sf):
           CASE WHEN o.op IN ('insert', 'delete') THEN o.id + 1 + CAST(trunc(e.value) AS BIGINT) % 3 END AS "end"
         FROM op_log o JOIN events e ON e.event_id = o.seq),
 mp AS (SELECT max(user_id) + 1 AS m FROM events),
-x AS (SELECT rb.*, lag(step) OVER (ORDER BY step) AS prev_step FROM rb)
+x AS (SELECT rb.*, (SELECT count(*) FROM rb r2 WHERE r2.step = rb.step - 1) > 0 AS has_prev,
+             (SELECT count(*) FROM rb r3 WHERE r3.step = rb.step) AS n FROM rb)
 SELECT step, op, problem FROM (SELECT step, op, CASE
   WHEN op NOT IN ('insert', 'delete', 'search') THEN 'undefined operation'
   WHEN op IN ('insert', 'delete') AND "start" IS NULL THEN 'start not specified'
   WHEN op IN ('insert', 'delete') AND "end" IS NULL THEN 'end not specified'
   WHEN op IN ('insert', 'delete') AND ("start" < 0 OR "start" >= mp.m) THEN 'start out of range'
   WHEN op IN ('insert', 'delete') AND ("end" < 0 OR "end" > mp.m) THEN 'end out of range'
-  WHEN coalesce(prev_step + 1, 1) <> step THEN 'non-contiguous step' END AS problem FROM x, mp) WHERE problem IS NOT NULL""")
+  WHEN step < 1 THEN 'non-contiguous step'
+  WHEN step > 1 AND NOT has_prev THEN 'non-contiguous step'
+  WHEN n > 1 THEN 'duplicate step' END AS problem FROM x, mp) WHERE problem IS NOT NULL""")
 def runbook_validate(spark, sf):
     max_pts = fx.read(spark, sf, "events").agg(F.max("user_id")).first()[0] + 1
     return replay.runbook_validate(_events_runbook(spark, sf), max_pts)

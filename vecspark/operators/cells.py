@@ -112,10 +112,12 @@ def top_property(assigned_tagged: DataFrame) -> DataFrame:
 
 def tag_cell_index(assigned_tagged: DataFrame) -> DataFrame:
     """Posting layout: rows of each tag grouped by cell, with start offsets in (tag, cell) order."""
+    from vecspark.operators.ranking import global_prefix_sum
     g = assigned_tagged.select("cell", F.explode("tags").alias("tag")).groupBy("tag", "cell").agg(
         F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("tag", "cell").rowsBetween(Window.unboundedPreceding, -1)   # (tag, cell) table is small
-    return g.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
+    # (tag, cell) order as one integer key; prefix sums over bounded sub-buckets (tags × cells can be large)
+    key = g.withColumn("_k", F.col("tag").cast("long") * F.lit(1 << 32) + F.col("cell"))
+    return global_prefix_sum(key, "_k", "n", "offset").drop("_k")
 
 
 def kmeans_cells(rows: DataFrame, k: int, seed: int = 1, cosine: bool = False, max_iter: int = 20) -> DataFrame:

@@ -256,6 +256,8 @@ def pair_overlap(rows: DataFrame, pairs: DataFrame, key: str = "pid") -> DataFra
 
 # ------------------------------------------------------------------ designed (balanced) signatures
 
+WORD_BUCKET = 1 << 16     # word positions per bucket when locating a bit's cut
+
 def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
     """Word → bit table with every bit set on fewer than half of the rows (when a word allows).
 
@@ -281,9 +283,18 @@ def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
         if offset >= n_words:
             break
         first = pr.where(F.col("wr") >= offset).groupBy("id").agg(F.min("wr").alias("f"))
-        hist = first.groupBy("f").agg(F.count(F.lit(1)).alias("c"))
-        w = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)   # at most one row per word
-        hit = hist.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") >= need).agg(F.min("f")).first()[0]
+        hist = first.groupBy("f").agg(F.count(F.lit(1)).alias("c")).withColumn("fb", (F.col("f") / WORD_BUCKET).cast("long"))
+        # the cut: smallest f whose cumulative row count reaches ceil(N/2) — found from the
+        # per-bucket totals (few rows), then inside that one bucket
+        tots = hist.groupBy("fb").agg(F.sum("c").alias("t")).orderBy("fb").collect()
+        acc, hit = 0, None
+        for r in tots:
+            if acc + r["t"] >= need:
+                w = Window.partitionBy("fb").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+                hit = (hist.where(F.col("fb") == r["fb"]).withColumn("cum", F.lit(acc) + F.sum("c").over(w))
+                           .where(F.col("cum") >= need).agg(F.min("f")).first()[0])
+                break
+            acc += r["t"]
         hi = n_words - 1 if hit is None else max(offset, hit - 1)
         cuts.append((b, offset, hi))
         offset = hi + 1

@@ -187,16 +187,22 @@ def runbook_active(runbook: DataFrame) -> DataFrame:
 
 
 def runbook_validate(runbook: DataFrame, max_pts: int) -> DataFrame:
-    """Violations of the runbook rules (unknown op, missing/out-of-range bounds, step gaps)."""
-    w = Window.orderBy("step")
-    x = runbook.withColumn("prev_step", F.lag("step").over(w))
+    """Violations of the runbook rules: unknown op, missing/out-of-range bounds, a gap before a step
+    (step > 1 whose predecessor is missing) and duplicated steps.  Equi-joins on ``step`` only — no
+    window over the whole runbook, which may have one step per logged event."""
+    steps = runbook.select("step")
+    present = steps.distinct().select((F.col("step") + 1).alias("step"), F.lit(True).alias("_has_prev"))
+    dup = steps.groupBy("step").agg(F.count(F.lit(1)).alias("_n"))
+    x = runbook.join(present, "step", "left").join(dup, "step")
     rng = F.col("op").isin("insert", "delete")
     problem = (F.when(~F.col("op").isin("insert", "delete", "search"), "undefined operation")
                 .when(rng & F.col("start").isNull(), "start not specified")
                 .when(rng & F.col("end").isNull(), "end not specified")
                 .when(rng & ((F.col("start") < 0) | (F.col("start") >= max_pts)), "start out of range")
                 .when(rng & ((F.col("end") < 0) | (F.col("end") > max_pts)), "end out of range")
-                .when(F.coalesce(F.col("prev_step") + 1, F.lit(1)) != F.col("step"), "non-contiguous step"))
+                .when(F.col("step") < 1, "non-contiguous step")
+                .when((F.col("step") > 1) & F.col("_has_prev").isNull(), "non-contiguous step")
+                .when(F.col("_n") > 1, "duplicate step"))
     return x.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("step", "op", "problem")
 
 
