@@ -114,7 +114,9 @@ def ivf_adaptive_probe(spark, sf):
     n = bt.count()
     df = bt.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     qf = fx.filters_tag(q, True)
-    fq = df.join(F.broadcast(qf.select("qid", F.explode_outer("ftags").alias("tag"))), "tag", "right") \
+    qt = qf.select("qid", F.explode_outer("ftags").alias("tag"))
+    from vecspark.operators.knn import query_tag_freq
+    fq = qt.join(F.broadcast(query_tag_freq(df, qt.where(F.col("tag").isNotNull()))), "tag", "left") \
            .groupBy("qid").agg(F.min(F.when(F.col("tag").isNotNull(),
                                             F.coalesce(F.col("n"), F.lit(0)).cast("double") / F.lit(float(n)))).alias("f"))
     npb = F.least(F.lit(N_CELLS), F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), -PROBE_A * F.log10(F.coalesce("f", F.lit(1.0))) + PROBE_B))))

@@ -214,7 +214,8 @@ def selectivity_estimate(spark, sf):
     f = fx.filters_tag(queries, True)
     n = bt.count()
     df = P.postings(bt).groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
-    ex = df.join(F.broadcast(f.select("qid", F.explode("ftags").alias("tag"))), "tag", "right")
+    qt = f.select("qid", F.explode("ftags").alias("tag"))
+    ex = qt.join(F.broadcast(K.query_tag_freq(df, qt)), "tag", "left")
     prod = ex.groupBy("qid").agg(F.sum(F.log(F.coalesce(F.col("df"), F.lit(0)).cast("double") / F.lit(float(n)))).alias("lg"))
     est = f.join(prod, "qid", "left").select(
         "qid", "ftags", "is_and",

@@ -38,15 +38,18 @@ def round_dist(df: DataFrame, col: str = "dist", digits: int = 6) -> DataFrame:
 
 # ------------------------------------------------------------------ filtered k-NN
 
+def query_tag_freq(tag_freq: DataFrame, query_tags: DataFrame) -> DataFrame:
+    """Frequencies of the tags the queries use: the big table is probed with the broadcast (query-sized) tag set."""
+    return tag_freq.join(F.broadcast(query_tags.select("tag").distinct()), "tag")
+
+
 def _prefilter_candidates(base_tagged: DataFrame, postings: DataFrame, qf: DataFrame,
                           tag_freq: DataFrame) -> DataFrame:
     """(qid, id) candidates of tag filters: rarest tag's postings, then full check on the row's tags."""
     # the query's driving tag: the rarest of its tags (ties: smallest tag)
     # the query side is broadcast (bounded by the query block); tag frequencies grow with the vocabulary
-    drive = (tag_freq.join(F.broadcast(qf.where(F.size("ftags") > 0)
-                                        .select("qid", "ftags", "is_and", F.explode("ftags").alias("tag"))),
-                           "tag", "right")
-                     .fillna({"df": 0}))
+    qt = qf.where(F.size("ftags") > 0).select("qid", "ftags", "is_and", F.explode("ftags").alias("tag"))
+    drive = qt.join(F.broadcast(query_tag_freq(tag_freq, qt)), "tag", "left").fillna({"df": 0})
     # AND: one driving tag suffices; OR: every tag drives (union, de-duplicated)
     w = Window.partitionBy("qid").orderBy("df", "tag")
     drive = (drive.withColumn("r", F.row_number().over(w))
@@ -88,7 +91,7 @@ def knn_filtered(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, metr
     # auto: route on the pre-filter's own work — the postings it would read: the rarest
     # tag's frequency for AND (also an upper bound on the cardinality), the sum for OR
     ex = queries_f.where(F.size("ftags") > 0).select("qid", "is_and", F.explode(F.array_distinct("ftags")).alias("tag"))
-    work = (tag_freq.join(F.broadcast(ex), "tag", "right").fillna({"df": 0})
+    work = (ex.join(F.broadcast(query_tag_freq(tag_freq, ex)), "tag", "left").fillna({"df": 0})
               .groupBy("qid", "is_and").agg(F.min("df").alias("mn"), F.sum("df").alias("sm"))
               .select("qid", F.when(F.col("is_and"), F.col("mn")).otherwise(F.col("sm")).alias("work")))
     # one row per query: written once to the checkpoint folder so each route re-reads it, not its plan

@@ -309,7 +309,9 @@ def designed_signature_filter(base_tagged: DataFrame, filters: DataFrame, design
     rs = (postings(base_tagged).join(bits, "tag", "left")
           .groupBy("id").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("sig")))
     rows = base_tagged.select("id", "tags").join(rs, "id")
-    qs = (bits.join(F.broadcast(filters.select("qid", F.explode("ftags").alias("tag"))), "tag", "right")
+    qt = filters.select("qid", F.explode("ftags").alias("tag"))
+    qbits = bits.join(F.broadcast(qt.select("tag").distinct()), "tag")
+    qs = (qt.join(F.broadcast(qbits), "tag", "left")
           .groupBy("qid").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("qsig")))
     q = filters.select("qid", "ftags", "is_and").join(qs, "qid", "left").fillna({"qsig": 0})
     post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
