@@ -214,23 +214,27 @@ _ROUTE_CTE = _wcte(*_ROUTE_SQL, names=("queries", "base", "tag_arr", "workload",
 
 
 def _routed(spark, sf):
-    q, bt, p, c = _cands(spark, sf)
+    """Query filters routed over the workload candidates; the tag bitmap index is built once and shared."""
+    from vecspark.session import cut_lineage
+    q, bt, p = _setup(spark, sf)
+    bms = cut_lineage(P.tag_bitmaps(P.postings(bt)))
+    c = W.candidates(bt, fx.workload(spark, sf), p, bitmaps=bms)
     qf = fx.filters_tag(q, True)
     rt = W.route(qf, c.select("pid", "ftags", "is_and", "card"), p.n)
-    return q, bt, p, c, qf, rt
+    card = P.filter_cardinality(bt, qf.select("ftags", "is_and"), bitmaps=bms, total=p.n)
+    qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    return q, bt, p, c, qf, rt, qcard
 
 
 @register("route_query", _ROUTE_CTE + "SELECT qid, qkey, route, route_card, kind FROM rt")
 def route_query(spark, sf):
-    return _routed(spark, sf)[-1]
+    return _routed(spark, sf)[5]
 
 
 @register("route_strategy", _ROUTE_CTE + f"SELECT rt.qid, qc.card, rt.route, {_STRAT} AS strategy, round({_COST}, 6) AS cost "
           "FROM rt JOIN qc ON qc.qid = rt.qid, n")
 def route_strategy(spark, sf):
-    q, bt, p, c, qf, rt = _routed(spark, sf)
-    card = P.filter_cardinality(bt, qf.select("ftags", "is_and"))
-    qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    q, bt, p, c, qf, rt, qcard = _routed(spark, sf)
     return W.strategy(rt, qcard, p).withColumn("cost", F.round("cost", 6))
 
 
@@ -239,9 +243,7 @@ def route_strategy(spark, sf):
 SELECT strategy, count(*) AS searches, round(avg(CAST(card AS DOUBLE) / n.n), 6) AS avg_selectivity, round(sum(cost), 6) AS est_cost
 FROM st, n GROUP BY strategy, n.n""")
 def route_tally(spark, sf):
-    q, bt, p, c, qf, rt = _routed(spark, sf)
-    card = P.filter_cardinality(bt, qf.select("ftags", "is_and"))
-    qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    q, bt, p, c, qf, rt, qcard = _routed(spark, sf)
     st = W.strategy(rt, qcard, p)
     return st.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("searches"),
@@ -254,9 +256,7 @@ def route_tally(spark, sf):
     "base b JOIN tag_arr t ON t.id = b.id WHERE len(f.ftags) = 0 OR list_has_all(t.tags, f.ftags)"))
 def knn_routed(spark, sf):
     """Every route executed in one job: brute (candidate join), subset (scan of the materialised subset), root."""
-    q, bt, p, c, qf, rt = _routed(spark, sf)
-    card = P.filter_cardinality(bt, qf.select("ftags", "is_and"))
-    qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    q, bt, p, c, qf, rt, qcard = _routed(spark, sf)
     st = W.strategy(rt, qcard, p).checkpoint()          # one row per query
     subsets = routing.materialise(bt, c.select("pid", "ftags", "is_and").checkpoint(), "subsets")
     return _fin(routing.knn_routed(bt, qf, st, subsets, TOPK))

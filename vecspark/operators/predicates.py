@@ -59,14 +59,15 @@ def tag_bitmaps(post: DataFrame) -> DataFrame:
                 .groupBy("tag", "bucket").agg(F.bitmap_construct_agg("pos").alias("bm")))
 
 
-def filter_cardinality(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
+def filter_cardinality(base_tagged: DataFrame, filters: DataFrame, bitmaps: DataFrame | None = None,
+                       total: int | None = None) -> DataFrame:
     """Exact row count of each distinct ``(ftags, is_and)`` filter → ``(ftags, is_and, card)``.
 
     AND/OR are evaluated bucket by bucket with ``bitmap_and_agg`` / ``bitmap_or_agg``
     (the filter side is tiny and broadcast; bitmaps stay where they are).
     """
     f = filters.select("ftags", "is_and").distinct().withColumn("fk", filter_key(F.col("ftags"), F.col("is_and")))
-    bms = tag_bitmaps(postings(base_tagged))
+    bms = tag_bitmaps(postings(base_tagged)) if bitmaps is None else bitmaps
     ex = f.where(F.size("ftags") > 0).select(
         "fk", "is_and", F.size(F.array_distinct("ftags")).alias("nf"),
         F.explode(F.array_distinct("ftags")).alias("tag"))
@@ -82,7 +83,8 @@ def filter_cardinality(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
          .otherwise(F.bitmap_count("bm_or")).alias("c"))
     sized = cnt.groupBy("fk").agg(F.sum("c").cast("long").alias("card"))
     out = f.join(sized, "fk", "left").fillna({"card": 0})
-    total = base_tagged.count()     # one scalar: the root predicate's cardinality
+    if total is None:
+        total = base_tagged.count()     # one scalar: the root predicate's cardinality
     return out.select("ftags", "is_and",
                       F.when(F.size("ftags") == 0, F.lit(total).cast("long")).otherwise(F.col("card")).alias("card"))
 

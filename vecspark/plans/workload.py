@@ -60,10 +60,13 @@ def tally(workload: DataFrame) -> DataFrame:
             .withColumn("pid", P.filter_key(F.col("ftags"), F.col("is_and")))
 
 
-def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params) -> DataFrame:
-    """Tally + exact cardinality; predicates with ``card < cutoff`` are skipped; ``ord`` by (card, pid)."""
+def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params, bitmaps: DataFrame | None = None) -> DataFrame:
+    """Tally + exact cardinality; predicates with ``card < cutoff`` are skipped; ``ord`` by (card, pid).
+
+    ``bitmaps`` (``predicates.tag_bitmaps``) can be passed when the caller reuses the tag index.
+    """
     t = tally(workload)
-    card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"))
+    card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"), bitmaps=bitmaps, total=p.n)
     c = t.join(F.broadcast(card), ["ftags", "is_and"]).where(F.col("card") >= p.cutoff)
     # one row per distinct predicate: written once, reused by lattice, selection and routing
     return cut_lineage(c.withColumn("ord", F.row_number().over(Window.orderBy("card", "pid"))))
