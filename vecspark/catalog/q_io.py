@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecspark.catalog.oracle_fixtures import cte
 from vecspark.catalog.registry import register
-from vecspark.session import shared_dir
+from vecspark.session import posix_dir, shared_dir
 from vecspark.sources import binary as B
 from vecspark.sources import fixtures as fx
 
@@ -53,7 +53,7 @@ def range_scan(spark, sf):
 @register("xbin_roundtrip", cte("vectors") + _SUMMARY_SQL)
 def xbin_roundtrip(spark, sf):
     """Vectors written as per-partition fbin files and read back by byte ranges."""
-    folder = shared_dir(spark, f"xbin-{uuid.uuid4().hex[:12]}").replace("file:", "")
+    folder = posix_dir(spark, f"xbin-{uuid.uuid4().hex[:12]}")
     B.write_xbin(fx.vectors(spark, sf), folder)
     return _summary(B.read_xbin_folder(spark, folder))
 
@@ -62,8 +62,7 @@ def xbin_roundtrip(spark, sf):
 def fvecs_roundtrip(spark, sf):
     """Vectors written as one fvecs file at computed offsets and read back in blocks."""
     import os
-    folder = shared_dir(spark, f"fvecs-{uuid.uuid4().hex[:12]}").replace("file:", "")
-    os.makedirs(folder, exist_ok=True)
+    folder = posix_dir(spark, f"fvecs-{uuid.uuid4().hex[:12]}")
     path = os.path.join(folder, "vectors.fvecs")
     B.write_fvecs(fx.vectors(spark, sf), path)
     return _summary(B.read_fvecs(spark, path, block_rows=128))
@@ -84,8 +83,7 @@ def knn_truth_roundtrip(spark, sf):
     import os
     from vecspark.operators import knn as K
     queries, base = fx.split(fx.vectors(spark, sf))
-    folder = shared_dir(spark, f"truth-{uuid.uuid4().hex[:12]}").replace("file:", "")
-    os.makedirs(folder, exist_ok=True)
+    folder = posix_dir(spark, f"truth-{uuid.uuid4().hex[:12]}")
     path = os.path.join(folder, "truth.ibin")
     qo = _qorder(queries).checkpoint()
     B.write_knn_usbin(K.knn(base, queries, 10), qo, path, 10)
@@ -101,8 +99,7 @@ def range_result_roundtrip(spark, sf):
     import os
     from vecspark.operators import knn as K
     queries, base = fx.split(fx.vectors(spark, sf))
-    folder = shared_dir(spark, f"range-{uuid.uuid4().hex[:12]}").replace("file:", "")
-    os.makedirs(folder, exist_ok=True)
+    folder = posix_dir(spark, f"range-{uuid.uuid4().hex[:12]}")
     path = os.path.join(folder, "range.rbin")
     qo = _qorder(queries).checkpoint()
     B.write_range(K.range_search(base, queries, 1.5), qo, path)
@@ -138,8 +135,7 @@ def spmat_roundtrip(spark, sf):
     dims = ordered_positions(dims, ["h", "dim"], F.floor(F.col("h") / F.lit(float(1 << 44))), "col") \
         .select("dim", (F.col("col") - 1).cast("int").alias("col")).checkpoint()
     n_rows = fx.read(spark, sf, "documents").agg(F.max("doc_id")).first()[0] + 1
-    folder = shared_dir(spark, f"spmat-{uuid.uuid4().hex[:12]}").replace("file:", "")
-    os.makedirs(folder, exist_ok=True)
+    folder = posix_dir(spark, f"spmat-{uuid.uuid4().hex[:12]}")
     path = os.path.join(folder, "docs.csr")
     B.write_spmat(sp.join(dims, "dim").select("id", "col", "w"), path, n_rows, dims)
     back = B.read_spmat(spark, path, block_rows=256)

@@ -48,9 +48,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint location for written intermediate tables."""
+    """A folder under the shared checkpoint location for written intermediate tables (any Spark filesystem)."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), "tables", name)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    return base.rstrip("/") + "/tables/" + name
+
+
+def posix_dir(spark: SparkSession, name: str) -> str:
+    """A shared folder written with plain file I/O (binary vector formats): the checkpoint
+    location must be a mounted POSIX path (``file:`` or no scheme), e.g. NFS on a cluster."""
+    path = shared_dir(spark, name)
+    if "://" in path:
+        raise ValueError(f"binary formats need a POSIX-mounted shared folder, got {path}")
+    os.makedirs(path, exist_ok=True)
+    return path
 
 
 def cut_lineage(df):
@@ -80,7 +92,9 @@ def ship_package(spark: SparkSession) -> None:
 
     import vecspark
     pkg = os.path.dirname(os.path.abspath(vecspark.__file__))
-    folder = shared_dir(spark, "pyfiles").replace("file:", "")
+    folder = shared_dir(spark, "pyfiles")
+    if "://" in folder:        # code only: Spark ships addPyFile content to executors itself
+        folder = tempfile.mkdtemp(prefix="vecspark-pyfiles-")
     os.makedirs(folder, exist_ok=True)
     zpath = os.path.join(folder, f"vecspark-{key}.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
