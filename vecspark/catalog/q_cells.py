@@ -13,6 +13,9 @@ from vecspark.sources import fixtures as fx
 
 NPROBE = 2
 N_CELLS = fx.N_CENTROIDS
+N_PROPS = 4
+CAPS_BUDGET = 50
+K2 = 4
 PROBE_A, PROBE_B = 1.0, 1.0
 
 
@@ -155,14 +158,24 @@ def bucket_layout(spark, sf):
     return pos.join(F.broadcast(first), "cell").select("id", "cell", "props", (F.col("gpos") - F.col("_p0") + 1).alias("pos"))
 
 
-N_PROPS = 4
-CAPS_BUDGET = 50
-K2 = 4
+
+def _caps_sql(n: int) -> str:
+    """The bucket rounds unrolled: round b takes each cell's most frequent tag among unplaced rows."""
+    parts = ["r0 AS (SELECT id, cell FROM asg)"]
+    for b in range(n):
+        parts.append(f"p{b} AS (SELECT cell, tag FROM (SELECT r.cell, t.tag, row_number() OVER (PARTITION BY r.cell "
+                     f"ORDER BY count(*) DESC, t.tag) AS rn FROM r{b} r JOIN tags t ON t.id = r.id GROUP BY r.cell, t.tag) WHERE rn = 1)")
+        parts.append(f"b{b} AS (SELECT r.id, r.cell, {b} AS bucket, p.tag AS prop FROM r{b} r JOIN p{b} p ON p.cell = r.cell "
+                     f"WHERE EXISTS (SELECT 1 FROM tags t WHERE t.id = r.id AND t.tag = p.tag))")
+        parts.append(f"r{b + 1} AS (SELECT * FROM r{b} WHERE id NOT IN (SELECT id FROM b{b}))")
+    body = " UNION ALL ".join([f"SELECT * FROM b{b}" for b in range(n)]
+                              + [f"SELECT id, cell, {n} AS bucket, CAST(NULL AS INTEGER) AS prop FROM r{n}"])
+    return _ccte("tags", extra=parts) + body
 
 
-@register("caps_buckets")
+@register("caps_buckets", _caps_sql(N_PROPS))
 def caps_buckets(spark, sf):
-    """Per-cell property buckets chosen by repeated most-frequent tag (recurrence; no SQL twin)."""
+    """Per-cell property buckets chosen by repeated most-frequent tag (rounds; SQL twin unrolled)."""
     _, b, cents = _setup(spark, sf)
     return C.property_buckets(C.assign(fx.with_tag_array(b), cents), N_PROPS)
 

@@ -180,10 +180,23 @@ def runbook_validate(spark, sf):
     return replay.runbook_validate(_events_runbook(spark, sf), max_pts)
 
 
-@register("compaction_points")
+@register("compaction_points", (cte("runbook") + """
+, s AS (SELECT step, op, delta, CAST(sum(delta) OVER (ORDER BY step) AS BIGINT) AS active, row_number() OVER (ORDER BY step) AS i
+        FROM (SELECT step, op, CAST(CASE WHEN op = 'insert' THEN "end" - "start" WHEN op = 'delete' THEN -("end" - "start") ELSE 0 END AS BIGINT) AS delta FROM runbook)),
+cap AS (SELECT (count(*) * 7) // 10 AS cap FROM embeddings),
+rec AS (SELECT s.i, s.step, s.op, s.active,
+               CAST(CASE WHEN s.op = 'delete' THEN -s.delta ELSE 0 END AS BIGINT) AS pending,
+               (s.op = 'insert' AND s.active >= cap.cap) AS compacted FROM s, cap WHERE s.i = 1
+        UNION ALL
+        SELECT s.i, s.step, s.op, s.active,
+               CAST(CASE WHEN s.op = 'insert' AND s.active + r.pending >= cap.cap THEN 0 ELSE r.pending END
+                    + CASE WHEN s.op = 'delete' THEN -s.delta ELSE 0 END AS BIGINT),
+               (s.op = 'insert' AND s.active + r.pending >= cap.cap)
+        FROM rec r JOIN s ON s.i = r.i + 1, cap)
+SELECT step, op, active, pending, compacted FROM rec""").replace("WITH ", "WITH RECURSIVE ", 1))
 def compaction_points(spark, sf):
-    """Consolidation steps of the events runbook (recurrence: no SQL twin; unit-tested)."""
-    cap = int(fx.read(spark, sf, "embeddings").count() * CAPACITY_SHARE)
+    """Consolidation steps of the runbook: before an insert, live + pending deletes >= capacity (70 % of vectors)."""
+    cap = fx.read(spark, sf, "embeddings").count() * 7 // 10
     return replay.compaction_points(fx.runbook(spark, sf), cap)
 
 
