@@ -140,8 +140,8 @@ def spherical_kmeans_cells(spark, sf):
 
 
 @register("bucket_layout", _ccte("tag_arr", extra=[
-    "ky AS (SELECT a.id, a.cell, list_sum(list_transform(range(0, 4), lambda j: CASE WHEN list_contains(t.tags, CAST(j AS INTEGER)) "
-    "THEN CAST(pow(2, 3 - j) AS BIGINT) ELSE 0 END)) AS props FROM asg a JOIN tag_arr t ON t.id = a.id)"]) + """
+    "ky AS (SELECT a.id, a.cell, CAST(list_sum(list_transform(range(0, 4), lambda j: CASE WHEN list_contains(t.tags, CAST(j AS INTEGER)) "
+    "THEN CAST(pow(2, 3 - j) AS BIGINT) ELSE 0 END)) AS BIGINT) AS props FROM asg a JOIN tag_arr t ON t.id = a.id)"]) + """
 SELECT id, cell, props, row_number() OVER (PARTITION BY cell ORDER BY props, id) AS pos FROM ky""")
 def bucket_layout(spark, sf):
     """Rows of each cell laid out sorted by their property code (tags 0..3 as bits), then id."""

@@ -124,7 +124,7 @@ def runs_export(spark, sf):
 
 @register("parse_logs", cte("runs") + """
 , g AS (SELECT *, algorithm || '_' || dataset || '_' || CAST(run_id % 4 AS VARCHAR) AS grp FROM runs),
-h AS (SELECT grp, sum(indexsize) AS size, sum(build) AS build FROM g GROUP BY grp)
+h AS (SELECT grp, CAST(sum(indexsize) AS BIGINT) AS size, sum(build) AS build FROM g GROUP BY grp)
 SELECT g.grp, g.algorithm AS indexkey, h.size AS index_size, round(h.build, 3) AS add_time,
        g.parameters || '-' || CAST(g.run_id AS VARCHAR) AS parameters, round(g.mean_latency * 1000.0, 4) AS time_ms,
        round(g.recall, 4) AS r1, round(g.recall, 4) AS r10, round(g.recall, 4) AS r100 FROM g JOIN h ON h.grp = g.grp""")

@@ -142,7 +142,7 @@ def replace_deleted(spark, sf):
 
 
 @register("runbook_active", cte("runbook") + """
-SELECT step, op, delta, sum(delta) OVER w AS active, max(a) OVER w AS max_pts FROM (
+SELECT step, op, delta, CAST(sum(delta) OVER w AS BIGINT) AS active, CAST(max(a) OVER w AS BIGINT) AS max_pts FROM (
   SELECT *, sum(delta) OVER w AS a FROM (SELECT step, op, CAST(CASE WHEN op = 'insert' THEN "end" - "start" WHEN op = 'delete' THEN -("end" - "start") ELSE 0 END AS BIGINT) AS delta FROM runbook)
   WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
