@@ -95,7 +95,7 @@ def knn_filtered(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, metr
               .groupBy("qid", "is_and").agg(F.min("df").alias("mn"), F.sum("df").alias("sm"))
               .select("qid", F.when(F.col("is_and"), F.col("mn")).otherwise(F.col("sm")).alias("work")))
     # one row per query: written once to the checkpoint folder so each route re-reads it, not its plan
-    routed = queries_f.join(work, "qid", "left").checkpoint()
+    routed = queries_f.join(work, "qid", "left").coalesce(1).checkpoint()
     small = routed.where(F.col("work").isNotNull() & (F.col("work") <= cutoff)).drop("work")
     large = routed.where(F.col("work").isNull() | (F.col("work") > cutoff)).drop("work")
     parts = []
