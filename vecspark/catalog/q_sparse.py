@@ -73,6 +73,7 @@ def sparse_two_stage(spark, sf):
     from vecspark.session import cut_lineage
     d, q = _sp(spark, sf)
     d = cut_lineage(d)          # used by both stages
+    q = cut_lineage(q)          # query terms: small, counted by the size-checked broadcasts
     return _round(S.two_stage(d, q, TOPK, DOC_T, QUERY_T, CAND_R))
 
 
