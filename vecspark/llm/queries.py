@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, quality
+from vecspark.llm import common, decontam, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,37 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "p_good")
 
 
+@query
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ten-word benchmark phrases in every document, from the positional inverted index."""
+    found = decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op5_positional_index"] = r"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bw WHERE len(w) > 0),
+bwin AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS win FROM bi),
+lens AS (SELECT DISTINCT n FROM bwin),
+di AS (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM dw, lens WHERE len(w) >= n),
+dwin AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM di),
+hit AS (SELECT DISTINCT d.rid, d.s, d.n, b.item_id FROM dwin d JOIN bwin b ON d.win = b.win AND d.n = b.n),
+cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
