@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, quality
+from vecspark.llm import common, decontam, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +62,19 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on this machine (the same on every executor)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in Re-Pair shards; per document what the written files hold."""
+    shards = repair.write_shards(common.table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return repair.read_documents(shards)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

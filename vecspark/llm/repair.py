@@ -42,7 +42,9 @@ MAX_RULES = 1 << 14
 MIN_COUNT = 32                # a pair must occur this often in the shard's current sequence
 PASSES = 12
 PER_PASS = 2048               # pairs replaced in one pass at most
-CACHE_WORDS = 400_000         # words a worker remembers between batches
+MIN_GAIN = 0.005              # a pass that shortens the sequence by less is the last
+SLOT_BITS = 17                # slots of the hashed pair count
+CACHE_WORDS = 1_000_000       # words a worker remembers between batches
 NULL_ID = -(1 << 63)
 BLOBS = ("rules", "lengths", "symbols", "doc_id", "doc_ids", "doc_symbols")
 SHARD = "part int, seq int, n_ids long, n_base int, " + ", ".join(f"{b} binary" for b in BLOBS)
@@ -50,6 +52,14 @@ SHARD = "part int, seq int, n_ids long, n_base int, " + ", ".join(f"{b} binary"
 
 # ---- tokenizer ---------------------------------------------------------------------------------
 
+class Numbers(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library, with each distinct word encoded once.
 
@@ -66,7 +76,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbers()
         self._flat = np.zeros(1 << 16, np.uint16)
         self._used = 0
         self._off = np.zeros(1 << 16, np.int64)
@@ -120,7 +130,7 @@ class Encoder:
         numbers, counts = [], []
         for t in texts:
             ws = t.replace("\n", " ").split(" ") if t else []
-            numbers.extend([words.setdefault(w, len(words)) for w in ws])
+            numbers.extend(map(words.__getitem__, ws))
             counts.append(len(ws))
         if len(words) > known:
             import itertools
@@ -161,10 +171,13 @@ def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_
 
     Each pass counts all neighbouring pairs, takes the most frequent ones in order of count (ties: smaller pair)
     and replaces their occurrences from left to right.  Where two chosen pairs would share a symbol, the left
-    occurrence wins, as in a single sweep; the loser is counted again in the next pass.
+    occurrence wins, as in a single sweep; the loser is counted again in the next pass.  It ends when no pair is
+    frequent, the rules are used up, or a pass hardly shortens the sequence any more.
     """
     seq = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(lens)), lens)
+    last = np.zeros(len(ids), bool)                      # the last symbol of its document pairs with nothing
+    ends = np.cumsum(lens)
+    last[ends[lens > 0] - 1] = True
     rules: list[np.ndarray] = []
     length = np.ones(N_BASE + max_rules, np.int32)
     n_rules = 0
@@ -172,54 +185,68 @@ def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_
         room = min(PER_PASS, max_rules - n_rules)
         if room <= 0 or len(seq) < 2:
             break
-        pair = (seq[:-1] << 20) | seq[1:]
-        inside = doc[:-1] == doc[1:]
         # few of the possible pairs are frequent: a hashed count finds the places worth an exact count
-        slot = ((pair * -7046029254386353131) >> 43) & 0x1FFFFF
-        rough = np.bincount(slot[inside], minlength=1 << 21)
-        at = np.flatnonzero((rough >= min_count)[slot] & inside)
-        s = np.sort(pair[at])
+        inner = np.flatnonzero(~last[:-1])
+        pair = (seq[inner] << 20) | seq[inner + 1]
+        slot = (pair * -7046029254386353131).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        slot = slot.view(np.int64)
+        often = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= min_count)
+        at, pair, slot = inner[often], pair[often], slot[often]
+        s = np.sort(pair)
         edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate((edge, [len(s)])))
         often = np.flatnonzero(count >= min_count)
         if not len(often):
             break
         best = often[np.lexsort((s[edge[often]], -count[often]))[:room]]
-        # pairs that are much rarer than the leader wait: they would mostly lose their symbols to it
-        best = best[count[best] * 16 >= count[best[0]]]
-        chosen = np.sort(s[edge[best]])
-        k = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[k] == pair[at]
+        chosen = s[edge[best]]
+        # each slot serves its most frequent chosen pair; others that share the slot wait for the next pass
+        where = (chosen * -7046029254386353131).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        server = np.zeros(1 << SLOT_BITS, np.int64)
+        server[where[::-1].view(np.int64)] = np.arange(len(chosen))[::-1]
+        k = server[slot]
+        hit = chosen[k] == pair
         at, k = at[hit], k[hit]
         # of a run of overlapping occurrences, take the 1st, 3rd, 5th ...
         run = np.concatenate(([True], np.diff(at) != 1))
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - first) % 2 == 0
         at, k = at[take], k[take]
-        used, number = np.unique(k, return_inverse=True)
+        uses = np.bincount(k, minlength=len(chosen))
+        number = np.cumsum(uses > 0) - 1
+        used = np.flatnonzero(uses)
         pairs = np.stack([chosen[used] >> 20, chosen[used] & 0xFFFFF], axis=1)
         length[N_BASE + n_rules:N_BASE + n_rules + len(used)] = length[pairs].sum(axis=1)
-        seq[at] = N_BASE + n_rules + number
+        seq[at] = N_BASE + n_rules + number[k]
+        last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, doc = seq[keep], doc[keep]
+        before = len(seq)
+        seq, last = seq[keep], last[keep]
         rules.append(pairs)
         n_rules += len(used)
+        if len(at) < MIN_GAIN * before:
+            break
     table = np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32)
-    return seq.astype(np.int32), np.bincount(doc, minlength=len(lens)), table, length[N_BASE:N_BASE + n_rules]
+    per_doc = np.zeros(len(lens), np.int64)
+    per_doc[lens > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
+    return seq.astype(np.int32), per_doc, table, length[N_BASE:N_BASE + n_rules]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_base: int = N_BASE) -> np.ndarray:
-    """Ids of a run of symbols: every rule's expansion is laid out once, then gathered."""
-    symbols = symbols.astype(np.int64)
-    while len(symbols) and (top := symbols >= n_base).any():
+    """Ids of a run of symbols: all rules are laid out once, then every symbol's ids are gathered."""
+    flat = np.arange(n_base, n_base + len(rules), dtype=np.int64)
+    while len(flat) and (top := flat >= n_base).any():
         n = np.where(top, 2, 1)
-        out = symbols[np.repeat(np.arange(len(symbols)), n)]
+        out = flat[np.repeat(np.arange(len(flat)), n)]
         at = np.cumsum(n) - n
-        r = rules[symbols[top] - n_base]
+        r = rules[flat[top] - n_base]
         out[at[top]], out[at[top] + 1] = r[:, 0], r[:, 1]
-        symbols = out
-    return symbols.astype(np.uint32)
+        flat = out
+    flat = np.concatenate((np.arange(n_base, dtype=np.uint32), flat.astype(np.uint32)))
+    size = np.concatenate((np.ones(n_base, np.int64), lengths.astype(np.int64)))
+    start = np.cumsum(size) - size
+    return flat[_spans(start[symbols], size[symbols])]
 
 
 def decode_range(shard: dict, start: int, stop: int) -> np.ndarray:
