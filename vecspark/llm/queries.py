@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, quality, repair
+from vecspark.llm import common, decontam, neardup, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,6 +75,12 @@ def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(shards)
 
 
+@query
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (five-word TF-IDF shingles, similarity 0.8)."""
+    return neardup.classes(common.table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
