@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, neardup, quality, repair
+from vecspark.llm import common, decontam, lines, mixing, neardup, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +81,71 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(common.table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+#: production parameters of the mix: as many tokens as there are, no source more than 1.25 times
+MIX = {"budget_ratio": 1.0, "max_repeats": 1.25}
+
+
+@query
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus mixed by source: one row a draw, with its block and place."""
+    return mixing.draws(common.table(spark, sf_dir, "documents"), **MIX)
+
+
+ORACLE["op2_temperature_mix"] = r"""
+WITH RECURSIVE u AS (SELECT coalesce(source, '') AS source, doc_id,
+        CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens
+    FROM documents GROUP BY 1, 2),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM u GROUP BY 1 HAVING sum(n_tokens) > 0),
+t AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, min(tokens) AS least FROM s),
+bis(step, lo, hi) AS (
+    SELECT 0, CAST(-1 AS BIGINT), CAST(268435456 AS BIGINT)
+    UNION ALL
+    SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+    FROM (SELECT step, lo, hi, mid,
+                 pow(least / CAST(total AS DOUBLE), mid / 268435456.0::DOUBLE - 1)
+                 / (SELECT sum(pow(tokens / CAST(total AS DOUBLE), mid / 268435456.0::DOUBLE)) FROM s) <= 1.25 AS ok
+          FROM (SELECT step, lo, hi, (lo + hi) // 2 AS mid FROM bis WHERE hi - lo > 1), t)),
+a AS (SELECT hi / 268435456.0::DOUBLE AS alpha FROM bis ORDER BY step DESC LIMIT 1),
+q AS (SELECT source, tokens, quota FROM (
+        SELECT source, tokens, CAST(floor(pow(tokens / CAST(total AS DOUBLE), alpha)
+               / (SELECT sum(pow(tokens / CAST(total AS DOUBLE), alpha)) FROM s) * CAST(total AS DOUBLE)) AS BIGINT) AS quota
+        FROM s, t, a) WHERE quota > 0),
+e AS (SELECT *, md5('2|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+      FROM (SELECT u.*, tokens, quota, CAST(unnest(range(0, (quota - 1) // tokens + 1)) AS INTEGER) AS epoch
+            FROM u JOIN q USING (source))),
+b AS (SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+c AS (SELECT b.*, CAST(floor(CAST(before AS DOUBLE) / quota * greatest(1, CAST(ceil(total / 1048576.0) AS BIGINT))) AS BIGINT) AS block
+      FROM b, t WHERE before < quota)
+SELECT doc_id, source, epoch, n_tokens, block,
+       CAST(row_number() OVER (PARTITION BY block ORDER BY key, source, doc_id, epoch) AS INTEGER) AS place FROM c
+"""
+
+
+@query
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that its host repeats on more than three tenths of its pages."""
+    done = lines.drop_boilerplate(common.table(spark, sf_dir, "pages"), max_ratio=0.3, min_pages=3)
+    return done.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+ORACLE["op8_site_lines"] = r"""
+WITH l AS (SELECT row_number() OVER () AS rid, page_id,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(html, ''),
+        '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'),
+        '[\n\r]'), lambda x : trim(x, ' ' || chr(9) || chr(11) || chr(12))), lambda x : x <> '') AS lines FROM pages),
+n AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
+h AS (SELECT host, line, count(*) AS k FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY 1, 2),
+d AS (SELECT host, list(line) AS dropped FROM h JOIN n USING (host) WHERE k >= 3 AND k > 0.3 * pages GROUP BY host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
+       sha256(array_to_string(kept, chr(10))) AS text_sha256
+FROM (SELECT page_id, host, lines, CASE WHEN dropped IS NULL THEN lines
+             ELSE list_filter(lines, lambda x : NOT list_contains(dropped, x)) END AS kept
+      FROM l LEFT JOIN d USING (host))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
