@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, lines, mixing, neardup, quality, repair
+from vecspark.llm import common, decontam, lines, mixing, neardup, quality, repair, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,6 +122,30 @@ SELECT doc_id, source, epoch, n_tokens, block,
 """
 
 
+@query
+def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of twenty-word sequences that start earlier in the corpus."""
+    done = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), window=20)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op7_doubling"] = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+k AS (SELECT rid, s, array_to_string(w[s:s + 19], ' ') AS win FROM s),
+late AS (SELECT rid, s FROM (SELECT rid, s, row_number() OVER (PARTITION BY win ORDER BY rid, s) AS nth FROM k) WHERE nth > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 20)) AS p FROM late),
+cut AS (SELECT rid, count(*) AS n, list(p) AS ps FROM gone GROUP BY rid),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 @query
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page without the lines that its host repeats on more than three tenths of its pages."""
