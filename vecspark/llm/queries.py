@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, lines, mixing, neardup, quality, repair, substrings
+from vecspark.llm import common, decontam, lattice, lines, mixing, neardup, quality, repair, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on this machine (the same on every executor)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 @query
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-supervision quality verdict of every document."""
@@ -62,12 +68,6 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Place of a public tokenizer's file on this machine (the same on every executor)."""
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 @query
 def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as token ids in Re-Pair shards; per document what the written files hold."""
@@ -85,6 +85,12 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX = {"budget_ratio": 1.0, "max_repeats": 1.25}
 
 
+@query
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 marginal probability of every text over all segmentations of its words, with the add-one baseline."""
+    return lattice.score(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), mod=7)
+
+
 @query
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus mixed by source: one row a draw, with its block and place."""
