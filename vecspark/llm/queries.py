@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, lattice, lines, mixing, neardup, quality, repair, substrings
+from vecspark.llm import common, decontam, langid, lattice, lines, mixing, neardup, quality, repair, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+@query
+def op3_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by its nearest centroid, learned from the training documents' languages."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, mod=4))
+    return found.select("doc_id", common.held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file on this machine (the same on every executor)."""
     import public_tokenizers
@@ -176,6 +184,15 @@ FROM (SELECT page_id, host, lines, CASE WHEN dropped IS NULL THEN lines
 """
 
 
+@query
+def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a factorization machine over hashed terms."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(docs, toxicity.train(docs, labels, mod=4))
+    return found.select("doc_id", common.held_out("doc_id", 4).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
