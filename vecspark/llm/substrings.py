@@ -77,7 +77,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _windows(h: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start of every window inside one document, least half-sequence hash of each, half hashes of the block)."""
-    half = window // 2
+    half = (window + 1) // 2
     if len(h) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     halves = _sequence_hash(h, half)
@@ -224,7 +224,7 @@ def later_places(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame
                 if not len(known):
                     continue
                 start = start[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-                a, b = half[start], half[start + window - window // 2]
+                a, b = half[start], half[start + window // 2]
                 h = _join(a, b, window)
                 g = (_join(b, a, window + 1) >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((start, g, h))
