@@ -202,7 +202,7 @@ def word_marginals(pieces: Pieces, log_p: np.ndarray, words: list[bytes], weight
                    counts: np.ndarray | None = None) -> np.ndarray:
     """Natural log of every word's marginal probability; with ``counts``, adds expected piece counts to it."""
     # a mark inside a word is no word start: it gets a private sign, which only byte pieces spell
-    texts = [START + w.decode().replace(START, "") for w in words]
+    texts = [START + w.decode().replace(START, "\ue000") for w in words]
     size = np.array([len(t) for t in texts], np.int64)
     out = np.zeros(len(words))
     with np.errstate(over="ignore"):

@@ -33,6 +33,7 @@ MIN_DOCS = 4
 TERMS = 500
 PREFIXES = (4, 6)              # first letters that are terms of their own
 EPOCHS = 12
+STEPS = 300                    # steps at least, however few texts
 BATCH = 256
 STEP = 0.02
 SHRINK = 3e-4
@@ -131,9 +132,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int
     bias = empty.bias
     m, s, mb, sb, t = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
     weight = weight / weight.mean()
-    for epoch in range(EPOCHS):
-        step = STEP * (1 - epoch / EPOCHS)
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    batches = max(1, len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    for epoch in range(epochs):
+        step = STEP * (1 - epoch / epochs)
+        for part in np.array_split(rng.permutation(len(rows)), batches):
             flat = np.concatenate([rows[i] for i in part])
             doc = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
             x = theta[flat]
@@ -167,8 +170,9 @@ def sampled_labels(labels: DataFrame, mod: int, per_class: int = PER_CLASS) -> D
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = {y: min(1.0, per_class / n[y]) for y in n}
-    part = F.when(F.col("y") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))
-    return known.filter(place < part).withColumn("weight", F.lit(1.0) / part)
+    part = [rate.get(y, 1.0) for y in (0, 1)]
+    return (known.filter(place < F.when(F.col("y") == 1, part[1]).otherwise(part[0]))
+            .withColumn("weight", F.when(F.col("y") == 1, 1 / part[1]).otherwise(1 / part[0])))
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, per_class: int = PER_CLASS) -> Machine:
