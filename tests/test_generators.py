@@ -24,7 +24,7 @@ def test_generated_runbook_is_valid(spark):
 
 def test_two_level_subcells(spark):
     got = catalog.queries()["two_level_cells"](spark, SF_SMALL).toPandas()
-    assert len(got) == fx.vectors(spark, SF_SMALL).count() - 20
+    assert len(got) == fx.vectors(spark, SF_SMALL).count()
     assert got.subcell.between(0, 3).all()
 
 

@@ -72,7 +72,7 @@ class WorkloadSearcher(Searcher):
             return super().filtered_query(queries, k, strategy, cutoff or self.params.cutoff)
         from vecspark.operators import predicates as P
         card = P.filter_cardinality(self.base, queries.select("ftags", "is_and"))
-        qcard = queries.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+        qcard = queries.join(card, ["ftags", "is_and"]).select("qid", "card")
         rt = W.route(queries, self.selected, self.params.n)
         st = W.strategy(rt, qcard, self.params).checkpoint()
         return routing.knn_routed(self.base, queries, st, self.subsets, k, self.metric)

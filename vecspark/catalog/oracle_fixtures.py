@@ -17,6 +17,7 @@ _DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "base": (("vectors",), "SELECT * FROM vectors WHERE id % 25 <> 0"),
     "squeries": (("vectors_scaled",), "SELECT id AS qid, v AS qv, label FROM vectors_scaled WHERE id % 25 = 0"),
     "sbase": (("vectors_scaled",), "SELECT * FROM vectors_scaled WHERE id % 25 <> 0"),
+    "cents": (("vectors",), "SELECT id AS cid, v AS c FROM vectors WHERE id % (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) FROM vectors) = 0"),
     "tags": (("vectors",), "SELECT id, CAST(j AS INTEGER) AS tag FROM vectors, range(20) r(j) "
                            "WHERE (id * (2 * j + 5) + 7 * j) % (j + 3) = 0 "
                            "UNION ALL SELECT id, CAST(100 + label AS INTEGER) AS tag FROM vectors"),
@@ -31,9 +32,9 @@ _DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "filters_range": (("queries",),
                       "SELECT qid, CAST((qid // 25) % 7 AS DOUBLE) / 10.0 AS lo0, CAST((qid // 25) % 7 AS DOUBLE) / 10.0 + 0.4 AS hi0, "
                       "CAST((qid // 25) % 5 AS DOUBLE) / 10.0 AS lo1, CAST((qid // 25) % 5 AS DOUBLE) / 10.0 + 0.5 AS hi1 FROM queries"),
-    "workload": ((), "SELECT seq, CASE WHEN t % 3 = 0 THEN [CAST(t % 5 AS INTEGER)] "
-                     "ELSE [CAST(t % 5 AS INTEGER), CAST(5 + t % 4 AS INTEGER)] END AS ftags "
-                     "FROM (SELECT event_id AS seq, (1000 // (event_id % 1000 + 1)) % 17 AS t FROM events)"),
+    "workload": ((), "SELECT seq, CASE WHEN t % 3 = 0 THEN [CAST(t % 11 AS INTEGER)] "
+                     "ELSE [CAST(t % 11 AS INTEGER), CAST(11 + t % 9 AS INTEGER)] END AS ftags "
+                     "FROM (SELECT event_id AS seq, (1000 // (event_id % 1000 + 1) + 7 * (event_id // 5000)) % 61 AS t FROM events)"),
     "sparse_docs": ((), "SELECT doc_id AS id, dim, CAST(count(*) AS DOUBLE) AS w "
                         "FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS dim FROM documents) "
                         "GROUP BY doc_id, dim"),

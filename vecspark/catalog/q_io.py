@@ -88,7 +88,7 @@ def knn_truth_roundtrip(spark, sf):
     qo = _qorder(queries).checkpoint()
     B.write_knn_usbin(K.knn(base, queries, 10), qo, path, 10)
     back = B.read_knn_usbin(spark, path, block_queries=8)
-    return back.join(F.broadcast(qo), "qpos").select("qid", "rk", "id")
+    return back.join(qo, "qpos").select("qid", "rk", "id")
 
 
 @register("range_result_roundtrip", cte("queries", "base") +
@@ -104,7 +104,7 @@ def range_result_roundtrip(spark, sf):
     qo = _qorder(queries).checkpoint()
     B.write_range(K.range_search(base, queries, 1.5), qo, path)
     back = B.read_range(spark, path, block_queries=8)
-    return back.join(F.broadcast(qo), "qpos").select("qid", "id")
+    return back.join(qo, "qpos").select("qid", "id")
 
 
 @register("sorted_normal_attrs", cte("vectors") + """

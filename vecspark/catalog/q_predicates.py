@@ -37,7 +37,7 @@ def _base_tags_sql() -> str:
 def filter_single(spark, sf):
     q, bt = _base_q(spark, sf)
     f = fx.filters_single(q).select("qid", F.explode("ftags").alias("tag"))
-    return P.postings(bt).join(F.broadcast(f), "tag").select("qid", "id")
+    return P.postings(bt).join(f, "tag").select("qid", "id")
 
 
 def _filter_sql(cond: str) -> str:
@@ -73,7 +73,7 @@ def tag_intersect(spark, sf):
     f = fx.filters_tag(queries, True).where(F.size("ftags") == 2).select(
         "qid", F.col("ftags")[0].alias("t1"), F.col("ftags")[1].alias("t2"))
     post = P.postings(bt)
-    a = post.join(F.broadcast(f), post.tag == f.t1).select("qid", "id", "t2")
+    a = post.join(f, post.tag == f.t1).select("qid", "id", "t2")
     return a.join(post, (a.id == post.id) & (a.t2 == post.tag), "left_semi").select("qid", "id")
 
 
@@ -88,12 +88,12 @@ def _range_rows(base_attrs: DataFrame, fr: DataFrame, is_and: bool) -> DataFrame
                              F.floor(F.col("a0") * RANGE_BUCKETS).cast("int").alias("b0"),
                              F.floor(F.col("a1") * RANGE_BUCKETS).cast("int").alias("b1"))
     f0 = fr.select("qid", "lo0", "hi0", "lo1", "hi1", F.explode(cover("lo0", "hi0")).alias("b0"))
-    c0 = rows.join(F.broadcast(f0), "b0")
+    c0 = rows.join(f0, "b0")
     m = P.range_match(F.col("a0"), F.col("a1"), F.col("lo0"), F.col("hi0"), F.col("lo1"), F.col("hi1"), is_and)
     if is_and:
         return c0.where(m).select("qid", "id")
     f1 = fr.select("qid", "lo0", "hi0", "lo1", "hi1", F.explode(cover("lo1", "hi1")).alias("b1"))
-    c1 = rows.join(F.broadcast(f1), "b1")
+    c1 = rows.join(f1, "b1")
     return c0.where(m).select("qid", "id").unionByName(c1.where(m).select("qid", "id")).distinct()
 
 
@@ -136,7 +136,7 @@ def filter_words(spark, sf):
     w = Window.partitionBy("qid").orderBy(F.coalesce(F.col("n"), F.lit(0)), "w")
     req = qw.join(dfw, "w", "left").withColumn("r", F.row_number().over(w)).where("r <= 2")
     req = req.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("qid"))).select("qid", "w", "k")
-    hits = docs.join(F.broadcast(req), "w").groupBy("qid", "doc_id", "k").agg(F.count(F.lit(1)).alias("c"))
+    hits = docs.join(req, "w").groupBy("qid", "doc_id", "k").agg(F.count(F.lit(1)).alias("c"))
     return hits.where(F.col("c") == F.col("k")).select("qid", "doc_id")
 
 
@@ -180,7 +180,7 @@ def filter_attr_wildcard(spark, sf):
     qa = qa.withColumn("p", first)
     fixed = qa.where(F.col("p").isNotNull())
     ra_ex = ra.select("id", "ra", F.posexplode("ra").alias("p", "code"))
-    c1 = ra_ex.join(F.broadcast(fixed), (ra_ex.p == fixed.p) & (ra_ex.code == F.element_at(fixed.qa, fixed.p + 1)))
+    c1 = ra_ex.join(fixed, (ra_ex.p == fixed.p) & (ra_ex.code == F.element_at(fixed.qa, fixed.p + 1)))
     c1 = c1.where(ok).select("qid", "id")
     c2 = P.match_all(ra.select("id"), qa.where(F.col("p").isNull()).select("qid"))
     return c1.unionByName(c2)
@@ -195,7 +195,7 @@ def predicate_cardinality(spark, sf):
     queries, bt = _base_q(spark, sf)
     f = fx.filters_tag(queries, True)
     card = P.filter_cardinality(bt, f.select("ftags", "is_and"))
-    return f.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    return f.join(card, ["ftags", "is_and"]).select("qid", "card")
 
 
 @register("selectivity_estimate", cte("queries", "base", "tags", "tag_arr", "filters_tag", extra=_base_tags_sql()) + """
@@ -215,13 +215,13 @@ def selectivity_estimate(spark, sf):
     n = bt.count()
     df = P.postings(bt).groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     qt = f.select("qid", F.explode("ftags").alias("tag"))
-    ex = qt.join(F.broadcast(K.query_tag_freq(df, qt)), "tag", "left")
+    ex = qt.join(K.query_tag_freq(df, qt), "tag", "left")
     prod = ex.groupBy("qid").agg(F.sum(F.log(F.coalesce(F.col("df"), F.lit(0)).cast("double") / F.lit(float(n)))).alias("lg"))
     est = f.join(prod, "qid", "left").select(
         "qid", "ftags", "is_and",
         F.when(F.size("ftags") == 0, F.lit(float(n))).otherwise(F.lit(float(n)) * F.exp("lg")).alias("est"))
     card = P.filter_cardinality(bt, f.select("ftags", "is_and"))
-    out = est.join(F.broadcast(card), ["ftags", "is_and"])
+    out = est.join(card, ["ftags", "is_and"])
     return out.select("qid", F.round("est", 6).alias("est"), "card",
                       F.when(F.col("est") <= 30, "prefilter").otherwise("scan").alias("route"))
 

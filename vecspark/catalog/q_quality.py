@@ -171,7 +171,7 @@ def _filtered_per_query(spark, sf):
     run = K.knn_postfilter(bt, qf, TOPK, POST_M)
     hits = Q.per_query_hits(truth, run, TOPK)
     card = P.filter_cardinality(bt, qf.select("ftags", "is_and"))
-    per = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card") \
+    per = qf.join(card, ["ftags", "is_and"]).select("qid", "card") \
             .join(hits, "qid", "left").fillna({"hits": 0})
     return per.withColumn("recall", F.col("hits") / TOPK)
 

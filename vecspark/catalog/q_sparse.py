@@ -22,10 +22,9 @@ def _rank_sql(score_sql: str, k: int = TOPK) -> str:
             f"ORDER BY score DESC, id) AS INTEGER) AS rk FROM ({score_sql}) WHERE score > 0) WHERE rk <= {k}")
 
 
-def _sp(spark, sf, restrict: bool = False):
-    """(docs, queries); ``restrict`` counts only document terms that occur in some query."""
-    q = fx.sparse_queries(spark, sf)
-    return fx.sparse_docs(spark, sf, vocab=q if restrict else None), q
+def _sp(spark, sf):
+    """(documents in row form, queries in long form)."""
+    return fx.sparse_rows(spark, sf), fx.sparse_queries(spark, sf)
 
 
 def _round(df):
@@ -35,17 +34,16 @@ def _round(df):
 @register("sparse_mips", cte("sparse_docs", "sparse_queries") + _rank_sql(
     "SELECT q.qid, d.id, sum(q.w * d.w) AS score FROM sparse_queries q JOIN sparse_docs d ON d.dim = q.dim GROUP BY q.qid, d.id"))
 def sparse_mips(spark, sf):
-    d, q = _sp(spark, sf, restrict=True)
+    d, q = _sp(spark, sf)
     return _round(S.mips(d, q, TOPK))
 
 
 @register("sparse_saturated", cte("sparse_docs", "sparse_queries") + _rank_sql(
     f"SELECT q.qid, d.id, round(sum(q.w * (d.w / (d.w + {K1}))), 9) AS score FROM sparse_queries q JOIN sparse_docs d ON d.dim = q.dim GROUP BY q.qid, d.id"))
 def sparse_saturated(spark, sf):
-    d, q = _sp(spark, sf, restrict=True)
+    d, q = _sp(spark, sf)
     # fractional sums depend on summation order: rank on the score rounded to 1e-9
-    s = S.scores(d, q, weight=S.saturated(K1)).withColumn("score", F.round("score", 9))
-    return _round(S.rank_by_score(s, TOPK).select("qid", "rk", "id", "score"))
+    return _round(S.mips(d, q, TOPK, weight=S.saturated(K1), digits=9))
 
 
 @register("sparse_prune_mass", cte("sparse_docs") + f"""
@@ -70,10 +68,7 @@ cand AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDE
 """ + _rank_sql("SELECT c.qid, c.id, sum(q.w * d.w) AS score FROM cand c JOIN sparse_docs d ON d.id = c.id "
                 "JOIN sparse_queries q ON q.qid = c.qid AND q.dim = d.dim GROUP BY c.qid, c.id"))
 def sparse_two_stage(spark, sf):
-    from vecspark.session import cut_lineage
     d, q = _sp(spark, sf)
-    d = cut_lineage(d)          # used by both stages
-    q = cut_lineage(q)          # query terms: small, counted by the size-checked broadcasts
     return _round(S.two_stage(d, q, TOPK, DOC_T, QUERY_T, CAND_R))
 
 

@@ -129,16 +129,17 @@ def upsert_latest(spark, sf):
 
 
 @register("replace_deleted", cte("op_log") + """
-, tomb AS (SELECT id FROM (SELECT id, op, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM op_log WHERE op IN ('insert', 'delete')) WHERE r = 1 AND op = 'delete'),
-fi AS (SELECT id, min(seq) AS seq FROM op_log WHERE op = 'insert' GROUP BY id),
-nw AS (SELECT id, seq, row_number() OVER (ORDER BY seq) AS k FROM fi WHERE id NOT IN (SELECT id FROM tomb)),
-fr AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM tomb),
-cap AS (SELECT count(*) AS cap FROM embeddings)
-SELECT nw.seq, nw.id, nw.k, coalesce(fr.id, cap.cap + nw.k - (SELECT count(*) FROM fr) - 1) AS slot
-FROM nw LEFT JOIN fr ON fr.k = nw.k, cap""")
+, ev AS (SELECT seq, id, op, lag(op) OVER (PARTITION BY id ORDER BY seq) AS prev FROM op_log WHERE op IN ('insert', 'delete')),
+e AS (SELECT seq, id, CASE WHEN op = 'insert' AND prev IS DISTINCT FROM 'insert' THEN 1 WHEN op = 'delete' AND prev = 'insert' THEN -1 END AS d FROM ev),
+r AS (SELECT *, sum(d) OVER w AS run, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER w AS take, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER w AS frees
+      FROM e WHERE d IS NOT NULL WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, greatest(0, max(run) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS app,
+             greatest(0, coalesce(max(run) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS app0 FROM r)
+SELECT a.seq, a.id, CAST(a.take AS BIGINT) AS take, f.seq AS freed_seq, f.id AS freed_id,
+       CAST(CASE WHEN a.run > a.app0 THEN a.app - 1 END AS BIGINT) AS new_slot
+FROM t a LEFT JOIN t f ON f.d = -1 AND f.frees = a.take - a.app AND NOT a.run > a.app0 WHERE a.d = 1""")
 def replace_deleted(spark, sf):
-    cap = fx.read(spark, sf, "embeddings").count()
-    return replay.replace_deleted(fx.op_log(spark, sf), cap)
+    return replay.replace_deleted(fx.op_log(spark, sf))
 
 
 @register("runbook_active", cte("runbook") + """
@@ -232,7 +233,7 @@ def runbook_generate(spark, sf):
     from vecspark.sources import generators as G
     from vecspark.operators.ranking import per_group_offsets
     vec = fx.vectors(spark, sf)
-    cents = vec.where(F.col("id") < fx.N_CENTROIDS).select(F.col("id").alias("cid"), F.col("v").alias("c"))
+    cents = fx.centroids(vec)
     a = C.assign(vec, cents)
     counts = a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     cells = per_group_offsets(counts, "cell")

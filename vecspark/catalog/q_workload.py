@@ -93,7 +93,7 @@ def workload_tally(spark, sf):
     _, bt, p = _setup(spark, sf)
     t = W.tally(fx.workload(spark, sf))
     card = P.filter_cardinality(bt, t.select("ftags", "is_and"))
-    return t.join(F.broadcast(card), ["ftags", "is_and"]).select(
+    return t.join(card, ["ftags", "is_and"]).select(
         "pid", "cnt", "card", (F.col("card") >= p.cutoff).alias("kept"))
 
 
@@ -169,19 +169,25 @@ def oracle_subsets(spark, sf):
     return W.with_models(c, p).select("pid", "card", "size")
 
 
+def _named_cands(suffix: str, where: str) -> str:
+    """The candidate CTEs of a part of the log under their own names."""
+    sql = _cand_sql(where)
+    for t in ("wl", "tal", "tcard", "cand"):
+        sql = sql.replace(f"{t} AS (", f"{t}{suffix} AS (").replace(f"FROM {t} ", f"FROM {t}{suffix} ").replace(f"JOIN {t} ", f"JOIN {t}{suffix} ")
+    return sql
+
+
 @register("subset_plan", _wcte(
-    _cand_sql().replace("cand AS", "cand_new AS"),
-    _cand_sql("WHERE seq < (SELECT count(*) FROM workload) // 2").replace("wl AS", "wl2 AS").replace("FROM wl ", "FROM wl2 ")
-    .replace("tal AS", "tal2 AS").replace("FROM tal ", "FROM tal2 ").replace("tcard AS", "tcard2 AS")
-    .replace("JOIN tcard ", "JOIN tcard2 ").replace("cand AS", "cand_old AS")) + """
+    _named_cands("_new", "WHERE seq >= (SELECT count(*) FROM workload) // 2"),
+    _named_cands("_old", "WHERE seq < (SELECT count(*) FROM workload) // 2")) + """
 SELECT coalesce(n.pid, o.pid) AS pid, CASE WHEN o.pid IS NULL THEN 'create' WHEN n.pid IS NULL THEN 'drop' ELSE 'keep' END AS action
 FROM cand_new n FULL OUTER JOIN cand_old o ON o.pid = n.pid""")
 def subset_plan(spark, sf):
-    """Refit after a workload change: create / keep / drop, old = first half of the log, new = all of it."""
+    """Refit after a workload change: create / keep / drop, old = first half of the log, new = second half."""
     q, bt, p = _setup(spark, sf)
     wl = fx.workload(spark, sf)
     half = wl.count() // 2
-    new = W.candidates(bt, wl, p).select("pid")
+    new = W.candidates(bt, wl.where(F.col("seq") >= half), p).select("pid")
     old = W.candidates(bt, wl.where(F.col("seq") < half), p).select("pid")
     return routing.subset_plan(old, new)
 
@@ -206,10 +212,10 @@ _ROUTE_SQL = [
     "CASE WHEN b.pid IS NULL THEN 'root' WHEN b.ex = 0 THEN 'exact' ELSE 'superset' END AS kind FROM qf q CROSS JOIN n LEFT JOIN best b ON b.qid = q.qid)",
     "qc AS (SELECT q.qid, count(bt.id) AS card FROM qf q LEFT JOIN bt ON len(q.ftags) = 0 OR list_has_all(bt.tags, q.ftags) GROUP BY q.qid)",
 ]
-_STRAT = (f"CASE WHEN qc.card <= {CUTOFF} THEN 'brute' WHEN rt.route <> 'root' AND {_upward('rt.route_card', 'qc.card')} <= {_root('qc.card')} "
-          "THEN 'subset' ELSE 'root' END")
-_COST = (f"CASE WHEN qc.card <= {CUTOFF} THEN {_bf('qc.card')} WHEN rt.route <> 'root' AND {_upward('rt.route_card', 'qc.card')} <= {_root('qc.card')} "
-         f"THEN {_upward('rt.route_card', 'qc.card')} ELSE {_root('qc.card')} END")
+_INDEX = f"CASE WHEN rt.route <> 'root' THEN {_upward('rt.route_card', 'qc.card')} ELSE {_root('qc.card')} END"
+_BRUTE = f"(qc.card <= {CUTOFF} OR {_bf('qc.card')} <= {_INDEX})"
+_STRAT = f"CASE WHEN {_BRUTE} THEN 'brute' WHEN rt.route <> 'root' THEN 'subset' ELSE 'root' END"
+_COST = f"CASE WHEN {_BRUTE} THEN {_bf('qc.card')} ELSE {_INDEX} END"
 _ROUTE_CTE = _wcte(*_ROUTE_SQL, names=("queries", "base", "tag_arr", "workload", "filters_tag"))
 
 
@@ -222,7 +228,7 @@ def _routed(spark, sf):
     qf = fx.filters_tag(q, True)
     rt = W.route(qf, c.select("pid", "ftags", "is_and", "card"), p.n)
     card = P.filter_cardinality(bt, qf.select("ftags", "is_and"), bitmaps=bms, total=p.n)
-    qcard = qf.join(F.broadcast(card), ["ftags", "is_and"]).select("qid", "card")
+    qcard = qf.join(card, ["ftags", "is_and"]).select("qid", "card")
     return q, bt, p, c, qf, rt, qcard
 
 

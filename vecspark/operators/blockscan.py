@@ -1,26 +1,28 @@
-"""Exact distance scans of a partitioned base table against a broadcast query block.
+"""Exact distance scans of a partitioned base table against a partitioned query table.
 
 This is the physical operator behind every dense k-NN / range / multi-vector
 job.  The plan is always
 
-    base (parquet scan, pruned + filtered)  --mapInPandas-->  partial results per partition
-        --shuffle on qid-->  final per-query window (row_number <= k)
+    base rows     --mapInPandas-->  blocks of at most BASE_ROWS rows     \
+    query rows    --mapInPandas-->  blocks of at most QUERY_ROWS queries  >  grid of (base, query) blocks
+        --mapInPandas-->  partial results per task  --shuffle on qid-->  final per-query window (row_number <= k)
 
-* The query side is collected once, size-checked, and broadcast.  More queries
-  than ``MAX_QUERY_BYTES`` are processed as several query blocks, each a full,
-  distributed pass over the base, so the driver never holds more than one block.
-* Inside a task a base batch is compared with the whole block through one BLAS
+* Neither side passes through the driver and neither is broadcast: a task of the
+  grid reads one partition of base blocks and one of query blocks.  The grid has
+  one row per pair of *blocks*, never one per pair of vectors.
+* Inside a task a base block is compared with a query block through one BLAS
   product.  Those approximate distances only *screen*: every row that can be in
   the answer (approximate distance within a proven error bound of the k-th
   best) is re-scored with the exact sequential double sum, which is the value
   reported and ranked on.  Results are therefore exact and deterministic.
-* A partition emits at most ``k`` rows per query (top-k modes), so the shuffle
-  is ``nq * k * partitions`` rows regardless of the base size; no pair table
-  (a cross join) is ever materialised.
+* A task emits at most ``k`` rows per query (top-k modes), so the shuffle
+  is ``nq * k * partitions`` rows regardless of the base size; radius results
+  leave a task block by block.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "ip", "cosine")
-MAX_QUERY_BYTES = 256 << 20      # per broadcast query block
+KERNELS: dict = {}               # own distances: name -> function of row-paired matrices
+BASE_ROWS = 4096                 # rows of one base block
+QUERY_ROWS = 4096                # queries of one query block
 PAIR_BUDGET = 4_000_000          # approximate-distance cells per in-task chunk
 SCREEN_TOL = 1e-9                # bound on the BLAS screening error, relative
 
@@ -38,7 +42,7 @@ PARTIAL_SCHEMA = "qid long, id long, dist double"
 
 @dataclass
 class QueryBlock:
-    """What a task needs to know about the queries (broadcast)."""
+    """What a task needs to know about the queries of one block."""
 
     qid: np.ndarray
     Q: np.ndarray
@@ -50,6 +54,16 @@ class QueryBlock:
     extra: dict = field(default_factory=dict)
 
 
+def register_kernel(name: str, pairs) -> None:
+    """Plug in a distance: ``pairs(Q, X)`` gives the distances of row-paired float matrices, smaller is closer.
+
+    It is evaluated for every pair of a block (no matrix product can screen for it).
+    """
+    if name in METRICS:
+        raise ValueError(f"{name!r} is built in")
+    KERNELS[name] = pairs
+
+
 # ------------------------------------------------------------------ numpy kernels
 
 def as_matrix(col: pd.Series) -> np.ndarray:
@@ -60,6 +74,8 @@ def as_matrix(col: pd.Series) -> np.ndarray:
 
 def exact_pairs(Qp: np.ndarray, Xp: np.ndarray, metric: str) -> np.ndarray:
     """Exact distance of row-paired matrices, summing dimensions in order (matches SQL list sums)."""
+    if callable(metric):
+        return metric(Qp, Xp)
     m, d = Qp.shape
     if metric == "l2":
         acc = np.zeros(m)
@@ -77,12 +93,15 @@ def exact_pairs(Qp: np.ndarray, Xp: np.ndarray, metric: str) -> np.ndarray:
     for j in range(d):
         qq += Qp[:, j] * Qp[:, j]
         xx += Xp[:, j] * Xp[:, j]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 1.0 - dot / np.sqrt(qq * xx)
+    norm = np.sqrt(qq * xx)
+    return 1.0 - dot / np.where(norm == 0, 1.0, norm)      # a zero vector counts as its own unit vector
 
 
 def approx_block(Q, X, metric, qn, xn):
     """Screening distances through one matrix product, and their error bound."""
+    if callable(metric):
+        A = metric(np.repeat(Q, len(X), axis=0), np.tile(X, (len(Q), 1))).reshape(len(Q), len(X))
+        return np.where(np.isnan(A), np.inf, A), np.zeros((len(Q), 1))
     G = Q @ X.T
     if metric == "l2":
         A = qn[:, None] + xn[None, :] - 2.0 * G
@@ -91,8 +110,8 @@ def approx_block(Q, X, metric, qn, xn):
         A = 1.0 - G
         tol = SCREEN_TOL * (np.sqrt(qn)[:, None] * np.sqrt(xn.max(initial=0.0)) + 1.0)
     else:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            A = 1.0 - G / np.sqrt(qn[:, None] * xn[None, :])
+        norm = np.sqrt(qn[:, None] * xn[None, :])
+        A = 1.0 - G / np.where(norm == 0, 1.0, norm)
         tol = np.full((len(Q), 1), SCREEN_TOL)
     A = np.where(np.isnan(A), np.inf, A)
     return A, tol
@@ -167,104 +186,102 @@ def _fuse(d, cnt, fusion):
 
 # ------------------------------------------------------------------ the per-partition operator
 
-def _make_scan(bc, metric: str, mode: str, k: int, cols: dict, fusion, exclude_self: bool,
-               inclusive: bool):
+def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self: bool, inclusive: bool):
     vec_col, id_col = cols["vec"], cols["id"]
     tag_col, a0_col, a1_col = cols.get("tags"), cols.get("a0"), cols.get("a1")
     attr_col, group_col = cols.get("attr"), cols.get("group")
 
-    def scan(batches):
-        block: QueryBlock = bc.value
+    def compare(block: QueryBlock, part: pd.DataFrame):
+        """(query index, row id, distance, group) of the rows of one chunk that can be in the answer."""
         Q = block.Q
-        nq = len(Q)
-        qn = (Q * Q).sum(axis=1)
-        chunk = max(64, PAIR_BUDGET // max(nq, 1))
-        acc_q, acc_i, acc_d, acc_g = [], [], [], []
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                X = as_matrix(part[vec_col])
-                ids = part[id_col].to_numpy(dtype=np.int64)
-                b = len(ids)
-                xn = (X * X).sum(axis=1)
-                A, tol = approx_block(Q, X, metric, qn, xn)
-                mask = None
-                if block.ftags is not None:
-                    mask = _tag_masks(block, part[tag_col], b)
-                if block.ranges is not None:
-                    rm = _range_masks(block, part[a0_col].to_numpy(float), part[a1_col].to_numpy(float))
-                    mask = rm if mask is None else (mask & rm)
-                if cols.get("live"):
-                    from vecspark.streaming.replay import live_mask
-                    lm = live_mask(part["live_a"], part["live_b"], block.extra["step"], b)
-                    mask = lm if mask is None else (mask & lm)
-                if exclude_self:
-                    sm = ids[None, :] != block.qid[:, None]
-                    mask = sm if mask is None else (mask & sm)
-                cnt = None
-                if fusion is not None:
-                    rattr = np.vstack(part[attr_col].to_numpy()).astype(np.int64)
-                    cnt = _fusion_counts(block.qattr, rattr)
-                    A = _fuse(A, cnt, fusion)
-                    tol = tol * (1.0 + max(abs(fusion[1]), 1.0) * rattr.shape[1])
-                if mask is not None:
-                    A = np.where(mask, A, np.inf)
-                if mode == "topk":
-                    kk = min(k, b)
-                    kth = np.partition(A, kk - 1, axis=1)[:, kk - 1:kk]
-                    cand = np.isfinite(A) & (A <= kth + 2.0 * tol)
-                elif mode == "topk_groups":
-                    cand = np.isfinite(A)   # reduced per group below
-                else:  # radius
-                    cand = np.isfinite(A) & (A <= block.radius[:, None] + 2.0 * tol)
-                qi, xj = np.nonzero(cand)
-                if len(qi) == 0:
-                    continue
-                if mode == "topk_groups":
-                    # screen per (query, group): keep rows within tolerance of the group's best
-                    g = part[group_col].to_numpy(dtype=np.int64)[xj]
-                    a = A[qi, xj]
-                    key = qi.astype(np.int64) * (np.int64(1) << 40) + g
-                    order = np.lexsort((a, key))
-                    ks, as_ = key[order], a[order]
-                    first = np.r_[True, ks[1:] != ks[:-1]]
-                    best = np.maximum.accumulate(np.where(first, np.arange(len(ks)), 0))
-                    keep = as_ <= as_[best] + 2.0 * tol[qi[order], 0]
-                    sel = order[keep]
-                    qi, xj = qi[sel], xj[sel]
-                E = exact_pairs(Q[qi], X[xj], metric)
-                if fusion is not None:
-                    E = _fuse(E, cnt[qi, xj], fusion)
-                if mode == "radius":
-                    ok = (E <= block.radius[qi]) if inclusive else (E < block.radius[qi])
-                    qi, xj, E = qi[ok], xj[ok], E[ok]
-                acc_q.append(qi)
-                acc_i.append(ids[xj])
-                acc_d.append(E)
-                if mode == "topk_groups":
-                    acc_g.append(part[group_col].to_numpy(dtype=np.int64)[xj])
-                if mode == "topk" and sum(len(a) for a in acc_q) > 4 * nq * k:
-                    q2, i2, d2 = topk_triples(np.concatenate(acc_q), np.concatenate(acc_i),
-                                              np.concatenate(acc_d), k)
-                    acc_q, acc_i, acc_d = [q2], [i2], [d2]
-                if mode == "topk_groups" and sum(len(a) for a in acc_q) > 64 * nq * k:
-                    acc_q, acc_i, acc_d, acc_g = _reduce_groups(acc_q, acc_i, acc_d, acc_g, k)
-        if not acc_q:
-            return
+        X = as_matrix(part[vec_col])
+        ids = part[id_col].to_numpy(dtype=np.int64)
+        b = len(ids)
+        A, tol = approx_block(Q, X, metric, (Q * Q).sum(axis=1), (X * X).sum(axis=1))
+        mask = None
+        if block.ftags is not None:
+            mask = _tag_masks(block, part[tag_col], b)
+        if block.ranges is not None:
+            rm = _range_masks(block, part[a0_col].to_numpy(float), part[a1_col].to_numpy(float))
+            mask = rm if mask is None else (mask & rm)
+        if cols.get("live"):
+            from vecspark.streaming.replay import live_mask
+            lm = live_mask(part["live_a"], part["live_b"], block.extra["step"], b)
+            mask = lm if mask is None else (mask & lm)
+        if exclude_self:
+            sm = ids[None, :] != block.qid[:, None]
+            mask = sm if mask is None else (mask & sm)
+        cnt = None
+        if fusion is not None:
+            rattr = np.vstack(part[attr_col].to_numpy()).astype(np.int64)
+            cnt = _fusion_counts(block.qattr, rattr)
+            A = _fuse(A, cnt, fusion)
+            grown = 1.0 / abs(fusion[1]) if fusion[0] == "mul" else max(abs(fusion[1]), 1.0)
+            tol = tol * (1.0 + grown * rattr.shape[1])
+        if mask is not None:
+            A = np.where(mask, A, np.inf)
         if mode == "topk":
-            q2, i2, d2 = topk_triples(np.concatenate(acc_q), np.concatenate(acc_i),
-                                      np.concatenate(acc_d), k)
-            out = pd.DataFrame({"qid": block.qid[q2], "id": i2, "dist": d2})
+            kk = min(k, b)
+            kth = np.partition(A, kk - 1, axis=1)[:, kk - 1:kk]
+            cand = np.isfinite(A) & (A <= kth + 2.0 * tol)
         elif mode == "topk_groups":
-            acc_q, acc_i, acc_d, acc_g = _reduce_groups(acc_q, acc_i, acc_d, acc_g, k)
-            out = pd.DataFrame({"qid": block.qid[acc_q[0]], "id": acc_i[0], "dist": acc_d[0],
-                                "grp": acc_g[0]})
-        else:
-            out = pd.DataFrame({"qid": block.qid[np.concatenate(acc_q)],
-                                "id": np.concatenate(acc_i), "dist": np.concatenate(acc_d)})
-        yield out
+            cand = np.isfinite(A)   # reduced per group below
+        else:  # radius
+            cand = np.isfinite(A) & (A <= block.radius[:, None] + 2.0 * tol)
+        qi, xj = np.nonzero(cand)
+        g = part[group_col].to_numpy(dtype=np.int64)[xj] if mode == "topk_groups" else None
+        if mode == "topk_groups" and len(qi):
+            # screen per (query, group): keep rows within tolerance of the group's best
+            a = A[qi, xj]
+            order = np.lexsort((a, g, qi))
+            first = np.r_[True, (qi[order][1:] != qi[order][:-1]) | (g[order][1:] != g[order][:-1])]
+            best = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            sel = order[a[order] <= a[order][best] + 2.0 * tol[qi[order], 0]]
+            qi, xj, g = qi[sel], xj[sel], g[sel]
+        E = exact_pairs(Q[qi], X[xj], metric)
+        if fusion is not None:
+            E = _fuse(E, cnt[qi, xj], fusion)
+        if mode == "radius":
+            ok = (E <= block.radius[qi]) if inclusive else (E < block.radius[qi])
+            qi, xj, E = qi[ok], xj[ok], E[ok]
+        return qi, ids[xj], E, g
+
+    def reduced(acc: list) -> list:
+        """The accumulated results of one query block, cut to what can still be in the answer."""
+        if mode == "topk":
+            return [(*topk_triples(*(np.concatenate([a[i] for a in acc]) for i in range(3)), k), None)]
+        q, i, d, g = _reduce_groups(*([a[i] for a in acc] for i in range(4)), k)
+        return [(q[0], i[0], d[0], g[0])]
+
+    def frame(block: QueryBlock, q, i, d, g) -> pd.DataFrame:
+        out = {"qid": block.qid[q], "id": i, "dist": d}
+        return pd.DataFrame(out if g is None else out | {"grp": g})
+
+    def scan(batches):
+        blocks: dict[int, QueryBlock] = {}
+        held: dict[int, list] = {}
+        for pdf in batches:
+            base = None
+            for raw, number, packed in zip(pdf["rows"], pdf["block"], pdf["queries"], strict=True):
+                if number not in blocks:
+                    blocks[number] = pickle.loads(packed)
+                block = blocks[number]
+                if raw != base:
+                    base, rows = raw, pickle.loads(raw)
+                chunk = max(1, PAIR_BUDGET // max(len(block.Q), 1))
+                for lo in range(0, len(rows), chunk):
+                    found = compare(block, rows.iloc[lo:lo + chunk])
+                    if not len(found[0]):
+                        continue
+                    if mode == "radius":
+                        yield frame(block, *found)
+                        continue
+                    acc = held.setdefault(number, [])
+                    acc.append(found)
+                    if sum(len(a[0]) for a in acc) > (4 if mode == "topk" else 64) * len(block.Q) * k:
+                        held[number] = reduced(acc)
+        for number, acc in held.items():
+            yield frame(blocks[number], *reduced(acc)[0])
 
     return scan
 
@@ -285,42 +302,42 @@ def _reduce_groups(acc_q, acc_i, acc_d, acc_g, k):
     return [qi[keep]], [ids[keep]], [d[keep]], [g[keep]]
 
 
-# ------------------------------------------------------------------ driver side
+# ------------------------------------------------------------------ blocks
+
+def _pack_queries(qvec: str, kinds: set, radius):
+    def pack(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            for lo in range(0, len(pdf), QUERY_ROWS):
+                block = _build_block(pdf.iloc[lo:lo + QUERY_ROWS], qvec, kinds, radius)
+                yield pd.DataFrame({"block": [number], "queries": [pickle.dumps(block)]})
+                number += 1
+    return pack
+
 
-def _query_blocks(queries: DataFrame, qvec: str, want: list[str]):
-    """Yield query blocks of bounded size; rows stream from executors one partition at a time."""
-    rows, nbytes = [], 0
-    for r in queries.select("qid", qvec, *want).toLocalIterator():
-        rows.append(r)
-        nbytes += 8 * (len(r[qvec]) + 8)
-        if nbytes >= MAX_QUERY_BYTES:
-            yield rows
-            rows, nbytes = [], 0
-    if rows:
-        yield rows
+def _pack_rows(batches):
+    for pdf in batches:
+        for lo in range(0, len(pdf), BASE_ROWS):
+            yield pd.DataFrame({"rows": [pickle.dumps(pdf.iloc[lo:lo + BASE_ROWS])]})
 
 
-def _build_block(rows, qvec: str, kinds: set, radius) -> QueryBlock:
-    qid = np.array([r["qid"] for r in rows], dtype=np.int64)
-    Q = np.array([list(r[qvec]) for r in rows], dtype=np.float64)
-    blk = QueryBlock(qid=qid, Q=Q)
+def _build_block(rows: pd.DataFrame, qvec: str, kinds: set, radius) -> QueryBlock:
+    blk = QueryBlock(qid=rows["qid"].to_numpy(dtype=np.int64), Q=as_matrix(rows[qvec]))
     if "tags" in kinds:
-        blk.ftags = [np.asarray(r["ftags"] or [], dtype=np.int64) for r in rows]
-        blk.is_and = np.array([bool(r["is_and"]) for r in rows])
+        blk.ftags = [np.asarray([] if t is None else t, dtype=np.int64) for t in rows["ftags"]]
+        blk.is_and = rows["is_and"].to_numpy(dtype=bool)
         blk.extra["filter_groups"] = filter_groups(blk.ftags, blk.is_and)
     if "range" in kinds:
-        blk.ranges = np.array([[np.nan if r[c] is None else r[c] for c in ("lo0", "hi0", "lo1", "hi1")]
-                               for r in rows], dtype=np.float64)
-        blk.is_and = np.array([bool(r["is_and"]) for r in rows])
+        blk.ranges = rows[["lo0", "hi0", "lo1", "hi1"]].to_numpy(dtype=np.float64)
+        blk.is_and = rows["is_and"].to_numpy(dtype=bool)
     if "live" in kinds:
-        blk.extra["step"] = np.array([r["step"] for r in rows], dtype=np.int64)
+        blk.extra["step"] = rows["step"].to_numpy(dtype=np.int64)
     if "attr" in kinds:
-        blk.qattr = np.array([list(r["qattr"]) for r in rows], dtype=np.int64)
+        blk.qattr = np.vstack(rows["qattr"].to_numpy()).astype(np.int64)
     if radius is not None:
-        if isinstance(radius, str):
-            blk.radius = np.array([r[radius] for r in rows], dtype=np.float64)
-        else:
-            blk.radius = np.full(len(rows), float(radius))
+        blk.radius = (rows[radius].to_numpy(dtype=np.float64) if isinstance(radius, str)
+                      else np.full(len(rows), float(radius)))
     return blk
 
 
@@ -336,8 +353,9 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
     filters, ``lo0, hi0, lo1, hi1, is_and`` for range filters, ``qattr`` for fusion,
     and a radius column when ``radius`` names one.
     """
-    if metric not in METRICS:
+    if metric not in METRICS and metric not in KERNELS:
         raise ValueError(f"unknown metric {metric!r}")
+    metric = KERNELS.get(metric, metric)
     spark: SparkSession = base.sparkSession
     from vecspark.session import ship_package
     ship_package(spark)
@@ -371,18 +389,11 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
         want.append(radius)
     schema = PARTIAL_SCHEMA + (", grp long" if mode == "topk_groups" else "")
     pruned = base.select(*base_cols)
-    outs = []
-    for rows in _query_blocks(queries, qvec, want):
-        blk = _build_block(rows, qvec, kinds, radius)
-        bc = spark.sparkContext.broadcast(blk)
-        fn = _make_scan(bc, metric, mode, k, cols, fusion, exclude_self, inclusive)
-        outs.append(pruned.mapInPandas(fn, schema))
-    if not outs:
-        return spark.createDataFrame([], schema)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    # the shuffle sizes the query partitions by bytes (AQE); each is one side of a grid task
+    packed = (queries.select("qid", qvec, *want).repartition("qid")
+              .mapInPandas(_pack_queries(qvec, kinds, radius), "block long, queries binary"))
+    grid = pruned.mapInPandas(_pack_rows, "rows binary").crossJoin(packed.hint("shuffle_replicate_nl"))
+    return grid.mapInPandas(_make_scan(metric, mode, k, cols, fusion, exclude_self, inclusive), schema)
 
 
 def rank_topk(partial: DataFrame, k: int, key: str = "qid", rk: str = "rk") -> DataFrame:

@@ -1,6 +1,6 @@
 """Coarse cells (IVF): assignment to centroids, probing, cell statistics and layouts.
 
-Centroids are few (broadcast, size-checked by count); rows are assigned inside
+Centroids are few (about the square root of the rows, broadcast); rows are assigned inside
 their own partitions with one BLAS product per batch and an exact re-check of the
 near-best centroids, so ties resolve by (distance, centroid id) exactly.
 Probing is an equi-join on ``cell`` — with the base stored partitioned by cell
@@ -13,20 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.functions import distance as D
 from vecspark.operators import blockscan
 from vecspark.operators.ranking import global_row_number, per_group_offsets
 from vecspark.session import cut_lineage
 
-MAX_CENTROIDS = 1 << 20
-
-
 def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2", vec: str = "v") -> DataFrame:
     """Adds ``cell`` (nearest centroid ``cid``, ties by smaller cid) and ``cdist``."""
-    n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids exceed the broadcast bound {MAX_CENTROIDS}")
     cs = centroids.select("cid", "c").orderBy("cid").collect()
     cid = np.array([r["cid"] for r in cs], dtype=np.int64)
     C = np.array([list(r["c"]) for r in cs], dtype=np.float64)
@@ -67,11 +62,11 @@ def ivf_knn(assigned: DataFrame, queries: DataFrame, probe: DataFrame, k: int, m
             tag_filter: bool = False) -> DataFrame:
     """Exact top-k among rows of the probed cells (optionally with the query's tag filter)."""
     from vecspark.operators import predicates as P
-    # probes are query-sized (nq · nprobe) and broadcast: a hot cell never becomes one shuffle partition
+    # the planner broadcasts the probes (nq · nprobe) if they are small, else AQE splits a hot cell
     cand = assigned.select("id", "cell", "v", *(["tags"] if tag_filter else [])).join(
-        F.broadcast(probe.select("qid", "cell")), "cell")
+        probe.select("qid", "cell"), "cell")
     q = queries.select("qid", "qv", *(["ftags", "is_and"] if tag_filter else []))
-    j = cand.join(F.broadcast(q), "qid")
+    j = cand.join(q, "qid")
     if tag_filter:
         j = j.where(P.tag_match(F.col("tags"), F.col("ftags"), F.col("is_and")))
     scored = j.select("qid", "id", D.distance(metric, F.col("qv"), F.col("v")).alias("dist"))
@@ -98,7 +93,7 @@ def permute(assigned: DataFrame) -> DataFrame:
     pos = global_row_number(assigned.select("id", "cell"), ["cell"], "id", "pos")
     # global_row_number numbers across all cells in (cell, id) order; rebase per cell
     first = pos.groupBy("cell").agg(F.min("pos").alias("p0"))
-    return (pos.join(F.broadcast(first), "cell").join(F.broadcast(offs.select("cell", "offset")), "cell")
+    return (pos.join(first, "cell").join(offs.select("cell", "offset"), "cell")
                .select("id", "cell", (F.col("offset") + F.col("pos") - F.col("p0")).alias("new_id")))
 
 
@@ -120,53 +115,54 @@ def tag_cell_index(assigned_tagged: DataFrame) -> DataFrame:
     return global_prefix_sum(key, "_k", "n", "offset").drop("_k")
 
 
-def kmeans_cells(rows: DataFrame, k: int, seed: int = 1, cosine: bool = False, max_iter: int = 20) -> DataFrame:
-    """k-means (Spark ML) on the rows; spherical variant for inner-product data uses cosine distance."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    feats = rows.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine" if cosine else "euclidean")
-    model = km.fit(feats)
-    return model.transform(feats).select("id", F.col("prediction").cast("long").alias("cell"))
-
-
-def _kmeans_np(X: np.ndarray, k: int, iters: int) -> np.ndarray:
-    """Lloyd iterations from the first k points (rows arrive in a deterministic order)."""
-    C = X[:k].copy()
-    for _ in range(iters):
-        d = (X * X).sum(1)[:, None] - 2 * X @ C.T + (C * C).sum(1)[None, :]
-        lab = d.argmin(1)
-        for j in range(len(C)):
-            m = lab == j
-            if m.any():
-                C[j] = X[m].mean(0)
-    return C
-
-
-def two_level(rows: DataFrame, centroids: DataFrame, k2: int, sample_per_cell: int = 4096,
-              iters: int = 10, seed: int = 7) -> DataFrame:
-    """Second-level cells: ``(id, cell, subcell)``.
-
-    Level 2 is trained per cell on a Bernoulli sample of expected size at most
-    ``sample_per_cell`` (``sampleBy``), so no task receives a whole hot cell; every
-    row is then assigned to the nearest sub-centroid of its own cell in its partition.
+def _means(assigned: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, c)``: mean vector of each group — sums combine per task, no group is gathered."""
+    d = assigned.select(*keys, F.posexplode(F.col("v").cast("array<double>")).alias("p", "x"))
+    m = d.groupBy(*keys, "p").agg(F.avg("x").alias("x"))
+    return m.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("c"))
+
+
+def kmeans_cells(rows: DataFrame, centroids: DataFrame, rounds: int, metric: str = "l2") -> DataFrame:
+    """``(id, cell)`` after Lloyd rounds over all rows; an empty cell keeps its centroid.
+
+    With ``metric="cosine"`` this is spherical k-means (a mean's length does not matter to the cosine).
     """
-    a = assign(rows, centroids).select("id", "cell", "v")
-    sizes = {r["cell"]: r["n"] for r in a.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
-    fr = {c: min(1.0, sample_per_cell / n) for c, n in sizes.items()}
-    sample = a.sampleBy("cell", fr, seed).withColumn("h", F.xxhash64("id"))
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "id"])
-        X = as_matrix_safe(pdf["v"])
-        C = _kmeans_np(X, min(k2, len(X)), iters)
-        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "sid": np.arange(len(C)), "c": list(C)})
-    subs = sample.groupBy("cell").applyInPandas(train, "cell long, sid long, c array<double>").collect()
+    for _ in range(rounds):
+        m = _means(assign(rows, centroids, metric), ["cell"])
+        centroids = (centroids.join(m.select(F.col("cell").alias("cid"), F.col("c").alias("m")), "cid", "left")
+                     .select("cid", F.coalesce("m", F.col("c").cast("array<double>")).alias("c")).checkpoint())
+    return assign(rows, centroids, metric).select("id", "cell")
+
+
+def two_level(rows: DataFrame, centroids: DataFrame, k2: int, rounds: int = 4) -> DataFrame:
+    """Second-level cells ``(id, cell, subcell)``, trained by Lloyd rounds on all rows of each cell.
+
+    A cell's sub-centroids start at its ``k2`` rows of least id; every round is one pass and one aggregate per
+    (cell, sub-cell, dimension).
+    """
+    a = assign(rows, centroids).select("id", "cell", "v").checkpoint()
+    starts = None
+    for i in range(k2):          # the i-th least id of each cell: one aggregate a round, no cell is gathered
+        rest = a.select("id", "cell")
+        if starts is not None:
+            rest = rest.join(starts.groupBy("cell").agg(F.max("id").alias("_last")), "cell").where(F.col("id") > F.col("_last"))
+        nxt = rest.groupBy("cell").agg(F.min("id").alias("id")).select("cell", F.lit(i).cast("long").alias("sid"), "id")
+        starts = (nxt if starts is None else starts.unionByName(nxt)).checkpoint()
+    subs = starts.join(a.select("id", F.col("v").cast("array<double>").alias("c")), "id").select("cell", "sid", "c").checkpoint()
+    for _ in range(rounds):
+        m = _means(_assign_sub(a, subs), ["cell", "subcell"])
+        subs = (subs.join(m.select("cell", F.col("subcell").alias("sid"), F.col("c").alias("m")), ["cell", "sid"], "left")
+                .select("cell", "sid", F.coalesce("m", "c").alias("c")).checkpoint())
+    return _assign_sub(a, subs).select("id", "cell", "subcell")
+
+
+def _assign_sub(a: DataFrame, subs: DataFrame) -> DataFrame:
+    """Adds ``subcell``: the nearest sub-centroid of the row's own cell (cells x k2 of them, broadcast)."""
     table: dict[int, tuple] = {}
-    for r in subs:            # cells × k2 sub-centroids: small, broadcast
+    for r in subs.orderBy("cell", "sid").collect():
         table.setdefault(r["cell"], []).append((r["sid"], np.asarray(r["c"], dtype=np.float64)))
     table = {c: (np.array([s for s, _ in v]), np.vstack([x for _, x in v])) for c, v in table.items()}
-    bc = rows.sparkSession.sparkContext.broadcast(table)
+    bc = a.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         t = bc.value
@@ -182,12 +178,10 @@ def two_level(rows: DataFrame, centroids: DataFrame, k2: int, sample_per_cell: i
                     diff = X[idx, j][:, None] - C[None, :, j]
                     D2 += diff * diff
                 sub[idx] = sids[np.lexsort((np.broadcast_to(sids, D2.shape), D2), axis=1)[:, 0]]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "cell": pdf["cell"].to_numpy(), "subcell": sub})
-    return a.mapInPandas(run, "id long, cell long, subcell long")
-
-
-def as_matrix_safe(col: pd.Series) -> np.ndarray:
-    return blockscan.as_matrix(col) if len(col) else np.zeros((0, 0))
+            out = pdf.copy()
+            out["subcell"] = sub
+            yield out
+    return a.mapInPandas(run, T.StructType([*a.schema.fields, T.StructField("subcell", T.LongType())]))
 
 
 def property_buckets(assigned_tagged: DataFrame, n_props: int) -> DataFrame:
@@ -201,7 +195,7 @@ def property_buckets(assigned_tagged: DataFrame, n_props: int) -> DataFrame:
     placed = []
     for b in range(n_props):
         props = top_property(remaining).select("cell", F.col("tag").alias("prop"))
-        hit = remaining.join(F.broadcast(props), "cell").where(F.array_contains("tags", F.col("prop")))
+        hit = remaining.join(props, "cell").where(F.array_contains("tags", F.col("prop")))
         placed.append(hit.select("id", "cell", F.lit(b).alias("bucket"), "prop"))
         remaining = cut_lineage(remaining.join(hit.select("id"), "id", "left_anti"))
     placed.append(remaining.select("id", "cell", F.lit(n_props).alias("bucket"), F.lit(None).cast("int").alias("prop")))

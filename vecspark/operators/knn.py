@@ -40,7 +40,7 @@ def round_dist(df: DataFrame, col: str = "dist", digits: int = 6) -> DataFrame:
 
 def query_tag_freq(tag_freq: DataFrame, query_tags: DataFrame) -> DataFrame:
     """Frequencies of the tags the queries use: the big table is probed with the broadcast (query-sized) tag set."""
-    return tag_freq.join(F.broadcast(query_tags.select("tag").distinct()), "tag")
+    return tag_freq.join(query_tags.select("tag").distinct(), "tag")
 
 
 def _prefilter_candidates(base_tagged: DataFrame, postings: DataFrame, qf: DataFrame,
@@ -49,7 +49,7 @@ def _prefilter_candidates(base_tagged: DataFrame, postings: DataFrame, qf: DataF
     # the query's driving tag: the rarest of its tags (ties: smallest tag)
     # the query side is broadcast (bounded by the query block); tag frequencies grow with the vocabulary
     qt = qf.where(F.size("ftags") > 0).select("qid", "ftags", "is_and", F.explode("ftags").alias("tag"))
-    drive = qt.join(F.broadcast(query_tag_freq(tag_freq, qt)), "tag", "left").fillna({"df": 0})
+    drive = qt.join(query_tag_freq(tag_freq, qt), "tag", "left").fillna({"df": 0})
     # AND: one driving tag suffices; OR: every tag drives (union, de-duplicated)
     w = Window.partitionBy("qid").orderBy("df", "tag")
     drive = (drive.withColumn("r", F.row_number().over(w))
@@ -91,11 +91,11 @@ def knn_filtered(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, metr
     # auto: route on the pre-filter's own work — the postings it would read: the rarest
     # tag's frequency for AND (also an upper bound on the cardinality), the sum for OR
     ex = queries_f.where(F.size("ftags") > 0).select("qid", "is_and", F.explode(F.array_distinct("ftags")).alias("tag"))
-    work = (ex.join(F.broadcast(query_tag_freq(tag_freq, ex)), "tag", "left").fillna({"df": 0})
+    work = (ex.join(query_tag_freq(tag_freq, ex), "tag", "left").fillna({"df": 0})
               .groupBy("qid", "is_and").agg(F.min("df").alias("mn"), F.sum("df").alias("sm"))
               .select("qid", F.when(F.col("is_and"), F.col("mn")).otherwise(F.col("sm")).alias("work")))
-    # one row per query: written once to the checkpoint folder so each route re-reads it, not its plan
-    routed = queries_f.join(work, "qid", "left").coalesce(1).checkpoint()
+    # written once to the checkpoint folder so each route re-reads it, not its plan
+    routed = queries_f.join(work, "qid", "left").checkpoint()
     small = routed.where(F.col("work").isNotNull() & (F.col("work") <= cutoff)).drop("work")
     large = routed.where(F.col("work").isNull() | (F.col("work") > cutoff)).drop("work")
     parts = []
@@ -118,7 +118,7 @@ def knn_postfilter(base_tagged: DataFrame, queries_f: DataFrame, k: int = 10, m:
     over = rank_topk(over, k * m).drop("rk")
     qf = queries_f.select("qid", "ftags", "is_and")
     kept = (over.join(base_tagged.select("id", "tags"), "id")
-                .join(F.broadcast(qf), "qid")
+                .join(qf, "qid")
                 .where(P.tag_match(F.col("tags"), F.col("ftags"), F.col("is_and")))
                 .select("qid", "id", "dist"))
     return rank_topk(kept, k).select("qid", "rk", "id", "dist")
@@ -136,7 +136,7 @@ def knn_grouped_by_filter(base_tagged: DataFrame, queries_f: DataFrame, k: int =
                 .withColumn("fid", F.sha2(F.concat_ws(",", F.col("is_and").cast("string"),
                                                       F.col("ftags").cast("array<string>")), 256))
     rows = P.pred_rows(base_tagged, filters, key="fid")
-    qg = qn.join(F.broadcast(filters), ["ftags", "is_and"]).select("qid", "qv", "fid")
+    qg = qn.join(filters, ["ftags", "is_and"]).select("qid", "qv", "fid")
     cand = qg.select("qid", "fid").join(rows, "fid").select("qid", "id")
     return knn_prefilter(base_tagged, queries_f, cand, k, metric)
 
@@ -202,7 +202,7 @@ def multivector_docs(base: DataFrame, queries: DataFrame, num_docs: int, doc_col
     qcut = queries.join(cut, "qid", "left").withColumn(
         "radius", F.coalesce(F.col("cut_d"), F.lit(float("inf"))))
     rows = blockscan.scan(base, qcut, metric=metric, mode="radius", radius="radius", inclusive=True)
-    rows = rows.join(F.broadcast(cut), "qid", "left").where(
+    rows = rows.join(cut, "qid", "left").where(
         F.col("cut_d").isNull() | (F.col("dist") < F.col("cut_d"))
         | ((F.col("dist") == F.col("cut_d")) & (F.col("id") < F.col("cut_id"))))
     rows = rows.join(base.select("id", doc_col), "id")

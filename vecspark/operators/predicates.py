@@ -71,7 +71,7 @@ def filter_cardinality(base_tagged: DataFrame, filters: DataFrame, bitmaps: Data
     ex = f.where(F.size("ftags") > 0).select(
         "fk", "is_and", F.size(F.array_distinct("ftags")).alias("nf"),
         F.explode(F.array_distinct("ftags")).alias("tag"))
-    per_bucket = (bms.join(F.broadcast(ex), "tag")
+    per_bucket = (bms.join(ex, "tag")
                      .groupBy("fk", "is_and", "nf", "bucket")
                      .agg(F.count(F.lit(1)).alias("present"),
                           F.expr("bitmap_and_agg(bm)").alias("bm_and"),
@@ -95,7 +95,7 @@ def pred_rows(base_tagged: DataFrame, filters: DataFrame, key: str = "pid") -> D
     ex = filters.where(F.size("ftags") > 0).select(
         key, "is_and", F.size(F.array_distinct("ftags")).alias("nf"),
         F.explode(F.array_distinct("ftags")).alias("tag"))
-    hits = (post.join(F.broadcast(ex), "tag")
+    hits = (post.join(ex, "tag")
                 .groupBy(key, "is_and", "nf", "id").agg(F.count(F.lit(1)).alias("c")))
     rows = hits.where(~F.col("is_and") | (F.col("c") == F.col("nf"))).select(key, "id")
     empties = [r[key] for r in filters.where(F.size("ftags") == 0).select(key).distinct().collect()]
@@ -210,7 +210,7 @@ def signature_filter(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
     q = filters.select("qid", "ftags", "is_and", sig("ftags").alias("qsig"))
     post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
     drive = q.where(F.size("ftags") > 0).withColumn("t", F.array_min("ftags"))
-    cand = post.join(F.broadcast(drive), "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
+    cand = post.join(drive, "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
     hit = cand.where(tag_match(F.col("tags"), F.col("ftags"), F.col("is_and"))).select("qid", "id")
     return hit.unionByName(match_all(rows, q.where(F.size("ftags") == 0)))
 
@@ -301,7 +301,7 @@ def design_signatures(base_tagged: DataFrame, n_bits: int) -> DataFrame:
         cuts.append((b, offset, hi))
         offset = hi + 1
     table = spark.createDataFrame(cuts, "bit int, lo long, hi long")
-    return vocab.join(F.broadcast(table), (F.col("wr") >= F.col("lo")) & (F.col("wr") <= F.col("hi"))) \
+    return vocab.join(table, (F.col("wr") >= F.col("lo")) & (F.col("wr") <= F.col("hi"))) \
                 .select("tag", "bit")
 
 
@@ -312,12 +312,12 @@ def designed_signature_filter(base_tagged: DataFrame, filters: DataFrame, design
           .groupBy("id").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("sig")))
     rows = base_tagged.select("id", "tags").join(rs, "id")
     qt = filters.select("qid", F.explode("ftags").alias("tag"))
-    qbits = bits.join(F.broadcast(qt.select("tag").distinct()), "tag")
-    qs = (qt.join(F.broadcast(qbits), "tag", "left")
+    qbits = bits.join(qt.select("tag").distinct(), "tag")
+    qs = (qt.join(qbits, "tag", "left")
           .groupBy("qid").agg(F.bit_or(F.coalesce("m", F.lit(0).cast("long"))).alias("qsig")))
     q = filters.select("qid", "ftags", "is_and").join(qs, "qid", "left").fillna({"qsig": 0})
     post = rows.select("id", "tags", "sig", F.explode("tags").alias("t"))
     drive = q.where(F.size("ftags") > 0).withColumn("t", F.array_min("ftags"))
-    cand = post.join(F.broadcast(drive), "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
+    cand = post.join(drive, "t").where(F.col("qsig").bitwiseAND(F.bitwise_not("sig")) == 0)
     hit = cand.where(tag_match(F.col("tags"), F.col("ftags"), F.col("is_and"))).select("qid", "id")
     return hit.unionByName(match_all(rows.select("id"), q.where(F.size("ftags") == 0)))

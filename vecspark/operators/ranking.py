@@ -29,7 +29,7 @@ def global_row_number(df: DataFrame, keys: list[str], order: str, out: str = "po
     # the counts table has at most (#keys * #sub-buckets) rows
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     w = Window.partitionBy(*keys, "_sub").orderBy(order)
-    return (b.join(F.broadcast(offs), [*keys, "_sub"])
+    return (b.join(offs, [*keys, "_sub"])
              .withColumn(out, F.col("_off") + F.row_number().over(w))
              .drop("_sub", "_off"))
 
@@ -58,7 +58,7 @@ def global_prefix_sum(df: DataFrame, order: str, value: str, out: str = "offset"
     wo = Window.orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
     w = Window.partitionBy("_sub").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(F.broadcast(offs), "_sub")
+    return (b.join(offs, "_sub")
              .withColumn(out, (F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
              .drop("_sub", "_off"))
 
@@ -73,5 +73,5 @@ def ordered_positions(df: DataFrame, order: list[str], bucket: Column, out: str
     wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     w = Window.partitionBy("_b").orderBy(*order)
-    return (b.join(F.broadcast(offs), "_b").withColumn(out, F.col("_off") + F.row_number().over(w))
+    return (b.join(offs, "_b").withColumn(out, F.col("_off") + F.row_number().over(w))
              .drop("_b", "_off"))

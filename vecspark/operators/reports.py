@@ -78,7 +78,7 @@ def cost_projection(runs: DataFrame, recall_thr: float, target_qps: float, msrp:
 def leaderboard(runs: DataFrame, qps_thr: float, baseline: str, min_datasets: int) -> DataFrame:
     best = runs.where(F.col("qps") >= qps_thr).groupBy("algorithm", "dataset").agg(F.max("recall").alias("recall"))
     base = best.where(F.col("algorithm") == baseline).select("dataset", F.col("recall").alias("b"))
-    j = best.join(F.broadcast(base), "dataset").where(F.col("algorithm") != baseline)
+    j = best.join(base, "dataset").where(F.col("algorithm") != baseline)
     return j.groupBy("algorithm").agg(F.round(F.sum(F.col("recall") - F.col("b")), 6).alias("score"),
                                       F.count(F.lit(1)).alias("datasets")).where(F.col("datasets") >= min_datasets)
 

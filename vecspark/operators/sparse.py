@@ -1,32 +1,111 @@
-"""Sparse (bag-of-words) vectors in long form ``(id, dim, w)``: pruning and inner-product search.
-
-Maximum inner product search is an equi-join of query terms with the document
-postings on ``dim``, a ``sum(w * qw)`` per (query, document), and a per-query
-top-k.  The query terms are small and broadcast (size checked), so the postings
-are never shuffled — a term present in every document (a hot key holding a large
-share of all rows) costs a local probe per posting, not a skewed shuffle
-partition.  The (query, doc) partial sums are combined map-side before the
-shuffle on the uniformly hashed (qid, id) key.
+"""Sparse (bag-of-words) vectors: pruning and inner-product search.
+
+Two forms: *rows* ``(id, dims, ws)`` — one row a vector, entries by weight descending, then dim — and *long*
+``(id, dim, w)``.  Search works on rows: a task compares a batch of vectors with a block of queries through one
+matrix product over the block's dims and emits the k best per query, so neither postings nor (query, vector)
+pairs are shuffled, however frequent a term is; the shuffle is ``nq * k * partitions`` rows.  Query blocks reach the
+tasks through a grid of (batch, block) pairs, not through the driver.
 """
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_TERMS = 5_000_000   # query-term rows broadcast at most; above this, a shuffle join (AQE splits skew)
-
-
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def scores(docs: DataFrame, queries: DataFrame, weight=None) -> DataFrame:
-    """``(qid, id, score)`` = Σ_dim qw · f(w) over shared dims; zero scores are not produced."""
-    q = _maybe_broadcast(queries.select("qid", "dim", F.col("w").alias("qw")))
-    wcol = F.col("w") if weight is None else weight(F.col("w"))
-    j = docs.join(q, "dim").select("qid", "id", (F.col("qw") * wcol).alias("p"))
-    return j.groupBy("qid", "id").agg(F.sum("p").alias("score")).where(F.col("score") > 0)
+QUERY_ROWS = 512              # queries of one block
+CELLS = 4_000_000             # entries of a dense batch (vectors x dims of the query block)
+
+
+def long_form(rows: DataFrame) -> DataFrame:
+    """``(id, dim, w)`` of row-form vectors."""
+    return rows.select("id", F.explode(F.arrays_zip("dims", "ws")).alias("e")).select(
+        "id", F.col("e.dims").alias("dim"), F.col("e.ws").alias("w"))
+
+
+def query_rows(queries: DataFrame) -> DataFrame:
+    """Row form ``(qid, dims, ws)`` of long-form queries."""
+    entry = F.struct((-F.col("w")).alias("nw"), "dim")
+    return (queries.groupBy("qid").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+            .select("qid", F.col("e.dim").alias("dims"), F.transform("e.nw", lambda x: -x).alias("ws")))
+
+
+def _pack_queries(batches):
+    from pyspark import TaskContext
+    number = TaskContext.get().partitionId() << 32
+    for pdf in batches:
+        for lo in range(0, len(pdf), QUERY_ROWS):
+            part = pdf.iloc[lo:lo + QUERY_ROWS]
+            dims = sorted({d for ds in part["dims"] for d in ds})
+            at = {d: i for i, d in enumerate(dims)}
+            m = np.zeros((len(part), len(dims)))
+            for i, (ds, ws) in enumerate(zip(part["dims"], part["ws"], strict=True)):
+                np.add.at(m[i], [at[d] for d in ds], ws)
+            yield pd.DataFrame({"block": [number], "queries": [pickle.dumps((part["qid"].to_numpy(np.int64), at, m))]})
+            number += 1
+
+
+def _pack_rows(batches):
+    for pdf in batches:
+        for lo in range(0, len(pdf), 1024):
+            yield pd.DataFrame({"rows": [pickle.dumps(pdf.iloc[lo:lo + 1024])]})
+
+
+def _best(qid, ids, score, k: int):
+    """The k best of each query: score descending, then id."""
+    order = np.lexsort((ids, -score, qid))
+    qid, ids, score = qid[order], ids[order], score[order]
+    first = np.r_[True, qid[1:] != qid[:-1]] if len(qid) else np.zeros(0, bool)
+    rank = np.arange(len(qid)) - np.maximum.accumulate(np.where(first, np.arange(len(qid)), 0)) if len(qid) else np.zeros(0, int)
+    return qid[rank < k], ids[rank < k], score[rank < k]
+
+
+def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits: int | None = None) -> DataFrame:
+    """Partial results ``(qid, id, score)``: at most k per query and task; ``weight`` maps an array of weights.
+
+    ``queries`` is in row form ``(qid, dims, ws)``.  With ``digits`` vectors are ranked on the rounded score.
+    """
+    def scan(batches):
+        blocks, held, base = {}, {}, None
+        for pdf in batches:
+            for raw, number, packed in zip(pdf["rows"], pdf["block"], pdf["queries"], strict=True):
+                if number not in blocks:
+                    blocks[number] = pickle.loads(packed)
+                qid, at, m = blocks[number]
+                if raw != base:
+                    base, part = raw, pickle.loads(raw)
+                size = max(1, CELLS // max(1, len(at)))
+                for lo in range(0, len(part), size):
+                    some = part.iloc[lo:lo + size]
+                    n = np.array([len(d) for d in some["dims"]])
+                    if not n.sum():
+                        continue
+                    col = np.array([at.get(d, -1) for ds in some["dims"] for d in ds])
+                    ws = np.concatenate([np.asarray(w, dtype=float) for w in some["ws"]])
+                    row = np.repeat(np.arange(len(some)), n)
+                    ok = col >= 0
+                    dense = np.zeros((len(some), len(at)))
+                    dense[row[ok], col[ok]] = ws[ok] if weight is None else weight(ws[ok])
+                    score = m @ dense.T
+                    if digits is not None:
+                        score = np.round(score, digits)
+                    if score.shape[1] > k:               # the k-th best of each query, ties included
+                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+                        qi, xj = np.nonzero((score >= least) & (score > 0))
+                    else:
+                        qi, xj = np.nonzero(score > 0)
+                    found = (qid[qi], some["id"].to_numpy(np.int64)[xj], score[qi, xj])
+                    old = held.get(number)
+                    held[number] = _best(*(found if old is None else [np.concatenate(x) for x in zip(old, found, strict=True)]), k)
+        for q, i, v in held.values():
+            yield pd.DataFrame({"qid": q, "id": i, "score": v})
+
+    blocks = queries.repartition("qid").mapInPandas(_pack_queries, "block long, queries binary")
+    grid = rows.select("id", "dims", "ws").mapInPandas(_pack_rows, "rows binary").crossJoin(blocks.hint("shuffle_replicate_nl"))
+    return grid.mapInPandas(scan, "qid long, id long, score double")
 
 
 def rank_by_score(s: DataFrame, k: int) -> DataFrame:
@@ -34,9 +113,9 @@ def rank_by_score(s: DataFrame, k: int) -> DataFrame:
     return s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def mips(docs: DataFrame, queries: DataFrame, k: int = 10, weight=None) -> DataFrame:
-    """Exact sparse top-k by inner product ``(qid, rk, id, score)``."""
-    return rank_by_score(scores(docs, queries, weight), k).select("qid", "rk", "id", "score")
+def mips(rows: DataFrame, queries: DataFrame, k: int = 10, weight=None, digits: int | None = None) -> DataFrame:
+    """Exact sparse top-k by inner product ``(qid, rk, id, score)`` of row-form vectors and long-form queries."""
+    return rank_by_score(top_scores(rows, query_rows(queries), k, weight, digits), k).select("qid", "rk", "id", "score")
 
 
 def prune_mass(sp: DataFrame, alpha: float) -> DataFrame:
@@ -57,23 +136,23 @@ def prune_topt(sp: DataFrame, t: int, scale: float | None = None) -> DataFrame:
     return out
 
 
-def two_stage(docs: DataFrame, queries: DataFrame, k: int, doc_t: int, query_t: int, r: int) -> DataFrame:
+def two_stage(rows: DataFrame, queries: DataFrame, k: int, doc_t: int, query_t: int, r: int) -> DataFrame:
     """Candidates from pruned lists (top ``doc_t`` / ``query_t`` terms), re-scored with full lists."""
-    cand = rank_by_score(scores(prune_topt(docs, doc_t), prune_topt(queries.withColumnRenamed("qid", "id"), query_t)
-                                .withColumnRenamed("id", "qid")), r).select("qid", "id")
-    q = _maybe_broadcast(queries.select("qid", "dim", F.col("w").alias("qw")))
-    # full-list rescoring only needs document terms that some query has (others contribute 0)
-    vocab = _maybe_broadcast(queries.select("dim").distinct())
-    useful = docs.join(vocab, "dim", "left_semi")
-    full = (cand.join(useful, "id").join(q, ["qid", "dim"])
-                .groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-                .where(F.col("score") > 0))
+    def pruned(df: DataFrame, t: int) -> DataFrame:
+        return df.withColumn("dims", F.slice("dims", 1, t)).withColumn("ws", F.slice("ws", 1, t))
+
+    q = query_rows(queries)
+    cand = rank_by_score(top_scores(pruned(rows, doc_t), pruned(q, query_t), r), r).select("qid", "id")
+    full = (long_form(rows.join(cand, "id").withColumn("id", F.struct("qid", "id"))).select("id.*", "dim", "w")
+            .join(queries.select("qid", "dim", F.col("w").alias("qw")), ["qid", "dim"])
+            .groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+            .where(F.col("score") > 0))
     return rank_by_score(full, k).select("qid", "rk", "id", "score")
 
 
 def saturated(k1: float):
-    """Term weight ``w / (w + k1)`` (saturating term frequency)."""
-    return lambda w: w / (w + F.lit(k1))
+    """Term weight ``w / (w + k1)`` (saturating term frequency) on an array of weights."""
+    return lambda w: w / (w + k1)
 
 
 def validate(sp: DataFrame, n_rows: int) -> DataFrame:

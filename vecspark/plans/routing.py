@@ -49,8 +49,7 @@ def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame
     subset → masked scan of the one subset partition it was routed to;
     root   → masked scan of the base.
     """
-    # one row per query (bounded by the query block): one partition, written once
-    q = queries_f.join(strategy.select("qid", "strategy", "route"), "qid").coalesce(1).checkpoint()
+    q = queries_f.join(strategy.select("qid", "strategy", "route"), "qid").checkpoint()      # written once
     parts = []
     brute = q.where(F.col("strategy") == "brute")
     post = P.postings(base_tagged)
@@ -91,7 +90,7 @@ def knn_covering(base_tagged: DataFrame, queries_f: DataFrame, plan: DataFrame,
     Empty filters go to the root.  Equal to the exact filtered k-NN because the
     routes' union contains every matching row.
     """
-    routes = plan.select("qid", "route").distinct().coalesce(1).checkpoint()     # (query, subset) pairs: small
+    routes = plan.select("qid", "route").distinct().checkpoint()
     parts = []
     for pid in [r[0] for r in routes.select("route").distinct().collect()]:
         qs = queries_f.join(routes.where(F.col("route") == pid).select("qid"), "qid")

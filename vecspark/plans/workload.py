@@ -67,7 +67,7 @@ def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params, bitmaps:
     """
     t = tally(workload)
     card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"), bitmaps=bitmaps, total=p.n)
-    c = t.join(F.broadcast(card), ["ftags", "is_and"]).where(F.col("card") >= p.cutoff)
+    c = t.join(card, ["ftags", "is_and"]).where(F.col("card") >= p.cutoff)
     # one row per distinct predicate: written once, reused by lattice, selection and routing
     return cut_lineage(c.withColumn("ord", F.row_number().over(Window.orderBy("card", "pid"))))
 
@@ -80,7 +80,7 @@ def selectivity_profile(base_tagged: DataFrame, workload: DataFrame) -> DataFram
     """
     t = tally(workload)
     card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"))
-    t = t.join(F.broadcast(card), ["ftags", "is_and"])
+    t = t.join(card, ["ftags", "is_and"])
     w = Window.orderBy("card", "pid").rowsBetween(Window.unboundedPreceding, 0)
     cum = t.withColumn("hi", F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt"))
     total = F.sum("cnt").over(Window.partitionBy(F.lit(0)))
@@ -225,7 +225,7 @@ def route(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
     both = cut_lineage(qn.unionByName(sn).distinct())     # distinct predicates of queries and subsets: small
     edges = P.subsumption_edges(both, key="pid")
     sc = subsets.select(F.col("pid").alias("parent"), "card")
-    cand = edges.join(F.broadcast(sc), "parent").withColumnRenamed("child", "qkey")
+    cand = edges.join(sc, "parent").withColumnRenamed("child", "qkey")
     w = Window.partitionBy("qkey").orderBy(F.when(F.col("qkey") == F.col("parent"), 0).otherwise(1), "card", "parent")
     pick = cand.withColumn("r", F.row_number().over(w)).where("r = 1") \
                .select("qkey", F.col("parent").alias("route"), F.col("card").alias("route_card"),
@@ -238,13 +238,11 @@ def route(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
 
 
 def strategy(routed: DataFrame, qcard: DataFrame, p: Params) -> DataFrame:
-    """Brute force when ``card <= cutoff``; otherwise the cheaper of the routed subset and the root."""
+    """Brute force when ``card <= cutoff`` or its cost is at most that of the routed index; else that index."""
     x = routed.join(qcard, "qid")
     c = F.col("card").cast("double")
-    sub_cost = upward_cost(F.col("route_card").cast("double"), c, p)
-    root = root_cost(c, p)
-    strat = (F.when(F.col("card") <= p.cutoff, "brute")
-              .when((F.col("route") != "root") & (sub_cost <= root), "subset").otherwise("root"))
-    cost = (F.when(F.col("card") <= p.cutoff, bf_cost(c, p))
-             .when((F.col("route") != "root") & (sub_cost <= root), sub_cost).otherwise(root))
+    index = F.when(F.col("route") != "root", upward_cost(F.col("route_card").cast("double"), c, p)).otherwise(root_cost(c, p))
+    brute = (F.col("card") <= p.cutoff) | (bf_cost(c, p) <= index)
+    strat = F.when(brute, "brute").when(F.col("route") != "root", "subset").otherwise("root")
+    cost = F.when(brute, bf_cost(c, p)).otherwise(index)
     return x.select("qid", "card", "route", strat.alias("strategy"), cost.alias("cost"))

@@ -184,7 +184,7 @@ def write_knn_usbin(knn: DataFrame, qorder: DataFrame, path: str, k: int) -> Non
     nq = qorder.count()
     total = nq * k
     _preallocate(path, 8 + 8 * total, struct.pack("<II", nq, k))
-    x = knn.join(F.broadcast(qorder), "qid").withColumn("slot", F.col("qpos") * k + F.col("rk") - 1)
+    x = knn.join(qorder, "qid").withColumn("slot", F.col("qpos") * k + F.col("rk") - 1)
     x = x.withColumn("id_off", 8 + 4 * F.col("slot")).withColumn("d_off", 8 + 4 * total + 4 * F.col("slot"))
     _scatter(x.select("id", "dist", "id_off", "d_off"), path, [("id", "<u4", "id_off"), ("dist", "<f4", "d_off")])
 
@@ -218,7 +218,7 @@ def write_range(res: DataFrame, qorder: DataFrame, path: str) -> None:
     base = 8 + 4 * nq
     _scatter(lims.withColumn("off", 8 + 4 * F.col("qpos")).select("n", "off"), path, [("n", "<u4", "off")])
     w = Window.partitionBy("qid").orderBy("dist", "id")
-    x = (res.join(F.broadcast(lims.select("qid", "lim")), "qid").withColumn("r", F.row_number().over(w) - 1)
+    x = (res.join(lims.select("qid", "lim"), "qid").withColumn("r", F.row_number().over(w) - 1)
             .withColumn("slot", F.col("lim") + F.col("r")))
     x = x.withColumn("id_off", base + 4 * F.col("slot")).withColumn("d_off", base + 4 * total + 4 * F.col("slot"))
     _scatter(x.select("id", "dist", "id_off", "d_off"), path, [("id", "<u4", "id_off"), ("dist", "<f4", "d_off")])

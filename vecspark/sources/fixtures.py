@@ -8,6 +8,8 @@ FIXTURES.md; the DuckDB twins used by the correctness oracle live in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ N_GEN_TAGS = 20           # generated tags 0..19
 LABEL_TAG_OFFSET = 100    # plus tag 100 + label
 DOCS_PER_VECTOR = 50      # doc_id = vec_id % 50
 ATTR_MULT = (7919, 104729)
-N_CENTROIDS = 8           # fixed centroids: vectors with vec_id < 8
-WORKLOAD_PERIOD = 1000    # workload template repeats every 1000 events
-WORKLOAD_MOD = 17
+WORKLOAD_PERIOD = 1000    # the Zipf shape repeats every 1000 events
+WORKLOAD_PHASE = 5000     # the templates change every 5000 events
+WORKLOAD_MOD = 61
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,12 @@ def vectors_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label", "doc_id")
 
 
+def centroids(vec: DataFrame) -> DataFrame:
+    """``(cid, c)``: every floor(sqrt n)-th vector — about sqrt(n) cells, spread over the whole table."""
+    step = max(1, math.isqrt(vec.count()))
+    return vec.where(F.col("id") % step == 0).select(F.col("id").alias("cid"), F.col("v").alias("c"))
+
+
 def is_query(id_col: Column) -> Column:
     return id_col % QUERY_EVERY == 0
 
@@ -139,44 +147,48 @@ def filters_range(queries: DataFrame, is_and: bool = True) -> DataFrame:
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``workload(seq, ftags, is_and)`` — one historical filter per event.
 
-    ``t = (1000 div (seq % 1000 + 1)) % 17``; ``t % 3 = 0`` → [t % 5], else [t % 5, 5 + t % 4].
-    A Zipf-shaped template mix that repeats every 1000 events.
+    ``t = (1000 div (seq % 1000 + 1) + 7 * (seq div 5000)) % 61``; ``t % 3 = 0`` → [t % 11], else [t % 11, 11 + t % 9].
+    A Zipf-shaped template mix whose templates change every 5000 events.
     """
     ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
-    t = (F.lit(WORKLOAD_PERIOD) / (F.col("seq") % WORKLOAD_PERIOD + 1)).cast("long") % WORKLOAD_MOD
+    t = ((F.lit(WORKLOAD_PERIOD) / (F.col("seq") % WORKLOAD_PERIOD + 1)).cast("long")
+         + 7 * (F.col("seq") / WORKLOAD_PHASE).cast("long")) % WORKLOAD_MOD
     return ev.select(
         "seq",
-        F.when(t % 3 == 0, F.array((t % 5).cast("int")))
-         .otherwise(F.array((t % 5).cast("int"), (F.lit(5) + t % 4).cast("int"))).alias("ftags"),
+        F.when(t % 3 == 0, F.array((t % 11).cast("int")))
+         .otherwise(F.array((t % 11).cast("int"), (F.lit(11) + t % 9).cast("int"))).alias("ftags"),
         F.lit(True).alias("is_and"))
 
 
 # ---------------------------------------------------------------- sparse vectors
 
-def sparse_from_text(df: DataFrame, id_col: str, text_col: str = "text",
-                     vocab: DataFrame | None = None) -> DataFrame:
-    """Bag of words: split on single space, term → dim, term count → w (whole texts).
+def _count_terms(batches):
+    """Row-form bag of words of each text: terms split on single space, by count descending, then term."""
+    from collections import Counter
 
-    Texts are hash-partitioned by id first: the later ``(id, dim)`` count is then
-    satisfied by that partitioning (no second exchange of the exploded tokens) and
-    small files still spread over all cores.  With ``vocab(dim)`` (broadcast) only
-    those terms are counted — for a search, terms absent from every query score 0.
-    """
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(max(parts, 1), "id")
-    tok = src.select("id", F.explode(F.split(F.col("text"), " ")).alias("dim"))
-    if vocab is not None:
-        tok = tok.join(F.broadcast(vocab.select("dim").distinct()), "dim", "left_semi")
-    return tok.groupBy("id", "dim").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    import pyarrow as pa
+    for b in batches:
+        tallies = [sorted(Counter(t.split(" ")).items(), key=lambda e: (-e[1], e[0].encode())) if t is not None else []
+                   for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([[d for d, _ in t] for t in tallies], pa.list_(pa.string())),
+             pa.array([[float(n) for _, n in t] for t in tallies], pa.list_(pa.float64()))], names=["id", "dims", "ws"])
+
+
+def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as row-form sparse vectors ``(id, dims, ws)``: whole texts, counted row by row, nothing shuffled."""
+    src = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return src.mapInArrow(_count_terms, "id long, dims array<string>, ws array<double>")
 
 
-def sparse_docs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
-    return sparse_from_text(read(spark, sf_dir, "documents"), "doc_id", vocab=vocab)
+def sparse_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecspark.operators.sparse import long_form
+    return long_form(sparse_rows(spark, sf_dir))
 
 
 def sparse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_from_text(read(spark, sf_dir, "benchmark"), "item_id") \
-        .withColumnRenamed("id", "qid")
+    src = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.split("text", " ")).alias("dim"))
+    return src.groupBy("qid", "dim").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 # ---------------------------------------------------------------- streaming inputs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed generator constants.
@@ -81,7 +81,8 @@ def runbook_from_cells(cells: DataFrame) -> DataFrame:
     """
     R = len(ROUND_ALPHA)
     total = float(sum(ROUND_ALPHA))
-    c = cells.select("cell", "n", "offset")
+    # cells numbered from 0 (about the square root of the rows, one row each)
+    c = cells.select("cell", "n", "offset", (F.row_number().over(Window.orderBy("cell")) - 1).alias("no"))
     for r in range(R):
         c = c.withColumn(f"h{r}", F.xxhash64(F.col("cell"), F.lit(r)))
     for r in range(R):   # rank of round r among the cell's hashes → which weight it gets
@@ -102,9 +103,9 @@ def runbook_from_cells(cells: DataFrame) -> DataFrame:
                           F.col(f"is{r}").alias("start"), F.col(f"ie{r}").alias("end")),
                  F.struct(F.lit(r).alias("r"), F.lit(1).alias("phase"), F.lit("delete").alias("op"),
                           F.col(f"ds{r}").alias("start"), F.col(f"de{r}").alias("end"))]
-    ops = c.select("cell", F.explode(F.array(*rows)).alias("o")).select("cell", "o.*")
+    ops = c.select("no", F.explode(F.array(*rows)).alias("o")).select("no", "o.*")
     nc = cells.count()          # one scalar: the number of cells
-    base = F.col("r") * (4 * nc) + F.col("phase") * (2 * nc) + F.col("cell").cast("long") * 2
+    base = F.col("r") * (4 * nc) + F.col("phase") * (2 * nc) + F.col("no") * 2
     act = ops.select((base + 1).cast("int").alias("step"), "op", "start", "end")
     srch = ops.select((base + 2).cast("int").alias("step"), F.lit("search").alias("op"),
                       F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from vecspark.operators import blockscan
 
 RANGE_BUCKET = 1 << 16
-STEP_SHIFT = 32
 INF_STEP = 2 ** 31 - 1
 
 
@@ -90,24 +89,40 @@ def upsert_latest(events: DataFrame) -> DataFrame:
               .select("id", "value", "seq")
 
 
-def replace_deleted(op_log: DataFrame, capacity: int) -> DataFrame:
-    """Slot reuse under fixed capacity: the k-th new insert takes the k-th free slot.
+def replace_deleted(op_log: DataFrame, width: int = SEQ_BUCKET) -> DataFrame:
+    """Slot reuse in log order: an insert of a label that is not live takes the slot that was freed first, if any is
+    free at that moment, else a new slot.
 
-    Free slots = tombstoned labels in id order; inserts are the first insert of
-    labels never seen before, in log order.  Beyond the free slots, new slots
-    ``capacity + j`` are appended.  Ranks are computed with bounded windows.
+    ``(seq, id, take, freed_seq, freed_id, new_slot)``: ``freed_*`` name the delete whose slot is reused (always
+    earlier in the log); ``new_slot`` counts appended slots from 0.  Inserts of live labels are updates, deletes of
+    labels that are not live do nothing.
+
+    With d = +1 for a take and -1 for a free, a take appends exactly when it raises the running maximum of
+    (running sum of d, 0); the other takes match the frees one by one.  Running sums and maxima use windows inside
+    buckets of ``width`` log positions plus one row a bucket.
     """
-    from vecspark.operators.ranking import global_row_number
-    first_ins = (op_log.where(F.col("op") == "insert")
-                       .groupBy("id").agg(F.min("seq").alias("seq")))
-    dead = tombstones(op_log)
-    new = first_ins.join(dead, "id", "left_anti")
-    free = global_row_number(dead.withColumn("_k", F.lit(0)), ["_k"], "id", "k").drop("_k")
-    ins = global_row_number(new.withColumn("_k", F.lit(0)), ["_k"], "seq", "k").drop("_k")
-    nfree = free.count()    # one scalar
-    j = ins.join(free.select("k", F.col("id").alias("slot")), "k", "left")
-    return j.select("seq", "id", "k",
-                    F.coalesce(F.col("slot"), F.lit(capacity) + F.col("k") - F.lit(nfree) - 1).alias("slot"))
+    label = Window.partitionBy("id").orderBy("seq")
+    e = (op_log.where(F.col("op").isin("insert", "delete")).withColumn("prev", F.lag("op").over(label))
+               .withColumn("d", F.when((F.col("op") == "insert") & ~F.col("prev").eqNullSafe(F.lit("insert")), 1)
+                                 .when((F.col("op") == "delete") & (F.col("prev") == "insert"), -1))
+               .where(F.col("d").isNotNull()).withColumn("b", (F.col("seq") / width).cast("long")))
+    at = Window.partitionBy("b").orderBy("seq")
+    upto, before = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(Window.unboundedPreceding, -1)
+    e = (e.withColumn("s", F.sum("d").over(upto)).withColumn("takes", F.sum(F.greatest("d", F.lit(0))).over(upto))
+          .withColumn("top", F.max("s").over(upto)).withColumn("top0", F.max("s").over(before)))
+    tot = e.groupBy("b").agg(F.sum("d").alias("bs"), F.sum(F.greatest("d", F.lit(0))).alias("bt"), F.max("s").alias("bm"))
+    prior = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)          # one row a bucket
+    tot = (tot.withColumn("s0", F.coalesce(F.sum("bs").over(prior), F.lit(0))).withColumn("t0", F.coalesce(F.sum("bt").over(prior), F.lit(0)))
+              .withColumn("m0", F.greatest(F.coalesce(F.max(F.col("s0") + F.col("bm")).over(prior), F.lit(0)), F.lit(0))))
+    e = (e.join(tot.select("b", "s0", "t0", "m0"), "b")
+          .withColumn("run", F.col("s0") + F.col("s")).withColumn("take", F.col("t0") + F.col("takes"))
+          .withColumn("appended", F.greatest("m0", F.col("s0") + F.col("top")))
+          .withColumn("appended0", F.greatest("m0", F.coalesce(F.col("s0") + F.col("top0"), F.col("m0")))))
+    take = e.where("d = 1").select("seq", "id", "take", (F.col("take") - F.col("appended")).alias("m"),
+                                   F.when(F.col("run") > F.col("appended0"), F.col("appended") - 1).alias("new_slot"))
+    free = e.where("d = -1").select((F.col("take") - F.col("run")).alias("m"), F.col("seq").alias("freed_seq"), F.col("id").alias("freed_id"))
+    j = take.join(free, (take.m == free.m) & take.new_slot.isNull(), "left")
+    return j.select("seq", "id", "take", "freed_seq", "freed_id", "new_slot")
 
 
 # ------------------------------------------------------------------ runbook form
@@ -116,14 +131,14 @@ def runbook_events(runbook: DataFrame, ids: DataFrame, width: int = RANGE_BUCKET
     """``(id, step, op)`` for every id covered by an insert/delete range.
 
     Range join as an equi-join on id buckets: each op lists the buckets it
-    covers (small, broadcast), ids join on their bucket, then the exact bounds.
+    covers, ids join on their bucket, then the exact bounds.
     """
     ops = (runbook.where(F.col("op").isin("insert", "delete") & (F.col("end") > F.col("start")))
                   .withColumn("bucket", F.explode(F.sequence(
                       (F.col("start") / width).cast("long"), ((F.col("end") - 1) / width).cast("long"))))
                   .select("bucket", "step", "op", "start", "end"))
     b = ids.select("id").withColumn("bucket", (F.col("id") / width).cast("long"))
-    return (b.join(F.broadcast(ops), "bucket")
+    return (b.join(ops, "bucket")
              .where((F.col("id") >= F.col("start")) & (F.col("id") < F.col("end")))
              .select("id", "step", "op"))
 
@@ -164,12 +179,12 @@ def stream_knn_steps(runbook: DataFrame, base: DataFrame, queries: DataFrame, k:
     """
     steps = search_steps(runbook)
     lb = live_base(runbook, base)
-    sq = queries.select("qid", qvec).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))) \
-                .withColumn("qid", F.shiftleft(F.col("step").cast("long"), STEP_SHIFT) + F.col("qid"))
+    # every (step, query) is a query of its own; the key table is written once, so its numbers stay the same
+    sq = (queries.select(F.col("qid").alias("query"), qvec).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
+                 .withColumn("qid", F.monotonically_increasing_id()).checkpoint())
     part = blockscan.scan(lb, sq, k=k, metric=metric, vec=vec, qvec=qvec, live_filter=True)
-    out = blockscan.rank_topk(part, k)
-    return out.select(F.shiftright("qid", STEP_SHIFT).cast("int").alias("step"),
-                      F.col("qid").bitwiseAND(F.lit((1 << STEP_SHIFT) - 1)).alias("qid"), "rk", "id", "dist")
+    out = blockscan.rank_topk(part, k).join(sq.select("qid", "query", "step"), "qid")
+    return out.select(F.col("step").cast("int").alias("step"), F.col("query").alias("qid"), "rk", "id", "dist")
 
 
 # ------------------------------------------------------------------ runbook bookkeeping
