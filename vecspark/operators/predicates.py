@@ -98,10 +98,9 @@ def pred_rows(base_tagged: DataFrame, filters: DataFrame, key: str = "pid") -> D
     hits = (post.join(ex, "tag")
                 .groupBy(key, "is_and", "nf", "id").agg(F.count(F.lit(1)).alias("c")))
     rows = hits.where(~F.col("is_and") | (F.col("c") == F.col("nf"))).select(key, "id")
-    empties = [r[key] for r in filters.where(F.size("ftags") == 0).select(key).distinct().collect()]
-    for e in empties:   # the root predicate: every row (at most two such keys)
-        rows = rows.unionByName(base_tagged.select(F.lit(e).alias(key), "id"))
-    return rows
+    # empty filters match every row: their output is (filters x rows) by definition, made in one scan
+    empty = filters.where(F.size("ftags") == 0).select(key).distinct()
+    return rows.unionByName(base_tagged.select("id").crossJoin(empty).select(key, "id"))
 
 
 def apply_tag_filter(base_tagged: DataFrame, ftags: list[int], is_and: bool = True) -> DataFrame:
@@ -155,13 +154,8 @@ def subsumption_edges(preds: DataFrame, key: str = "pid") -> DataFrame:
     cand = cand.where(subsumes("child", "parent")).select(
         F.col("c_key").alias("child"), F.col("p_key").alias("parent")).distinct()
     # root parents (empty filters, at most two keys): every predicate is their child
-    roots = [r[0] for r in par.where(F.size("ftags") == 0).select(key).distinct().collect()]
-    out = cand
-    if roots:
-        to_root = c.select(F.col(key).alias("child"),
-                           F.explode(F.array(*[F.lit(r) for r in roots])).alias("parent"))
-        out = out.unionByName(to_root)
-    return out.distinct()
+    roots = par.where(F.size("ftags") == 0).select(F.col(key).alias("parent")).distinct()
+    return cand.unionByName(c.select(F.col(key).alias("child")).crossJoin(roots)).distinct()
 
 
 def range_subsumes(child: str, parent: str) -> Column:
@@ -215,18 +209,9 @@ def signature_filter(base_tagged: DataFrame, filters: DataFrame) -> DataFrame:
     return hit.unionByName(match_all(rows, q.where(F.size("ftags") == 0)))
 
 
-def match_all(rows: DataFrame, queries: DataFrame, max_queries: int = 1 << 16) -> DataFrame:
-    """``(qid, id)`` for queries whose filter matches every row (the output is inherently rows × queries).
-
-    The (bounded) list of such query ids is expanded per row with ``explode``, so no
-    nested-loop join is planned; larger lists are processed in slices.
-    """
-    qids = [r[0] for r in queries.select("qid").distinct().collect()]
-    out = None
-    for i in range(0, len(qids), max_queries):
-        part = rows.select(F.explode(F.array(*[F.lit(q) for q in qids[i:i + max_queries]])).alias("qid"), "id")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "qid long, id long")
+def match_all(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(qid, id)`` for queries whose filter matches every row (the output is queries x rows by definition)."""
+    return rows.select("id").crossJoin(queries.select("qid").distinct()).select("qid", "id")
 
 
 def row_set_fingerprint(rows: DataFrame, key: str = "pid") -> DataFrame:
