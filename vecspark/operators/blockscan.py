@@ -208,6 +208,11 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
             from vecspark.streaming.replay import live_mask
             lm = live_mask(part["live_a"], part["live_b"], block.extra["step"], b)
             mask = lm if mask is None else (mask & lm)
+        if cols.get("route"):
+            code = {r: i for i, r in enumerate(dict.fromkeys(block.extra["route"]))}
+            mine = np.array([code.get(p, -1) for p in part["pid"]])
+            rm = mine[None, :] == np.array([code[r] for r in block.extra["route"]])[:, None]
+            mask = rm if mask is None else (mask & rm)
         if exclude_self:
             sm = ids[None, :] != block.qid[:, None]
             mask = sm if mask is None else (mask & sm)
@@ -333,6 +338,8 @@ def _build_block(rows: pd.DataFrame, qvec: str, kinds: set, radius) -> QueryBloc
         blk.is_and = rows["is_and"].to_numpy(dtype=bool)
     if "live" in kinds:
         blk.extra["step"] = rows["step"].to_numpy(dtype=np.int64)
+    if "route" in kinds:
+        blk.extra["route"] = rows["route"].tolist()
     if "attr" in kinds:
         blk.qattr = np.vstack(rows["qattr"].to_numpy()).astype(np.int64)
     if radius is not None:
@@ -346,12 +353,13 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
          tag_filter: bool = False, range_filter: bool = False,
          fusion: tuple | None = None, attr_col: str | None = None,
          group_col: str | None = None, exclude_self: bool = False,
-         radius=None, inclusive: bool = False, live_filter: bool = False) -> DataFrame:
+         radius=None, inclusive: bool = False, live_filter: bool = False, route_filter: bool = False) -> DataFrame:
     """Partial results ``(qid, id, dist[, grp])`` — at most k per (query, partition) in top-k modes.
 
     ``queries`` needs ``qid`` and the vector column, plus ``ftags, is_and`` for tag
     filters, ``lo0, hi0, lo1, hi1, is_and`` for range filters, ``qattr`` for fusion,
-    and a radius column when ``radius`` names one.
+    ``route`` for ``route_filter`` (only base rows with that ``pid`` count), and a
+    radius column when ``radius`` names one.
     """
     if metric not in METRICS and metric not in KERNELS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -385,6 +393,11 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
         want.append("step")
         cols["live"] = True
         base_cols += ["live_a", "live_b"]
+    if route_filter:
+        kinds.add("route")
+        want.append("route")
+        cols["route"] = True
+        base_cols.append("pid")
     if isinstance(radius, str):
         want.append(radius)
     schema = PARTIAL_SCHEMA + (", grp long" if mode == "topk_groups" else "")

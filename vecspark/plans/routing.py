@@ -56,11 +56,8 @@ def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame
     tag_freq = post.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     cand = K._prefilter_candidates(base_tagged, post, brute, tag_freq)
     parts.append(K.knn_prefilter(base_tagged, brute, cand, k, metric))
-    routes = [r[0] for r in q.where(F.col("strategy") == "subset").select("route").distinct().collect()]
-    for pid in routes:   # one pruned partition per routed subset
-        sub = subsets.where(F.col("pid") == pid).select("id", "v", "tags")
-        parts.append(K.knn(sub, q.where((F.col("strategy") == "subset") & (F.col("route") == pid)),
-                           k, metric, tag_filter=True))
+    sub = q.where(F.col("strategy") == "subset")
+    parts.append(K.knn(_routed_rows(subsets, sub), sub, k, metric, tag_filter=True, route_filter=True))
     parts.append(K.knn(base_tagged, q.where(F.col("strategy") == "root"), k, metric, tag_filter=True))
     out = parts[0]
     for p_ in parts[1:]:
@@ -68,6 +65,12 @@ def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame
     return out
 
 
+def _routed_rows(subsets: DataFrame, routes: DataFrame) -> DataFrame:
+    """Rows of the subsets that some query is routed to (partitions of the others are pruned)."""
+    used = routes.select(F.col("route").alias("pid")).distinct()
+    return subsets.select("pid", "id", "v", "tags").join(used, "pid", "left_semi")
+
+
 def cover_plan(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
     """Covering an OR filter by several subsets: each of its tags is routed on its own.
 
@@ -90,12 +93,10 @@ def knn_covering(base_tagged: DataFrame, queries_f: DataFrame, plan: DataFrame,
     Empty filters go to the root.  Equal to the exact filtered k-NN because the
     routes' union contains every matching row.
     """
-    routes = plan.select("qid", "route").distinct().checkpoint()
-    parts = []
-    for pid in [r[0] for r in routes.select("route").distinct().collect()]:
-        qs = queries_f.join(routes.where(F.col("route") == pid).select("qid"), "qid")
-        src = base_tagged if pid == "root" else subsets.where(F.col("pid") == pid).select("id", "v", "tags")
-        parts.append(K.blockscan.scan(src, qs, k=k, metric=metric, tag_filter=True))
+    qs = queries_f.join(plan.select("qid", "route").distinct(), "qid").checkpoint()
+    sub = qs.where(F.col("route") != "root")
+    parts = [K.blockscan.scan(_routed_rows(subsets, sub), sub, k=k, metric=metric, tag_filter=True, route_filter=True),
+             K.blockscan.scan(base_tagged, qs.where(F.col("route") == "root"), k=k, metric=metric, tag_filter=True)]
     empty = queries_f.where(F.size("ftags") == 0)
     parts.append(K.blockscan.scan(base_tagged, empty, k=k, metric=metric, tag_filter=True))
     out = parts[0]
