@@ -45,7 +45,7 @@ def test_sharded_equals_plain(spark):
 
 def test_streaming_live_set_equals_batch(spark):
     log = fx.op_log(spark, SF_SMALL)
-    live = incremental.stream_live_set(spark, log, n_files=4)
+    live = incremental.stream_live_set(spark, log.repartition(4))
     ins = (log.where(F.col("op") == "insert").select("id").distinct()
               .join(replay.tombstones(log), "id", "left_anti"))
     assert _rows(live, ["id"]) == _rows(ins, ["id"])

@@ -1,49 +1,61 @@
-"""Incremental live set with Structured Streaming.
+"""Incremental live set with Structured Streaming, resumable after a restart.
 
-The op log arrives as files; every micro-batch reduces its ops to the latest
-``(seq, op)`` per id and merges into a versioned Parquet state table by "largest
-seq wins".  The merge is commutative and idempotent, so file order, micro-batch
-boundaries and replays after a lost executor or a restarted query (the
-checkpoint location records progress) all give the same final state.
+The op log arrives as files.  Every micro-batch reduces its ops to the latest ``(seq, op)`` per id and writes that
+delta under its epoch; the live set is the latest op per id over all deltas.  A batch writes only what it holds,
+replaying it overwrites the same folder with the same rows, and "largest seq wins" does not depend on the order of
+files or batches.  All progress is in ``root`` (deltas) and the stream's checkpoint below it, none in the driver, so
+a restarted or a new driver goes on with the next file.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.session import shared_dir
 
-STATE_SCHEMA = "id long, seq long, op string"
+DELTA = "id long, seq long, op string"
+OPS = "seq long, id long, op string"
 
 
-def _merge(state: DataFrame, batch: DataFrame) -> DataFrame:
-    last = (batch.where(F.col("op").isin("insert", "delete"))
-                 .groupBy("id").agg(F.max_by(F.struct("seq", "op"), "seq").alias("s"))
-                 .select("id", "s.seq", "s.op"))
-    both = state.unionByName(last)
-    return both.groupBy("id").agg(F.max_by(F.struct("seq", "op"), "seq").alias("s")).select("id", "s.seq", "s.op")
+def latest(ops: DataFrame) -> DataFrame:
+    """``(id, seq, op)`` of the last insert or delete of each id."""
+    return (ops.where(F.col("op").isin("insert", "delete"))
+               .groupBy("id").agg(F.max_by(F.struct("seq", "op"), "seq").alias("s"))
+               .select("id", "s.seq", "s.op"))
 
 
-def stream_live_set(spark: SparkSession, op_log: DataFrame, n_files: int = 8) -> DataFrame:
-    """Replay ``op_log(seq, id, op)`` through a file stream; return the final live ids."""
-    root = shared_dir(spark, f"stream-{uuid.uuid4().hex[:12]}")
-    src, ckpt, state_root = f"{root}/in", f"{root}/checkpoint", f"{root}/state"
-    op_log.repartitionByRange(n_files, "seq").write.parquet(src)
-    versions: list[str] = []
-
-    def merge_batch(batch: DataFrame, epoch: int) -> None:
-        prev = spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], STATE_SCHEMA)
-        out = f"{state_root}/v{epoch:06d}"
-        _merge(prev, batch).write.mode("overwrite").parquet(out)
-        versions.append(out)
-
-    q = (spark.readStream.schema(op_log.schema).option("maxFilesPerTrigger", 1).parquet(src)
-              .writeStream.foreachBatch(merge_batch).option("checkpointLocation", ckpt)
+def live_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Ids whose latest op over all deltas under ``root`` is an insert."""
+    return latest(spark.read.schema(DELTA).parquet(f"{root}/delta/*")).where(F.col("op") == "insert").select("id")
+
+
+def run(spark: SparkSession, source: str, root: str, search: Callable[[DataFrame], DataFrame] | None = None,
+        files_per_batch: int = 1) -> None:
+    """Take in all op files under ``source`` that ``root`` has not seen.
+
+    With ``search``, every batch also writes ``search(live ids)`` under ``root/results`` by its epoch.
+    """
+    # a first delta without rows, so that the live set exists before any batch
+    spark.createDataFrame([], DELTA).write.mode("overwrite").parquet(f"{root}/delta/epoch=none")
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        latest(batch).write.mode("overwrite").parquet(f"{root}/delta/epoch={epoch}")
+        if search is not None:
+            search(live_ids(spark, root)).write.mode("overwrite").parquet(f"{root}/results/epoch={epoch}")
+
+    q = (spark.readStream.schema(OPS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+              .writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint")
               .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not versions:
-        return spark.createDataFrame([], "id long")
-    return spark.read.parquet(versions[-1]).where(F.col("op") == "insert").select("id")
+
+
+def stream_live_set(spark: SparkSession, op_log: DataFrame) -> DataFrame:
+    """Replay ``op_log(seq, id, op)`` through a file stream; return the final live ids."""
+    root = shared_dir(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    op_log.select("seq", "id", "op").repartitionByRange("seq").write.parquet(f"{root}/in")
+    run(spark, f"{root}/in", root)
+    return live_ids(spark, root)
