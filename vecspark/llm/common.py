@@ -76,23 +76,5 @@ def binary(array) -> list:
     return array.to_pylist()
 
 
-class WordIds:
-    """Dense numbers for words seen in one task, with a 64-bit hash of each (blake2b, so equal in every process)."""
-
-    def __init__(self, bits: int = 64):
-        self.ids: dict[bytes, int] = {}
-        self._hash: list[int] = []
-        self._bits = bits
-
-    def number(self, words: list[bytes]) -> list[int]:
-        ids = self.ids
-        return [ids.setdefault(w, len(ids)) for w in words]
-
-    def hashes(self) -> np.ndarray:
-        """uint64 hash by number, extended for the words added since the last call."""
-        from xxhash import xxh3_64_intdigest
-        new = list(self.ids)[len(self._hash):] if len(self._hash) < len(self.ids) else []
-        if new:
-            self._hash.extend(map(xxh3_64_intdigest, new))
-            self._arr = np.array(self._hash, dtype=np.uint64)
-        return self._arr if self._hash else np.zeros(0, np.uint64)
+#: words that a worker's dictionaries hold at most before they start anew (a few dozen MB)
+WORDS_HELD = 300_000

@@ -101,7 +101,7 @@ class _Hasher:
         self.make, self.words = Words, Words()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.words) > 1_000_000:
+        if len(self.words) > common.WORDS_HELD:
             self.words = self.make()
         return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 

@@ -59,7 +59,7 @@ class Terms:
 
     def __call__(self, text: bytes | None, chosen: np.ndarray | None = None) -> np.ndarray:
         """Distinct term numbers of a text (of ``chosen``, a flag per number), ascending."""
-        if len(self._of) > 500_000:
+        if len(self._of) > common.WORDS_HELD:
             self._of = self._make()
         of = self._of
         seen: set[int] = set()
