@@ -13,8 +13,9 @@ spelled is mostly new) by expectation-maximisation over the lattice, forward and
 training documents, expected piece counts (one row a piece and task) are summed by Spark, and the driver sees one row
 a piece.
 
-The add-one baseline of every text is returned with it: the most frequent ``HEAD`` training words are broadcast (a
-fixed number of short words), the rest is joined by word, so no frequent word is a join key.
+The add-one baseline of every text is returned with it: training words that make up at least 1/HEAD of the training
+text are broadcast (there cannot be more than HEAD of them), the rest is joined by word, so no frequent word is a
+join key.
 
 Edge cases: a null or empty text is the end piece alone; a null doc_id hashes as the empty string (not held out);
 repeated rows are scored row by row; without training documents all counts are 0 and the probabilities stay at their
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import common
 
-HEAD = 1 << 16                 # training words whose counts are broadcast
+HEAD = 1 << 20                 # words that are at least one in HEAD training words (at most HEAD of them) are broadcast
 HEAD_BYTES = 64                # longer words are never broadcast
+TOGETHER = 1 << 17             # words taken through the lattice at once
 ROUNDS = 3
 LONG = 96                      # longer words are taken one by one
 START = "▁"
-NONE = -1e300
 
 
 class Pieces:
@@ -59,11 +60,12 @@ class Pieces:
         while len(keys):            # keys that share a slot go to the next, differently hashed table
             slot = self._slot(keys, bits, len(self.tables))
             _, first = np.unique(slot, return_index=True)
-            held, value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            held, value, more = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool)
             held[slot[first]], value[slot[first]] = keys[first], ids[first]
-            self.tables.append((bits, held, value))
             rest = np.ones(len(keys), bool)
             rest[first] = False
+            more[slot[rest]] = True
+            self.tables.append((bits, held, value, more))
             keys, ids, bits = keys[rest], ids[rest], 14
 
     def _hash(self, chars: np.ndarray) -> np.ndarray:
@@ -76,13 +78,22 @@ class Pieces:
     def _slot(h: np.ndarray, bits: int, turn: int) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31 - turn))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).view(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        for turn, (bits, held, value) in enumerate(self.tables):
-            s = self._slot(h, bits, turn)
-            hit = held[s] == h
-            out[hit] = value[s[hit]]
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that are pieces, their piece numbers)."""
+        where, numbers, left = [], [], None
+        for turn, (bits, held, value, more) in enumerate(self.tables):
+            mine = h if left is None else h[left]
+            s = self._slot(mine, bits, turn)
+            hit = np.flatnonzero(held[s] == mine)
+            where.append(hit if left is None else left[hit])
+            numbers.append(value[s[hit]])
+            other = np.flatnonzero(more[s] & (held[s] != mine))
+            left = other if left is None else left[other]
+            if not len(left):
+                break
+        at, ids = np.concatenate(where), np.concatenate(numbers).astype(np.int64)
+        keep = ids >= 0
+        return at[keep], ids[keep]
 
 
 def load_pieces(path: str) -> tuple[Pieces, np.ndarray]:
@@ -109,64 +120,44 @@ def _byte_runs(pieces: Pieces, chars: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return points, inverse.reshape(chars.shape), rows
 
 
-def _logsum(rows: list[np.ndarray]) -> np.ndarray:
-    top = rows[0]
-    for r in rows[1:]:
-        top = np.maximum(top, r)
-    total = np.exp(rows[0] - top)
-    for r in rows[1:]:
-        total += np.exp(r - top)
-    return top + np.log(total)
-
-
 def _same_length(pieces: Pieces, log_p: np.ndarray, chars: np.ndarray, weight: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
     """Log marginal of words of one length (rows of code points); adds expected piece counts to ``counts``."""
     n, length = chars.shape
     _, inverse, runs = _byte_runs(pieces, chars)
     padded = np.append(log_p, 0.0)
-    spell = padded[runs].sum(axis=1)[inverse]                   # log probability of each character's bytes
+    spell = np.ascontiguousarray(padded[runs].sum(axis=1)[inverse].T)     # log probability of each character's bytes
     prefix = np.zeros((length + 1, n), np.uint64)
     for i in range(length):
         prefix[i + 1] = prefix[i] * pieces.BASE + chars[:, i] + np.uint64(1)
     power = [np.uint64(1)]
-    with np.errstate(over="ignore"):
-        for _ in range(min(length, pieces.longest)):
-            power.append(power[-1] * pieces.BASE)
+    for _ in range(min(length, pieces.longest)):
+        power.append(power[-1] * pieces.BASE)
     alpha = np.zeros((length + 1, n))
-    arcs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+    arcs: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]     # by start
     for j in range(1, length + 1):
-        terms = [alpha[j - 1] + spell[:, j - 1]]
+        now = alpha[j - 1] + spell[j - 1]
         for w in range(1, min(j, pieces.longest) + 1):
-            ids = pieces.find(prefix[j] - prefix[j - w] * power[w])
-            hit = np.flatnonzero(ids >= 0)
+            hit, ids = pieces.find(prefix[j] - prefix[j - w] * power[w])
             if len(hit):
-                got = log_p[ids[hit]]
-                t = np.full(n, NONE)
-                t[hit] = alpha[j - w][hit] + got
-                terms.append(t)
+                got = log_p[ids]
+                now[hit] = np.logaddexp(now[hit], alpha[j - w][hit] + got)
                 if counts is not None:
-                    arcs.append((j, w, hit, ids[hit], got))
-        alpha[j] = _logsum(terms)
+                    arcs[j - w].append((j, hit, ids, got))
+        alpha[j] = now
     if counts is not None:
-        by_end: dict[int, list] = {}
-        for a in arcs:
-            by_end.setdefault(a[0] - a[1], []).append(a)
         beta = np.zeros((length + 1, n))
         for i in range(length - 1, -1, -1):
-            terms = [beta[i + 1] + spell[:, i]]
-            for j, _, hit, _, got in by_end.get(i, ()):
-                t = np.full(n, NONE)
-                t[hit] = beta[j][hit] + got
-                terms.append(t)
-            beta[i] = _logsum(terms)
-            share = np.exp(alpha[i] + spell[:, i] + beta[i + 1] - alpha[length]) * weight
+            now = beta[i + 1] + spell[i]
+            for j, hit, _, got in arcs[i]:
+                now[hit] = np.logaddexp(now[hit], beta[j][hit] + got)
+            beta[i] = now
+            share = np.exp(alpha[i] + spell[i] + beta[i + 1] - alpha[length]) * weight
             per_point = np.bincount(inverse[:, i], share, minlength=len(runs))
             for k in range(4):
                 ok = runs[:, k] >= 0
-                counts += np.bincount(runs[ok, k], per_point[ok], minlength=pieces.size)
-            for j, _, hit, ids, got in by_end.get(i, ()):
-                share = np.exp(alpha[i][hit] + got + beta[j][hit] - alpha[length][hit]) * weight[hit]
-                counts += np.bincount(ids, share, minlength=pieces.size)
+                np.add.at(counts, runs[ok, k], per_point[ok])
+            for j, hit, ids, got in arcs[i]:
+                np.add.at(counts, ids, np.exp(alpha[i][hit] + got + beta[j][hit] - alpha[length][hit]) * weight[hit])
     return alpha[length]
 
 
@@ -241,7 +232,7 @@ def train_words(docs: DataFrame, mod: int) -> DataFrame:
             for t in common.binary(b.column(0)):
                 if t:
                     tally.update(t.lower().split())
-            if len(tally) > 1_000_000:
+            if len(tally) > common.WORDS_HELD:
                 yield rows()
                 tally.clear()
         if tally:
@@ -261,8 +252,13 @@ def fit(words: DataFrame, pieces: Pieces, start: np.ndarray, rounds: int = ROUND
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             pieces, log_p = sent.value
             counts = np.zeros(pieces.size)
+            words: list[bytes] = []
             for b in batches:
-                word_marginals(pieces, log_p, b.column(0).to_pylist(), np.ones(b.num_rows), counts)
+                words += b.column(0).to_pylist()
+                if len(words) >= TOGETHER:
+                    word_marginals(pieces, log_p, words, np.ones(len(words)), counts)
+                    words = []
+            word_marginals(pieces, log_p, words, np.ones(len(words)), counts)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["piece", "n"])
 
@@ -285,8 +281,7 @@ def score(docs: DataFrame, vocabulary: str, mod: int = 7, rounds: int = ROUNDS)
     n_words, n_kinds, once, twice = (x or 0 for x in words.agg(
         F.sum("n"), F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first())
     log_p = fit(words, pieces, start, rounds)
-    head = {bytes(r.word): r.n for r in words.filter(F.octet_length("word") <= HEAD_BYTES)
-            .orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    head = {bytes(r.word): r.n for r in words.filter((F.octet_length("word") <= HEAD_BYTES) & (F.col("n") * HEAD >= n_words)).collect()}
     tokens = n_words + n_docs
     floor = float(np.log10(tokens + n_kinds + (1 if n_docs else 0) + 1))
     discount = once / (once + 2 * twice) if once + twice else 0.5
