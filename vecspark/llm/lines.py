@@ -5,10 +5,11 @@ lines, and surrounding white space goes.  Per host, the share of pages that hold
 by pages of the host; lines with a share above ``max_ratio`` on at least ``min_pages`` pages are boilerplate and are
 dropped from every page of that host.
 
-How it scales: a page's lines are made distinct within its row, so a line is counted once a page; counts are combined
-before the shuffle; a host has at most (mean distinct lines of its pages / max_ratio) boilerplate lines, a bound on the
-array that is joined back to the pages.  That join is by host, with shuffles on both sides, so the adaptive planner
-splits a host that holds a third of all pages.
+How it scales: a page's lines are made distinct within its row, so a line is counted once a page; lines are counted by
+their 128-bit digest and combined before the shuffle; a host has at most (mean distinct lines of its pages /
+max_ratio) boilerplate lines, a bound on the array of digests that is joined back to the pages.  Hosts with more than
+1/HOT of all pages (fewer than HOT of them) get theirs by broadcast, so their pages stay where they are; the other
+pages meet theirs by host.
 
 Edge cases: a null url (or one without a host) is the empty host; a null or empty html has no lines and an empty
 text; every row is a page, also if rows or page_ids repeat; an empty table gives an empty result.  Only page_id, url
@@ -24,6 +25,7 @@ from vecspark.llm import common
 
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG = r"<[^>]*>"
+HOT = 64
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -43,10 +45,14 @@ def page_lines(pages: DataFrame) -> DataFrame:
                         lines_of(F.col("html").cast("string")).alias("lines"))
 
 
-def boilerplate(lines: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """(host, drop): the boilerplate lines of each host that has any."""
-    totals = lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    held = (lines.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+def digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
+
+
+def boilerplate(lines: DataFrame, totals: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """(host, drop): digests of the boilerplate lines of each host that has any; ``totals`` is (host, pages)."""
+    seen = F.array_distinct(F.transform("lines", digest))
+    held = (lines.select("host", F.explode(seen).alias("line"))
             .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
     return (held.join(totals, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("pages"))
             .groupBy("host").agg(F.collect_list("line").alias("drop")))
@@ -55,9 +61,15 @@ def boilerplate(lines: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
 def drop_boilerplate(pages: DataFrame, max_ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text): every page without its host's boilerplate lines."""
     lines = common.stored(page_lines(pages), "lines")
-    both = lines.join(boilerplate(lines, max_ratio, min_pages), "host", "left")
+    totals = common.stored(lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    n = totals.agg(F.sum("pages")).first()[0] or 0
+    drop = common.stored(boilerplate(lines, totals, max_ratio, min_pages), "boilerplate")
+    hot = F.broadcast(totals.filter(F.col("pages") * HOT > n).select("host"))          # fewer than HOT rows
+    large = lines.join(F.broadcast(hot.join(drop, "host", "left")), "host")
+    small = lines.join(hot, "host", "left_anti").join(drop, "host", "left")
+    both = large.select("page_id", "host", "lines", "drop").unionByName(small.select("page_id", "host", "lines", "drop"))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains("drop", x)))
+        F.filter("lines", lambda x: ~F.array_contains("drop", digest(x))))
     return (both.withColumn("kept", kept)
             .select("page_id", "host", F.size("lines").cast("long").alias("n_lines"),
                     (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
