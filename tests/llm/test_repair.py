@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,7 +28,7 @@ HARD = ["", "  ", "á ́x", "Foo's bar'll. <|endoftext|> x<|startoftext|>y.", "
 def test_encoder_equals_library(text):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    ids, n = repair.Encoder(queries.tokenizer_path()).encode([text, None, text])
+    ids, n = repair.Encoder(queries.tokenizer_path()).encode(pa.array([text, None, text]))
     want = tok.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
 

@@ -27,6 +27,7 @@ shard.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ PASSES = 12
 PER_PASS = 2048               # pairs replaced in one pass at most
 MIN_GAIN = 0.005              # a pass that shortens the sequence by less is the last
 SLOT_BITS = 17                # slots of the hashed pair count
-CACHE_WORDS = 1_000_000       # words a worker remembers between batches
+BATCH = 8192                  # texts encoded at once
+CACHE_WORDS = 600_000         # words a worker remembers between batches
 NULL_ID = -(1 << 63)
 BLOBS = ("rules", "lengths", "symbols", "doc_id", "doc_ids", "doc_symbols")
 SHARD = "part int, seq int, n_ids long, n_base int, " + ", ".join(f"{b} binary" for b in BLOBS)
@@ -64,82 +66,84 @@ class Encoder:
     """Whole texts to ids by the tokenizers library, with each distinct word encoded once.
 
     The tokenizer's normaliser and pre-tokenizer never join text across ASCII spaces, so a text's ids are its
-    space-separated pieces' ids in a row.  A piece of ASCII letters followed by ``. , ; : ! ?`` is the letters' ids
-    and the marks' ids, because its pre-tokenizer separates letters from other signs.
+    space-separated pieces' ids in a row.  A piece of plain Latin letters and at most one of ``. , ; : ! ?`` is the
+    lower-case letters' ids and the mark's, because the pre-tokenizer separates letters from other signs; such letters
+    pass the normaliser and pre-tokenizer as one word, so the library's model alone encodes them.
     """
 
-    MARKS = ".,;:!?"
+    MARKS = [".", ",", ";", ":", "!", "?"]
+    PLAIN = "^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+[.,;:!?]?$"
+    LETTERS = frozenset(chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
+        self._model = Tokenizer(self._tok.model)
+        # the byte-level alphabet: bytes that are no printable Latin-1 sign stand as code points from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self._bytes = {ord(c): "".join(sign[b] for b in c.encode()) for c in self.LETTERS if not c.isascii()}
         self.reset()
 
     def reset(self) -> None:
         self.words = Numbers()
-        self._flat = np.zeros(1 << 16, np.uint16)
-        self._used = 0
-        self._off = np.zeros(1 << 16, np.int64)
-        self._len = np.zeros(1 << 16, np.int64)
-
-    def _store(self, lens: np.ndarray, ids: np.ndarray) -> None:
-        n0, n1 = self._stored, self._stored + len(lens)
-        if n1 > len(self._off):
-            self._off = np.resize(self._off, max(n1, 2 * len(self._off)))
-            self._len = np.resize(self._len, len(self._off))
-        if self._used + len(ids) > len(self._flat):
-            self._flat = np.resize(self._flat, max(self._used + len(ids), 2 * len(self._flat)))
-        self._flat[self._used:self._used + len(ids)] = ids
-        self._len[n0:n1] = lens
-        self._off[n0:n1] = self._used + np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else 0
-        self._used += len(ids)
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode words that were not seen before (they already have their numbers, in this order)."""
-        self._stored = len(self.words) - len(fresh)
-        stems: dict[str, int] = {}
-        head, tail = [], []
-        for w in fresh:
-            s = w.rstrip(self.MARKS)
-            if s and s != w and s.isascii() and s[-1].isalpha():
-                head.append(stems.setdefault(s, len(stems)))
-                tail.append(stems.setdefault(w[len(s):], len(stems)))
-            else:
-                head.append(stems.setdefault(w, len(stems)))
-                tail.append(-1)
-        texts = list(stems)
-        lens = np.zeros(len(texts) + 1, np.int64)
-        parts = []
-        for a in range(0, len(texts), 20_000):
-            e = self._tok.encode(texts[a:a + 20_000], is_pretokenized=True, add_special_tokens=False)
-            if len(e.ids):
-                lens[:-1] += np.bincount(np.array(e.word_ids, np.int64) + a, minlength=len(texts))
+        self._flat, self._off, self._len = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._number(["", *self.MARKS])                  # numbers 0 .. 6
+
+    def _number(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words; those not seen before are encoded."""
+        known = len(self.words)
+        out = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        fresh = list(itertools.islice(self.words, known, None))
+        if not fresh:
+            return out
+        plain = np.fromiter(map(self.LETTERS.issuperset, fresh), bool, len(fresh))
+        lens, off = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        parts, used = [self._flat], len(self._flat)
+        for model, which in ((self._model, True), (self._tok, False)):
+            mine = np.flatnonzero(plain == which)
+            for a in range(0, len(mine), 20_000):
+                some = mine[a:a + 20_000]
+                texts = [fresh[i] for i in some.tolist()]
+                if which:
+                    texts = [w if w.isascii() else w.translate(self._bytes) for w in texts]
+                e = model.encode(texts, is_pretokenized=True, add_special_tokens=False)
+                n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)) if len(e.ids) else np.zeros(len(some), np.int64)
+                lens[some], off[some] = n, used + np.cumsum(n) - n
+                used += len(e.ids)
                 parts.append(np.array(e.ids, dtype=np.uint16))
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-        off = np.concatenate(([0], np.cumsum(lens)))
-        pieces = np.array([head, tail], np.int64).T.ravel()          # -1 is the empty last entry of lens
-        n = lens[pieces]
-        self._store(n[0::2] + n[1::2], ids[_spans(off[pieces], n)])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
+        self._flat = np.concatenate(parts)
+        self._off, self._len = np.concatenate([self._off, off]), np.concatenate([self._len, lens])
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text) of an Arrow string array."""
+        import pyarrow.compute as pc
         if len(self.words) > CACHE_WORDS:
             self.reset()
-        words = self.words
-        known = len(words)
-        numbers, counts = [], []
-        for t in texts:
-            ws = t.replace("\n", " ").split(" ") if t else []
-            numbers.extend(map(words.__getitem__, ws))
-            counts.append(len(ws))
-        if len(words) > known:
-            import itertools
-            self._learn(list(itertools.islice(words, known, None)))
-        k = np.array(numbers, np.int64)
-        n = self._len[k]
-        ids = self._flat[_spans(self._off[k], n)]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        return ids, np.diff(ends)
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = np.asarray(pieces.offsets).astype(np.int64)
+        coded = pc.dictionary_encode(pieces.values)
+        distinct = coded.dictionary
+        plain = pc.match_substring_regex(distinct, self.PLAIN)
+        stems = pc.dictionary_encode(pc.utf8_lower(pc.utf8_rtrim(distinct.filter(plain), characters="".join(self.MARKS))))
+        head = np.zeros(len(distinct), np.int64)
+        mark = np.zeros(len(distinct), np.int64)
+        is_plain = np.asarray(plain)
+        head[is_plain] = self._number(stems.dictionary.to_pylist())[np.asarray(stems.indices)]
+        last = pc.index_in(pc.utf8_slice_codeunits(distinct.filter(plain), -1), value_set=pa.array(self.MARKS))
+        mark[is_plain] = np.asarray(pc.fill_null(last, -1)) + 1
+        head[~is_plain] = self._number(distinct.filter(pc.invert(plain)).to_pylist())
+        # ids of every distinct word, then of every word of the texts
+        both = np.stack([head, mark], axis=1).ravel()
+        n = self._len[both]
+        flat = self._flat[_spans(self._off[both], n)]
+        size = n[0::2] + n[1::2]
+        start = np.cumsum(size) - size
+        k = np.asarray(coded.indices)[ends[0]:ends[-1]]
+        ids = flat[_spans(start[k], size[k])]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size[k])))[ends - ends[0]])
 
 
 def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -165,6 +169,10 @@ def encoder(path: str) -> Encoder:
 
 # ---- grammar -----------------------------------------------------------------------------------
 
+def _pair_slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_count: int = MIN_COUNT,
              passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of one shard: (symbols, symbols of each document, rules as pairs, expansion length of each rule).
@@ -174,7 +182,7 @@ def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_
     occurrence wins, as in a single sweep; the loser is counted again in the next pass.  It ends when no pair is
     frequent, the rules are used up, or a pass hardly shortens the sequence any more.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)                      # the last symbol of its document pairs with nothing
     ends = np.cumsum(lens)
     last[ends[lens > 0] - 1] = True
@@ -186,12 +194,10 @@ def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_
         if room <= 0 or len(seq) < 2:
             break
         # few of the possible pairs are frequent: a hashed count finds the places worth an exact count
-        inner = np.flatnonzero(~last[:-1])
-        pair = (seq[inner] << 20) | seq[inner + 1]
-        slot = (pair * -7046029254386353131).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
-        slot = slot.view(np.int64)
-        often = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= min_count)
-        at, pair, slot = inner[often], pair[often], slot[often]
+        slot = _pair_slot(seq[:-1], seq[1:])
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= min_count)[slot] & ~last[:-1])
+        slot = slot[at]
+        pair = (seq[at].astype(np.int64) << 20) | seq[at + 1]
         s = np.sort(pair)
         edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate((edge, [len(s)])))
@@ -201,9 +207,9 @@ def compress(ids: np.ndarray, lens: np.ndarray, max_rules: int = MAX_RULES, min_
         best = often[np.lexsort((s[edge[often]], -count[often]))[:room]]
         chosen = s[edge[best]]
         # each slot serves its most frequent chosen pair; others that share the slot wait for the next pass
-        where = (chosen * -7046029254386353131).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        where = _pair_slot((chosen >> 20).astype(np.uint32), (chosen & 0xFFFFF).astype(np.uint32))
         server = np.zeros(1 << SLOT_BITS, np.int64)
-        server[where[::-1].view(np.int64)] = np.arange(len(chosen))[::-1]
+        server[where[::-1]] = np.arange(len(chosen))[::-1]
         k = server[slot]
         hit = chosen[k] == pair
         at, k = at[hit], k[hit]
@@ -289,17 +295,23 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         ids, arrays, lens = [], [], []
         enc = encoder(tokenizer)
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                some = b.slice(a, 256)
-                tok, n = enc.encode(some.column(1).to_pylist())
-                ends = np.cumsum(n)
-                arrays.append(np.insert(tok, ends, end_id))
-                lens.append(n + 1)
-                ids.extend(NULL_ID if i is None else i for i in some.column(0).to_pylist())
-                held += len(arrays[-1])
-                if held >= SHARD_IDS:
-                    yield _shard_batch(part, seq, ids, arrays, lens)
-                    seq, held, ids, arrays, lens = seq + 1, 0, [], [], []
+            for a in range(0, b.num_rows, BATCH):
+                some = b.slice(a, BATCH)
+                tok, n = enc.encode(some.column(1))
+                tok = np.insert(tok, np.cumsum(n), end_id)
+                doc_ids = [NULL_ID if i is None else i for i in some.column(0).to_pylist()]
+                ends = np.cumsum(n + 1)
+                # whole documents go to shards of about SHARD_IDS ids
+                cut = np.flatnonzero(np.diff((held + ends) // SHARD_IDS)) + 1
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
+                    if held >= SHARD_IDS:
+                        yield _shard_batch(part, seq, ids, arrays, lens)
+                        seq, held, ids, arrays, lens = seq + 1, 0, [], [], []
+                    first = int(ends[lo - 1]) if lo else 0
+                    arrays.append(tok[first:int(ends[hi - 1])])
+                    lens.append(n[lo:hi] + 1)
+                    ids += doc_ids[lo:hi]
+                    held += len(arrays[-1])
         if ids:
             yield _shard_batch(part, seq, ids, arrays, lens)
 
