@@ -68,6 +68,23 @@ def test_pairs_count_more_than_their_parts():
     assert m.raw(flat, start)[0] > m.raw(flat, start)[1:].max()
 
 
+def test_pairs_without_single_effect_count_in_a_large_vocabulary():
+    """Label 1 where both of two terms or none is there, so neither tells anything alone, among 3000 other terms."""
+    rng = np.random.default_rng(5)
+
+    def texts(n):
+        met = [rng.random(2) < 0.5 for _ in range(n)]
+        return [np.unique([*np.array([11, 12])[x], *(100 + rng.integers(0, 3000, 40))]) for x in met], np.array([float(a == b) for a, b in met])
+
+    rows, label = texts(4000)
+    m = toxicity.fit(rows, label, np.ones(len(rows)))
+    assert m.chosen[11] and m.chosen[12] and m.chosen.sum() > 2900
+    held, want = texts(1000)
+    held = [r[m.chosen[r]] for r in held]
+    start = np.concatenate(([0], np.cumsum([len(r) for r in held])))
+    assert np.mean((m.probability(np.concatenate(held), start) > 0.5) == want) > 0.95
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, t, 9, "q") for i, t in ODD] + [(100 + i, "you idiot scum" if i % 3 == 0 else "a kind word", 9, "q") for i in range(200)],
                                  "doc_id long, text string, toxic int, y string")

@@ -4,8 +4,9 @@ Terms are a text's distinct lower-cased words and the first letters of its longe
 The machine scores  w0 + sum w_i + sum_{i<j} <v_i, v_j>  over the terms of a text, so a pair such as an insult with a
 group's name can count more than its parts.  It is fitted on a bounded sample of labelled training rows: of each
 class about ``PER_CLASS`` rows, chosen by a hash of doc_id among all of them and weighted back to the class's share.
-The ``TERMS`` terms that tell most about the label (log-likelihood ratio, at least ``MIN_DOCS`` sampled texts) get
-parameters, the others count nothing.  Scoring is one Arrow pass without a shuffle.
+All terms in at least ``MIN_DOCS`` sampled texts get parameters, however little they tell alone.  Single weights are
+fitted with a lasso (threshold by the standard error of a term's gradient), factors with a shrinkage that grows with
+the terms a text has and falls with the number of texts.  Scoring is one Arrow pass without a shuffle.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; null labels are no labels, and of
 several labels of a doc_id the highest counts; a null doc_id has no label; repeated rows are scored row by row;
@@ -30,13 +31,14 @@ BITS = 18
 FACTORS = 8
 PER_CLASS = 6000
 MIN_DOCS = 4
-TERMS = 500
 PREFIXES = (4, 6)              # first letters that are terms of their own
 EPOCHS = 12
 STEPS = 300                    # steps at least, however few texts
 BATCH = 256
 STEP = 0.02
-SHRINK = 3e-4
+EVEN = 5e-4                    # Adam's denominator grows by it, so terms of few texts move in proportion to their gradients
+SPARSE = 2.0                   # a weight is 0 while its gradient is within so many standard errors of chance (lasso)
+NOISE = 5.0                    # shrinkage of factors, as a share of mean terms of a text / texts: pairs below that are chance
 
 
 class Terms:
@@ -94,34 +96,19 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(flat, start), -60, 60)))
 
 
-def telling(rows: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
-    """Flag of the ``TERMS`` terms with the greatest log-likelihood ratio between the classes (ties: lower number)."""
-    flag = np.zeros(size, bool)
-    if not 0 < label.sum() < len(label):
-        return flag
-    n = np.array([(label == 0).sum(), label.sum()], dtype=float)
-    k = np.stack([np.bincount(np.concatenate([r for r, y in zip(rows, label, strict=True) if y == c]), minlength=size)
-                  for c in (0, 1)], axis=1).astype(float)
-    p = k.sum(axis=1, keepdims=True) / n.sum()
-
-    def part(seen, expected):
-        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
-
-    gain = (part(k, n * p) + part(n - k, n * (1 - p))).sum(axis=1)
-    gain[k.sum(axis=1) < MIN_DOCS] = -1
-    best = np.argsort(-gain, kind="stable")[:TERMS]
-    flag[best[gain[best] > 0]] = True
-    return flag
+def common_terms(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """Flag of every term that is in at least ``MIN_DOCS`` texts."""
+    return np.bincount(np.concatenate(rows), minlength=size) >= MIN_DOCS
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int = 10) -> Machine:
-    """Mini-batch Adam on the weighted log loss; rows are distinct term numbers."""
+    """Mini-batch Adam on the weighted log loss with lasso and shrinkage; rows are distinct term numbers."""
     size = 1 << BITS
-    chosen = telling(rows, label, size)
     share = float((weight * label).sum() / weight.sum()) if len(label) else 0.0
     empty = Machine(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(size, bool), np.zeros(size), np.zeros((size, 1)))
     if not 0 < label.sum() < len(label):
         return empty
+    chosen = common_terms(rows, size)
     names = np.flatnonzero(chosen)
     local = np.full(size, -1, np.int64)
     local[names] = np.arange(len(names))
@@ -132,6 +119,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int
     bias = empty.bias
     m, s, mb, sb, t = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
     weight = weight / weight.mean()
+    seen = np.bincount(np.concatenate(rows), minlength=k)
+    least = SPARSE * np.sqrt((weight ** 2 * (label - share) ** 2).mean() * seen) / len(rows)
+    shrink = max(3e-4, NOISE * seen.sum() / len(rows) ** 2)
     batches = max(1, len(rows) // BATCH)
     epochs = max(EPOCHS, -(-STEPS // batches))
     for epoch in range(epochs):
@@ -145,11 +135,14 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int
             z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
             g = weight[part] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - label[part]) / len(part)
             per = np.concatenate([np.ones((len(flat), 1)), sums[doc, 1:] - x[:, 1:]], axis=1) * g[doc, None]
-            grad = np.stack([np.bincount(flat, per[:, f], minlength=k) for f in range(1 + FACTORS)], axis=1) + SHRINK * theta
+            grad = np.stack([np.bincount(flat, per[:, f], minlength=k) for f in range(1 + FACTORS)], axis=1)
+            grad[:, 1:] += shrink * theta[:, 1:]
             t += 1
             m = 0.9 * m + 0.1 * grad
             s = 0.999 * s + 0.001 * grad * grad
-            theta -= step * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-6)
+            pace = step / (np.sqrt(s / (1 - 0.999 ** t)) + EVEN)
+            theta -= pace * (m / (1 - 0.9 ** t))
+            theta[:, 0] = np.sign(theta[:, 0]) * np.maximum(np.abs(theta[:, 0]) - pace[:, 0] * least, 0)
             gb = float(g.sum())
             mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
             bias -= step * (mb / (1 - 0.9 ** t)) / (np.sqrt(sb / (1 - 0.999 ** t)) + 1e-6)
