@@ -34,6 +34,15 @@ def test_language_edges(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "RAREST", 5)
+    rows = [(i, "the of and this is with that from", "en") for i in range(300)] + [(1000 + i, "ja nein und der die das ist nicht", "xx") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert set(model.langs) == {"en", "xx"}
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {i: x for i, _, x in rows}
+
+
 def test_lang_column_does_not_reach_predictions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs)

@@ -7,8 +7,10 @@ greatest cosine.  Distance-based rejection: a text further from its centroid tha
 language's own sampled texts is marked ``rejected`` (its nearest language is still given).
 
 idf counts all training documents (one row a slot and task is shuffled).  The fitting sample is at most ``SAMPLE``
-texts of each language (a language in less than 1 of RAREST training texts is not learned), chosen by a hash of
-doc_id among all of them; each language is clustered in a task of its own.  The centroids (languages x clusters x slots) are broadcast; prediction is one Arrow pass.
+texts of each language, chosen by a hash of doc_id among all of them; each language, however rare, is learned and
+clustered in a task of its own.  The counts of the at most ``RAREST`` languages that have 1/RAREST of the training texts
+are broadcast to thin their texts before the shuffle; texts of rarer ones all go to the choice.  The centroids
+(languages x clusters x slots) are broadcast; prediction is one Arrow pass.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null languages are not learned from;
 repeated rows are answered row by row; without training rows everything is ``und``; an empty table gives an empty
@@ -34,7 +36,7 @@ CLUSTERS = 3
 SAMPLE = 400
 ROUNDS = 12
 REJECT = 0.005
-RAREST = 100_000               # a language in less than one of so many training texts is not learned
+RAREST = 100_000               # texts of a language in less than one of so many training texts are not thinned beforehand
 UND = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: letters lowered, other ASCII bytes a space, bytes from 0x80 on as they are
@@ -128,10 +130,10 @@ def train(docs: DataFrame, mod: int = 4, sample: int = SAMPLE) -> Centroids:
 
     per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = per_lang.agg(F.sum("n")).first()[0]
-    per_lang = F.broadcast(per_lang.filter(F.col("n") * RAREST >= total))          # at most RAREST rows, so no text is shuffled
+    common_langs = F.broadcast(per_lang.filter(F.col("n") * RAREST >= total))      # at most RAREST rows
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    likely = (rows.withColumn("place", place).join(per_lang, "lang")
-              .filter(F.col("place") < F.lit(4.0 * sample) / F.col("n")))          # a small superset, whatever the language's size
+    likely = (rows.withColumn("place", place).join(common_langs, "lang", "left")   # a small superset of a common language's sample
+              .filter(F.col("n").isNull() | (F.col("place") < F.lit(4.0 * sample) / F.col("n"))))
     first = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))
     picked = likely.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample).select("lang", "text")
     sent = docs.sparkSession.sparkContext.broadcast(idf)
