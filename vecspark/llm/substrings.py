@@ -9,8 +9,7 @@ the ones in several blocks; a block adds the ones it holds twice itself.
 Level 2 (window words): only full windows whose level-1 sequence is repeated are named (by the hashes of their two
 halves, 96 bits) and sent, once a block, with their first place.  Buckets find the earliest place of each; every
 other place goes back to its block.  Windows that are not repeated never leave their block.
-``repeated_lengths`` goes on doubling until no candidate survives; the removal itself needs no longer window, since a
-longer repeat is a run of repeated windows.
+There are no further levels: the removal needs no longer window, since a longer repeat is a run of repeated windows.
 
 How it scales: what is shuffled are packed hashes of candidates, one entry a block however often a sequence occurs
 in it, so a passage in a third of all documents costs one entry a block.  Buckets hold about ``PER_BUCKET`` hashes
