@@ -8,7 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import common, decontam, langid, lattice, lines, mixing, neardup, quality, repair, substrings, toxicity
+from vecspark.llm import (
+    common,
+    conversations,
+    decontam,
+    langid,
+    lattice,
+    lines,
+    mixing,
+    neardup,
+    quality,
+    repair,
+    sharding,
+    substrings,
+    toxicity,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -193,6 +208,26 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversations.trie(common.table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard by the byte-balanced slot map, with its gapless place in the shard."""
+    found = sharding.assign(common.table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+                        F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"), "version")
+
+
+@query
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first four whitening directions."""
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
