@@ -201,8 +201,7 @@ def bucket_layout(spark, sf):
                                     lambda j: F.when(F.array_contains("tags", j), F.shiftleft(F.lit(1), 3) / F.pow(F.lit(2), j)).otherwise(0)),
                         F.lit(0.0), lambda acc, x: acc + x).cast("long")
     k = a.select("id", "cell", props.alias("props"))
-    ordk = k.withColumn("_o", F.col("props") * F.lit(1 << 40) + F.col("id"))
-    pos = global_row_number(ordk, ["cell"], "_o", "gpos")
+    pos = global_row_number(k, ["cell", "props"], "id", "gpos")        # in (cell, props, id) order
     first = pos.groupBy("cell").agg(F.min("gpos").alias("_p0"))
     return pos.join(first, "cell").select("id", "cell", "props", (F.col("gpos") - F.col("_p0") + 1).alias("pos"))
 

@@ -60,12 +60,12 @@ def _step_recall(spark, sf):
     run = replay.stream_knn_steps(rb, bc, qc, TOPK)
 
     def enc(df):
-        return df.withColumn("qid", F.col("step").cast("long") * (1 << 32) + F.col("qid"))
+        return df.withColumn("qid", F.struct(F.col("step").cast("int").alias("step"), F.col("qid").alias("q")))
     ext = Q.tie_extended_truth(enc(truth), TOPK).select("qid", "id").withColumn("_t", F.lit(1))
     hits = enc(run).select("qid", "id").join(ext, ["qid", "id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("h"))
     qs = enc(truth).select("qid").distinct()
     per = qs.join(hits, "qid", "left").fillna({"h": 0})
-    return per.select((F.col("qid") / (1 << 32)).cast("int").alias("step"), (F.col("h") / TOPK).alias("recall"))
+    return per.select(F.col("qid.step").alias("step"), (F.col("h") / TOPK).alias("recall"))
 
 
 _STEP_RECALL_SQL = (

@@ -48,8 +48,9 @@ def sq_norm(a) -> Column:
 
 
 def cosine_dist(a, b) -> Column:
-    """``1 - a·b / sqrt(|a|² |b|²)``."""
-    return F.lit(1.0) - dot(a, b) / F.sqrt(sq_norm(a) * sq_norm(b))
+    """``1 - a·b / sqrt(|a|² |b|²)``; a zero norm counts as 1, as in the block scan."""
+    n = F.sqrt(sq_norm(a) * sq_norm(b))
+    return F.lit(1.0) - dot(a, b) / F.when(n == 0, F.lit(1.0)).otherwise(n)
 
 
 def euclidean(a, b) -> Column:

@@ -273,7 +273,9 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
                 block = blocks[number]
                 if raw != base:
                     base, rows = raw, pickle.loads(raw)
-                chunk = max(1, PAIR_BUDGET // max(len(block.Q), 1))
+                # an own distance sees row-paired matrices: its budget counts elements, not pairs
+                width = block.Q.shape[1] if callable(metric) and len(block.Q) else 1
+                chunk = max(1, PAIR_BUDGET // max(len(block.Q) * width, 1))
                 for lo in range(0, len(rows), chunk):
                     found = compare(block, rows.iloc[lo:lo + chunk])
                     if not len(found[0]):

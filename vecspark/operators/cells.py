@@ -110,9 +110,8 @@ def tag_cell_index(assigned_tagged: DataFrame) -> DataFrame:
     from vecspark.operators.ranking import global_prefix_sum
     g = assigned_tagged.select("cell", F.explode("tags").alias("tag")).groupBy("tag", "cell").agg(
         F.count(F.lit(1)).alias("n"))
-    # (tag, cell) order as one integer key; prefix sums over bounded sub-buckets (tags × cells can be large)
-    key = g.withColumn("_k", F.col("tag").cast("long") * F.lit(1 << 32) + F.col("cell"))
-    return global_prefix_sum(key, "_k", "n", "offset").drop("_k")
+    # prefix sums in (tag, cell) order over bounded sub-buckets of a tag (tags × cells can be large)
+    return global_prefix_sum(g, "cell", "n", "offset", keys=["tag"])
 
 
 def _means(assigned: DataFrame, keys: list[str]) -> DataFrame:

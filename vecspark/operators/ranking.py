@@ -46,19 +46,20 @@ def first_true_index(cond: Column, order: str, part: str) -> Column:
 
 
 def global_prefix_sum(df: DataFrame, order: str, value: str, out: str = "offset",
-                      bucket_width: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order`` (CSR indptr) with bounded windows.
+                      bucket_width: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` in the order ``(keys..., order)`` (CSR indptr) with bounded windows.
 
     Per-sub-bucket totals are prefix-summed on the small totals table; inside a
     sub-bucket a running window adds the local part.
     """
     width = bucket_width or SUB_BUCKET
     b = df.withColumn("_sub", (F.col(order) / F.lit(width)).cast("long"))
-    tot = b.groupBy("_sub").agg(F.sum(value).alias("_t"))
-    wo = Window.orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sub = [*(keys or []), "_sub"]
+    tot = b.groupBy(*sub).agg(F.sum(value).alias("_t"))
+    wo = Window.orderBy(*sub).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
-    w = Window.partitionBy("_sub").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(offs, "_sub")
+    w = Window.partitionBy(*sub).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (b.join(offs, sub)
              .withColumn(out, (F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
              .drop("_sub", "_off"))
 

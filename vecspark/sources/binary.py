@@ -154,6 +154,16 @@ def _preallocate(path: str, nbytes: int, header: bytes) -> None:
         f.write(header)
 
 
+def checked_cast(values: np.ndarray, dtype) -> np.ndarray:
+    """``values`` in a file's number format; whole numbers that it cannot hold are refused, never wrapped."""
+    dtype = np.dtype(dtype)
+    if dtype.kind in "iu" and len(values):
+        lo, hi = values.min(), values.max()
+        if lo < np.iinfo(dtype).min or hi > np.iinfo(dtype).max:
+            raise OverflowError(f"value {lo if lo < np.iinfo(dtype).min else hi} does not fit {dtype.name}")
+    return values.astype(dtype)
+
+
 def _scatter(df: DataFrame, path: str, cols: list[tuple[str, str, int]]) -> None:
     """Each task writes its rows' values at precomputed byte offsets ``(value col, dtype, offset col)``.
 
@@ -164,7 +174,7 @@ def _scatter(df: DataFrame, path: str, cols: list[tuple[str, str, int]]) -> None
             for pdf in it:
                 for vcol, dt, ocol in cols:
                     offs = pdf[ocol].to_numpy(dtype=np.int64)
-                    vals = pdf[vcol].to_numpy().astype(dt)
+                    vals = checked_cast(pdf[vcol].to_numpy(), dt)
                     order = np.argsort(offs, kind="stable")
                     offs, vals = offs[order], vals[order]
                     size = np.dtype(dt).itemsize
