@@ -7,15 +7,16 @@ returns a DataFrame in the long result form ``(qid, rk, id, dist)`` (range:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.operators import knn as K
 from vecspark.operators import quality as Q
-from vecspark.plans import routing
+from vecspark.plans import cover, routing
 from vecspark.plans import workload as W
+from vecspark.plans.store import SubsetStore
 
 
 class Searcher:
@@ -53,7 +54,7 @@ class WorkloadSearcher(Searcher):
         super().__init__(metric)
         self.params = params
         self.name = name
-        self.subsets = None
+        self.store: SubsetStore | None = None
         self.selected = None
 
     def fit(self, base: DataFrame, workload: DataFrame | None = None) -> "WorkloadSearcher":
@@ -61,10 +62,24 @@ class WorkloadSearcher(Searcher):
         p = self.params or W.Params(n=base.count())
         self.params = p
         if workload is not None:
-            cands = W.candidates(base, workload, p).checkpoint()
-            chosen = W.select(cands, p).select("pid")
-            self.selected = cands.join(chosen, "pid").select("pid", "ftags", "is_and", "card").checkpoint()
-            self.subsets = routing.materialise(base, self.selected.select("pid", "ftags", "is_and"), self.name)
+            self.store = self.store or SubsetStore(base.sparkSession)
+            self.refit(workload)
+        return self
+
+    def refit(self, workload: DataFrame) -> DataFrame:
+        """Select anew for a changed log; only new subsets are written.  Returns (pid, action)."""
+        cands = W.candidates(self.base, workload, self.params)
+        chosen = W.select(cands, self.params).select("pid")
+        self.selected = cands.join(chosen, "pid").select("pid", "ftags", "is_and", "card").checkpoint()
+        return self.store.refit(self.base, self.selected)
+
+    def insert(self, rows: DataFrame) -> "WorkloadSearcher":
+        """Add base rows: they go to the base and to every held subset that they match."""
+        self.base = self.base.unionByName(rows.select(*self.base.columns))
+        self.params = replace(self.params, n=self.base.count())
+        if self.store is not None:
+            self.store.append(rows)
+            self.selected = self.store.subsets().checkpoint()
         return self
 
     def filtered_query(self, queries: DataFrame, k: int, strategy: str = "auto", cutoff: int | None = None) -> DataFrame:
@@ -74,8 +89,10 @@ class WorkloadSearcher(Searcher):
         card = P.filter_cardinality(self.base, queries.select("ftags", "is_and"))
         qcard = queries.join(card, ["ftags", "is_and"]).select("qid", "card")
         rt = W.route(queries, self.selected, self.params.n)
-        st = W.strategy(rt, qcard, self.params).checkpoint()
-        return routing.knn_routed(self.base, queries, st, self.subsets, k, self.metric)
+        plan = cover.cover_plan(queries, self.selected, self.base, self.params).checkpoint()
+        st = cover.strategy_with_cover(rt, qcard, plan, self.params).checkpoint()
+        routes = routing.single_routes(st).unionByName(cover.cover_routes(st, plan))
+        return routing.search(self.base, queries, st, routes, self.store, k, self.metric)
 
 
 @dataclass(frozen=True)

@@ -281,14 +281,15 @@ def base_without_queries(spark, sf):
 def knn_covering(spark, sf):
     """OR filters answered by searching several materialised subsets that together cover them."""
     from vecspark.plans import routing, workload as W
+    from vecspark.plans.store import SubsetStore
     queries, base = fx.split(fx.vectors(spark, sf))
     bt = fx.with_tag_array(base)
     qf = fx.filters_tag(queries, False)
     p = W.Params(n=bt.count(), cutoff=CUTOFF)
     cands = W.candidates(bt, fx.workload(spark, sf), p).select("pid", "ftags", "is_and", "card").checkpoint()
-    plan = routing.cover_plan(qf, cands, p.n)
-    subsets = routing.materialise(bt, cands.select("pid", "ftags", "is_and"), "cover-subsets")
-    return _fin(routing.knn_covering(bt, qf, plan, subsets, TOPK))
+    store = SubsetStore(spark)
+    store.refit(bt, cands)
+    return _fin(routing.knn_covering(bt, qf, cands, store, p, TOPK))
 
 
 _HALF_SQL = ("nb AS (SELECT max(id) + 1 AS nb FROM vectors),\n"

@@ -14,6 +14,8 @@ from vecspark.catalog.registry import register
 from vecspark.operators import knn as K
 from vecspark.operators import predicates as P
 from vecspark.plans import routing, workload as W
+from vecspark.plans.store import SubsetStore
+from vecspark.session import cut_lineage
 from vecspark.sources import fixtures as fx
 
 WINDOW_N = 5000
@@ -101,7 +103,7 @@ def workload_tally(spark, sf):
           "SELECT pid, cnt, card, CAST(row_number() OVER (ORDER BY card, pid) AS INTEGER) AS ord FROM cand")
 def candidate_subsets(spark, sf):
     _, _, _, c = _cands(spark, sf)
-    return c.select("pid", "cnt", "card", "ord")
+    return W.in_order(c).select("pid", "cnt", "card", "ord")
 
 
 @register("selectivity_profile", _wcte(
@@ -221,7 +223,6 @@ _ROUTE_CTE = _wcte(*_ROUTE_SQL, names=("queries", "base", "tag_arr", "workload",
 
 def _routed(spark, sf):
     """Query filters routed over the workload candidates; the tag bitmap index is built once and shared."""
-    from vecspark.session import cut_lineage
     q, bt, p = _setup(spark, sf)
     bms = cut_lineage(P.tag_bitmaps(P.postings(bt)))
     c = W.candidates(bt, fx.workload(spark, sf), p, bitmaps=bms)
@@ -261,26 +262,16 @@ def route_tally(spark, sf):
     f"SELECT q.qid, b.id, {l2('q.qv', 'b.v')} AS dist FROM queries q JOIN filters_tag f ON f.qid = q.qid, "
     "base b JOIN tag_arr t ON t.id = b.id WHERE len(f.ftags) = 0 OR list_has_all(t.tags, f.ftags)"))
 def knn_routed(spark, sf):
-    """Every route executed in one job: brute (candidate join), subset (scan of the materialised subset), root."""
-    q, bt, p, c, qf, rt, qcard = _routed(spark, sf)
-    st = W.strategy(rt, qcard, p).checkpoint()          # one row per query
-    subsets = routing.materialise(bt, c.select("pid", "ftags", "is_and").checkpoint(), "subsets")
-    return _fin(routing.knn_routed(bt, qf, st, subsets, TOPK))
-
-
-@register("select_subsets")
-def select_subsets(spark, sf):
-    """Budgeted greedy selection (no SQL twin: checked against a pandas re-computation in the tests)."""
-    _, _, p, c = _cands(spark, sf)
-    return W.select(c, p)
-
-
-@register("refit_plan")
-def refit_plan(spark, sf):
-    """Greedy selections on the old (first half) and new (whole) log windows, and the create/keep/drop diff."""
+    """Budgeted choice, stored subsets, routing and search: brute (candidate join), subset (its stored rows only), root."""
     q, bt, p = _setup(spark, sf)
-    wl = fx.workload(spark, sf)
-    half = wl.count() // 2
-    new = W.select(W.candidates(bt, W.workload_window(wl, WINDOW_N), p), p).select("pid")
-    old = W.select(W.candidates(bt, W.workload_window(wl.where(F.col("seq") < half), WINDOW_N), p), p).select("pid")
-    return routing.subset_plan(old, new)
+    bms = cut_lineage(P.tag_bitmaps(P.postings(bt)))
+    c = W.candidates(bt, fx.workload(spark, sf), p, bitmaps=bms)
+    chosen = c.join(W.select(c, p).select("pid"), "pid", "left_semi").checkpoint()
+    store = SubsetStore(spark)
+    store.refit(bt, chosen)
+    qf = fx.filters_tag(q, True)
+    rt = W.route(qf, chosen.select("pid", "ftags", "is_and", "card"), p.n)
+    card = P.filter_cardinality(bt, qf.select("ftags", "is_and"), bitmaps=bms, total=p.n)
+    qcard = qf.join(card, ["ftags", "is_and"]).select("qid", "card")
+    st = W.strategy(rt, qcard, p).checkpoint()          # one row per query
+    return _fin(routing.knn_routed(bt, qf, st, store, TOPK))

@@ -89,6 +89,17 @@ def filter_cardinality(base_tagged: DataFrame, filters: DataFrame, bitmaps: Data
                       F.when(F.size("ftags") == 0, F.lit(total).cast("long")).otherwise(F.col("card")).alias("card"))
 
 
+def filter_bitmaps(base_tagged: DataFrame, filters: DataFrame, bitmaps: DataFrame | None = None) -> DataFrame:
+    """``(pid, bucket, bm)``: the rows of each non-empty filter ``(pid, ftags, is_and)`` as bitmaps, from the tags' bitmaps."""
+    bms = tag_bitmaps(postings(base_tagged)) if bitmaps is None else bitmaps
+    ex = filters.where(F.size("ftags") > 0).select(
+        "pid", "is_and", F.size(F.array_distinct("ftags")).alias("nf"), F.explode(F.array_distinct("ftags")).alias("tag"))
+    per = bms.join(ex, "tag").groupBy("pid", "is_and", "nf", "bucket").agg(
+        F.count(F.lit(1)).alias("present"), F.expr("bitmap_and_agg(bm)").alias("bm_and"), F.bitmap_or_agg("bm").alias("bm_or"))
+    bm = F.when(F.col("is_and"), F.when(F.col("present") == F.col("nf"), F.col("bm_and"))).otherwise(F.col("bm_or"))
+    return per.select("pid", "bucket", bm.alias("bm")).where(F.col("bm").isNotNull() & (F.bitmap_count("bm") > 0))
+
+
 def pred_rows(base_tagged: DataFrame, filters: DataFrame, key: str = "pid") -> DataFrame:
     """Matching rows ``(key, id)`` of each filter (``key, ftags, is_and``)."""
     post = postings(base_tagged)
@@ -103,6 +114,23 @@ def pred_rows(base_tagged: DataFrame, filters: DataFrame, key: str = "pid") -> D
     return rows.unionByName(base_tagged.select("id").crossJoin(empty).select(key, "id"))
 
 
+def matching_rows(rows: DataFrame, filters: DataFrame, key: str = "pid") -> DataFrame:
+    """Whole rows of each filter, ``(key, *rows.columns)``, tested on the row's own tag array.
+
+    A row meets an AND filter through the filter's least tag and an OR filter through the least tag it shares with it, so
+    each matching pair is made once and no partial hits are grouped.  Empty filters match every row.
+    """
+    f = filters.select(key, F.array_sort(F.array_distinct("ftags")).alias("__ft"), F.col("is_and").alias("__and"))
+    by_tag = (f.where(F.size("__ft") > 0)
+              .withColumn("__t", F.explode(F.when(F.col("__and"), F.slice("__ft", 1, 1)).otherwise(F.col("__ft")))))
+    hit = rows.withColumn("__t", F.explode(F.array_distinct("tags"))).join(by_tag, "__t")
+    first = F.array_min(F.array_intersect("tags", "__ft")) == F.col("__t")
+    ok = F.when(F.col("__and"), tag_all(F.col("tags"), F.col("__ft"))).otherwise(first)
+    found = hit.where(ok).select(key, *rows.columns)
+    every = f.where(F.size("__ft") == 0).select(key).distinct()
+    return found.unionByName(rows.crossJoin(every).select(key, *rows.columns))
+
+
 def apply_tag_filter(base_tagged: DataFrame, ftags: list[int], is_and: bool = True) -> DataFrame:
     """Rows of the base matching one literal filter (pushed as an array expression)."""
     lit = F.array(*[F.lit(int(t)) for t in ftags]).cast("array<int>") if ftags else F.array().cast("array<int>")

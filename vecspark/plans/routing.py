@@ -1,30 +1,19 @@
-"""Materialised subsets and routed execution.
+"""Routed execution over materialised subsets.
 
-A materialised subset is the base rows matching one workload predicate, written
-once as Parquet partitioned by ``pid`` in the shared checkpoint folder, so that
-a query routed to it reads only that partition (partition pruning), exactly as
-an index over that subset would only touch its rows.
+A materialised subset is the base rows matching one workload predicate, written once by ``store.SubsetStore``, so that
+a query routed to it reads only that folder (partition pruning), exactly as an index over that subset would only touch
+its rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.operators import knn as K
 from vecspark.operators import predicates as P
-from vecspark.session import shared_dir
-
-
-def subset_plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(pid, action)``: create (new only), keep (both), drop (old only)."""
-    o = old.select("pid").distinct().withColumn("_o", F.lit(True))
-    n = new.select("pid").distinct().withColumn("_n", F.lit(True))
-    j = n.join(o, "pid", "full")
-    return j.select("pid", F.when(F.col("_o").isNull(), "create").when(F.col("_n").isNull(), "drop")
-                    .otherwise("keep").alias("action"))
+from vecspark.plans import cover
+from vecspark.plans.store import SubsetStore, subset_plan  # noqa: F401
 
 
 def subset_append(subsets: DataFrame, delta_tagged: DataFrame) -> DataFrame:
@@ -32,75 +21,45 @@ def subset_append(subsets: DataFrame, delta_tagged: DataFrame) -> DataFrame:
     return P.pred_rows(delta_tagged, subsets, key="pid").select("pid", "id")
 
 
-def materialise(base_tagged: DataFrame, subsets: DataFrame, name: str) -> DataFrame:
-    """Write each subset's rows (``pid, id, v, tags``) partitioned by ``pid``; return the re-read table."""
-    spark = base_tagged.sparkSession
-    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    rows = P.pred_rows(base_tagged, subsets, key="pid").join(base_tagged.select("id", "v", "tags"), "id")
-    rows.write.mode("overwrite").partitionBy("pid").parquet(path)
-    return spark.read.parquet(path)
-
-
-def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame, subsets: DataFrame,
-               k: int = 10, metric: str = "l2") -> DataFrame:
-    """Execute every query by its route; the union equals the exact filtered k-NN.
+def search(base_tagged: DataFrame, queries_f: DataFrame, strategies: DataFrame, routes: DataFrame, store: SubsetStore,
+           k: int = 10, metric: str = "l2") -> DataFrame:
+    """Execute every query by its strategy; the union equals the exact filtered k-NN.
 
-    brute  → candidate join on the postings (cardinality ≤ cutoff);
-    subset → masked scan of the one subset partition it was routed to;
-    root   → masked scan of the base.
+    brute → candidate join on the postings (cardinality ≤ cutoff or cheapest);
+    subset, cover → masked scan of the stored subsets in ``routes(qid, route)`` only, each hit counted once;
+    root → masked scan of the base.
     """
-    q = queries_f.join(strategy.select("qid", "strategy", "route"), "qid").checkpoint()      # written once
-    parts = []
+    q = queries_f.join(strategies.select("qid", "strategy"), "qid").checkpoint()      # written once
     brute = q.where(F.col("strategy") == "brute")
     post = P.postings(base_tagged)
     tag_freq = post.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     cand = K._prefilter_candidates(base_tagged, post, brute, tag_freq)
-    parts.append(K.knn_prefilter(base_tagged, brute, cand, k, metric))
-    sub = q.where(F.col("strategy") == "subset")
-    parts.append(K.knn(_routed_rows(subsets, sub), sub, k, metric, tag_filter=True, route_filter=True))
-    parts.append(K.knn(base_tagged, q.where(F.col("strategy") == "root"), k, metric, tag_filter=True))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    found = K.knn_prefilter(base_tagged, brute, cand, k, metric)
+    routed = q.join(routes, "qid").checkpoint()
+    if routed.head(1):
+        held = store.rows(routed.select(F.col("route").alias("pid")))
+        hits = K.blockscan.scan(held, routed, k=k, metric=metric, tag_filter=True, route_filter=True).dropDuplicates(["qid", "id"])
+        found = found.unionByName(K.rank_topk(hits, k).select("qid", "rk", "id", "dist"))
+    return found.unionByName(K.knn(base_tagged, q.where(F.col("strategy") == "root"), k, metric, tag_filter=True))
 
 
-def _routed_rows(subsets: DataFrame, routes: DataFrame) -> DataFrame:
-    """Rows of the subsets that some query is routed to (partitions of the others are pruned)."""
-    used = routes.select(F.col("route").alias("pid")).distinct()
-    return subsets.select("pid", "id", "v", "tags").join(used, "pid", "left_semi")
+def single_routes(strategies: DataFrame) -> DataFrame:
+    """(qid, route) of the queries that search one subset."""
+    return strategies.where(F.col("strategy") == "subset").select("qid", "route")
 
 
-def cover_plan(filters: DataFrame, subsets: DataFrame, root_card: int) -> DataFrame:
-    """Covering an OR filter by several subsets: each of its tags is routed on its own.
-
-    ``(qid, tag, route)``: for tag t the smallest materialised subset containing all
-    rows with t (else the root); the union of the routes covers the query's rows.
-    """
-    from vecspark.plans import workload as W
-    per_tag = filters.where(F.size("ftags") > 0).select(
-        "qid", F.explode(F.array_distinct("ftags")).alias("tag"))
-    keyed = per_tag.withColumn("tq", F.concat_ws(":", F.col("qid").cast("string"), F.col("tag").cast("string")))
-    rt = W.route(keyed.select(F.col("tq").alias("qid"), F.array("tag").alias("ftags"), F.lit(True).alias("is_and")),
-                 subsets, root_card)
-    return keyed.join(rt.select(F.col("qid").alias("tq"), "route"), "tq").select("qid", "tag", "route")
+def knn_routed(base_tagged: DataFrame, queries_f: DataFrame, strategy: DataFrame, store: SubsetStore,
+               k: int = 10, metric: str = "l2") -> DataFrame:
+    """``search`` where every routed query has one subset."""
+    return search(base_tagged, queries_f, strategy, single_routes(strategy), store, k, metric)
 
 
-def knn_covering(base_tagged: DataFrame, queries_f: DataFrame, plan: DataFrame, subsets: DataFrame,
+def knn_covering(base_tagged: DataFrame, queries_f: DataFrame, subsets: DataFrame, store: SubsetStore, p,
                  k: int = 10, metric: str = "l2") -> DataFrame:
-    """Search every covering subset with the query's own filter, de-duplicate by id, re-rank.
-
-    Empty filters go to the root.  Equal to the exact filtered k-NN because the
-    routes' union contains every matching row.
-    """
-    qs = queries_f.join(plan.select("qid", "route").distinct(), "qid").checkpoint()
-    sub = qs.where(F.col("route") != "root")
-    parts = [K.blockscan.scan(_routed_rows(subsets, sub), sub, k=k, metric=metric, tag_filter=True, route_filter=True),
-             K.blockscan.scan(base_tagged, qs.where(F.col("route") == "root"), k=k, metric=metric, tag_filter=True)]
-    empty = queries_f.where(F.size("ftags") == 0)
-    parts.append(K.blockscan.scan(base_tagged, empty, k=k, metric=metric, tag_filter=True))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    out = out.dropDuplicates(["qid", "id"])
-    return K.rank_topk(out, k).select("qid", "rk", "id", "dist")
+    """Every query with a cover searches the subsets of its cover, whatever it costs; the others search the base."""
+    from vecspark.operators.predicates import filter_key
+    plan = cover.cover_plan(queries_f, subsets, base_tagged, p).checkpoint()
+    keyed = queries_f.withColumn("qkey", filter_key(F.col("ftags"), F.col("is_and")))
+    whole = plan.where("covered").select("qkey").distinct().withColumn("strategy", F.lit("cover"))
+    st = keyed.select("qid", "qkey").join(whole, "qkey", "left").select("qid", "qkey", F.coalesce("strategy", F.lit("root")).alias("strategy"))
+    return search(base_tagged, queries_f, st, cover.cover_routes(st, plan), store, k, metric)

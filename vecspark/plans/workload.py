@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.operators import predicates as P
-from vecspark.operators.ranking import global_row_number
+from vecspark.operators.ranking import global_prefix_sum, global_row_number, ordered_positions
 from vecspark.session import cut_lineage
 
 
@@ -61,7 +61,7 @@ def tally(workload: DataFrame) -> DataFrame:
 
 
 def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params, bitmaps: DataFrame | None = None) -> DataFrame:
-    """Tally + exact cardinality; predicates with ``card < cutoff`` are skipped; ``ord`` by (card, pid).
+    """Tally + exact cardinality; predicates with ``card < cutoff`` are skipped.
 
     ``bitmaps`` (``predicates.tag_bitmaps``) can be passed when the caller reuses the tag index.
     """
@@ -69,7 +69,12 @@ def candidates(base_tagged: DataFrame, workload: DataFrame, p: Params, bitmaps:
     card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"), bitmaps=bitmaps, total=p.n)
     c = t.join(card, ["ftags", "is_and"]).where(F.col("card") >= p.cutoff)
     # one row per distinct predicate: written once, reused by lattice, selection and routing
-    return cut_lineage(c.withColumn("ord", F.row_number().over(Window.orderBy("card", "pid"))))
+    return cut_lineage(c)
+
+
+def in_order(cands: DataFrame) -> DataFrame:
+    """The candidates with ``ord``, their position by (card, pid): numbered within equal cardinalities on running counts."""
+    return ordered_positions(cands, ["card", "pid"], F.col("card"), "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def selectivity_profile(base_tagged: DataFrame, workload: DataFrame) -> DataFrame:
@@ -80,11 +85,9 @@ def selectivity_profile(base_tagged: DataFrame, workload: DataFrame) -> DataFram
     """
     t = tally(workload)
     card = P.filter_cardinality(base_tagged, t.select("ftags", "is_and"))
-    t = t.join(card, ["ftags", "is_and"])
-    w = Window.orderBy("card", "pid").rowsBetween(Window.unboundedPreceding, 0)
-    cum = t.withColumn("hi", F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt"))
-    total = F.sum("cnt").over(Window.partitionBy(F.lit(0)))
-    cum = cum.withColumn("total", total)
+    per = t.join(card, ["ftags", "is_and"]).groupBy("card").agg(F.sum("cnt").alias("cnt"))
+    cum = cut_lineage(global_prefix_sum(per, "card", "cnt", "lo").withColumn("hi", F.col("lo") + F.col("cnt")))
+    cum = cum.crossJoin(cum.agg(F.max("hi").alias("total")))       # one row
 
     def pick(frac):
         idx = F.floor(F.col("total") * frac) if frac < 1 else F.col("total") - 1
@@ -163,50 +166,62 @@ def hasse(edges: DataFrame, root: str = "root") -> DataFrame:
 
 # ------------------------------------------------------------------ greedy budgeted selection
 
+TIE_DIGITS = 9     # benefits equal to so many digits are ties (the smaller pid wins)
+
+
 def select(cands: DataFrame, p: Params, max_rounds: int | None = None) -> DataFrame:
     """Greedy selection by marginal benefit / size until the vector budget is used.
 
     benefit(node) = Σ over children c (queries the node can serve, itself included)
     of ``max(0, best_cost(c) − upward(node, c)) · count(c)``, divided by size(node).
-    Each round is a Spark aggregate over the lattice; the winner (ties: smallest
-    pid) is the one row brought back.  Returns ``(round, pid, benefit, size, used)``.
+
+    Choosing a node changes only the benefits of nodes that share a child with it, and benefits never grow.  So every node
+    that beats all nodes it shares a child with (ties: smaller pid) is what the one-by-one greedy would choose at
+    that benefit, and one pass chooses all of them; the choices in falling benefit are the greedy's order.  Passes end when
+    the choices above the best open benefit use the budget.  The chosen rows are what comes back to the driver, one job a
+    pass.  Returns ``(round, pid, benefit, size, used)``.
     """
     spark = cands.sparkSession
     m = cut_lineage(with_models(cands, p))
-    edges = lattice(cands)
     nodes = m.select("pid", "card", "size")
-    e = (edges.join(nodes.select(F.col("pid").alias("parent"), F.col("card").alias("p_card"), "size"), "parent")
-              .join(m.select(F.col("pid").alias("child"), F.col("card").alias("c_card"), "cnt"), "child")
-              .withColumn("up", upward_cost(F.col("p_card"), F.col("c_card"), p))
-              .select("child", "parent", "up", "cnt", "size"))
+    e = (lattice(cands).join(nodes.select(F.col("pid").alias("parent"), F.col("card").alias("p_card"), "size"), "parent")
+         .join(m.select(F.col("pid").alias("child"), F.col("card").alias("c_card"), "cnt"), "child")
+         .withColumn("up", upward_cost(F.col("p_card"), F.col("c_card"), p))
+         .select("child", "parent", "up", "cnt", "size"))
     e = cut_lineage(e)
-    best = cut_lineage(m.select(F.col("pid").alias("child"), F.least("bf_cost", "root_cost").alias("best")))
+    state = m.select("pid", F.least("bf_cost", "root_cost").alias("best"), F.lit(False).alias("chosen"))
     budget = total_budget(p)
-    used, chosen, rows = 0, set(), []
-    n_nodes = m.count()
-    rnd = 0
-    while used < budget and len(chosen) < n_nodes and (max_rounds is None or rnd < max_rounds):
-        ben = (e.join(best, "child")
-                .groupBy("parent", "size")
-                .agg(F.sum(F.greatest(F.col("best") - F.col("up"), F.lit(0.0)) * F.col("cnt")).alias("gain")))
-        if chosen:
-            ben = ben.where(~F.col("parent").isin(list(chosen)))
-        ben = ben.withColumn("benefit", F.when(F.col("size") > 0, F.col("gain") / F.col("size")).otherwise(0.0))
-        # the round's winner by one aggregate: largest benefit, ties to the smallest pid
-        win = ben.agg(F.min_by(F.struct("parent", "size", "benefit"),
-                               F.struct((-F.col("benefit")).alias("nb"), F.col("parent"))).alias("w")).first()["w"]
-        if win is None:
+    picked: list[tuple] = []                   # (-rounded benefit, pid, benefit, size)
+    while True:
+        live = e.join(state.select(F.col("pid").alias("child"), "best"), "child").join(
+            state.where(~F.col("chosen")).select(F.col("pid").alias("parent")), "parent", "left_semi")
+        gain = live.groupBy("parent", "size").agg(F.sum(F.greatest(F.col("best") - F.col("up"), F.lit(0.0)) * F.col("cnt")).alias("gain"))
+        ben = gain.withColumn("benefit", F.when(F.col("size") > 0, F.col("gain") / F.col("size")).otherwise(0.0)) \
+            .withColumn("place", F.struct((-F.round("benefit", TIE_DIGITS)).alias("nb"), "parent"))
+        tops = live.select("child", "parent").join(ben.select("parent", "place"), "parent")
+        first = tops.groupBy("child").agg(F.min("place").alias("top"))
+        won = (tops.join(first, "child").groupBy("parent").agg(F.min(F.col("top.parent") == F.col("parent")).alias("won")).where("won"))
+        rows = ben.join(won, "parent", "left_semi").select("place.nb", "parent", "benefit", "size").collect()
+        if not rows:
+            break
+        best_open = min((r["nb"], r["parent"]) for r in rows)
+        sure = sum(x[3] for x in picked if x[:2] < best_open)
+        if sure >= budget:
+            break
+        picked += [(r["nb"], r["parent"], float(r["benefit"]), int(r["size"])) for r in rows]
+        new = spark.createDataFrame([(r["parent"],) for r in rows], "parent string")
+        served = e.join(new, "parent").groupBy(F.col("child").alias("pid")).agg(F.min("up").alias("new"))
+        state = cut_lineage(
+            state.join(served, "pid", "left").join(new.select(F.col("parent").alias("pid"), F.lit(True).alias("now")), "pid", "left")
+            .select("pid", F.least("best", F.coalesce("new", "best")).alias("best"),
+                    (F.col("chosen") | F.coalesce("now", F.lit(False))).alias("chosen")))
+    out, used = [], 0
+    for _, pid, benefit, size in sorted(picked):
+        if used >= budget or (max_rounds is not None and len(out) >= max_rounds):
             break
-        pid, size, benefit = win["parent"], int(win["size"]), float(win["benefit"])
-        rnd += 1
         used += size
-        chosen.add(pid)
-        rows.append((rnd, pid, benefit, size, used))
-        served = e.where(F.col("parent") == pid).select("child", F.col("up").alias("new"))
-        best = (best.join(served, "child", "left")
-                    .select("child", F.least("best", F.coalesce("new", "best")).alias("best")))
-        best = cut_lineage(best)           # one row per candidate: each round starts from a short plan
-    return spark.createDataFrame(rows, "round int, pid string, benefit double, size long, used long")
+        out.append((len(out) + 1, pid, benefit, size, used))
+    return spark.createDataFrame(out, "round int, pid string, benefit double, size long, used long")
 
 
 # ------------------------------------------------------------------ routing

@@ -71,12 +71,12 @@ def posix_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Persist, then checkpoint into the shared checkpoint folder (written once from the cache).
+    """Checkpoint into the shared checkpoint folder: nothing stays cached.
 
     Used inside iterative jobs so each round starts from a short plan; a lost
     executor re-reads the checkpoint instead of replaying every round.
     """
-    return df.persist().checkpoint()
+    return df.checkpoint()
 
 
 _SHIPPED: set[str] = set()
