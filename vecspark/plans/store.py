@@ -26,15 +26,6 @@ MANIFEST = "pid string, ftags array<int>, is_and boolean, card long, part string
 ROWS = "pid string, id long, v array<float>, tags array<int>, sid string"
 
 
-def subset_plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(pid, action)``: create (new only), keep (both), drop (old only)."""
-    o = old.select("pid").distinct().withColumn("_o", F.lit(True))
-    n = new.select("pid").distinct().withColumn("_n", F.lit(True))
-    j = n.join(o, "pid", "full")
-    return j.select("pid", F.when(F.col("_o").isNull(), "create").when(F.col("_n").isNull(), "drop")
-                    .otherwise("keep").alias("action"))
-
-
 def sid_of(pid) -> F.Column:
     """A folder-safe name of a subset."""
     return F.substring(F.sha1(pid), 1, 16)
@@ -67,44 +58,46 @@ class SubsetStore:
         m = self.manifest(version)
         return m.groupBy("pid", "ftags", "is_and").agg(F.sum("card").alias("card"))
 
-    def _commit(self, manifest: DataFrame, version: int) -> int:
-        manifest.select("pid", "ftags", "is_and", F.col("card").cast("long").alias("card"), "part").coalesce(1) \
-            .write.mode("errorifexists").parquet(f"{self.root}/manifest/version={version}")
+    def _lines(self, version: int) -> list[tuple]:
+        return [tuple(r) for r in self.manifest(version).collect()]            # control table, bounded by the budget
+
+    def _commit(self, lines: list[tuple], version: int) -> int:
+        self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/manifest/version={version}")
         return version
 
     # ------------------------------------------------------------------ changes
 
-    def plan(self, wanted: DataFrame) -> DataFrame:
-        """(pid, action): create, keep or drop, from the held subsets to ``wanted``."""
-        return subset_plan(self.manifest().select("pid"), wanted.select("pid"))
-
     def refit(self, base_tagged: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Hold exactly ``wanted(pid, ftags, is_and)``: write what is new, forget what is not wanted.  Returns the plan."""
+        """Hold exactly ``wanted(pid, ftags, is_and)``: write what is new, forget what is not wanted.
+
+        Returns the plan (pid, action): create, keep or drop.  Both lists are bounded by the budget of the selection.
+        """
         version = self.version()
-        held = self.manifest(version)
-        plan = self.plan(wanted).checkpoint()
-        new = wanted.select("pid", "ftags", "is_and").join(plan.where("action = 'create'").select("pid"), "pid", "left_semi")
-        kept = held.join(wanted.select("pid"), "pid", "left_semi")
-        lines = self._write(base_tagged, new.checkpoint())
-        # a subset without rows has a line as well, so that it is held
-        empty = new.join(lines.select("pid"), "pid", "left_anti").select("pid", "ftags", "is_and", F.lit(0).alias("card"), F.lit(None).cast("string").alias("part"))
-        self._commit(kept.unionByName(lines).unionByName(empty), version + 1)
-        return plan
+        held = self._lines(version)
+        asked = {r["pid"]: (r["pid"], r["ftags"], r["is_and"]) for r in wanted.select("pid", "ftags", "is_and").collect()}
+        kept = [line for line in held if line[0] in asked]
+        have = {line[0] for line in held}
+        lines = self._write(base_tagged, [asked[pid] for pid in sorted(set(asked) - have)])
+        self._commit(kept + lines, version + 1)
+        plan = [(pid, "keep" if pid in have else "create") for pid in asked] + [(pid, "drop") for pid in have - set(asked)]
+        return self.spark.createDataFrame(plan, "pid string, action string")
 
     def append(self, delta_tagged: DataFrame) -> int:
         """Add new base rows to every held subset that they match; the new version's number."""
         version = self.version()
-        held = self.manifest(version)
-        lines = self._write(delta_tagged, held.select("pid", "ftags", "is_and").distinct().checkpoint())
-        return self._commit(held.unionByName(lines), version + 1)
-
-    def _write(self, rows: DataFrame, subsets: DataFrame) -> DataFrame:
-        """Write the rows of ``subsets`` as a new part; its manifest lines, one per subset with rows."""
+        held = self._lines(version)
+        lines = self._write(delta_tagged, list({line[0]: line[:3] for line in held}.values()))
+        return self._commit(held + [line for line in lines if line[3]], version + 1)
+
+    def _write(self, rows: DataFrame, subsets: list[tuple]) -> list[tuple]:
+        """Write the rows of ``subsets`` as a new part; a manifest line each (one without rows names no part)."""
+        if not subsets:
+            return []
         part = uuid.uuid4().hex[:16]
-        found = P.matching_rows(rows.select("id", "v", "tags"), subsets)
+        found = P.matching_rows(rows.select("id", "v", "tags"), self.spark.createDataFrame(subsets, "pid string, ftags array<int>, is_and boolean"))
         found.withColumn("sid", sid_of(F.col("pid"))).write.partitionBy("sid").parquet(f"{self.root}/rows/part={part}")
-        counts = self._part(part).groupBy("pid").agg(F.count(F.lit(1)).alias("card"))
-        return subsets.join(counts, "pid").select("pid", "ftags", "is_and", "card", F.lit(part).alias("part"))
+        n = {r["pid"]: r["n"] for r in self._part(part).groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return [(*s, n.get(s[0], 0), part if s[0] in n else None) for s in subsets]
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete the parts that none of the last ``keep`` versions names, and older manifests; the deleted parts."""

@@ -182,39 +182,34 @@ def select(cands: DataFrame, p: Params, max_rounds: int | None = None) -> DataFr
     pass.  Returns ``(round, pid, benefit, size, used)``.
     """
     spark = cands.sparkSession
-    m = cut_lineage(with_models(cands, p))
-    nodes = m.select("pid", "card", "size")
-    e = (lattice(cands).join(nodes.select(F.col("pid").alias("parent"), F.col("card").alias("p_card"), "size"), "parent")
-         .join(m.select(F.col("pid").alias("child"), F.col("card").alias("c_card"), "cnt"), "child")
-         .withColumn("up", upward_cost(F.col("p_card"), F.col("c_card"), p))
-         .select("child", "parent", "up", "cnt", "size"))
-    e = cut_lineage(e)
-    state = m.select("pid", F.least("bf_cost", "root_cost").alias("best"), F.lit(False).alias("chosen"))
-    budget = total_budget(p)
+    m = with_models(cands, p)
+    parents = m.select(F.col("pid").alias("parent"), F.col("card").alias("p_card"), "size")
+    children = m.select(F.col("pid").alias("child"), F.col("card").alias("c_card"), "cnt", F.least("bf_cost", "root_cost").alias("best"))
+    edges = (lattice(cands).join(parents, "parent").join(children, "child")
+             .select("child", "parent", upward_cost(F.col("p_card"), F.col("c_card"), p).alias("up"), "cnt", "size", "best",
+                     F.lit(False).alias("chosen"), F.lit(0.0).alias("benefit")))
+    by_parent, by_child = Window.partitionBy("parent"), Window.partitionBy("child")
+    budget, edges = total_budget(p), cut_lineage(edges)
     picked: list[tuple] = []                   # (-rounded benefit, pid, benefit, size)
     while True:
-        live = e.join(state.select(F.col("pid").alias("child"), "best"), "child").join(
-            state.where(~F.col("chosen")).select(F.col("pid").alias("parent")), "parent", "left_semi")
-        gain = live.groupBy("parent", "size").agg(F.sum(F.greatest(F.col("best") - F.col("up"), F.lit(0.0)) * F.col("cnt")).alias("gain"))
-        ben = gain.withColumn("benefit", F.when(F.col("size") > 0, F.col("gain") / F.col("size")).otherwise(0.0)) \
-            .withColumn("place", F.struct((-F.round("benefit", TIE_DIGITS)).alias("nb"), "parent"))
-        tops = live.select("child", "parent").join(ben.select("parent", "place"), "parent")
-        first = tops.groupBy("child").agg(F.min("place").alias("top"))
-        won = (tops.join(first, "child").groupBy("parent").agg(F.min(F.col("top.parent") == F.col("parent")).alias("won")).where("won"))
-        rows = ben.join(won, "parent", "left_semi").select("place.nb", "parent", "benefit", "size").collect()
+        gain = F.sum(F.greatest(F.col("best") - F.col("up"), F.lit(0.0)) * F.col("cnt")).over(by_parent)
+        scored = edges.withColumn("benefit", F.when(F.col("chosen"), F.col("benefit")).when(F.col("size") > 0, gain / F.col("size")).otherwise(0.0))
+        place = F.when(~F.col("chosen"), F.struct((-F.round("benefit", TIE_DIGITS)).alias("nb"), "parent"))
+        topped = scored.withColumn("top", F.min(place).over(by_child)["parent"])
+        won = topped.withColumn("now", F.min(~F.col("chosen") & (F.col("top") == F.col("parent"))).over(by_parent))
+        now = F.coalesce("now", F.lit(False))
+        # one table a pass, a row an edge: each pass starts from a short plan
+        edges = cut_lineage(won.select("child", "parent", "up", "cnt", "size",
+                                       F.least("best", F.min(F.when(now, F.col("up"))).over(by_child)).alias("best"),
+                                       (F.col("chosen") | now).alias("chosen"), "benefit", now.alias("now")))
+        rows = edges.where("now and child = parent").select((-F.round("benefit", TIE_DIGITS)).alias("nb"), "parent", "benefit", "size").collect()
+        edges = edges.drop("now")
         if not rows:
             break
         best_open = min((r["nb"], r["parent"]) for r in rows)
-        sure = sum(x[3] for x in picked if x[:2] < best_open)
-        if sure >= budget:
+        if sum(x[3] for x in picked if x[:2] < best_open) >= budget:
             break
         picked += [(r["nb"], r["parent"], float(r["benefit"]), int(r["size"])) for r in rows]
-        new = spark.createDataFrame([(r["parent"],) for r in rows], "parent string")
-        served = e.join(new, "parent").groupBy(F.col("child").alias("pid")).agg(F.min("up").alias("new"))
-        state = cut_lineage(
-            state.join(served, "pid", "left").join(new.select(F.col("parent").alias("pid"), F.lit(True).alias("now")), "pid", "left")
-            .select("pid", F.least("best", F.coalesce("new", "best")).alias("best"),
-                    (F.col("chosen") | F.coalesce("now", F.lit(False))).alias("chosen")))
     out, used = [], 0
     for _, pid, benefit, size in sorted(picked):
         if used >= budget or (max_rounds is not None and len(out) >= max_rounds):
