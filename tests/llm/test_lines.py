@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 
 from vecspark.llm import lines
@@ -40,3 +42,24 @@ def test_equals_brute_force_on_table(spark):
 
 def test_empty_table(spark):
     assert lines.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_open_marks_equal_the_plain_patterns(spark):
+    marks = ["<script>", "</script>", "<SCRIPT a='x'>", "<script", "<style>", "</STYLE>", "<!--", "-->", "<!-->", "<", ">", "a", "\n", "\ue000", "\ue000\ue002",
+             "\ue001", "İ", "<p>", "</script", "--", " "]
+    rng = random.Random(5)
+    pages = [(i, "http://a.b/", "".join(rng.choice(marks) for _ in range(rng.randint(1, 14)))) for i in range(4000)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [tuple(r) for r in lines.drop_boilerplate(d, 2.0, 3).select("page_id", "host", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=repr) == brute(pages, 2.0, 3)
+
+
+def test_two_megabyte_pages_take_linear_time(spark):
+    size = 2 << 20
+    kinds = ["<", "<script>", "<script", "<style>", "<!--", "<!-- <script> <style", "<script </script", "plain words and more\n"]
+    pages = [(i, f"http://h{i}.org/", k * (size // len(k))) for i, k in enumerate(kinds)]
+    pages += [(20, "http://x.org/", "<script>" * (size // 8) + "</script>tail"), (21, "http://y.org/", "<p>" * (size // 3))]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.n_lines for r in lines.drop_boilerplate(d, 0.3, 3).collect()}
+    assert time.time() - began < 60 and got[0] == 1 and got[20] == 1 and got[21] == 0

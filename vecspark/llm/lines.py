@@ -11,13 +11,20 @@ max_ratio) boilerplate lines, a bound on the array of digests that is joined bac
 1/HOT of all pages (fewer than HOT of them) get theirs by broadcast, so their pages stay where they are; the other
 pages meet theirs by host.
 
+Long pages: a pattern that begins at an opening mark without its closing one would search to the end of the page, once for
+every such mark.  So the opening marks behind the last place that can still close them are found first (by ``locate`` from
+the page's end) and masked, and tags are looked for up to the last ``>`` only: every attempt then succeeds and the work
+grows with the length of the page.  The result is that of the plain patterns.
+
 Edge cases: a null url (or one without a host) is the empty host; a null or empty html has no lines and an empty
-text; every row is a page, also if rows or page_ids repeat; an empty table gives an empty result.  Only page_id, url
-and html are read.
+text; very long pages are read whole; every row is a page, also if rows or page_ids repeat; lines with equal shares are
+treated alike, there is nothing to break a tie; an empty table gives an empty result.  Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +32,9 @@ from vecspark.llm import common
 
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG = r"<[^>]*>"
+#: masks of opening marks: two characters of the private use area, of which the first is doubled where a page has it
+ESCAPE, PLAIN, MASK = "\ue000", "\ue001", "\ue002"
+MASKED = "<" + ESCAPE + MASK
 HOT = 64
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -33,8 +43,53 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
+def _last(text: Column, mark: str, before: Column | None = None) -> Column:
+    """Place (from 1) of the last ``mark`` in ``text``, or of the last one that ends before place ``before``; 0 if none."""
+    start = F.lit(1) if before is None else F.greatest(F.length(text) - before + 2, F.lit(1))
+    return _let(F.call_function("locate", F.lit(mark[::-1]), F.reverse(text), start),
+                lambda found: F.when(found == 0, F.lit(0)).otherwise(F.length(text) - found - len(mark) + 2))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _mask(text: Column, opening: str, search: Column, alive: Column) -> Column:
+    """``text`` with every ``opening`` mark behind place ``alive`` masked; ``search`` is ``text`` as the mark is looked for in it."""
+    dead = F.regexp_replace(F.substr(text, alive + 1, F.length(text)), f"(?i)<(?={opening[1:]})", MASKED)
+    none = F.call_function("locate", F.lit(opening), search, F.greatest(alive, F.lit(1))) == 0
+    return F.when(none, text).otherwise(F.concat(F.substr(text, F.lit(1), alive), dead))
+
+
+def _masked(html: Column) -> Column:
+    """``html`` with MASK behind the ``<`` of every opening mark that nothing closes; own ESCAPE characters are doubled."""
+    def element(text: Column, name: str) -> Column:
+        low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)       # as (?i): A-Z only, lengths stay
+
+        def places(low: Column) -> Column:
+            return _let(_last(low, f"</{name}>"), lambda close: _let(       # an opening mark ends before the closing one
+                F.when(close == 0, F.lit(0)).otherwise(_last(text, ">", close)), lambda alive: _mask(text, "<" + name, low, alive)))
+        return _let(low, places)
+
+    def comments(text: Column) -> Column:
+        return _let(F.greatest(_last(text, "-->") - 4, F.lit(0)), lambda alive: _mask(text, "<!--", text, alive))
+
+    text = F.replace(html, F.lit(ESCAPE), F.lit(ESCAPE + PLAIN))
+    return _let(_let(_let(text, lambda t: element(t, "script")), lambda t: element(t, "style")), comments)
+
+
+def visible(html: Column) -> Column:
+    """The page without scripts, styles, comments and tags, each of them a line break."""
+    def untagged(text: Column, end: Column) -> Column:
+        return F.concat(F.regexp_replace(F.substr(text, F.lit(1), end), TAG, "\n"), F.substr(text, end + 1, F.length(text)))
+
+    text = _let(F.regexp_replace(_masked(html), HIDDEN, "\n"), lambda t: _let(_last(t, ">"), lambda end: untagged(t, end)))
+    return F.replace(F.replace(text, F.lit(ESCAPE + MASK), F.lit("")), F.lit(ESCAPE + PLAIN), F.lit(ESCAPE))
+
+
 def lines_of(html: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n"), TAG, "\n")
+    text = visible(F.coalesce(html, F.lit("")))
     pieces = F.transform(F.split(text, "[\n\r]"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c")))
     return F.filter(pieces, lambda x: x != "")
 
