@@ -61,3 +61,35 @@ def test_empty_tables(spark):
     assert decontam.find(d.limit(0), b).count() == 0
     r = decontam.find(d, b.limit(0)).collect()
     assert [(x.doc_id, x.n_words, x.n_hit) for x in r] == [(1, 2, 0)]
+
+
+def test_long_items_in_pieces_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 3)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 64)
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(40)}" for _ in range(60)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[7:19])), (3, " ".join(long[20:24])), (4, "one two"), (5, " ".join(long[2:6] + ["x"] + long[6:12]))]
+    items = [(1, " ".join(long)), (2, "one two"), (3, " ".join(long[5:11]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontam.find(d, b, width=5).collect()], key=repr)
+    assert got == brute(docs, items, 5)
+    monkeypatch.undo()
+    text = " ".join(f"v{rng.randrange(300_000)}" for _ in range(600_000))          # about 4 MB in one document and one item
+    d = spark.createDataFrame([(1, text), (2, "none of it")], "doc_id long, text string")
+    r = {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in decontam.find(d, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()}
+    assert r == {1: (600_000, 600_000, ["7"]), 2: (3, 0, [])}
+
+
+def test_a_full_chunk_of_windows_takes_bounded_memory():
+    import pickle
+    import tracemalloc
+    rng = random.Random(7)
+    words, rows, held = [f"word{k}" for k in range(200_000)], [], 0
+    while held < decontam.CHUNK_BYTES:
+        rows.append((str(len(rows)), " ".join(rng.choices(words, k=1000)).encode()))
+        held += len(rows[-1][1])
+    tracemalloc.start()
+    w = decontam.Windows(rows, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len(pickle.dumps(w)) < 100 << 20

@@ -8,8 +8,12 @@ that term's positions, less the term's offset in the window, are the candidate s
 terms are intersected in order of rarity, each shifted by its own offset.  A start that survives with all
 differences 0 is an exact phrase; differences up to ``slop`` words are a proximity match.
 
-Nothing but per-document results is shuffled.  Test items are broadcast in chunks of at most ``CHUNK_BYTES`` of
-text, so the bound holds for any number of items.
+Nothing but per-document results is shuffled.  Test items are cut into overlapping pieces of at most ``PIECE_WORDS``
+windows where they are read, and broadcast in chunks of about ``CHUNK_BYTES`` of text as flat arrays of term numbers,
+so the bound holds for any number and length of items (a chunk takes less than 300 MB of the driver while it is built).
+
+Very long texts are indexed whole (a block of their own) and very long items window by window; of equal rarity the term
+that comes first in the window leads.
 
 Edge cases: null or empty texts have no words and are returned with zero counts; null ids stay null; repeated rows
 are answered row by row; items without words are ignored, a null item_id counts as the empty string; an empty
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 from vecspark.llm import common
 
 BLOCK_WORDS = 1 << 19
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+PIECE_WORDS = 1 << 14         # windows of an item that stay together
+SLICE = 1 << 16               # windows looked up at once in a block
 CANDIDATES = 1 << 21          # candidate starts held at once while intersecting
 NULL_ID = -(1 << 63)
 INDEX = "block long, doc_id binary, starts binary, words binary, terms binary, post binary, positions binary"
@@ -91,22 +97,50 @@ def build_index(docs: DataFrame) -> DataFrame:
     return common.stored(blocks, "postings", compression="zstd", **{"parquet.block.size": str(16 << 20)})
 
 
+def pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item, piece, text): every item's words in pieces that overlap by width - 1, so each window is in one piece."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), strict=True):
+                w = terms_of(text)
+                starts = range(0, max(1, len(w) - width + 1), PIECE_WORDS) if w else ()
+                rows = [(item, k, b" ".join(w[s:s + PIECE_WORDS + width - 1])) for k, s in enumerate(starts)]
+                if rows:
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([r[0] for r in rows], pa.string()), "piece": pa.array([r[1] for r in rows], pa.int32()),
+                                                      "text": pa.array([r[2] for r in rows], pa.binary())})
+
+    b = benchmark.select(common.id_text("item_id").alias("item"), F.col("text").cast("string").alias("text"))
+    return b.mapInArrow(cut, "item string, piece int, text binary")
+
+
 class Windows:
-    """Test windows of one chunk of items: term numbers by window length, and the items of each window."""
+    """Test windows of one chunk of pieces, as flat arrays: term numbers by window length, and the items of each window.
+
+    ``groups`` has (windows, offsets, owners) for every window length: window k belongs to items
+    ``owners[offsets[k]:offsets[k + 1]]``.
+    """
 
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int):
+    def __init__(self, rows: list[tuple[str, bytes | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in rows})
         number = {i: k for k, i in enumerate(self.items)}
-        for item, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in terms_of(text)]
-            for s in range(max(1, len(w) - width + 1) if w else 0):
-                seen.setdefault(tuple(w[s:s + width]), set()).add(number[item])
-        self.groups: list[tuple[np.ndarray, list[list[int]]]] = []
-        for length in sorted({len(k) for k in seen}):
-            keys = [k for k in seen if len(k) == length]
-            self.groups.append((np.array(keys, dtype=np.int64), [sorted(seen[k]) for k in keys]))
+        held: dict[int, tuple[list, list]] = {}
+        for item, text in rows:
+            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in terms_of(text)], dtype=np.int32)
+            if len(w):
+                length = min(width, len(w))
+                windows = np.lib.stride_tricks.sliding_window_view(w, length)
+                parts, owners = held.setdefault(length, ([], []))
+                parts.append(windows)
+                owners.append(np.full(len(windows), number[item], np.int32))
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted(held):
+            parts, owners = held.pop(length)
+            win = np.concatenate(parts)
+            _, first, which = np.unique(win.view(np.dtype((np.void, 4 * length))).ravel(), return_index=True, return_inverse=True)
+            key = np.unique((which.astype(np.int64) << 32) | np.concatenate(owners))
+            offsets = np.searchsorted(key, np.arange(len(first) + 1, dtype=np.int64) << 32)
+            self.groups.append((win[first], offsets, (key & 0xFFFFFFFF).astype(np.int32)))
 
 
 def _survivors(win: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, at: np.ndarray, doc_of: np.ndarray,
@@ -131,7 +165,7 @@ def _survivors(win: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray,
             if not len(w):
                 break
             off = rare[w, j]
-            term = win[part[w], off]
+            term = win[part[w], off].astype(np.int64)
             want = start + off
             k = np.searchsorted(key, (term << 32) | np.maximum(want, 0))
             right = np.minimum(k, len(key) - 1)
@@ -171,14 +205,16 @@ def _match_block(row: dict, windows: Windows, slop: int) -> pa.RecordBatch:
         at = np.concatenate([at_all[post[j]:post[j + 1]] for _, j in mine])
         key = (np.repeat(q, size) << 32) | at
         doc_of = np.repeat(np.arange(len(ids)), words + 1)
-        for win, owners in windows.groups:
-            for w, start, exact, home in _survivors(win, lo, hi, key, at, doc_of, slop):
-                for k, s, e, d in zip(w.tolist(), start.tolist(), exact.tolist(), home.tolist(), strict=True):
+        sliced = ((win, offsets, owners, base) for win, offsets, owners in windows.groups for base in range(0, len(win), SLICE))
+        for win, offsets, owners, base in sliced:
+            for w, start, exact, home in _survivors(win[base:base + SLICE], lo, hi, key, at, doc_of, slop):
+                for k, s, e, d in zip((w + base).tolist(), start.tolist(), exact.tolist(), home.tolist(), strict=True):
+                    mine_ = owners[offsets[k]:offsets[k + 1]].tolist()
                     if e:
                         s -= int(starts[d])
                         spans.setdefault(d, []).append((s, s + win.shape[1]))
-                        items.setdefault(d, set()).update(owners[k])
-                    near.setdefault(d, set()).update(owners[k])
+                        items.setdefault(d, set()).update(mine_)
+                    near.setdefault(d, set()).update(mine_)
     out = []
     for d in range(len(ids)):
         merged: list[dict] = []
@@ -203,13 +239,13 @@ def match(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0
     One row per document and chunk of items; ``per_document`` joins the chunks.
     """
     spark = index.sparkSession
-    b = benchmark.select(common.id_text("item_id").alias("item"), F.col("text").cast("string").alias("text"))
+    b = common.stored(pieces(benchmark, width), "pieces")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = 1 + total // CHUNK_BYTES
     out = None
     for c in range(n_chunks):
-        rows = b.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_chunks)) == c).collect()
-        sent = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode() if r.text else None) for r in rows], width))
+        rows = b.filter(F.pmod(F.xxhash64("item", "piece", "text"), F.lit(n_chunks)) == c).select("item", "text").collect()
+        sent = spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in rows], width))
 
         def matched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
