@@ -95,7 +95,7 @@ class SubsetStore:
             return []
         part = uuid.uuid4().hex[:16]
         found = P.matching_rows(rows.select("id", "v", "tags"), self.spark.createDataFrame(subsets, "pid string, ftags array<int>, is_and boolean"))
-        found.withColumn("sid", sid_of(F.col("pid"))).write.partitionBy("sid").parquet(f"{self.root}/rows/part={part}")
+        found.withColumn("sid", sid_of(F.col("pid"))).hint("rebalance", "sid").write.partitionBy("sid").parquet(f"{self.root}/rows/part={part}")
         n = {r["pid"]: r["n"] for r in self._part(part).groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
         return [(*s, n.get(s[0], 0), part if s[0] in n else None) for s in subsets]
 

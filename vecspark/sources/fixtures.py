@@ -160,6 +160,23 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("is_and"))
 
 
+def workload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``workload_ranges(seq, lo0, hi0, lo1, hi1, is_and)`` — one historical range filter per event.
+
+    With t as in ``workload``: first range [t%7, t%7 + 3 + t%4) tenths; second [t%3, t%3 + 5 + t%3) tenths, open where
+    ``t % 6 = 5``; OR where ``t % 5 = 4``.
+    """
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
+    t = ((F.lit(WORKLOAD_PERIOD) / (F.col("seq") % WORKLOAD_PERIOD + 1)).cast("long")
+         + 7 * (F.col("seq") / WORKLOAD_PHASE).cast("long")) % WORKLOAD_MOD
+
+    def tenths(x: Column) -> Column:
+        return x.cast("double") / 10.0
+    closed = t % 6 != 5
+    return ev.select("seq", tenths(t % 7).alias("lo0"), tenths(t % 7 + 3 + t % 4).alias("hi0"), F.when(closed, tenths(t % 3)).alias("lo1"),
+                     F.when(closed, tenths(t % 3 + 5 + t % 3)).alias("hi1"), (t % 5 != 4).alias("is_and"))
+
+
 # ---------------------------------------------------------------- sparse vectors
 
 def _count_terms(batches):
