@@ -61,3 +61,39 @@ def test_windows_share_their_sampled_half(words, window):
     for s, v in zip(start.tolist(), least.tolist()):
         assert by.setdefault(tuple(words[s:s + window]), v) == v
         assert v == min(half[s:s + window // 2 + 1].tolist())
+
+
+def longest_brute(rows, window):
+    words = [(t or "").encode().split() for _, t in rows]
+    out, length = [0] * len(rows), window
+    while True:
+        seen = {}
+        for d, w in enumerate(words):
+            for s in range(len(w) - length + 1):
+                seen.setdefault(tuple(w[s:s + length]), []).append(d)
+        again = {d for at in seen.values() if len(at) > 1 for d in at}
+        if not again:
+            return out
+        for d in again:
+            out[d] = length
+        length *= 2
+
+
+def test_levels_go_on_until_none_survives(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PER_BUCKET", 64)
+    rng = random.Random(3)
+    long = [f"l{rng.randrange(500)}" for _ in range(700)]
+    rows = [(0, " ".join(long)), (1, " ".join(long[30:400])), (2, " ".join(long[100:109])), (3, "a " * 100), (4, " ".join(rng.choices("abcdefghijklmn", k=60))),
+            (5, None), (6, " ".join(f"own{k}" for k in range(50))), (7, " ".join(long[:12]) + " x " + " ".join(long[12:24]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.longest for r in substrings.remove_repeats(d, 4).collect()}
+    want = longest_brute(rows, 4)
+    assert got == {rows[k][0]: want[k] for k in range(len(rows))} and max(want) >= 256
+
+
+def test_very_long_text_and_dropped_table(spark):
+    text = " ".join(f"w{k % 70_000}" for k in range(150_000))
+    d = spark.createDataFrame([(1, text), (2, "short text")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, sum(s.hi - s.lo for s in r.spans)) for r in substrings.remove_repeats(d, 20).collect()}
+    assert got == {1: (150_000, 80_000), 2: (2, 0)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_blocks_")]

@@ -9,11 +9,17 @@ the ones in several blocks; a block adds the ones it holds twice itself.
 Level 2 (window words): only full windows whose level-1 sequence is repeated are named (by the hashes of their two
 halves, 96 bits) and sent, once a block, with their first place.  Buckets find the earliest place of each; every
 other place goes back to its block.  Windows that are not repeated never leave their block.
-There are no further levels: the removal needs no longer window, since a longer repeat is a run of repeated windows.
+Further levels (2, 4, 8 ... times the window): a sequence is a candidate only if both its halves are repeated; its hash
+comes from theirs, so the texts are not read again.  ``repeated_lengths`` goes on until no candidate survives and gives
+each document the longest length reached.  The removal needs no longer window: a longer repeat is a run of repeated ones.
 
 How it scales: what is shuffled are packed hashes of candidates, one entry a block however often a sequence occurs
 in it, so a passage in a third of all documents costs one entry a block.  Buckets hold about ``PER_BUCKET`` hashes
-whatever the corpus.  The block table is bucketed by block number, so joining answers back does not shuffle text.
+whatever the corpus.  The block table is bucketed by block number, about ``BUCKET_BYTES`` of text a bucket, so joining
+answers back does not shuffle text and a task's share does not grow with the corpus.  Its catalog entry is dropped at once.
+
+Very long texts are taken whole (a block of their own); of equal places (rows that share a doc_id) the one in the lower
+block comes first.
 
 Edge cases: null and empty texts have no words (nothing removed, digest of the empty text); a document shorter than
 the window keeps all; a null doc_id comes before all others; rows with equal doc_id keep the order of their blocks;
@@ -34,6 +40,7 @@ from vecspark.llm import common
 
 BLOCK_WORDS = 1 << 19
 PER_BUCKET = 1 << 20
+BUCKET_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 BLOCKS = "block long, doc binary, n binary, text binary, low binary"
 
@@ -137,11 +144,14 @@ def build_blocks(docs: DataFrame, window: int) -> DataFrame:
 
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (src.mapInArrow(packed, BLOCKS).write.option("path", common.scratch(spark, "blocks")).option("compression", "none")
+    (src.mapInArrow(packed, BLOCKS).repartition(parts, "block").write.option("path", common.scratch(spark, "blocks")).option("compression", "none")
      .bucketBy(parts, "block").saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")            # the catalog's line only: the files lie in the shared folder
+    return table
 
 
 def _by_bucket(block: int, h: np.ndarray, buckets: int, **columns: np.ndarray) -> Iterator[dict]:
@@ -257,12 +267,118 @@ def later_places(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame
             .groupBy("bucket").applyInArrow(later, "block long, places binary"))
 
 
+def candidates(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame:
+    """(block, start, h, g, doc): per block the windows whose half is repeated, as packed columns; ``doc`` is their document's place."""
+    schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("start", "h", "g", "doc")])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        hasher = _Hasher()
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = np.frombuffer(row["n"], np.int64)
+                start, least, half = _windows(hasher(zstandard.ZstdDecompressor().decompress(row["text"]).split()), n, window)
+                own = np.sort(half)
+                known = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *[np.frombuffer(x, np.uint64) for x in row["halves"] or ()]]))
+                if not len(known) or not len(start):
+                    continue
+                start = start[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
+                a, b = half[start], half[start + window // 2]
+                doc = np.repeat(np.arange(len(n)), n)[start]
+                yield pa.RecordBatch.from_pylist([{
+                    "block": row["block"], "start": start.astype(np.int32).tobytes(), "h": _join(a, b, window).tobytes(),
+                    "g": (_join(b, a, window + 1) >> np.uint64(32)).astype(np.uint32).tobytes(), "doc": doc.astype(np.int32).tobytes()}], schema=schema)
+
+    return _with_answers(blocks.drop("low"), halves, "halves").mapInArrow(named, "block long, start binary, h binary, g binary, doc binary")
+
+
+PACKED = {"start": np.int32, "h": np.uint64, "g": np.uint32, "doc": np.int32}
+
+
+def _unpacked(row: dict) -> dict[str, np.ndarray]:
+    return {k: np.frombuffer(row[k], t) for k, t in PACKED.items()}
+
+
+def _once(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first entry of every distinct name, names that occur twice) among a block's candidates."""
+    order = np.lexsort((c["g"], c["h"]))
+    h, g = c["h"][order], c["g"][order]
+    first = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, bool)
+    return order[first], np.unique(h[~first])
+
+
+def repeated_lengths(level: DataFrame, window: int) -> DataFrame:
+    """(block, hit, length): a block's documents (packed places) with a repeated sequence of window, 2 window, 4 window ... words.
+
+    ``level`` is the table of ``candidates``.  One pass names the repeated sequences of a length, the next table holds those
+    of twice the length whose halves both are repeated.
+    """
+    found, length = None, window
+    names = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("g", pa.binary())])
+    after = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in (*PACKED, "hit")])
+
+    def sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _unpacked(row)
+                once = _once(c)[0]
+                yield pa.RecordBatch.from_pylist(list(_by_bucket(row["block"], c["h"][once], buckets, g=c["g"][once])), schema=names)
+
+    def shared(table: pa.Table) -> pa.Table:
+        block, c = _parts(table, {"h": np.uint64, "g": np.uint32})
+        order = np.lexsort((c["g"], c["h"]))
+        h, g = c["h"][order], c["g"][order]
+        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        hit = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else order
+        return _answer(block[hit], c["h"][hit], "halves")
+
+    def doubled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+        """Next level's candidates of a block, and as ``hit`` its documents with a repeated sequence of this one."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _unpacked(row)
+                known = np.unique(np.concatenate([_once(c)[1], *[np.frombuffer(x, np.uint64) for x in row["halves"] or ()]]))
+                if not len(known):
+                    continue
+                live = known[np.minimum(np.searchsorted(known, c["h"]), len(known) - 1)] == c["h"]
+                c = {k: v[live] for k, v in c.items()}
+                order = np.argsort(c["start"], kind="stable")
+                c = {k: v[order] for k, v in c.items()}
+                at = np.minimum(np.searchsorted(c["start"], c["start"] + length), max(len(c["start"]) - 1, 0))
+                both = (c["start"][at] == c["start"] + length) & (c["doc"][at] == c["doc"])
+                a, b = c["h"][both], c["h"][at[both]]
+                longer = {"start": c["start"][both], "h": _join(a, b, 2 * length), "doc": c["doc"][both],
+                          "g": (_join(b, a, 2 * length + 1) >> np.uint64(32)).astype(np.uint32)}
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "hit": np.unique(c["doc"]).astype(np.int32).tobytes()}
+                                                  | {k: longer[k].astype(t).tobytes() for k, t in PACKED.items()}], schema=after)
+
+    while True:
+        level = common.stored(level, f"level-{length}")
+        total = level.agg(F.sum(F.octet_length("h"))).first()[0] or 0
+        if not total:
+            break
+        buckets = int(total // 8 // PER_BUCKET) + 1
+        answers = (level.select("block", "start", "h", "g", "doc").mapInArrow(lambda b, n=buckets: sent(b, n), "bucket long, block long, h binary, g binary")
+                   .groupBy("bucket").applyInArrow(shared, "block long, halves binary"))
+        joined = level.join(answers.groupBy("block").agg(F.collect_list("halves").alias("halves")), "block", "left")
+        level = common.stored(joined.mapInArrow(lambda b, n=length: doubled(b, n), "block long, start binary, h binary, g binary, doc binary, hit binary"),
+                              f"after-{length}")
+        hits = level.select("block", "hit", F.lit(length).cast("long").alias("length"))
+        found = hits if found is None else found.unionByName(hits)
+        level, length = level.drop("hit").filter(F.octet_length("h") > 0), 2 * length
+    if found is None:
+        return level.select("block", F.col("h").alias("hit"), F.lit(0).cast("long").alias("length"))       # no rows
+    return found
+
+
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, spans, text): per document the removed word spans [lo, hi) and the kept words."""
+    """(doc_id, n_words, spans, longest, text): the removed word spans [lo, hi), the longest repeated length, the kept words."""
     blocks = build_blocks(docs, window)
-    places = later_places(blocks, repeated_halves(blocks), window)
+    halves = common.stored(repeated_halves(blocks), "halves")
+    places = later_places(blocks, halves, window)
+    lengths = repeated_lengths(candidates(blocks, halves, window), window)
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("longest", pa.int64()), ("text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -278,6 +394,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 gone = np.cumsum(edge[:-1]) > 0
                 step = np.diff(gone.astype(np.int8))
                 doc_end = np.cumsum(n)
+                longest = np.zeros(len(n), np.int64)
+                for at_length in sorted(row["lengths"] or (), key=lambda x: x["length"]):
+                    longest[np.frombuffer(at_length["hit"], np.int32)] = at_length["length"]
                 out = []
                 for i, (d, e) in enumerate(zip(np.frombuffer(row["doc"], np.int64).tolist(), doc_end.tolist(), strict=True)):
                     s = e - int(n[i])
@@ -294,8 +413,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                         kept = b" ".join([w for a, b in zip([0, *hi.tolist()], [*lo.tolist(), e - s], strict=True) for w in mine[a:b]])
                     else:
                         spans, kept = [], b" ".join(words[s:e])
-                    out.append({"doc_id": None if d == NULL_ID else d, "n_words": e - s, "spans": spans, "text": kept.decode()})
+                    out.append({"doc_id": None if d == NULL_ID else d, "n_words": e - s, "spans": spans,
+                                "longest": int(longest[i]), "text": kept.decode()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     joined = _with_answers(blocks.drop("low"), places, "places")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, text string")
+    joined = joined.join(lengths.groupBy("block").agg(F.collect_list(F.struct("length", "hit")).alias("lengths")), "block", "left")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, longest long, text string")
