@@ -13,10 +13,12 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 512              # queries of one block
+BASE_ROWS = 1024              # vectors of one block
 CELLS = 4_000_000             # entries of a dense batch (vectors x dims of the query block)
 
 
@@ -33,40 +35,56 @@ def query_rows(queries: DataFrame) -> DataFrame:
             .select("qid", F.col("e.dim").alias("dims"), F.transform("e.nw", lambda x: -x).alias("ws")))
 
 
-def _pack_queries(batches):
-    from pyspark import TaskContext
-    number = TaskContext.get().partitionId() << 32
-    for pdf in batches:
-        for lo in range(0, len(pdf), QUERY_ROWS):
-            part = pdf.iloc[lo:lo + QUERY_ROWS]
-            dims = sorted({d for ds in part["dims"] for d in ds})
-            at = {d: i for i, d in enumerate(dims)}
-            m = np.zeros((len(part), len(dims)))
-            for i, (ds, ws) in enumerate(zip(part["dims"], part["ws"], strict=True)):
-                np.add.at(m[i], [at[d] for d in ds], ws)
-            yield pd.DataFrame({"block": [number], "queries": [pickle.dumps((part["qid"].to_numpy(np.int64), at, m))]})
-            number += 1
+def _pack_queries(terms: int | None):
+    """Blocks of queries: ids, place of each dim, weights as a matrix, and the same of the first ``terms`` entries only."""
+    def pack(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            for lo in range(0, len(pdf), QUERY_ROWS):
+                part = pdf.iloc[lo:lo + QUERY_ROWS]
+                dims = sorted({d for ds in part["dims"] for d in ds})
+                at = {d: i for i, d in enumerate(dims)}
+                m = np.zeros((len(part), len(dims)))
+                short = m if terms is None else np.zeros_like(m)
+                for i, (ds, ws) in enumerate(zip(part["dims"], part["ws"], strict=True)):
+                    cols = [at[d] for d in ds]
+                    np.add.at(m[i], cols, ws)
+                    if terms is not None:
+                        np.add.at(short[i], cols[:terms], ws[:terms])
+                yield pd.DataFrame({"block": [number], "queries": [pickle.dumps((part["qid"].to_numpy(np.int64), at, m, short))]})
+                number += 1
+    return pack
 
 
 def _pack_rows(batches):
-    for pdf in batches:
-        for lo in range(0, len(pdf), 1024):
-            yield pd.DataFrame({"rows": [pickle.dumps(pdf.iloc[lo:lo + 1024])]})
-
-
-def _best(qid, ids, score, k: int):
+    """Blocks of vectors as flat arrays: ids, entries a row, number of each entry's term, weights, and the distinct terms."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BASE_ROWS):
+            part = batch.slice(lo, BASE_ROWS)
+            dims, ws = part.column(1), part.column(2)
+            names = dims.flatten().dictionary_encode()
+            n = np.diff(dims.offsets.to_numpy())
+            block = (part.column(0).to_numpy(), n, names.indices.to_numpy(zero_copy_only=False), ws.flatten().to_numpy(zero_copy_only=False), names.dictionary.to_pylist())
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([pickle.dumps(block)], pa.binary())})
+
+
+def _best(qid, ids, score, full, k: int):
     """The k best of each query: score descending, then id."""
     order = np.lexsort((ids, -score, qid))
-    qid, ids, score = qid[order], ids[order], score[order]
+    qid, ids, score, full = qid[order], ids[order], score[order], full[order]
     first = np.r_[True, qid[1:] != qid[:-1]] if len(qid) else np.zeros(0, bool)
     rank = np.arange(len(qid)) - np.maximum.accumulate(np.where(first, np.arange(len(qid)), 0)) if len(qid) else np.zeros(0, int)
-    return qid[rank < k], ids[rank < k], score[rank < k]
+    return qid[rank < k], ids[rank < k], score[rank < k], full[rank < k]
 
 
-def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits: int | None = None) -> DataFrame:
-    """Partial results ``(qid, id, score)``: at most k per query and task; ``weight`` maps an array of weights.
+def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits: int | None = None,
+               terms: tuple[int, int] | None = None) -> DataFrame:
+    """Partial results ``(qid, id, score, full)``: at most k per query and task; ``weight`` maps an array of weights.
 
-    ``queries`` is in row form ``(qid, dims, ws)``.  With ``digits`` vectors are ranked on the rounded score.
+    ``queries`` is in row form ``(qid, dims, ws)``.  With ``digits`` vectors are ranked on the rounded score.  With
+    ``terms = (doc_t, query_t)`` the score counts the first entries of each side only and ``full`` all of them: rows are whole in
+    a task, so candidates are re-scored where they are found.
     """
     def scan(batches):
         blocks, held, base = {}, {}, None
@@ -74,22 +92,28 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits:
             for raw, number, packed in zip(pdf["rows"], pdf["block"], pdf["queries"], strict=True):
                 if number not in blocks:
                     blocks[number] = pickle.loads(packed)
-                qid, at, m = blocks[number]
+                qid, at, m, short = blocks[number]
                 if raw != base:
-                    base, part = raw, pickle.loads(raw)
+                    base, (ids, n, code, ws, names) = raw, pickle.loads(raw)
+                    ends = np.concatenate(([0], np.cumsum(n)))
+                place = np.array([at.get(t, -1) for t in names], dtype=np.int64)       # a look-up a distinct term
                 size = max(1, CELLS // max(1, len(at)))
-                for lo in range(0, len(part), size):
-                    some = part.iloc[lo:lo + size]
-                    n = np.array([len(d) for d in some["dims"]])
-                    if not n.sum():
+                for lo in range(0, len(ids), size):
+                    hi = min(lo + size, len(ids))
+                    a, z = ends[lo], ends[hi]
+                    if a == z:
                         continue
-                    col = np.array([at.get(d, -1) for ds in some["dims"] for d in ds])
-                    ws = np.concatenate([np.asarray(w, dtype=float) for w in some["ws"]])
-                    row = np.repeat(np.arange(len(some)), n)
+                    row = np.repeat(np.arange(hi - lo), n[lo:hi])
+                    col, w = place[code[a:z]], ws[a:z]
                     ok = col >= 0
-                    dense = np.zeros((len(some), len(at)))
-                    dense[row[ok], col[ok]] = ws[ok] if weight is None else weight(ws[ok])
-                    score = m @ dense.T
+                    dense = np.zeros((hi - lo, len(at)))
+                    dense[row[ok], col[ok]] = w[ok] if weight is None else weight(w[ok])
+                    full = m @ dense.T
+                    score = full
+                    if terms is not None:
+                        nth = np.arange(a, z) - ends[lo:hi][row]
+                        dense[row[ok & (nth >= terms[0])], col[ok & (nth >= terms[0])]] = 0
+                        score = short @ dense.T
                     if digits is not None:
                         score = np.round(score, digits)
                     if score.shape[1] > k:               # the k-th best of each query, ties included
@@ -97,15 +121,15 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits:
                         qi, xj = np.nonzero((score >= least) & (score > 0))
                     else:
                         qi, xj = np.nonzero(score > 0)
-                    found = (qid[qi], some["id"].to_numpy(np.int64)[xj], score[qi, xj])
+                    found = (qid[qi], ids[lo:hi][xj], score[qi, xj], full[qi, xj])
                     old = held.get(number)
                     held[number] = _best(*(found if old is None else [np.concatenate(x) for x in zip(old, found, strict=True)]), k)
-        for q, i, v in held.values():
-            yield pd.DataFrame({"qid": q, "id": i, "score": v})
+        for q, i, v, f in held.values():
+            yield pd.DataFrame({"qid": q, "id": i, "score": v, "full": f})
 
-    blocks = queries.repartition("qid").mapInPandas(_pack_queries, "block long, queries binary")
-    grid = rows.select("id", "dims", "ws").mapInPandas(_pack_rows, "rows binary").crossJoin(blocks.hint("shuffle_replicate_nl"))
-    return grid.mapInPandas(scan, "qid long, id long, score double")
+    blocks = queries.repartition("qid").mapInPandas(_pack_queries(terms and terms[1]), "block long, queries binary")
+    grid = rows.select("id", "dims", "ws").mapInArrow(_pack_rows, "rows binary").crossJoin(blocks.hint("shuffle_replicate_nl"))
+    return grid.mapInPandas(scan, "qid long, id long, score double, full double")
 
 
 def rank_by_score(s: DataFrame, k: int) -> DataFrame:
@@ -137,16 +161,9 @@ def prune_topt(sp: DataFrame, t: int, scale: float | None = None) -> DataFrame:
 
 
 def two_stage(rows: DataFrame, queries: DataFrame, k: int, doc_t: int, query_t: int, r: int) -> DataFrame:
-    """Candidates from pruned lists (top ``doc_t`` / ``query_t`` terms), re-scored with full lists."""
-    def pruned(df: DataFrame, t: int) -> DataFrame:
-        return df.withColumn("dims", F.slice("dims", 1, t)).withColumn("ws", F.slice("ws", 1, t))
-
-    q = query_rows(queries)
-    cand = rank_by_score(top_scores(pruned(rows, doc_t), pruned(q, query_t), r), r).select("qid", "id")
-    full = (long_form(rows.join(cand, "id").withColumn("id", F.struct("qid", "id"))).select("id.*", "dim", "w")
-            .join(queries.select("qid", "dim", F.col("w").alias("qw")), ["qid", "dim"])
-            .groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-            .where(F.col("score") > 0))
+    """The ``r`` best by pruned lists (top ``doc_t`` / ``query_t`` terms), ranked anew by their full lists."""
+    cand = rank_by_score(top_scores(rows, query_rows(queries), r, terms=(doc_t, query_t)), r)
+    full = cand.where(F.col("full") > 0).select("qid", "id", F.col("full").alias("score"))
     return rank_by_score(full, k).select("qid", "rk", "id", "score")
 
 

@@ -180,16 +180,26 @@ def workload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sparse vectors
 
 def _count_terms(batches):
-    """Row-form bag of words of each text: terms split on single space, by count descending, then term."""
-    from collections import Counter
-
+    """Row-form bag of words of each text: terms split on single space, by count descending, then term (Arrow arrays throughout)."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
     for b in batches:
-        tallies = [sorted(Counter(t.split(" ")).items(), key=lambda e: (-e[1], e[0].encode())) if t is not None else []
-                   for t in b.column(1).to_pylist()]
+        lists = pc.split_pattern(b.column(1).cast(pa.large_string()), " ")
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        terms = lists.flatten().dictionary_encode()
+        names = terms.dictionary
+        rank = np.empty(len(names), np.int64)
+        by_bytes = pc.sort_indices(names.cast(pa.large_binary())).to_numpy()
+        rank[by_bytes] = np.arange(len(names))
+        key, count = np.unique((np.repeat(np.arange(len(n)), n) << 32) | rank[terms.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+        row = key >> 32
+        order = np.lexsort((key, -count, row))
+        ends = pa.array(np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32))
+        dims = names.take(pa.array(by_bytes[(key[order] & 0xFFFFFFFF)])).cast(pa.string()) if len(key) else pa.array([], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([[d for d, _ in t] for t in tallies], pa.list_(pa.string())),
-             pa.array([[float(n) for _, n in t] for t in tallies], pa.list_(pa.float64()))], names=["id", "dims", "ws"])
+            [b.column(0), pa.ListArray.from_arrays(ends, dims), pa.ListArray.from_arrays(ends, pa.array(count[order].astype(np.float64)))],
+            names=["id", "dims", "ws"])
 
 
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
