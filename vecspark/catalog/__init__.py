@@ -7,7 +7,7 @@ import importlib
 from vecspark.catalog.registry import ORACLE, QUERIES
 
 _MODULES = ("q_knn", "q_predicates", "q_sparse", "q_cells", "q_workload", "q_subsets", "q_ranges", "q_quality",
-            "q_stream", "q_reports", "q_io", "q_gen")
+            "q_stream", "q_reports", "q_io", "q_files", "q_gen")
 
 for _m in _MODULES:
     try:

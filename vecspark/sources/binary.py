@@ -122,29 +122,45 @@ def read_fvecs(spark: SparkSession, path: str, dtype=np.float32, block_rows: int
 
 def write_fvecs(df: DataFrame, path: str) -> None:
     """Single fvecs file assembled from per-partition byte blocks at computed offsets (id order)."""
-    rows = df.select("id", "v").orderBy("id")
+    write_vecs(df, path, "<f4")
+
+
+def write_vecs(df: DataFrame, path: str, dtype: str) -> None:
+    """Single file of int32 d and d values of ``dtype`` a record, in order of id; contiguous records are written at once."""
+    from vecspark.operators.ranking import global_row_number
+    rows = df.select("id", "v")
     d = len(rows.first()["v"])
-    rec = 4 + 4 * d
+    rec = 4 + d * np.dtype(dtype).itemsize
     n = rows.count()
     with open(path, "wb") as f:
         f.truncate(n * rec)
 
     def run(it):
         for pdf in it:
-            X = np.vstack(pdf["v"].to_numpy()).astype(np.float32)
+            X = checked_cast(np.vstack(pdf["v"].to_numpy()), dtype)
             buf = np.empty((len(pdf), rec), dtype=np.uint8)
             buf[:, :4] = np.frombuffer(struct.pack("<i", d), dtype=np.uint8)
-            buf[:, 4:] = X.view(np.uint8).reshape(len(pdf), 4 * d)
+            buf[:, 4:] = X.view(np.uint8).reshape(len(pdf), rec - 4)
+            pos = pdf["pos"].to_numpy()
+            order = np.argsort(pos, kind="stable")
+            breaks = np.flatnonzero(np.diff(pos[order]) != 1) + 1
             with open(path, "r+b") as f:
-                for pos, row in zip(pdf["pos"].to_numpy(), buf):
-                    f.seek(int(pos) * rec)
-                    f.write(row.tobytes())
+                for lo, hi in zip(np.r_[0, breaks], np.r_[breaks, len(pos)], strict=True):
+                    f.seek(int(pos[order[lo]]) * rec)
+                    f.write(buf[order[lo:hi]].tobytes())
             yield pd.DataFrame({"n": [len(pdf)]})
-    from vecspark.operators.ranking import global_row_number
     pos = global_row_number(rows.withColumn("_k", F.lit(0)), ["_k"], "id", "pos").withColumn("pos", F.col("pos") - 1)
     pos.select("pos", "v").mapInPandas(run, "n long").collect()
 
 
+def write_range_attrs(rows: DataFrame, path: str) -> None:
+    """``(id, v)`` with two values and ids from 0 → uint64 2, uint64 n, then n float32 of each attribute."""
+    n = rows.count()
+    _preallocate(path, 16 + 8 * n, struct.pack("<QQ", 2, n))
+    at = rows.select(F.col("v")[0].alias("a0"), F.col("v")[1].alias("a1"), (16 + 4 * F.col("id")).alias("o0"), (16 + 4 * (F.col("id") + n)).alias("o1"))
+    _scatter(at, path, [("a0", "<f4", "o0"), ("a1", "<f4", "o1")])
+
+
 # ------------------------------------------------------------------ k-NN truth (usbin) and ragged range results
 
 def _preallocate(path: str, nbytes: int, header: bytes) -> None:
