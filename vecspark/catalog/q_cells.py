@@ -15,6 +15,7 @@ from vecspark.operators import cells as C
 from vecspark.sources import fixtures as fx
 
 NPROBE = 2
+MAX_CODES, MAX_PROBES = 60, 8
 N_PROPS = 4
 CAPS_BUDGET = 50
 K2 = 4
@@ -247,3 +248,14 @@ def two_level_cells(spark, sf):
     """Sub-cells of every cell, trained on all its rows (no SQL twin)."""
     b, cents = _all(spark, sf)
     return C.two_level(b, cents, K2)
+
+
+@register("ivf_knn_max_codes", _ccte(extra=[
+    "sz AS (SELECT cell, count(*) AS n FROM asg GROUP BY cell)",
+    f"bud AS (SELECT qid, cell FROM (SELECT o.qid, o.cell, coalesce(sum(s.n) OVER (PARTITION BY o.qid ORDER BY o.prk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
+    f"FROM ord o JOIN sz s ON s.cell = o.cell WHERE o.prk <= {MAX_PROBES}) WHERE before < {MAX_CODES})"]) + topk_sql(
+    f"SELECT p.qid, b.id, {l2('q.qv', 'b.v')} AS dist FROM bud p JOIN asg a ON a.cell = p.cell JOIN base b ON b.id = a.id JOIN queries q ON q.qid = p.qid"))
+def ivf_knn_max_codes(spark, sf):
+    """Cells probed nearest first until they hold 60 rows, at most eight of them."""
+    q, b, cents = _setup(spark, sf)
+    return _fin(C.ivf_knn(C.assign(b, cents), q, C.probes(q, cents, MAX_PROBES), TOPK, max_codes=MAX_CODES))

@@ -9,6 +9,8 @@ that join prunes every unprobed partition.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,19 +60,67 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str =
     return p.select("qid", F.col("id").alias("cell"), F.col("rk").alias("prk"))
 
 
+def _cell_blocks(kind: str, rows_of):
+    """Pack rows sorted by cell into blocks of one cell: ``rows_of(part, number)`` gives a block's columns."""
+    size = blockscan.BASE_ROWS if kind == "base" else blockscan.QUERY_ROWS
+
+    def pack(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        cell, held, n = None, [], 0
+
+        def block():
+            return pd.DataFrame({"cell": [cell]} | rows_of(pd.concat(held), number))
+        for pdf in batches:
+            cuts = np.flatnonzero(np.diff(pdf["cell"].to_numpy())) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True):
+                while lo < hi:
+                    here = int(pdf["cell"].iloc[lo])
+                    if held and (here != cell or n >= size):
+                        yield block()
+                        held, n, number = [], 0, number + 1
+                    cell, take = here, min(hi - lo, size - n if held else size)
+                    held.append(pdf.iloc[lo:lo + take].drop(columns="cell"))
+                    n, lo = n + take, lo + take
+        if held:
+            yield block()
+    return pack
+
+
+def cell_scan(assigned: DataFrame, queries: DataFrame, probe: DataFrame, k: int, metric: str = "l2", tag_filter: bool = False) -> DataFrame:
+    """Partial top-k ``(qid, id, dist)`` of every query in its probed cells, block by block.
+
+    Rows of a cell are packed into blocks, and so are the queries that probe it; blocks meet on the cell's number and the block-scan
+    kernel compares them.  What is joined are blocks, never pairs of vectors, and a task sends k rows a query and cell block.
+    A large cell is several blocks in several tasks (the rebalancing splits it).
+    """
+    tags, filters = (["tags"], ["ftags", "is_and"]) if tag_filter else ([], [])
+    rows = (assigned.select("cell", "id", "v", *tags).hint("rebalance", "cell").sortWithinPartitions("cell")
+            .mapInPandas(_cell_blocks("base", lambda part, number: {"rows": [pickle.dumps(part)]}), "cell long, rows binary"))
+    asked = probe.select("qid", "cell").join(queries.select("qid", "qv", *filters), "qid").select("cell", "qid", "qv", *filters)
+    kinds = {"tags"} if tag_filter else set()
+
+    def packed(part, number):
+        return {"block": [number], "queries": [pickle.dumps(blockscan._build_block(part, "qv", kinds, None))]}
+    blocks = (asked.hint("rebalance", "cell").sortWithinPartitions("cell")
+              .mapInPandas(_cell_blocks("queries", packed), "cell long, block long, queries binary"))
+    grid = rows.join(blocks, "cell").select("rows", "block", "queries")
+    columns = {"vec": "v", "id": "id"} | ({"tags": "tags"} if tag_filter else {})
+    return grid.mapInPandas(blockscan._make_scan(metric, "topk", k, columns, None, False, False), blockscan.PARTIAL_SCHEMA)
+
+
 def ivf_knn(assigned: DataFrame, queries: DataFrame, probe: DataFrame, k: int, metric: str = "l2",
-            tag_filter: bool = False) -> DataFrame:
-    """Exact top-k among rows of the probed cells (optionally with the query's tag filter)."""
-    from vecspark.operators import predicates as P
-    # the planner broadcasts the probes (nq · nprobe) if they are small, else AQE splits a hot cell
-    cand = assigned.select("id", "cell", "v", *(["tags"] if tag_filter else [])).join(
-        probe.select("qid", "cell"), "cell")
-    q = queries.select("qid", "qv", *(["ftags", "is_and"] if tag_filter else []))
-    j = cand.join(q, "qid")
-    if tag_filter:
-        j = j.where(P.tag_match(F.col("tags"), F.col("ftags"), F.col("is_and")))
-    scored = j.select("qid", "id", D.distance(metric, F.col("qv"), F.col("v")).alias("dist"))
-    return blockscan.rank_topk(scored, k).select("qid", "rk", "id", "dist")
+            tag_filter: bool = False, max_codes: int | None = None) -> DataFrame:
+    """Exact top-k among rows of the probed cells (optionally with the query's tag filter).
+
+    With ``max_codes`` a query stops probing once the cells before (nearest first, ``probe.prk``) hold so many rows.
+    """
+    if max_codes is not None:
+        sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("qid").orderBy("prk").rowsBetween(Window.unboundedPreceding, -1))
+        probe = (probe.join(sizes, "cell").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_codes).select("qid", "cell"))
+    found = cell_scan(assigned, queries, probe, k, metric, tag_filter)
+    return blockscan.rank_topk(found, k).select("qid", "rk", "id", "dist")
 
 
 def balance(assigned: DataFrame, n_cells: int) -> DataFrame:
@@ -220,7 +270,6 @@ def budget_probe_knn(assigned_tagged: DataFrame, queries_f: DataFrame, centroids
     o = order.join(cnt, ["qid", "cell"], "left").fillna({"n": 0})
     w = Window.partitionBy("qid").orderBy("prk").rowsBetween(Window.unboundedPreceding, -1)   # <= n_cells rows per query
     keep = o.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < budget) \
-            .select("qid", "cell")
-    cand = rows.join(assigned_tagged.select("id", "cell"), "id").join(keep, ["qid", "cell"]).select("qid", "id")
-    from vecspark.operators import knn as K
-    return K.knn_prefilter(assigned_tagged, queries_f, cand, k, metric)
+            .where("n > 0").select("qid", "cell")
+    found = cell_scan(assigned_tagged, queries_f, keep, k, metric, tag_filter=True)
+    return blockscan.rank_topk(found, k).select("qid", "rk", "id", "dist")
