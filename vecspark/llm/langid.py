@@ -13,6 +13,7 @@ are broadcast to thin their texts before the shuffle; texts of rarer ones all go
 (languages x clusters x slots) are broadcast; prediction is one Arrow pass.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null languages are not learned from;
+very long texts are counted whole, 128 texts at a time; of equally near centroids the first language in order wins;
 repeated rows are answered row by row; without training rows everything is ``und``; an empty table gives an empty
 result.  Only doc_id, text and (for training) lang are read.
 """

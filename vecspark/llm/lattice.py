@@ -18,7 +18,8 @@ text are broadcast (there cannot be more than HEAD of them), the rest is joined
 join key.
 
 Edge cases: a null or empty text is the end piece alone; a null doc_id hashes as the empty string (not held out);
-repeated rows are scored row by row; without training documents all counts are 0 and the probabilities stay at their
+very long texts and words are scored whole, the sum does not depend on where a batch ends; segmentations of equal weight
+all count, so there is no tie to break; repeated rows are scored row by row; without training documents all counts are 0 and the probabilities stay at their
 start; an empty table gives an empty result.  Only doc_id and text are read.
 """
 

@@ -15,7 +15,8 @@ returns a few sums (never the sources) to the driver; running counts use windows
 65536 for each source and epoch, so one source may hold most rows; only (doc_id, source, n_tokens) is shuffled.
 
 Edge cases: a null text has no tokens; a null source counts as the empty string; a null doc_id is an id of its own;
-rows with equal doc_id and source are drawn together; documents without tokens follow their neighbours in the order;
+rows with equal doc_id and source are drawn together (ties of the order's md5 go by doc_id); a very long text is one draw, which
+may run over its block's and its quota's end; documents without tokens follow their neighbours in the order;
 an empty table, or one without tokens, draws nothing; a budget beyond what the limit allows is lowered to it.
 """
 

@@ -9,6 +9,7 @@ Row-local work is one Arrow pass; the only shuffle is the pattern count.
 
 Edge cases: a null or empty text has no words and fails the base rule (it is not kept).  Columns other
 than ``doc_id`` and ``text`` are never read by ``quality_scores``; ``keep_good`` returns the input columns.
+Very long texts are counted whole; a posterior of exactly 0.5 keeps the document, and there are no other ties.
 Repeated rows are judged one by one.  An empty table gives an empty result.
 """
 

@@ -15,7 +15,8 @@ table has at most SLOTS rows at any size; it alone is edited on the driver and b
 numbered within (slot, part of a slot), where the parts grow in number with the rows, on top of running counts.
 
 Edge cases: a null text has size 16 and checksum 0; a null doc_id is a value like another; very long texts count with
-all their bytes and can make a shard larger than the mean by that one record; equal texts, equal ids and repeated rows
+all their bytes and can make a shard larger than the mean by that one record; slots of equal size move in order of their
+number; equal texts, equal ids and repeated rows
 are records of their own; an empty table gives no rows and an even map; other columns are not read, whatever their
 names (``write_shards`` keeps them).
 """

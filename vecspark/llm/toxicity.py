@@ -9,7 +9,7 @@ fitted with a lasso (threshold by the standard error of a term's gradient), fact
 the terms a text has and falls with the number of texts.  Scoring is one Arrow pass without a shuffle.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; null labels are no labels, and of
-several labels of a doc_id the highest counts; a null doc_id has no label; repeated rows are scored row by row;
+several labels of a doc_id the highest counts; a null doc_id has no label; very long texts count with all their distinct terms; a score of exactly the threshold is predicted 1; repeated rows are scored row by row;
 without labelled rows of both classes every score is the training share of label 1 (0 without any); an empty table
 gives an empty result.  Of documents only doc_id and text are read.
 """
