@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.catalog.oracle_fixtures import DIST, cte, l2
-from vecspark.catalog.registry import register
+from vecspark.catalog.registry import ORACLE, register
 from vecspark.functions import distance as D
 from vecspark.operators import knn as K
+from vecspark.operators import nearest as N
 from vecspark.sources import fixtures as fx
 from vecspark.streaming import replay
 
@@ -182,6 +183,20 @@ def multivector_docs(spark, sf):
     return K.round_dist(K.multivector_docs(base, queries, NUM_DOCS))
 
 
+@register("epsilon_by_rule", ORACLE["epsilon_search"])
+def epsilon_by_rule(spark, sf):
+    """The epsilon search as a plugged-in stop rule of the nearest-first search."""
+    queries, base = fx.split(fx.vectors(spark, sf))
+    return _fin(N.nearest_first(base, queries, N.EpsilonRule(EPS, EPS_MIN, EPS_MAX), first=16))
+
+
+@register("docs_by_rule", ORACLE["multivector_docs"])
+def docs_by_rule(spark, sf):
+    """Nearest vectors until enough documents are seen, as a plugged-in stop rule."""
+    queries, base = fx.split(fx.vectors(spark, sf))
+    return K.round_dist(N.nearest_first(base, queries, N.DocsRule(NUM_DOCS), first=16))
+
+
 # ------------------------------------------------------------------ k-NN graph, fusion
 
 @register("knn_graph", cte("vectors") + "SELECT qid AS src, rk, id AS dst, dist FROM (" + topk_sql(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark.operators.ranking import ordered_positions
+
 TIE_EPS = 1e-6
 
 
@@ -134,8 +136,7 @@ def recall_by_selectivity(per_query: DataFrame, n_bins: int = 5) -> DataFrame:
     """Queries sorted by cardinality, cut into equal bins (remainder dropped): mean card and recall per bin."""
     nq = per_query.count()
     size = nq // n_bins
-    w = Window.orderBy("card", "qid")     # one row per query: the query table is small
-    r = per_query.withColumn("_r", F.row_number().over(w) - 1).withColumn("bin", (F.col("_r") / size).cast("int"))
+    r = ordered_positions(per_query, ["card", "qid"], F.col("card"), "_r").withColumn("bin", ((F.col("_r") - 1) / size).cast("int"))
     return r.where(F.col("bin") < n_bins).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("card").alias("avg_card"), F.avg("recall").alias("mean_recall"))
 
