@@ -12,9 +12,9 @@ max_ratio) boilerplate lines, a bound on the array of digests that is joined bac
 pages meet theirs by host.
 
 Long pages: a pattern that begins at an opening mark without its closing one would search to the end of the page, once for
-every such mark.  So the opening marks behind the last place that can still close them are found first (by ``locate`` from
-the page's end) and masked, and tags are looked for up to the last ``>`` only: every attempt then succeeds and the work
-grows with the length of the page.  The result is that of the plain patterns.
+every such mark.  So on pages that may have such marks those behind the last place that can still close them are found first and
+masked, and tags are looked for up to the last ``>`` only: every attempt then succeeds and the work grows with the
+length of the page.  The result is that of the plain patterns.
 
 Edge cases: a null url (or one without a host) is the empty host; a null or empty html has no lines and an empty
 text; very long pages are read whole; every row is a page, also if rows or page_ids repeat; lines with equal shares are
@@ -43,18 +43,21 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def _last(text: Column, mark: str, before: Column | None = None) -> Column:
-    """Place (from 1) of the last ``mark`` in ``text``, or of the last one that ends before place ``before``; 0 if none."""
-    start = F.lit(1) if before is None else F.greatest(F.length(text) - before + 2, F.lit(1))
-    return _let(F.call_function("locate", F.lit(mark[::-1]), F.reverse(text), start),
-                lambda found: F.when(found == 0, F.lit(0)).otherwise(F.length(text) - found - len(mark) + 2))
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
 
 
+def _after(text: Column, mark: str) -> Column:
+    """What follows the last ``mark`` of ``text``; all of it where there is none."""
+    return F.substring_index(text, mark, -1)
+
+
+def _last(text: Column, mark: str) -> Column:
+    """Place (from 1) of the last ``mark`` in ``text``, 0 if there is none."""
+    return F.when(F.contains(text, F.lit(mark)), F.length(text) - F.length(_after(text, mark)) - len(mark) + 1).otherwise(F.lit(0))
+
+
 def _mask(text: Column, opening: str, search: Column, alive: Column) -> Column:
     """``text`` with every ``opening`` mark behind place ``alive`` masked; ``search`` is ``text`` as the mark is looked for in it."""
     dead = F.regexp_replace(F.substr(text, alive + 1, F.length(text)), f"(?i)<(?={opening[1:]})", MASKED)
@@ -69,7 +72,7 @@ def _masked(html: Column) -> Column:
 
         def places(low: Column) -> Column:
             return _let(_last(low, f"</{name}>"), lambda close: _let(       # an opening mark ends before the closing one
-                F.when(close == 0, F.lit(0)).otherwise(_last(text, ">", close)), lambda alive: _mask(text, "<" + name, low, alive)))
+                F.when(close == 0, F.lit(0)).otherwise(_last(F.substr(text, F.lit(1), close - 1), ">")), lambda alive: _mask(text, "<" + name, low, alive)))
         return _let(low, places)
 
     def comments(text: Column) -> Column:
@@ -79,13 +82,29 @@ def _masked(html: Column) -> Column:
     return _let(_let(_let(text, lambda t: element(t, "script")), lambda t: element(t, "style")), comments)
 
 
+def _open(html: Column) -> Column:
+    """Whether an opening mark may be without its closing one (never false where one is)."""
+    def element(low: Column, name: str) -> Column:
+        def near(tail: Column) -> Column:      # between the last '>' before the last closing mark and that mark
+            before = F.substr(low, F.lit(1), F.length(low) - F.length(tail) - len(name) - 3)
+            return F.contains(tail, F.lit("<" + name)) | F.contains(_after(before, ">"), F.lit("<" + name))
+        return F.contains(low, F.lit("<" + name)) & _let(_after(low, f"</{name}>"), near)
+
+    marks = [F.contains(html, F.lit(m)) for m in ("<!-->", "<!--->")] + [F.contains(_after(html, "-->"), F.lit("<!--"))]
+    return _let(F.lower(html), lambda low: element(low, "script") | element(low, "style")) | marks[0] | marks[1] | marks[2]
+
+
 def visible(html: Column) -> Column:
     """The page without scripts, styles, comments and tags, each of them a line break."""
-    def untagged(text: Column, end: Column) -> Column:
-        return F.concat(F.regexp_replace(F.substr(text, F.lit(1), end), TAG, "\n"), F.substr(text, end + 1, F.length(text)))
+    def untagged(text: Column) -> Column:
+        end = F.length(text) - F.length(_after(text, ">"))
+        return F.concat(F.regexp_replace(F.substr(text, F.lit(1), end), TAG, "\n"), _after(text, ">"))
+
+    def masked(text: Column) -> Column:
+        shown = _let(F.regexp_replace(_masked(text), HIDDEN, "\n"), untagged)
+        return F.replace(F.replace(shown, F.lit(ESCAPE + MASK), F.lit("")), F.lit(ESCAPE + PLAIN), F.lit(ESCAPE))
 
-    text = _let(F.regexp_replace(_masked(html), HIDDEN, "\n"), lambda t: _let(_last(t, ">"), lambda end: untagged(t, end)))
-    return F.replace(F.replace(text, F.lit(ESCAPE + MASK), F.lit("")), F.lit(ESCAPE + PLAIN), F.lit(ESCAPE))
+    return F.when(_open(html), masked(html)).otherwise(_let(F.regexp_replace(html, HIDDEN, "\n"), untagged))
 
 
 def lines_of(html: Column) -> Column:
