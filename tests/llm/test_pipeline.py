@@ -46,3 +46,27 @@ def test_run_is_registered_and_whole(spark):
     assert e.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in e.oracle_sql()
     r = corpus_pipeline.run(spark, SF)
     assert r.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and r.count() > 50
+
+
+def test_nulls_repeated_ids_clashing_columns_and_no_rows(spark):
+    """Every stage, one after the other, on rows that are not as usual; then on an empty table."""
+    common.prepare(spark)
+    plain = common.table(spark, SF, "documents")
+    rows = [tuple(r) for r in plain.limit(60).collect()]
+    long = " ".join(r[1] or "" for r in rows) * 3
+    odd = [(None, rows[0][1]), (rows[1][0], rows[2][1]), (rows[3][0], rows[3][1]), (rows[3][0], rows[3][1]), (900_001, None), (900_002, ""), (900_003, long)]
+    shape = plain.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    docs = spark.createDataFrame(rows + [(i, t, *rows[0][2:4], len(t or "")) for i, t in odd], shape)
+    for name in ("record", "__id", "block", "n_words", "items"):
+        docs = docs.withColumn(name, docs["doc_id"] * 2)
+    folder = common.scratch(spark, "odd")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    common.table(spark, SF, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+    for held in (common.table(spark, folder, "documents"), common.table(spark, folder, "documents").limit(0)):
+        empty = held.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            before, held = held, common.stored(stage(spark, held, folder), "odd")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert held.columns == docs.columns
+                assert held.exceptAll(before).isEmpty() or name == "source mix"
+        assert held.isEmpty() == empty

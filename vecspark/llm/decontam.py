@@ -278,4 +278,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     """The rows of ``docs`` whose doc_id has no exact window of an item (rows sharing an id go together)."""
     bad = (find(docs, benchmark, width).filter(F.col("n_hit") > 0)
            .select(F.col("doc_id").alias("__hit_id")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit_id")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col("doc_id").cast("long").alias("__id"))
+    return rows.join(bad, F.col("__id").eqNullSafe(F.col("__hit_id")), "left_anti").select("record.*")

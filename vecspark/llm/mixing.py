@@ -132,7 +132,9 @@ def draws(docs: DataFrame, budget_ratio: float = 1.0, max_repeats: float | None
 
 
 def mixed(docs: DataFrame, **mix) -> DataFrame:
-    """The rows of ``docs``, each as often as it is drawn (all its columns)."""
-    d = draws(docs, **mix).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source"))
-    return docs.join(d, on).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as it is drawn (all its columns, whatever their names)."""
+    d = draws(docs, **mix).select("doc_id", "source")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col("doc_id").cast("long").alias("__id"),
+                       F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"))
+    on = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__source") == F.col("source"))
+    return rows.join(d, on).select("record.*")
