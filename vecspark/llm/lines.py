@@ -82,16 +82,16 @@ def _masked(html: Column) -> Column:
     return _let(_let(_let(text, lambda t: element(t, "script")), lambda t: element(t, "style")), comments)
 
 
-def _open(html: Column) -> Column:
-    """Whether an opening mark may be without its closing one (never false where one is)."""
-    def element(low: Column, name: str) -> Column:
+def _open(html: Column, low: Column) -> Column:
+    """Whether an opening mark may be without its closing one (never false where one is); ``low`` is ``html`` in small letters."""
+    def element(name: str) -> Column:
         def near(tail: Column) -> Column:      # between the last '>' before the last closing mark and that mark
             before = F.substr(low, F.lit(1), F.length(low) - F.length(tail) - len(name) - 3)
             return F.contains(tail, F.lit("<" + name)) | F.contains(_after(before, ">"), F.lit("<" + name))
         return F.contains(low, F.lit("<" + name)) & _let(_after(low, f"</{name}>"), near)
 
     marks = [F.contains(html, F.lit(m)) for m in ("<!-->", "<!--->")] + [F.contains(_after(html, "-->"), F.lit("<!--"))]
-    return _let(F.lower(html), lambda low: element(low, "script") | element(low, "style")) | marks[0] | marks[1] | marks[2]
+    return element("script") | element("style") | marks[0] | marks[1] | marks[2]
 
 
 def visible(html: Column) -> Column:
@@ -104,7 +104,12 @@ def visible(html: Column) -> Column:
         shown = _let(F.regexp_replace(_masked(text), HIDDEN, "\n"), untagged)
         return F.replace(F.replace(shown, F.lit(ESCAPE + MASK), F.lit("")), F.lit(ESCAPE + PLAIN), F.lit(ESCAPE))
 
-    return F.when(_open(html), masked(html)).otherwise(_let(F.regexp_replace(html, HIDDEN, "\n"), untagged))
+    def shown(low: Column) -> Column:
+        none = ~(F.contains(low, F.lit("<script")) | F.contains(low, F.lit("<style")) | F.contains(html, F.lit("<!--")))
+        return (F.when(none, untagged(html)).when(_open(html, low), masked(html))
+                .otherwise(_let(F.regexp_replace(html, HIDDEN, "\n"), untagged)))
+
+    return _let(F.lower(html), shown)
 
 
 def lines_of(html: Column) -> Column:
