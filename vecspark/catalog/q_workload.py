@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from vecspark.catalog.oracle_fixtures import cte, l2
 from vecspark.catalog.q_knn import TOPK, _fin, topk_sql
 from vecspark.catalog.registry import register
-from vecspark.operators import knn as K
 from vecspark.operators import predicates as P
 from vecspark.plans import routing, workload as W
 from vecspark.plans.store import SubsetStore

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.functions import distance as D
 from vecspark.operators import blockscan
 from vecspark.operators.ranking import global_row_number, per_group_offsets
 from vecspark.session import cut_lineage
