@@ -23,7 +23,6 @@ table gives no nodes; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
