@@ -73,3 +73,59 @@ def test_own_distance_memory_with_a_full_query_block(spark):
     assert len(out) == 2 * nq and max(seen) <= blockscan.PAIR_BUDGET
     want = np.abs(block.Q[5] - np.vstack(part["v"])).sum(axis=1)
     assert np.allclose(sorted(out[out.qid == 5].dist), np.sort(want)[:2])
+
+
+def _block_batches(pd, n_base: int, n_query: int, d: int, seed: int = 3):
+    rng = np.random.default_rng(seed)
+    X, Q = rng.normal(size=(n_base, d)), rng.normal(size=(n_query, d))
+    import pickle
+    part = pd.DataFrame({"id": np.arange(n_base), "v": list(X), "doc": np.arange(n_base) % 7})
+    block = blockscan.QueryBlock(qid=np.arange(n_query), Q=Q, radius=np.full(n_query, np.inf))
+    return X, Q, pd.DataFrame({"rows": [pickle.dumps(part)], "block": [0], "queries": [pickle.dumps(block)]})
+
+
+@pytest.mark.parametrize("mode,k", [("topk", 100), ("topk_groups", 3), ("radius", 1)])
+def test_scan_memory_does_not_grow_with_the_blocks(mode, k):
+    """4096 queries by 4096 rows used to gather gigabytes of row pairs at once."""
+    import tracemalloc
+
+    import pandas as pd
+    n = 1024 if mode == "radius" else 4096
+    X, Q, batch = _block_batches(pd, 4096, n, 64)
+    cols = {"vec": "v", "id": "id"} | ({"group": "doc"} if mode == "topk_groups" else {})
+    run = blockscan._make_scan("l2", mode, k, cols, None, False, False)
+    tracemalloc.start()
+    seen, want = 0, ((Q[5] - X) ** 2).sum(axis=1)
+    mine = []
+    for out in run([batch]):
+        seen += len(out)
+        mine.append(out[out.qid == 5])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    got = pd.concat(mine).sort_values(["dist", "id"])
+    if mode == "radius":
+        assert seen == n * 4096 and np.allclose(got.dist, np.sort(want))
+    elif mode == "topk":
+        assert seen == n * k and np.allclose(got.dist, np.sort(want)[:k])
+    else:
+        best = np.sort([want[np.arange(4096) % 7 == g].min() for g in range(7)])[:k]
+        assert seen == n * k and np.allclose(got.dist, best)
+
+
+def test_many_cells_leave_a_task_before_its_end():
+    import pickle
+
+    import pandas as pd
+    X, Q, batch = _block_batches(pd, 200, 1024, 4)
+    run = blockscan._make_scan("l2", "topk", 100, {"vec": "v", "id": "id"}, None, False, False)
+    many = pd.concat([batch.assign(block=n) for n in range(40)])
+    out = list(run([many]))
+    assert len(out) == 40 and pickle.loads(batch["queries"][0]).Q.shape == (1024, 4)
+    first = [next(iter(run(iter([many, _Stop()]))))]         # the first results come before the last batch is read
+    assert len(first[0]) == 1024 * 100
+
+
+class _Stop:
+    def __getitem__(self, name):
+        raise AssertionError("read to the end before any result left")

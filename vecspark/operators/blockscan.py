@@ -17,7 +17,10 @@ job.  The plan is always
   reported and ranked on.  Results are therefore exact and deterministic.
 * A task emits at most ``k`` rows per query (top-k modes), so the shuffle
   is ``nq * k * partitions`` rows regardless of the base size; radius results
-  leave a task block by block.
+  leave a task chunk by chunk.
+* A task holds ``BLOCKS_HELD`` query blocks with at most ``3 * k`` results a query and works on chunks of
+  ``PAIR_BUDGET`` cells, so its memory depends neither on the number of rows nor on that of queries.  A query's k-th best
+  distance so far screens the chunks that follow.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 
 METRICS = ("l2", "ip", "cosine")
 KERNELS: dict = {}               # own distances: name -> function of row-paired matrices
-BASE_ROWS = 4096                 # rows of one base block
-QUERY_ROWS = 4096                # queries of one query block
-PAIR_BUDGET = 4_000_000          # approximate-distance cells per in-task chunk
+BASE_ROWS = 2048                 # rows of one base block
+QUERY_ROWS = 1024                # queries of one query block
+BLOCKS_HELD = 2                  # query blocks of one grid task
+CELLS_HELD, ROWS_HELD = 16, 1 << 20   # a task that meets more query blocks (cells) leaves its results beyond so many rows
+PAIR_BUDGET = 1 << 18            # approximate-distance cells (matrix elements of an own distance) per in-task chunk
 SCREEN_TOL = 1e-9                # bound on the BLAS screening error, relative
 
 PARTIAL_SCHEMA = "qid long, id long, dist double"
@@ -97,10 +102,19 @@ def exact_pairs(Qp: np.ndarray, Xp: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - dot / np.where(norm == 0, 1.0, norm)      # a zero vector counts as its own unit vector
 
 
+def checked_pairs(Q, X, qi, xj, metric) -> np.ndarray:
+    """Exact distances of the pairs ``(qi, xj)``, gathered in slices of at most ``PAIR_BUDGET`` elements."""
+    step = max(1, PAIR_BUDGET // max(1, Q.shape[1]))
+    QT, XT = np.ascontiguousarray(Q.T), np.ascontiguousarray(X.T)          # a column of the gathered pairs is one piece of memory
+    parts = [exact_pairs(np.take(QT, qi[a:a + step], axis=1).T, np.take(XT, xj[a:a + step], axis=1).T, metric)
+             for a in range(0, len(qi), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def approx_block(Q, X, metric, qn, xn):
     """Screening distances through one matrix product, and their error bound."""
     if callable(metric):
-        A = metric(np.repeat(Q, len(X), axis=0), np.tile(X, (len(Q), 1))).reshape(len(Q), len(X))
+        A = metric(np.repeat(Q.T, len(X), axis=1).T, np.tile(X.T, (1, len(Q))).T).reshape(len(Q), len(X))
         return np.where(np.isnan(A), np.inf, A), np.zeros((len(Q), 1))
     G = Q @ X.T
     if metric == "l2":
@@ -191,13 +205,16 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
     tag_col, a0_col, a1_col = cols.get("tags"), cols.get("a0"), cols.get("a1")
     attr_col, group_col = cols.get("attr"), cols.get("group")
 
-    def compare(block: QueryBlock, part: pd.DataFrame):
-        """(query index, row id, distance, group) of the rows of one chunk that can be in the answer."""
+    def compare(block: QueryBlock, part: pd.DataFrame, X: np.ndarray, bound: np.ndarray | None):
+        """(query index, row id, distance, group) of the rows of one chunk that can be in the answer.
+
+        ``bound``: the k-th best exact distance of each query so far (inf: fewer than k).
+        """
         Q = block.Q
-        X = as_matrix(part[vec_col])
         ids = part[id_col].to_numpy(dtype=np.int64)
         b = len(ids)
         A, tol = approx_block(Q, X, metric, (Q * Q).sum(axis=1), (X * X).sum(axis=1))
+        plain = A                               # an own distance is exact already
         mask = None
         if block.ftags is not None:
             mask = _tag_masks(block, part[tag_col], b)
@@ -225,25 +242,26 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
             tol = tol * (1.0 + grown * rattr.shape[1])
         if mask is not None:
             A = np.where(mask, A, np.inf)
-        if mode == "topk":
+        cand = np.isfinite(A)
+        if mode == "radius":
+            cand &= A <= block.radius[:, None] + 2.0 * tol
+        elif bound is not None:
+            cand &= A <= bound[:, None] + 2.0 * tol
+        if mode == "topk" and np.count_nonzero(cand) > len(Q) * k:
             kk = min(k, b)
-            kth = np.partition(A, kk - 1, axis=1)[:, kk - 1:kk]
-            cand = np.isfinite(A) & (A <= kth + 2.0 * tol)
-        elif mode == "topk_groups":
-            cand = np.isfinite(A)   # reduced per group below
-        else:  # radius
-            cand = np.isfinite(A) & (A <= block.radius[:, None] + 2.0 * tol)
-        qi, xj = np.nonzero(cand)
-        g = part[group_col].to_numpy(dtype=np.int64)[xj] if mode == "topk_groups" else None
-        if mode == "topk_groups" and len(qi):
+            cand &= A <= np.partition(A, kk - 1, axis=1)[:, kk - 1:kk] + 2.0 * tol
+        grp = None
+        if mode == "topk_groups":
             # screen per (query, group): keep rows within tolerance of the group's best
-            a = A[qi, xj]
-            order = np.lexsort((a, g, qi))
-            first = np.r_[True, (qi[order][1:] != qi[order][:-1]) | (g[order][1:] != g[order][:-1])]
-            best = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            sel = order[a[order] <= a[order][best] + 2.0 * tol[qi[order], 0]]
-            qi, xj, g = qi[sel], xj[sel], g[sel]
-        E = exact_pairs(Q[qi], X[xj], metric)
+            grp = part[group_col].to_numpy(dtype=np.int64)
+            order = np.argsort(grp, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(grp[order]) != 0])
+            place = np.empty(b, dtype=np.int64)
+            place[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, b]))
+            cand &= A <= np.minimum.reduceat(A[:, order], starts, axis=1)[:, place] + 2.0 * tol
+        qi, xj = np.nonzero(cand)
+        g = None if grp is None else grp[xj]
+        E = plain[qi, xj] if callable(metric) else checked_pairs(Q, X, qi, xj, metric)
         if fusion is not None:
             E = _fuse(E, cnt[qi, xj], fusion)
         if mode == "radius":
@@ -258,6 +276,15 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
         q, i, d, g = _reduce_groups(*([a[i] for a in acc] for i in range(4)), k)
         return [(q[0], i[0], d[0], g[0])]
 
+    def kth_best(nq: int, q, d) -> np.ndarray:
+        """The k-th best distance of each query of a cut result, inf where it has fewer."""
+        n = np.bincount(q, minlength=nq)
+        ends = np.cumsum(n)
+        out = np.full(nq, np.inf)
+        full = n >= k
+        out[full] = d[ends[full] - 1]
+        return out
+
     def frame(block: QueryBlock, q, i, d, g) -> pd.DataFrame:
         out = {"qid": block.qid[q], "id": i, "dist": d}
         return pd.DataFrame(out if g is None else out | {"grp": g})
@@ -265,19 +292,21 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
     def scan(batches):
         blocks: dict[int, QueryBlock] = {}
         held: dict[int, list] = {}
+        bounds: dict[int, np.ndarray] = {}
+        base = None
         for pdf in batches:
-            base = None
             for raw, number, packed in zip(pdf["rows"], pdf["block"], pdf["queries"], strict=True):
                 if number not in blocks:
                     blocks[number] = pickle.loads(packed)
                 block = blocks[number]
                 if raw != base:
                     base, rows = raw, pickle.loads(raw)
+                    matrix = as_matrix(rows[vec_col])
                 # an own distance sees row-paired matrices: its budget counts elements, not pairs
                 width = block.Q.shape[1] if callable(metric) and len(block.Q) else 1
                 chunk = max(1, PAIR_BUDGET // max(len(block.Q) * width, 1))
                 for lo in range(0, len(rows), chunk):
-                    found = compare(block, rows.iloc[lo:lo + chunk])
+                    found = compare(block, rows.iloc[lo:lo + chunk], matrix[lo:lo + chunk], bounds.get(number))
                     if not len(found[0]):
                         continue
                     if mode == "radius":
@@ -285,8 +314,13 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
                         continue
                     acc = held.setdefault(number, [])
                     acc.append(found)
-                    if sum(len(a[0]) for a in acc) > (4 if mode == "topk" else 64) * len(block.Q) * k:
+                    if number not in bounds or sum(len(a[0]) for a in acc) > 2 * len(block.Q) * k:
                         held[number] = reduced(acc)
+                        bounds[number] = kth_best(len(block.Q), held[number][0][0], held[number][0][2])
+                if len(blocks) > CELLS_HELD and sum(len(a[0]) for acc in held.values() for a in acc) > ROWS_HELD:
+                    for n, acc in held.items():
+                        yield frame(blocks[n], *reduced(acc)[0])
+                    blocks, held, bounds = {}, {}, {}
         for number, acc in held.items():
             yield frame(blocks[number], *reduced(acc)[0])
 
@@ -367,7 +401,7 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
         raise ValueError(f"unknown metric {metric!r}")
     metric = KERNELS.get(metric, metric)
     spark: SparkSession = base.sparkSession
-    from vecspark.session import ship_package
+    from vecspark.session import cut_lineage, ship_package
     ship_package(spark)
     kinds, want = set(), []
     cols = {"vec": vec, "id": id_col}
@@ -404,9 +438,10 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
         want.append(radius)
     schema = PARTIAL_SCHEMA + (", grp long" if mode == "topk_groups" else "")
     pruned = base.select(*base_cols)
-    # the shuffle sizes the query partitions by bytes (AQE); each is one side of a grid task
-    packed = (queries.select("qid", qvec, *want).repartition("qid")
-              .mapInPandas(_pack_queries(qvec, kinds, radius), "block long, queries binary"))
+    # query blocks are written once and dealt by number: each partition is one side of a grid task
+    packed = cut_lineage(queries.select("qid", qvec, *want).repartition("qid")
+                         .mapInPandas(_pack_queries(qvec, kinds, radius), "block long, queries binary"))
+    packed = packed.repartition(max(1, -(-packed.count() // BLOCKS_HELD)))
     grid = pruned.mapInPandas(_pack_rows, "rows binary").crossJoin(packed.hint("shuffle_replicate_nl"))
     return grid.mapInPandas(_make_scan(metric, mode, k, cols, fusion, exclude_self, inclusive), schema)
 
