@@ -14,7 +14,6 @@ from vecspark.operators import predicates as P
 from vecspark.operators.ranking import global_prefix_sum
 from vecspark.sources import fixtures as fx
 
-RANGE_BUCKETS = 10          # a0/a1 lie in [0, 1): bucket = floor(a * 10)
 POPULAR_TAG_SHARE = 10      # tag frequency > N / 10
 POPULAR_PAIR_SHARE = 50     # pair frequency > N / 50
 FUSION_M = 4
@@ -77,24 +76,14 @@ def tag_intersect(spark, sf):
     return a.join(post, (a.id == post.id) & (a.t2 == post.tag), "left_semi").select("qid", "id")
 
 
-# ------------------------------------------------------------------ C5: range filters via bucketed range join
+# ------------------------------------------------------------------ C5: range filters by blocks of rows and filters
 
 def _range_rows(base_attrs: DataFrame, fr: DataFrame, is_and: bool) -> DataFrame:
-    """``(qid, id)`` rows inside the half-open ranges; candidates from an equi-join on attribute buckets."""
-    def cover(lo, hi):
-        return F.sequence(F.floor(F.col(lo) * RANGE_BUCKETS).cast("int"),
-                          (F.ceil(F.col(hi) * RANGE_BUCKETS) - 1).cast("int"))
-    rows = base_attrs.select("id", "a0", "a1",
-                             F.floor(F.col("a0") * RANGE_BUCKETS).cast("int").alias("b0"),
-                             F.floor(F.col("a1") * RANGE_BUCKETS).cast("int").alias("b1"))
-    f0 = fr.select("qid", "lo0", "hi0", "lo1", "hi1", F.explode(cover("lo0", "hi0")).alias("b0"))
-    c0 = rows.join(f0, "b0")
-    m = P.range_match(F.col("a0"), F.col("a1"), F.col("lo0"), F.col("hi0"), F.col("lo1"), F.col("hi1"), is_and)
-    if is_and:
-        return c0.where(m).select("qid", "id")
-    f1 = fr.select("qid", "lo0", "hi0", "lo1", "hi1", F.explode(cover("lo1", "hi1")).alias("b1"))
-    c1 = rows.join(f1, "b1")
-    return c0.where(m).select("qid", "id").unionByName(c1.where(m).select("qid", "id")).distinct()
+    """``(qid, id)`` rows inside the half-open ranges; with OR each pair once."""
+    rows, f = base_attrs.select("id", "a0", "a1"), fr.select("qid", "lo0", "hi0", "lo1", "hi1")
+    if not is_and:
+        rows, f = rows.distinct(), f.distinct()          # an id's attributes and a query's ranges are one: the pairs are distinct
+    return P.range_pairs(rows, f, is_and)
 
 
 def _range_sql(op: str) -> str:

@@ -442,7 +442,8 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
     packed = cut_lineage(queries.select("qid", qvec, *want).repartition("qid")
                          .mapInPandas(_pack_queries(qvec, kinds, radius), "block long, queries binary"))
     packed = packed.repartition(max(1, -(-packed.count() // BLOCKS_HELD)))
-    grid = pruned.mapInPandas(_pack_rows, "rows binary").crossJoin(packed.hint("shuffle_replicate_nl"))
+    dealt = pruned.mapInPandas(_pack_rows, "rows binary").repartition(2 * spark.sparkContext.defaultParallelism)
+    grid = dealt.crossJoin(packed.hint("shuffle_replicate_nl"))
     return grid.mapInPandas(_make_scan(metric, mode, k, cols, fusion, exclude_self, inclusive), schema)
 
 

@@ -253,6 +253,24 @@ def property_buckets(assigned_tagged: DataFrame, n_props: int) -> DataFrame:
     return out
 
 
+def _matches_per_cell(assigned_tagged: DataFrame, filters: DataFrame) -> DataFrame:
+    """``(qid, cell, n)``: rows of each cell that match the query's filter, counted once per distinct filter."""
+    from vecspark.operators import predicates as P
+    cells = assigned_tagged.select("id", "cell")
+    asked = P.tagged_filters(filters, "qid")
+    one = ["is_and", "nf", "ts"]
+    distinct = cut_lineage(asked.select(*one).distinct().withColumn("fid", F.monotonically_increasing_id()))
+    rows = P.tag_pairs(P.tagged_ids(assigned_tagged), distinct, "fid")
+    per = rows.join(cells, "id").groupBy("fid", "cell").agg(F.count(F.lit(1)).alias("n"))
+    named = distinct.select("fid", *[F.col(c).alias("d_" + c) for c in one])
+    same = [F.col(c).eqNullSafe(F.col("d_" + c)) for c in one]
+    found = asked.join(named, same).select("qid", "fid").join(per, "fid").select("qid", "cell", "n")
+    empty = filters.where(F.size("ftags") == 0).select("qid").distinct()
+    every = assigned_tagged.select("id").join(cells, "id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    found = found.unionByName(every.crossJoin(empty.hint("shuffle_replicate_nl")).select("qid", "cell", "n"))
+    return found.groupBy("qid", "cell").agg(F.sum("n").alias("n"))
+
+
 def budget_probe_knn(assigned_tagged: DataFrame, queries_f: DataFrame, centroids: DataFrame, k: int,
                      budget: int, metric: str = "l2") -> DataFrame:
     """Probe cells nearest-first until ``budget`` filter-matching rows are gathered, then exact top-k.
@@ -261,11 +279,9 @@ def budget_probe_knn(assigned_tagged: DataFrame, queries_f: DataFrame, centroids
     the budget.  Per (query, cell) match counts are an aggregate; the probe order
     is the k-NN of the query over the (few) centroids.
     """
-    from vecspark.operators import predicates as P
     ncell = centroids.count()
     order = probes(queries_f.select("qid", "qv"), centroids, int(ncell), metric)
-    rows = P.pred_rows(assigned_tagged, queries_f.select("qid", "ftags", "is_and"), key="qid")
-    cnt = rows.join(assigned_tagged.select("id", "cell"), "id").groupBy("qid", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cnt = _matches_per_cell(assigned_tagged, queries_f.select("qid", "ftags", "is_and"))
     o = order.join(cnt, ["qid", "cell"], "left").fillna({"n": 0})
     w = Window.partitionBy("qid").orderBy("prk").rowsBetween(Window.unboundedPreceding, -1)   # <= n_cells rows per query
     keep = o.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < budget) \

@@ -129,16 +129,17 @@ def knn_grouped_by_filter(base_tagged: DataFrame, queries_f: DataFrame, k: int =
     """Queries grouped by their normalised filter; each group's candidate rows are fetched once.
 
     Candidate rows of a filter are materialised once per *distinct* filter
-    (``pred_rows``), then every query of the group is scored against them.
+    (``pred_rows``), then every query of the group is scored against them: blocks of a
+    group's rows meet blocks of its queries, never single pairs.
     """
+    from vecspark.operators.cells import cell_scan
+    from vecspark.session import cut_lineage
     qn = queries_f.withColumn("ftags", F.array_sort("ftags"))
-    filters = qn.select("ftags", "is_and").distinct() \
-                .withColumn("fid", F.sha2(F.concat_ws(",", F.col("is_and").cast("string"),
-                                                      F.col("ftags").cast("array<string>")), 256))
+    filters = cut_lineage(qn.select("ftags", "is_and").distinct().withColumn("fid", F.monotonically_increasing_id()))
     rows = P.pred_rows(base_tagged, filters, key="fid")
-    qg = qn.join(filters, ["ftags", "is_and"]).select("qid", "qv", "fid")
-    cand = qg.select("qid", "fid").join(rows, "fid").select("qid", "id")
-    return knn_prefilter(base_tagged, queries_f, cand, k, metric)
+    qg = qn.join(filters, ["ftags", "is_and"]).select("qid", F.col("fid").alias("cell"))
+    fetched = rows.join(base_tagged.select("id", "v"), "id").select(F.col("fid").alias("cell"), "id", "v")
+    return rank_topk(cell_scan(fetched, queries_f, qg, k, metric), k).select("qid", "rk", "id", "dist")
 
 
 def _union(parts):

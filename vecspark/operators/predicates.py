@@ -9,6 +9,13 @@ Tables:
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +107,147 @@ def filter_bitmaps(base_tagged: DataFrame, filters: DataFrame, bitmaps: DataFram
     return per.select("pid", "bucket", bm.alias("bm")).where(F.col("bm").isNotNull() & (F.bitmap_count("bm") > 0))
 
 
+ROWS, FILTERS = 4096, 1024      # rows and filters of one block
+FILTER_BLOCKS = 8               # filter blocks of one grid task
+CELLS = 1 << 18                 # (filter, row) cells, and pairs of one output batch
+
+
+def pair_grid(rows: DataFrame, filters: DataFrame, key: str, prepare: Callable[[pa.RecordBatch], tuple[np.ndarray, Any]],
+              mask: Callable[[Any, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """``(key, id)`` of every row of ``rows`` (first column: id) and filter of ``filters`` (first column: key) that match.
+
+    Blocks of rows meet blocks of filters; no pair is shuffled, joined or grouped, and a task holds one block of rows, its
+    ``FILTER_BLOCKS`` blocks of filters and one output batch.  ``prepare`` gives, for a block of filters, the number of the distinct
+    filter that each of them is, and those distinct filters; ``mask`` which (distinct filter, row) match.
+    """
+    from vecspark.session import cut_lineage, ship_package
+    ship_package(rows.sparkSession)
+    kind = {c: d.schema[c].dataType.simpleString() for d, c in ((rows, rows.columns[0]), (filters, key))}
+
+    def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(batch.slice(lo, ROWS))], pa.binary())], names=["rows"])
+
+    def filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FILTERS):
+                part = batch.slice(lo, FILTERS)
+                raw = pickle.dumps((_packed(part.select([0])), *prepare(part)))
+                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["filters"])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}
+        base = None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                raw, packed = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                if raw != base:
+                    base, part = raw, _unpacked(raw)
+                if packed not in known:
+                    if len(known) >= 4 * FILTER_BLOCKS:
+                        known.clear()
+                    keys, of, distinct = pickle.loads(packed)
+                    known[packed] = (_unpacked(keys).column(0), of, distinct)
+                keys, of, distinct = known[packed]
+                step = max(1, CELLS // max(1, len(of)))
+                for lo in range(0, part.num_rows, step):
+                    piece = part.slice(lo, step)
+                    hit = mask(distinct, piece)
+                    at = [np.flatnonzero(h) for h in hit]
+                    size = np.array([len(x) for x in at], dtype=np.int64)[of]
+                    if not size.sum():
+                        continue
+                    xj = np.concatenate([at[g] for g in of])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(of)), size))), piece.column(0).take(pa.array(xj))],
+                                                     names=["key", "id"])
+
+    packed = cut_lineage(filters.repartition(key).mapInArrow(filter_blocks, "filters binary"))
+    packed = packed.repartition(max(1, -(-packed.count() // FILTER_BLOCKS)))
+    dealt = rows.mapInArrow(row_blocks, "rows binary").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    grid = dealt.crossJoin(packed.hint("shuffle_replicate_nl"))
+    return (grid.mapInArrow(matched, f"key {kind[key]}, id {kind[rows.columns[0]]}")
+            .select(F.col("key").alias(key), F.col("id").alias(rows.columns[0])))
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+def _distinct_tag_filters(batch: pa.RecordBatch) -> tuple[np.ndarray, Any]:
+    """Distinct filters ``(is_and, wanted tags, places of the filter's tags in them)`` of ``(key, is_and, nf, ts)``."""
+    seen: dict = {}
+    of = [seen.setdefault((bool(a) if a is not None else True, n, tuple(sorted(t for t in ts if t is not None))), len(seen))
+          for a, n, ts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+    wanted = sorted({t for _, _, ts in seen for t in ts})
+    at = {t: i for i, t in enumerate(wanted)}
+    return np.array(of, dtype=np.int64), (wanted, [(a, n, np.array([at[t] for t in ts], dtype=np.int64)) for a, n, ts in seen])
+
+
+def _tag_hits(filters: Any, rows: pa.RecordBatch) -> np.ndarray:
+    """(distinct filter, row): the row's occurrences of the filter's tags are as many as the filter needs."""
+    wanted, distinct = filters
+    b = rows.num_rows
+    out = np.zeros((len(distinct), b), dtype=bool)
+    tags = rows.column(1)
+    flat = tags.flatten()
+    code = pc.fill_null(pc.index_in(flat, value_set=pa.array(wanted, flat.type), skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(b), pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False))
+    have = np.zeros((len(wanted), b), dtype=np.int32)
+    np.add.at(have, (code[code >= 0], owner[code >= 0]), 1)
+    for g, (is_and, n, at) in enumerate(distinct):
+        c = have[at].sum(axis=0)
+        out[g] = c == n if is_and else c > 0
+        out[g] &= c > 0
+    return out
+
+
+def tagged_ids(base_tagged: DataFrame) -> DataFrame:
+    """``(id, tags)``: one row an id, with the tags of all its rows."""
+    return base_tagged.groupBy("id").agg(F.flatten(F.collect_list("tags")).alias("tags"))
+
+
+def tagged_filters(filters: DataFrame, key: str) -> DataFrame:
+    """``(key, is_and, nf, ts)`` of the filters with tags: those of one key and size are one, with the tags of all."""
+    own = F.array_distinct("ftags")
+    return (filters.where(F.size("ftags") > 0).select(key, "is_and", F.size(own).alias("nf"), own.alias("ts"))
+            .groupBy(key, "is_and", "nf").agg(F.array_sort(F.flatten(F.collect_list("ts"))).alias("ts")))
+
+
+def tag_pairs(ids: DataFrame, tagged: DataFrame, key: str = "pid") -> DataFrame:
+    """Matching ``(key, id)`` of ``tagged_ids`` and ``tagged_filters``, each once a filter."""
+    return pair_grid(ids, tagged.select(key, "is_and", "nf", "ts"), key, _distinct_tag_filters, _tag_hits)
+
+
 def pred_rows(base_tagged: DataFrame, filters: DataFrame, key: str = "pid") -> DataFrame:
     """Matching rows ``(key, id)`` of each filter (``key, ftags, is_and``)."""
-    post = postings(base_tagged)
-    ex = filters.where(F.size("ftags") > 0).select(
-        key, "is_and", F.size(F.array_distinct("ftags")).alias("nf"),
-        F.explode(F.array_distinct("ftags")).alias("tag"))
-    hits = (post.join(ex, "tag")
-                .groupBy(key, "is_and", "nf", "id").agg(F.count(F.lit(1)).alias("c")))
-    rows = hits.where(~F.col("is_and") | (F.col("c") == F.col("nf"))).select(key, "id")
+    rows = tag_pairs(tagged_ids(base_tagged), tagged_filters(filters, key), key)
     # empty filters match every row: their output is (filters x rows) by definition, made in one scan
     empty = filters.where(F.size("ftags") == 0).select(key).distinct()
-    return rows.unionByName(base_tagged.select("id").crossJoin(empty).select(key, "id"))
+    return rows.unionByName(base_tagged.select("id").crossJoin(empty.hint("shuffle_replicate_nl")).select(key, "id"))
+
+
+def _distinct_ranges(batch: pa.RecordBatch) -> tuple[np.ndarray, Any]:
+    bounds = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(1, 5)])
+    distinct, of = np.unique(bounds, axis=0, return_inverse=True)
+    return of.ravel(), distinct
+
+
+def range_pairs(base_attrs: DataFrame, filters: DataFrame, is_and: bool, key: str = "qid") -> DataFrame:
+    """``(key, id)`` of the rows inside the closed half-open ranges ``(lo0, hi0, lo1, hi1)``: both (``is_and``) or either."""
+    def inside(ranges: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+        a0, a1 = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2))
+        m0 = (a0 >= ranges[:, :1]) & (a0 < ranges[:, 1:2])
+        m1 = (a1 >= ranges[:, 2:3]) & (a1 < ranges[:, 3:4])
+        return m0 & m1 if is_and else m0 | m1
+    return pair_grid(base_attrs.select("id", "a0", "a1"), filters.select(key, "lo0", "hi0", "lo1", "hi1"), key, _distinct_ranges, inside)
 
 
 def matching_rows(rows: DataFrame, filters: DataFrame, key: str = "pid") -> DataFrame:
