@@ -4,7 +4,8 @@ Two forms: *rows* ``(id, dims, ws)`` — one row a vector, entries by weight des
 ``(id, dim, w)``.  Search works on rows: a task compares a batch of vectors with a block of queries through one
 matrix product over the block's dims and emits the k best per query, so neither postings nor (query, vector)
 pairs are shuffled, however frequent a term is; the shuffle is ``nq * k * partitions`` rows.  Query blocks reach the
-tasks through a grid of (batch, block) pairs, not through the driver.
+tasks through a grid of (batch, block) pairs, not through the driver; they travel as their entries, and a task makes the
+matrices of its ``BLOCKS_HELD`` blocks once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark.session import cut_lineage, ship_package
+
 QUERY_ROWS = 512              # queries of one block
-BASE_ROWS = 1024              # vectors of one block
-CELLS = 4_000_000             # entries of a dense batch (vectors x dims of the query block)
+BLOCKS_HELD = 2               # query blocks of one grid task
+BASE_ROWS = 256               # vectors of one block
+CELLS = 1 << 19               # entries of a dense batch (vectors x dims of the query block)
 
 
 def long_form(rows: DataFrame) -> DataFrame:
@@ -35,26 +39,32 @@ def query_rows(queries: DataFrame) -> DataFrame:
             .select("qid", F.col("e.dim").alias("dims"), F.transform("e.nw", lambda x: -x).alias("ws")))
 
 
-def _pack_queries(terms: int | None):
-    """Blocks of queries: ids, place of each dim, weights as a matrix, and the same of the first ``terms`` entries only."""
-    def pack(batches):
-        from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 32
-        for pdf in batches:
-            for lo in range(0, len(pdf), QUERY_ROWS):
-                part = pdf.iloc[lo:lo + QUERY_ROWS]
-                dims = sorted({d for ds in part["dims"] for d in ds})
-                at = {d: i for i, d in enumerate(dims)}
-                m = np.zeros((len(part), len(dims)))
-                short = m if terms is None else np.zeros_like(m)
-                for i, (ds, ws) in enumerate(zip(part["dims"], part["ws"], strict=True)):
-                    cols = [at[d] for d in ds]
-                    np.add.at(m[i], cols, ws)
-                    if terms is not None:
-                        np.add.at(short[i], cols[:terms], ws[:terms])
-                yield pd.DataFrame({"block": [number], "queries": [pickle.dumps((part["qid"].to_numpy(np.int64), at, m, short))]})
-                number += 1
-    return pack
+def _pack_queries(batches):
+    """Blocks of queries: ids, place of each dim, and the entries ``(query, place, weight, number in the query)``."""
+    from pyspark import TaskContext
+    number = TaskContext.get().partitionId() << 32
+    for pdf in batches:
+        for lo in range(0, len(pdf), QUERY_ROWS):
+            part = pdf.iloc[lo:lo + QUERY_ROWS]
+            at = {d: i for i, d in enumerate(sorted({d for ds in part["dims"] for d in ds}))}
+            n = np.array([len(ds) for ds in part["dims"]], dtype=np.int64)
+            entries = (np.repeat(np.arange(len(part)), n), np.array([at[d] for ds in part["dims"] for d in ds], dtype=np.int64),
+                       np.concatenate([np.asarray(ws, dtype=np.float64) for ws in part["ws"]]), np.concatenate([np.arange(x) for x in n]))
+            yield pd.DataFrame({"block": [number], "queries": [pickle.dumps((part["qid"].to_numpy(np.int64), at, entries))]})
+            number += 1
+
+
+def _matrices(packed: bytes, terms: int | None):
+    """Ids, places of the dims, and the weights as a matrix: of all entries, and of the first ``terms`` of each query."""
+    qid, at, (row, col, w, nth) = pickle.loads(packed)
+    m = np.zeros((len(qid), len(at)))
+    np.add.at(m, (row, col), w)
+    short = m
+    if terms is not None:
+        short = np.zeros_like(m)
+        first = nth < terms
+        np.add.at(short, (row[first], col[first]), w[first])
+    return qid, at, m, short
 
 
 def _pack_rows(batches):
@@ -65,7 +75,7 @@ def _pack_rows(batches):
             dims, ws = part.column(1), part.column(2)
             names = dims.flatten().dictionary_encode()
             n = np.diff(dims.offsets.to_numpy())
-            block = (part.column(0).to_numpy(), n, names.indices.to_numpy(zero_copy_only=False), ws.flatten().to_numpy(zero_copy_only=False), names.dictionary.to_pylist())
+            block = (part.column(0).to_numpy(zero_copy_only=False), n, names.indices.to_numpy(zero_copy_only=False), ws.flatten().to_numpy(zero_copy_only=False), names.dictionary.to_pylist())
             yield pa.RecordBatch.from_pydict({"rows": pa.array([pickle.dumps(block)], pa.binary())})
 
 
@@ -88,10 +98,11 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits:
     """
     def scan(batches):
         blocks, held, base = {}, {}, None
-        for pdf in batches:
-            for raw, number, packed in zip(pdf["rows"], pdf["block"], pdf["queries"], strict=True):
+        for batch in batches:
+            for row_of in range(batch.num_rows):                    # one row's bytes at a time
+                raw, number = (batch.column(i)[row_of].as_py() for i in range(2))
                 if number not in blocks:
-                    blocks[number] = pickle.loads(packed)
+                    blocks[number] = _matrices(batch.column(2)[row_of].as_py(), terms and terms[1])
                 qid, at, m, short = blocks[number]
                 if raw != base:
                     base, (ids, n, code, ws, names) = raw, pickle.loads(raw)
@@ -125,11 +136,13 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int, weight=None, digits:
                     old = held.get(number)
                     held[number] = _best(*(found if old is None else [np.concatenate(x) for x in zip(old, found, strict=True)]), k)
         for q, i, v, f in held.values():
-            yield pd.DataFrame({"qid": q, "id": i, "score": v, "full": f})
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i, pa.int64(), mask=pd.isna(i)), pa.array(v), pa.array(f)], names=["qid", "id", "score", "full"])
 
-    blocks = queries.repartition("qid").mapInPandas(_pack_queries(terms and terms[1]), "block long, queries binary")
+    ship_package(rows.sparkSession)
+    blocks = cut_lineage(queries.repartition("qid").mapInPandas(_pack_queries, "block long, queries binary"))
+    blocks = blocks.repartition(max(1, -(-blocks.count() // BLOCKS_HELD)))
     grid = rows.select("id", "dims", "ws").mapInArrow(_pack_rows, "rows binary").crossJoin(blocks.hint("shuffle_replicate_nl"))
-    return grid.mapInPandas(scan, "qid long, id long, score double, full double")
+    return grid.mapInArrow(scan, "qid long, id long, score double, full double")
 
 
 def rank_by_score(s: DataFrame, k: int) -> DataFrame:

@@ -179,12 +179,15 @@ def workload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sparse vectors
 
+COUNT_ROWS = 256          # texts counted at a time
+
+
 def _count_terms(batches):
     """Row-form bag of words of each text: terms split on single space, by count descending, then term (Arrow arrays throughout)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
-    for b in batches:
+    for b in (whole.slice(lo, COUNT_ROWS) for whole in batches for lo in range(0, whole.num_rows, COUNT_ROWS)):
         lists = pc.split_pattern(b.column(1).cast(pa.large_string()), " ")
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         terms = lists.flatten().dictionary_encode()
