@@ -88,3 +88,12 @@ def test_matches_per_cell_are_counted_once_a_distinct_filter(spark):
     finally:
         P.tag_pairs = real
     assert met == [len({(a, tuple(sorted(ft))) for _, ft, a, _ in f if ft})]
+
+
+def test_grouped_by_filter_ranks_vectors_that_no_block_can_hold(spark):
+    nan = float("nan")
+    base = spark.createDataFrame([(1, [1], [0.0, 0.0]), (2, [1], None), (3, [1], [nan, 0.0]), (4, [1], [None, 1.0]), (6, [1], [2.0, 0.0])],
+                                 "id long, tags array<int>, v array<double>")
+    f = spark.createDataFrame([(10, [1], True, [0.0, 1.0]), (11, [1], True, None)], "qid long, ftags array<int>, is_and boolean, qv array<double>")
+    got = [(r.qid, r.rk, r.id) for r in knn.knn_grouped_by_filter(base, f, 5).orderBy("qid", "rk").collect()]
+    assert got == [(10, 1, 2), (10, 2, 4), (10, 3, 1), (10, 4, 6), (10, 5, 3), *((11, n + 1, i) for n, i in enumerate([1, 2, 3, 4, 6]))]

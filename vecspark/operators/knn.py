@@ -138,8 +138,21 @@ def knn_grouped_by_filter(base_tagged: DataFrame, queries_f: DataFrame, k: int =
     filters = cut_lineage(qn.select("ftags", "is_and").distinct().withColumn("fid", F.monotonically_increasing_id()))
     rows = P.pred_rows(base_tagged, filters, key="fid")
     qg = qn.join(filters, ["ftags", "is_and"]).select("qid", F.col("fid").alias("cell"))
-    fetched = rows.join(base_tagged.select("id", "v"), "id").select(F.col("fid").alias("cell"), "id", "v")
-    return rank_topk(cell_scan(fetched, queries_f, qg, k, metric), k).select("qid", "rk", "id", "dist")
+    base, asked = base_tagged.select("id", "v"), queries_f.select("qid", "qv")
+    dim = base.agg(F.max(F.size("v"))).first()[0]
+
+    def plain(v: str):
+        """Whether blocks can hold the vector; a pair with another has a distance that is null or not finite, and ranks by it."""
+        x = F.col(v).cast("array<double>")
+        return F.coalesce((F.size(x) == dim) & F.forall(x, lambda e: e.isNotNull() & (F.abs(e) < float("inf"))), F.lit(False))
+    fetched = rows.join(base.where(plain("v")), "id").select(F.col("fid").alias("cell"), "id", "v")
+    found = cell_scan(fetched, asked.where(plain("qv")), qg, k, metric)
+    of = rows.withColumnRenamed("fid", "cell")
+    odd_rows = of.join(base.where(~plain("v")), "id").join(qg, "cell").join(asked, "qid")
+    odd_queries = qg.join(asked.where(~plain("qv")), "qid").join(of, "cell").join(base.where(plain("v")), "id")
+    odd = odd_rows.select("qid", "id", "qv", "v").unionByName(odd_queries.select("qid", "id", "qv", "v"))
+    found = found.unionByName(odd.select("qid", "id", dist.distance(metric, F.col("qv"), F.col("v")).alias("dist")))
+    return rank_topk(found, k).select("qid", "rk", "id", "dist")
 
 
 def _union(parts):
