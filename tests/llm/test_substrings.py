@@ -97,3 +97,31 @@ def test_very_long_text_and_dropped_table(spark):
     got = {r.doc_id: (r.n_words, sum(s.hi - s.lo for s in r.spans)) for r in substrings.remove_repeats(d, 20).collect()}
     assert got == {1: (150_000, 80_000), 2: (2, 0)}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_blocks_")]
+
+
+def test_levels_keep_places_and_no_shuffle_files(spark, monkeypatch, tmp_path):
+    """What the levels leave on disk: a few bytes per repeated place and no shuffle file (once 20 bytes a place, and all shuffles)."""
+    import os
+    import time
+    from pathlib import Path
+
+    from vecspark.llm import common
+    monkeypatch.setattr(common, "scratch", lambda spark, name: str(tmp_path / f"{name}-{len(os.listdir(tmp_path))}"))
+    rng = random.Random(5)
+    long = [f"l{rng.randrange(10 ** 6)}" for _ in range(60_000)]
+    d = spark.createDataFrame([(i, " ".join(long)) for i in range(3)], "doc_id long, text string")
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f.name: f.stat().st_size for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    done = substrings.remove_repeats(d, 20)
+    levels = sum(f.stat().st_size for folder in tmp_path.iterdir() if not folder.name.startswith(("blocks", "halves")) for f in folder.rglob("*.parquet"))
+    assert levels < 12 * 4 * 3 * len(long)               # eleven levels and the marks; before over 40 bytes a place and level
+    for _ in range(50):
+        if (left := sum(n for f, n in shuffled().items() if f not in before)) < 1 << 16:       # counts remain, of some bytes
+            break
+        time.sleep(0.2)
+    assert left < 1 << 16
+    assert sorted(r.longest for r in done.collect()) == [20 << 11] * 3

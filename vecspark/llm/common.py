@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +31,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: its rows are read from the written files from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cut lineage, computed once."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cut lineage, computed once, shuffle files freed."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,14 +9,16 @@ the ones in several blocks; a block adds the ones it holds twice itself.
 Level 2 (window words): only full windows whose level-1 sequence is repeated are named (by the hashes of their two
 halves, 96 bits) and sent, once a block, with their first place.  Buckets find the earliest place of each; every
 other place goes back to its block.  Windows that are not repeated never leave their block.
-Further levels (2, 4, 8 ... times the window): a sequence is a candidate only if both its halves are repeated; its hash
-comes from theirs, so the texts are not read again.  ``repeated_lengths`` goes on until no candidate survives and gives
-each document the longest length reached.  The removal needs no longer window: a longer repeat is a run of repeated ones.
+Further levels (2, 4, 8 ... times the window): a sequence is a candidate only if both its halves are repeated.  A level
+keeps no more than the places of its repeated sequences; their names come from the block's word hashes again (kept as
+numbers into its distinct ones), travel once and are answered by one bit each.  ``repeated_lengths`` goes on until no candidate survives and gives each document the
+longest length reached.  The removal needs no longer window: a longer repeat is a run of repeated ones.
 
 How it scales: what is shuffled are packed hashes of candidates, one entry a block however often a sequence occurs
 in it, so a passage in a third of all documents costs one entry a block.  Buckets hold about ``PER_BUCKET`` hashes
 whatever the corpus.  The block table is bucketed by block number, about ``BUCKET_BYTES`` of text a bucket, so joining
 answers back does not shuffle text and a task's share does not grow with the corpus.  Its catalog entry is dropped at once.
+A level's shuffle files go when its answers are written, so the disk holds the names of one level, not of all.
 
 Very long texts are taken whole (a block of their own); of equal places (rows that share a doc_id) the one in the lower
 block comes first.
@@ -42,7 +44,7 @@ BLOCK_WORDS = 1 << 19
 PER_BUCKET = 1 << 20
 BUCKET_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
-BLOCKS = "block long, doc binary, n binary, text binary, low binary"
+BLOCKS = "block long, doc binary, n binary, text binary, vocab binary, ids binary, low binary"
 
 
 def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -117,10 +119,24 @@ def _pack(number: int, ids: list[int], texts: list[list[bytes]], hasher: _Hasher
     order = sorted(range(len(ids)), key=ids.__getitem__)
     n = np.array([len(texts[i]) for i in order], np.int64)
     words = [w for i in order for w in texts[i]]
-    least = _windows(hasher(words), n, window)[1]
+    hashes = hasher(words)
+    least = _windows(hashes, n, window)[1]
+    vocab, ids_of_words = np.unique(hashes, return_inverse=True)
     change = np.concatenate(([True], least[1:] != least[:-1])) if len(least) else np.zeros(0, bool)
     return {"block": number, "doc": np.array([ids[i] for i in order], np.int64).tobytes(), "n": n.tobytes(),
-            "text": zstandard.ZstdCompressor(level=3).compress(b" ".join(words)), "low": np.unique(least[change]).tobytes()}
+            "text": zstandard.ZstdCompressor(level=3).compress(b" ".join(words)), "low": np.unique(least[change]).tobytes(), "vocab": vocab.tobytes(),
+            "ids": zstandard.ZstdCompressor(level=1).compress(ids_of_words.astype(_id_type(len(vocab))).tobytes())}
+
+
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _hashes(row: dict) -> np.ndarray:
+    """Word hashes of a block, from its distinct ones."""
+    import zstandard
+    vocab = np.frombuffer(row["vocab"], np.uint64)
+    return vocab[np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), _id_type(len(vocab)))]
 
 
 def build_blocks(docs: DataFrame, window: int) -> DataFrame:
@@ -130,7 +146,7 @@ def build_blocks(docs: DataFrame, window: int) -> DataFrame:
         from pyspark import TaskContext
         number, hasher = TaskContext.get().partitionId() << 32, _Hasher()
         ids, texts, held = [], [], 0
-        schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("doc", "n", "text", "low")])
+        schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("doc", "n", "text", "vocab", "ids", "low")])
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), common.binary(b.column(1)), strict=True):
                 ids.append(NULL_ID if i is None else i)
@@ -147,13 +163,25 @@ def build_blocks(docs: DataFrame, window: int) -> DataFrame:
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    (src.mapInArrow(packed, BLOCKS).repartition(parts, "block").write.option("path", common.scratch(spark, "blocks")).option("compression", "none")
-     .bucketBy(parts, "block").saveAsTable(name))
+    with common.shuffles_freed(spark):
+        (src.mapInArrow(packed, BLOCKS).repartition(parts, "block").write.option("path", common.scratch(spark, "blocks"))
+         .option("compression", "none").bucketBy(parts, "block").saveAsTable(name))
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")            # the catalog's line only: the files lie in the shared folder
     return table
 
 
+def _squeezed(places: np.ndarray) -> bytes:
+    """Places in ascending order, as compressed steps."""
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(np.sort(places), prepend=0).astype(np.int32).tobytes())
+
+
+def _places(packed: bytes) -> np.ndarray:
+    import zstandard
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32), dtype=np.int64)
+
+
 def _by_bucket(block: int, h: np.ndarray, buckets: int, **columns: np.ndarray) -> Iterator[dict]:
     """Rows (bucket, block, packed columns) of one block, one for each bucket that gets something."""
     to = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -210,21 +238,23 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame
     return blocks.join(answers.groupBy("block").agg(F.collect_list(name).alias(name)), "block", "left")
 
 
-def later_places(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """(block, places): starts, within the block, of windows whose word sequence also starts earlier."""
+def _first_of_name(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether an entry of sorted names is the first of its name."""
+    return np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, bool)
+
+
+def repeated_places(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame:
+    """(block, marks): starts, within the block, of windows whose word sequence is repeated; ``late`` where it also starts earlier."""
     total = blocks.agg(F.sum(F.octet_length("low"))).first()[0] or 0
     buckets = int(total // 8 // (PER_BUCKET // 4)) + 1
-    names = ["bucket", "block", "h", "g", "doc", "place"]
-    schema = pa.schema([(c, pa.int64() if c in ("bucket", "block") else pa.binary()) for c in names])
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("late", pa.bool_())] + [(c, pa.binary()) for c in ("h", "g", "doc", "place")])
+    found = pa.schema([("block", pa.int64()), ("late", pa.bool_()), ("places", pa.binary())])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        hasher = _Hasher()
         for batch in batches:
             for row in batch.to_pylist():
-                n = np.frombuffer(row["n"], np.int64)
-                words = zstandard.ZstdDecompressor().decompress(row["text"]).split()
-                start, least, half = _windows(hasher(words), n, window)
+                n, hashes = np.frombuffer(row["n"], np.int64), _hashes(row)
+                start, least, half = _windows(hashes, n, window)
                 if not len(start):
                     continue
                 own = np.sort(half)
@@ -233,141 +263,133 @@ def later_places(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame
                 if not len(known):
                     continue
                 start = start[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-                a, b = half[start], half[start + window // 2]
-                h = _join(a, b, window)
-                g = (_join(b, a, window + 1) >> np.uint64(32)).astype(np.uint32)
+                h, g = _names(hashes, window, window, start)
                 order = np.lexsort((start, g, h))
                 h, g, start = h[order], g[order], start[order]
-                first = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, bool)
+                first = _first_of_name(h, g)
                 doc = np.repeat(np.frombuffer(row["doc"], np.int64), n)
-                again = np.sort(start[~first]).astype(np.int32)
                 rows = list(_by_bucket(row["block"], h[first], buckets, g=g[first], doc=doc[start[first]],
                                        place=start[first].astype(np.int32)))
-                if len(again):       # places whose earlier one is in the same block pass through any bucket
-                    rows.append({"bucket": row["block"] % buckets, "block": row["block"], "h": b"", "g": b"", "doc": b"",
-                                 "place": again.tobytes()})
+                # places decided in their own block pass through any bucket
+                for late, which in ((True, ~first), (False, first & np.concatenate((~first[1:], [False])))):
+                    if which.any():
+                        rows.append({"bucket": row["block"] % buckets, "block": row["block"], "late": late, "place": _squeezed(start[which])})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def later(table: pa.Table) -> pa.Table:
+    def decided(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
-        empty = pc.equal(pc.binary_length(table.column("h")), 0)
-        ready = table.filter(empty).select(["block", "place"]).rename_columns(["block", "places"])
-        table = table.filter(pc.invert(empty))
+        own = pc.is_valid(table.column("late"))
+        ready = table.filter(own).select(["block", "late", "place"]).cast(found.set(2, pa.field("place", pa.binary()))).rename_columns(found.names)
+        table = table.filter(pc.invert(own))
         if not table.num_rows:
             return ready
         block, c = _parts(table, {"h": np.uint64, "g": np.uint32, "doc": np.int64, "place": np.int32})
         order = np.lexsort((block, c["doc"], c["g"], c["h"]))
-        h, g = c["h"][order], c["g"][order]
-        late = order[1:][(h[1:] == h[:-1]) & (g[1:] == g[:-1])]
-        found = _answer(block[late], c["place"][late], "places")
-        return pa.concat_tables([found.cast(ready.schema), ready])
-
-    joined = _with_answers(blocks.drop("low"), halves, "halves")
-    return (joined.mapInArrow(sent, "bucket long, block long, h binary, g binary, doc binary, place binary")
-            .groupBy("bucket").applyInArrow(later, "block long, places binary"))
-
-
-def candidates(blocks: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """(block, start, h, g, doc): per block the windows whose half is repeated, as packed columns; ``doc`` is their document's place."""
-    schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("start", "h", "g", "doc")])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        hasher = _Hasher()
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = np.frombuffer(row["n"], np.int64)
-                start, least, half = _windows(hasher(zstandard.ZstdDecompressor().decompress(row["text"]).split()), n, window)
-                own = np.sort(half)
-                known = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *[np.frombuffer(x, np.uint64) for x in row["halves"] or ()]]))
-                if not len(known) or not len(start):
-                    continue
-                start = start[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-                a, b = half[start], half[start + window // 2]
-                doc = np.repeat(np.arange(len(n)), n)[start]
-                yield pa.RecordBatch.from_pylist([{
-                    "block": row["block"], "start": start.astype(np.int32).tobytes(), "h": _join(a, b, window).tobytes(),
-                    "g": (_join(b, a, window + 1) >> np.uint64(32)).astype(np.uint32).tobytes(), "doc": doc.astype(np.int32).tobytes()}], schema=schema)
-
-    return _with_answers(blocks.drop("low"), halves, "halves").mapInArrow(named, "block long, start binary, h binary, g binary, doc binary")
-
-
-PACKED = {"start": np.int32, "h": np.uint64, "g": np.uint32, "doc": np.int32}
-
-
-def _unpacked(row: dict) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(row[k], t) for k, t in PACKED.items()}
-
-
-def _once(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first entry of every distinct name, names that occur twice) among a block's candidates."""
-    order = np.lexsort((c["g"], c["h"]))
-    h, g = c["h"][order], c["g"][order]
-    first = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, bool)
-    return order[first], np.unique(h[~first])
-
-
-def repeated_lengths(level: DataFrame, window: int) -> DataFrame:
+        first = _first_of_name(c["h"][order], c["g"][order])
+        out = [ready]
+        for late, which in ((True, ~first), (False, first & np.concatenate((~first[1:], [False])))):
+            at = order[which]
+            per = _answer(block[at], c["place"][at], "places")
+            packed = [_squeezed(np.frombuffer(x, np.int32)) for x in per.column("places").to_pylist()]
+            out.append(pa.table([per.column("block"), pa.array([late] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], schema=found))
+        return pa.concat_tables(out)
+
+    joined = _with_answers(blocks.drop("low", "text"), halves, "halves")
+    return (joined.mapInArrow(sent, "bucket long, block long, late boolean, h binary, g binary, doc binary, place binary")
+            .groupBy("bucket").applyInArrow(decided, "block long, late boolean, places binary")
+            .groupBy("block").agg(F.collect_list(F.struct("late", "places")).alias("marks")))
+
+
+def _names(hashes: np.ndarray, window: int, length: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit names (64 and 32 bits) of the sequences of ``length`` = window, 2 window, 4 window ... words at ``start``."""
+    x, have, step = _sequence_hash(hashes, (window + 1) // 2), window, window // 2
+    while have < length:
+        x = _join(x[:-step], x[step:], have)
+        have, step = 2 * have, have
+    a, b = x[start], x[start + step]
+    return _join(a, b, length), (_join(b, a, length + 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def repeated_lengths(blocks: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     """(block, hit, length): a block's documents (packed places) with a repeated sequence of window, 2 window, 4 window ... words.
 
-    ``level`` is the table of ``candidates``.  One pass names the repeated sequences of a length, the next table holds those
-    of twice the length whose halves both are repeated.
+    ``marks`` is the table of ``repeated_places``.  A level's table holds, per block, the starts (``live``) of repeated
+    sequences of its length; those of twice the length are named where both their halves are live.
     """
-    found, length = None, window
     names = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("g", pa.binary())])
-    after = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in (*PACKED, "hit")])
+    level_schema = pa.schema([("block", pa.int64()), ("hit", pa.binary()), ("live", pa.binary()), ("n_live", pa.int64())])
+
+    def level_row(block: int, n: np.ndarray, live: np.ndarray) -> pa.RecordBatch:
+        hit = np.unique(np.repeat(np.arange(len(n)), n)[live]).astype(np.int32)
+        return pa.RecordBatch.from_pylist([{"block": block, "hit": hit.tobytes(), "live": _squeezed(live), "n_live": len(live)}], schema=level_schema)
 
-    def sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = _unpacked(row)
-                once = _once(c)[0]
-                yield pa.RecordBatch.from_pylist(list(_by_bucket(row["block"], c["h"][once], buckets, g=c["g"][once])), schema=names)
+                live = np.unique(np.concatenate([_places(m["places"]) for m in row["marks"]]))
+                yield level_row(row["block"], np.frombuffer(row["n"], np.int64), live)
+
+    def named(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of a block's candidates of ``length`` words and their names, in the order of names, and which is the first of its name."""
+        n, live = np.frombuffer(row["n"], np.int64), _places(row["live"])
+        doc = np.repeat(np.arange(len(n)), n)
+        alive = np.zeros(len(doc) + 1, bool)
+        alive[live] = True
+        other = np.minimum(live + length // 2, len(doc))
+        start = live[alive[other]]
+        start = start[doc[start] == doc[start + length // 2]]
+        if not len(start):
+            return start, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool)
+        h, g = _names(_hashes(row), window, length, start)
+        order = np.lexsort((g, h))
+        return start[order], h[order], g[order], _first_of_name(h[order], g[order])
+
+    def sent(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, h, g, first = named(row, length)
+                yield pa.RecordBatch.from_pylist(list(_by_bucket(row["block"], h[first], buckets, g=g[first])), schema=names)
 
     def shared(table: pa.Table) -> pa.Table:
+        """Per row of a bucket one bit an entry, in the order sent: whether another block has its name too."""
         block, c = _parts(table, {"h": np.uint64, "g": np.uint32})
         order = np.lexsort((c["g"], c["h"]))
-        h, g = c["h"][order], c["g"][order]
-        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-        hit = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else order
-        return _answer(block[hit], c["h"][hit], "halves")
+        first = _first_of_name(c["h"][order], c["g"][order])
+        again = np.zeros(len(block), bool)
+        again[order] = ~first | np.concatenate((~first[1:], [False]))
+        ends = np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()])
+        bits = [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     def doubled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-        """Next level's candidates of a block, and as ``hit`` its documents with a repeated sequence of this one."""
         for batch in batches:
             for row in batch.to_pylist():
-                c = _unpacked(row)
-                known = np.unique(np.concatenate([_once(c)[1], *[np.frombuffer(x, np.uint64) for x in row["halves"] or ()]]))
-                if not len(known):
-                    continue
-                live = known[np.minimum(np.searchsorted(known, c["h"]), len(known) - 1)] == c["h"]
-                c = {k: v[live] for k, v in c.items()}
-                order = np.argsort(c["start"], kind="stable")
-                c = {k: v[order] for k, v in c.items()}
-                at = np.minimum(np.searchsorted(c["start"], c["start"] + length), max(len(c["start"]) - 1, 0))
-                both = (c["start"][at] == c["start"] + length) & (c["doc"][at] == c["doc"])
-                a, b = c["h"][both], c["h"][at[both]]
-                longer = {"start": c["start"][both], "h": _join(a, b, 2 * length), "doc": c["doc"][both],
-                          "g": (_join(b, a, 2 * length + 1) >> np.uint64(32)).astype(np.uint32)}
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "hit": np.unique(c["doc"]).astype(np.int32).tobytes()}
-                                                  | {k: longer[k].astype(t).tobytes() for k, t in PACKED.items()}], schema=after)
-
-    while True:
-        level = common.stored(level, f"level-{length}")
-        total = level.agg(F.sum(F.octet_length("h"))).first()[0] or 0
-        if not total:
-            break
-        buckets = int(total // 8 // PER_BUCKET) + 1
-        answers = (level.select("block", "start", "h", "g", "doc").mapInArrow(lambda b, n=buckets: sent(b, n), "bucket long, block long, h binary, g binary")
-                   .groupBy("bucket").applyInArrow(shared, "block long, halves binary"))
-        joined = level.join(answers.groupBy("block").agg(F.collect_list("halves").alias("halves")), "block", "left")
-        level = common.stored(joined.mapInArrow(lambda b, n=length: doubled(b, n), "block long, start binary, h binary, g binary, doc binary, hit binary"),
-                              f"after-{length}")
-        hits = level.select("block", "hit", F.lit(length).cast("long").alias("length"))
-        found = hits if found is None else found.unionByName(hits)
-        level, length = level.drop("hit").filter(F.octet_length("h") > 0), 2 * length
-    if found is None:
-        return level.select("block", F.col("h").alias("hit"), F.lit(0).cast("long").alias("length"))       # no rows
+                start, h, _, first = named(row, length)
+                # a block's names are sent in ascending order, so its buckets in order make up that order again
+                again = ~first[np.minimum(np.flatnonzero(first) + 1, len(first) - 1)] & (np.flatnonzero(first) + 1 < len(first))
+                got, at = np.zeros(len(again), bool), 0
+                to = ((h[first] >> np.uint64(32)) * np.uint64(row["buckets"])) >> np.uint64(32)
+                for answer in sorted(row["answers"] or (), key=lambda x: x["bucket"]):
+                    count = int((to == np.uint64(answer["bucket"])).sum())
+                    got[at:at + count] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=count)
+                    at += count
+                live = np.sort(start[(got | again)[np.cumsum(first) - 1]])
+                if len(live):
+                    yield level_row(row["block"], np.frombuffer(row["n"], np.int64), live)
+
+    shape = "block long, hit binary, live binary, n_live long"
+    sizes, words = blocks.select("block", "n"), blocks.select("block", "n", "vocab", "ids")
+    level, length = common.stored(sizes.join(marks, "block").mapInArrow(marked, shape), f"level-{window}"), window
+    found = level.select("block", "hit", F.lit(length).cast("long").alias("length"))
+    while total := level.agg(F.sum("n_live")).first()[0]:
+        length, buckets = 2 * length, total // PER_BUCKET + 1
+        alive = words.join(level.select("block", "live"), "block")
+        answers = (alive.mapInArrow(lambda b, k=buckets, n=length: sent(b, k, n), "bucket long, block long, h binary, g binary")
+                   .groupBy("bucket").applyInArrow(shared, "block long, bucket long, bits binary")
+                   .groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")))
+        answered = alive.join(answers, "block", "left").withColumn("buckets", F.lit(buckets).cast("long"))
+        level = common.stored(answered.mapInArrow(lambda b, n=length: doubled(b, n), shape), f"level-{length}")
+        found = found.unionByName(level.select("block", "hit", F.lit(length).cast("long").alias("length")))
     return found
 
 
@@ -375,8 +397,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, spans, longest, text): the removed word spans [lo, hi), the longest repeated length, the kept words."""
     blocks = build_blocks(docs, window)
     halves = common.stored(repeated_halves(blocks), "halves")
-    places = later_places(blocks, halves, window)
-    lengths = repeated_lengths(candidates(blocks, halves, window), window)
+    marks = common.stored(repeated_places(blocks, halves, window), "marks")
+    lengths = repeated_lengths(blocks, marks, window)
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("longest", pa.int64()), ("text", pa.string())])
 
@@ -387,8 +409,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 n = np.frombuffer(row["n"], np.int64)
                 words = zstandard.ZstdDecompressor().decompress(row["text"]).split()
                 edge = np.zeros(len(words) + 1, np.int64)
-                for p in row["places"] or ():
-                    at = np.frombuffer(p, np.int32)
+                for at in [_places(m["places"]) for m in row["marks"] or () if m["late"]]:
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -417,6 +438,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                                 "longest": int(longest[i]), "text": kept.decode()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    joined = _with_answers(blocks.drop("low"), places, "places")
+    joined = blocks.select("block", "doc", "n", "text").join(marks, "block", "left")
     joined = joined.join(lengths.groupBy("block").agg(F.collect_list(F.struct("length", "hit")).alias("lengths")), "block", "left")
     return joined.mapInArrow(cut, "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, longest long, text string")
