@@ -75,6 +75,27 @@ def test_own_distance_memory_with_a_full_query_block(spark):
     assert np.allclose(sorted(out[out.qid == 5].dist), np.sort(want)[:2])
 
 
+def test_own_distance_meets_a_full_query_block_in_few_chunks():
+    """Chunks of 256 rows, calls of a bounded number of elements (once chunks of 4 rows, each with its own masks and cuts)."""
+    import pandas as pd
+    calls = []
+
+    def pairs(q, x):
+        calls.append(q.size)
+        return np.abs(q - x).sum(axis=1)
+
+    chunks, real = [], blockscan.approx_block
+    X, Q, batch = _block_batches(pd, 512, 1024, 64)
+    try:
+        blockscan.approx_block = lambda q, x, *a: chunks.append(len(x)) or real(q, x, *a)
+        out = pd.concat(blockscan._make_scan(pairs, "topk", 3, {"vec": "v", "id": "id"}, None, False, False)([batch]))
+    finally:
+        blockscan.approx_block = real
+    assert chunks == [256, 256] and max(calls) <= blockscan.PAIR_BUDGET
+    want = np.sort(np.abs(Q[:, None, :] - X[None, :, :]).sum(axis=2), axis=1)[:, :3]
+    assert np.allclose(np.sort(out.dist.to_numpy().reshape(1024, 3), axis=1), want)
+
+
 def _block_batches(pd, n_base: int, n_query: int, d: int, seed: int = 3):
     rng = np.random.default_rng(seed)
     X, Q = rng.normal(size=(n_base, d)), rng.normal(size=(n_query, d))

@@ -114,7 +114,13 @@ def checked_pairs(Q, X, qi, xj, metric) -> np.ndarray:
 def approx_block(Q, X, metric, qn, xn):
     """Screening distances through one matrix product, and their error bound."""
     if callable(metric):
-        A = metric(np.repeat(Q.T, len(X), axis=1).T, np.tile(X.T, (1, len(Q))).T).reshape(len(Q), len(X))
+        A = np.empty((len(Q), len(X)))
+        step = max(1, PAIR_BUDGET // max(1, X.size))         # queries of one call; they meet the same repeated rows
+        rows = np.tile(X.T, (1, min(step, len(Q))))
+        for a in range(0, len(Q), step):
+            some = Q[a:a + step]
+            pairs = len(some) * len(X)
+            A[a:a + step] = metric(np.repeat(some.T, len(X), axis=1).T, rows[:, :pairs].T).reshape(len(some), len(X))
         return np.where(np.isnan(A), np.inf, A), np.zeros((len(Q), 1))
     G = Q @ X.T
     if metric == "l2":
@@ -302,9 +308,9 @@ def _make_scan(metric: str, mode: str, k: int, cols: dict, fusion, exclude_self:
                 if raw != base:
                     base, rows = raw, pickle.loads(raw)
                     matrix = as_matrix(rows[vec_col])
-                # an own distance sees row-paired matrices: its budget counts elements, not pairs
+                # an own distance sees row-paired matrices: a call for one query has at most PAIR_BUDGET elements too
                 width = block.Q.shape[1] if callable(metric) and len(block.Q) else 1
-                chunk = max(1, PAIR_BUDGET // max(len(block.Q) * width, 1))
+                chunk = max(1, PAIR_BUDGET // max(len(block.Q), width, 1))
                 for lo in range(0, len(rows), chunk):
                     found = compare(block, rows.iloc[lo:lo + chunk], matrix[lo:lo + chunk], bounds.get(number))
                     if not len(found[0]):
