@@ -219,3 +219,26 @@ def test_weighted_verification_alone(spark):
         docs += [(3 * g, base + " x" * 6), (3 * g + 1, base + " x" * 400), (3 * g + 2, base + " x" * 7)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in neardup.classes(d, either=False).collect()} == {i: i if i % 3 == 1 else i // 3 * 3 for i, _ in docs}
+
+
+def test_every_shingle_has_its_document_frequency(spark):
+    """Rare shingles too, over distinct texts, against counting by hand; a weight is tf x idf, 1 for a shingle of one text."""
+    docs = [(1, "a b c d e f"), (2, "A b c d e g"), (3, "a b c d e f"), (None, "a b c d e h"), (4, "p q r s t"), (5, "q r s t u v"), (6, "x x x x x x"), (7, " ")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    blocks = neardup.text_blocks(d)
+    rows = blocks.select("block", F.posexplode("docs").alias("at", "doc")).select("block", "at", "doc.*")
+    first = rows.groupBy("digest").agg(F.min(F.struct("block", "at", "doc_id")).alias("f")).select("f.*", F.monotonically_increasing_id().alias("node"))
+    want = first.groupBy("block").agg(F.collect_list(F.struct("at", "node", F.lit(True).alias("named"))).alias("want"))
+    wanted = blocks.join(want, "block").localCheckpoint()
+    n = first.count()
+    shingler, got = neardup.Shingler(), {}
+    for r in wanted.join(neardup.document_counts(wanted), "block").collect():
+        _, texts, h, doc, w = neardup._weighted(r.asDict(recursive=True), n, shingler)
+        for i, t in enumerate(texts):
+            got[t.lower()] = sorted(w[doc == i].tolist())
+    distinct = {(t or "").lower() for _, t in docs} - {" "}
+    assert n == len(distinct) == 6
+    share = [float(x) for x in neardup.idf(np.array([1, 3]), n)]
+    assert share[0] == 1 and abs(share[1] - (np.log(7 / 4) + 1) / (np.log(7 / 2) + 1)) < 1e-6
+    assert got[b"a b c d e f"] == got[b"a b c d e g"] == got[b"a b c d e h"] == sorted([share[1], 1.0])
+    assert got[b"x x x x x x"] == [2.0] and got[b"p q r s t"] == [1.0] and got[b"q r s t u v"] == [1.0, 1.0]

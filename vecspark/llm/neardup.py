@@ -1,8 +1,9 @@
 """MinHash near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles: weight = occurrences x idf, where idf falls from 1 (in
-at most 1/64 of all documents) to 0.5 (in 1/8 or more).  ICWS draws ``BANDS * ROWS`` samples; two documents share
-a sample with probability equal to their weighted Jaccard similarity.  Three samples make a band; documents that
+A document is the weighted set of its five-word shingles: weight = occurrences x idf, with idf = ln((1 + N) / (1 + df)) + 1
+of every shingle, N the number of distinct texts with words and df the number of those that hold the shingle (exact copies
+are one text).  Weights are divided by the idf of a shingle that is in one text alone, which changes no similarity.  ICWS
+draws ``BANDS * ROWS`` samples; two documents share a sample with probability equal to their weighted Jaccard similarity.  Three samples make a band; documents that
 agree in a band are candidates; every candidate pair that could join two classes is verified by its exact similarity.
 
 Two documents are linked if their weighted Jaccard similarity is at least ``threshold``.  With ``either`` they also are if
@@ -11,9 +12,9 @@ a shingle or has a frequent one then also has the bands of its unweighted set, s
 meets with the probability that this measure gives.
 
 How it scales
-* idf needs only frequent shingles.  One that is in 1/64 of the documents consists of words that are, so word
-  counts (one shuffle, combined per task) select the few shingles to count.  At most 64 times the mean number of
-  distinct words (shingles) of a document are that frequent; that proven bound is what is broadcast.
+* texts are packed once into written blocks, bucketed by block number.  A block sends the hashes of its distinct shingles
+  with their counts, in buckets of about ``PER_BUCKET`` hashes; a bucket adds the counts and answers every block in the
+  order sent, so an answer is a document frequency a hash and only answers are joined back.  Nothing is broadcast.
 * exact copies are one node; band buckets become stars around hubs, never all pairs.  The hub of a bucket is its most
   central member: the one whose bands fall into the largest buckets, which in a group of edited copies is the
   document they were made from.  Buckets whose members are not in one class get their next central members as
@@ -33,7 +34,7 @@ read, other columns may have any names.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import common
+from vecspark.llm.substrings import BUCKET_BYTES, _by_bucket, _parts
 
 WIDTH = 5
 BANDS, ROWS = 12, 3
-COMMON = 64                    # a shingle in less than 1/COMMON of the documents has idf 1
-FLOOR = 0.5                    # the least idf
+COMMON = 64                    # a shingle in 1/COMMON of the documents is frequent
+TEXT_BYTES = 3 << 20           # bytes of text of a block of texts, about
+PER_BUCKET = 1 << 21           # shingle hashes of blocks that one task adds up, about
 PER_SALT = 128                 # partners of a hub in one verification group
 TURNS = 4                      # hubs a bucket gets while its members are not in one class
 SMALL = 32                     # a bucket of so many documents at most ends with its open pairs as rows, a larger one by blocks
@@ -62,7 +65,7 @@ HOT = 64                       # a text that is more than 1/HOT of all rows meet
 class Shingler:
     """Shingle hashes of texts; word hashes are remembered within a task."""
 
-    def __init__(self, frequent: frozenset[bytes] | None = None):
+    def __init__(self):
         from xxhash import xxh3_64_intdigest
         shingler = self
 
@@ -72,19 +75,17 @@ class Shingler:
                 shingler.fresh.append(xxh3_64_intdigest(w))
                 return n
 
-        self.make, self.frequent = Words, frequent
+        self.make = Words
         self.reset()
 
     def reset(self) -> None:
         self.words, self.fresh = self.make(), []
         self.hash = np.zeros(0, np.uint64)
-        self.often = np.zeros(0, bool)
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """(hash of every shingle, document number of each, whether all its words are frequent)."""
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every shingle, document number of each)."""
         if len(self.words) > common.WORDS_HELD:
             self.reset()
-        known = len(self.words)
         get = self.words.__getitem__
         ids, n = [], []
         for t in texts:
@@ -94,10 +95,6 @@ class Shingler:
         if self.fresh:
             self.hash = np.concatenate([self.hash, common.mix64(np.array(self.fresh, dtype=np.uint64))])
             self.fresh.clear()
-            if self.frequent is not None:
-                import itertools
-                new = [w in self.frequent for w in itertools.islice(self.words, known, None)]
-                self.often = np.concatenate([self.often, np.array(new, dtype=bool)])
         k = np.array(ids, dtype=np.int64)
         n = np.array(n, dtype=np.int64)
         ends = np.cumsum(n)
@@ -107,14 +104,10 @@ class Shingler:
         at = np.arange(len(k)) - np.repeat(ends - n, n)
         start = np.flatnonzero(at <= n[doc] - size)
         out = np.zeros(len(start), np.uint64)
-        keep = np.ones(len(start), bool) if self.frequent is not None else None
         for j in range(WIDTH):
             ok = j < size[start]
-            src = np.where(ok, start + j, 0)
-            out = out * np.uint64(0x9E3779B97F4A7C15) + np.where(ok, h[src], np.uint64(j + 1))
-            if keep is not None:
-                keep &= ~ok | self.often[k[src]]
-        return common.mix64(out), doc[start], keep
+            out = out * np.uint64(0x9E3779B97F4A7C15) + np.where(ok, h[np.where(ok, start + j, 0)], np.uint64(j + 1))
+        return common.mix64(out), doc[start]
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,22 +118,6 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h[first], doc[first], np.diff(np.concatenate((first, [len(h)])))
 
 
-def _slices(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[tuple[list, list[bytes | None]]]:
-    """(ids, texts) in runs of about ``size`` bytes."""
-    ids, texts, held = [], [], 0
-    for a in range(0, batch.num_rows, 256):
-        some = batch.slice(a, 256)
-        for i, t in zip(some.column(0).to_pylist(), common.binary(some.column(1)), strict=True):
-            ids.append(i)
-            texts.append(t)
-            held += len(t) if t else 0
-            if held >= size:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -149,77 +126,157 @@ def digest(text: F.Column) -> F.Column:
     return F.unhex(F.md5(text))
 
 
+# ---- blocks of texts ---------------------------------------------------------------------------
+
+TEXTS = "block long, docs array<struct<doc_id:long,digest:binary>>, bytes long, size binary, text binary"
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """All texts with a word, as written blocks (block, docs, bytes, size, text) bucketed by block number."""
+
+    def row(number: int, ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
+        from hashlib import md5
+
+        import zstandard
+        named = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array([md5(t).digest() for t in texts], pa.binary())], ["doc_id", "digest"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), named),
+             pa.array([sum(map(len, texts))], pa.int64()), pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()),
+             pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(texts))], pa.binary())],
+            names=["block", "docs", "bytes", "size", "text"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), common.binary(b.column(1)), strict=True):
+                if not t or not t.strip():               # bytes.strip takes off exactly the spaces of bytes.split
+                    continue
+                ids.append(i)
+                texts.append(t)
+                held += len(t) + 64
+                if held >= TEXT_BYTES:
+                    yield row(number, ids, texts)
+                    number, ids, texts, held = number + 1, [], [], 0
+        if ids:
+            yield row(number, ids, texts)
+
+    spark, src = docs.sparkSession, _source(docs)
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    name = f"llm_texts_{uuid.uuid4().hex}"
+    with common.shuffles_freed(spark):
+        (src.mapInArrow(packed, TEXTS).repartition(parts, "block").write.option("path", common.scratch(spark, "texts"))
+         .option("compression", "none").bucketBy(parts, "block").saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")            # the catalog's line only: the files lie in the shared folder
+    return table
+
+
+def _texts(row: dict, wanted: list[int] | None = None) -> list[bytes]:
+    """The texts of a block, or those at the places ``wanted``."""
+    import zstandard
+    whole = zstandard.ZstdDecompressor().decompress(row["text"])
+    ends = np.cumsum(np.frombuffer(row["size"], np.int64)).tolist()
+    starts = [0, *ends[:-1]]
+    return [whole[starts[i]:ends[i]] for i in (range(len(ends)) if wanted is None else wanted)]
+
+
+def _shingles(texts: list[bytes], shingler: Shingler, size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, shingle) in order, with occurrences: (hash, number of the text, tf); made in runs of about ``size`` bytes."""
+    parts, a, held = [], 0, 0
+    for z, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= size or z == len(texts):
+            h, doc, tf = _distinct(*shingler(texts[a:z]))
+            parts.append((h, doc + a, tf))
+            a, held = z, 0
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 # ---- idf ---------------------------------------------------------------------------------------
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally: Counter[bytes] = Counter()
+def _block_counts(blocks: DataFrame) -> DataFrame:
+    """(bucket, block, h, n): the distinct shingles of a block and the number of its texts that hold each, dealt by hash.
+
+    Of a block with ``want`` (at, node, named) only the texts at these places count.  A block's hashes ascend over its buckets.
+    """
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = int(total // 6 // PER_BUCKET) + 1
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for row in batch.to_pylist():
+                h = _shingles(_texts(row, _places(row["want"]) if "want" in row else None), shingler)[0]
+                u, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_pylist(list(_by_bucket(row["block"], u, buckets, n=n.astype(np.uint32))), schema=schema)
+
+    return blocks.drop("docs").mapInArrow(sent, "bucket long, block long, h binary, n binary")
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())],
-                                          names=["word", "n"])
 
-    for b in batches:
-        for t in common.binary(b.column(1)):
-            if t:
-                tally.update(set(t.lower().split()))
-        if len(tally) > common.WORDS_HELD:
-            yield rows()
-            tally.clear()
-    if tally:
-        yield rows()
+def _places(want: list[dict]) -> list[int]:
+    return sorted(w["at"] for w in want)
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document frequency) of every entry of a bucket, in the order sent."""
+    _, c = _parts(table, {"h": np.uint64, "n": np.uint32})
+    order = np.argsort(c["h"], kind="stable")
+    ascending = c["h"][order]
+    first = np.concatenate(([True], ascending[1:] != ascending[:-1]))
+    df = np.empty(len(order), np.uint32)
+    df[order] = np.add.reduceat(c["n"][order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    return c["h"], df
+
+
+def document_counts(blocks: DataFrame) -> DataFrame:
+    """(block, counts): for every block the document frequencies of its distinct shingles, ascending by hash, by bucket."""
+
+    def answered(table: pa.Table) -> pa.Table:
+        import zstandard
+        df = _added(table)[1]
+        ends = np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()])
+        packed = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(df, ends[:-1])]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "df": pa.array(packed, pa.binary())})
+
+    return (_block_counts(blocks).groupBy("bucket").applyInArrow(answered, "block long, bucket long, df binary")
+            .groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("counts")))
 
 
 def frequent_shingles(docs: DataFrame) -> dict[int, int]:
-    """Document counts of all shingles that occur in at least 1/COMMON of the documents (and of N, under -1)."""
-    spark = docs.sparkSession
-    src = _source(docs)
-    n_docs = src.count()
+    """Document counts of all shingles that occur in at least 1/COMMON of the documents (and of N, under -1), for a report."""
+    n_docs = docs.count()
     least = max(2, math.ceil(n_docs / COMMON))
-    words = (src.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= least).select("word").collect())
-    sent = spark.sparkContext.broadcast(frozenset(bytes(r.word) for r in words))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts = Shingler(sent.value), []
-        held = 0
+    def often(table: pa.Table) -> pa.Table:
+        h, df = _added(table)
+        h, at = np.unique(h[df >= least], return_index=True)
+        return pa.table({"shingle": pa.array(h.view(np.int64)), "n": pa.array(df[df >= least][at].astype(np.int64))})
 
-        def rows() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["shingle", "n"])
-
-        for b in batches:
-            for _, texts in _slices(b):
-                h, doc, keep = shingler(texts)
-                parts.append(_distinct(h[keep], doc[keep])[0])
-                held += len(parts[-1])
-            if held > 1_000_000:
-                yield rows()
-                parts, held = [], 0
-        if parts:
-            yield rows()
-
-    found = (src.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= least).collect())
+    found = _block_counts(text_blocks(docs)).groupBy("bucket").applyInArrow(often, "shingle long, n long").collect()
     return {r.shingle: r.n for r in found} | {-1: n_docs}
 
 
-class Weights:
-    """idf of shingle hashes: 1 unless the shingle is among the frequent ones."""
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Smooth inverse document frequency, as a share of that of a shingle in one text."""
+    return ((np.log((1 + n_docs) / (1 + df.astype(np.float64))) + 1) / (math.log((1 + n_docs) / 2) + 1)).astype(np.float32)
 
-    def __init__(self, counts: dict[int, int]):
-        counts = dict(counts)
-        n_docs = max(1, counts.pop(-1, 1))
-        self.hash = np.array(sorted(np.uint64(h & 0xFFFFFFFFFFFFFFFF) for h in counts), dtype=np.uint64)
-        df = np.array([counts[int(np.int64(h.view(np.int64)))] for h in self.hash], dtype=float)
-        self.idf = np.clip(np.log(n_docs / np.maximum(df, 1)) / math.log(COMMON), FLOOR, 1.0).astype(np.float32)
 
-    def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = tf.astype(np.float32)
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-            hit = self.hash[at] == h
-            w[hit] *= self.idf[at[hit]]
-        return w
+def _weighted(row: dict, n_docs: int, shingler: Shingler) -> tuple[list[dict], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The wanted texts of a block that has its ``counts``: (want, texts, hash, number of the text, weight)."""
+    import zstandard
+    want = sorted(row["want"], key=lambda x: x["at"])
+    texts = _texts(row, [x["at"] for x in want])
+    h, doc, tf = _shingles(texts, shingler)
+    counts = sorted(row["counts"], key=lambda x: x["bucket"])
+    df = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x["df"]), np.uint32) for x in counts])
+    own = idf(df, n_docs)[np.unique(h, return_inverse=True)[1]]
+    return want, texts, h, doc, tf.astype(np.float32) * own
 
 
 # ---- sampling ----------------------------------------------------------------------------------
@@ -277,40 +334,41 @@ class Sampler:
         return out, plain
 
 
-def signatures(docs: DataFrame, counts: dict[int, int], either: bool = True) -> DataFrame:
-    """(doc_id, digest of the text, bands) of every text with a word.
+def signatures(blocks: DataFrame, n_docs: int, either: bool = True) -> DataFrame:
+    """(node, bands) of every wanted and named text of ``blocks``, which have ``want`` and ``counts``.
 
     With ``either`` the bands of the weighted set are followed by those of the unweighted one where any differs.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import md5
-        shingler, weights, sampler = Shingler(), Weights(sent.value), Sampler()
+        shingler, sampler = Shingler(), Sampler()
         for b in batches:
-            for ids, texts in _slices(b):
-                h, doc, _ = shingler(texts)
-                if not len(h):
-                    continue
-                h, doc, tf = _distinct(h, doc)
-                start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                band = np.empty((len(start), 2, BANDS), np.uint64)
-                for k, keys in enumerate(sampler.both(h, weights(h, tf), start)):
-                    for i in range(BANDS):
-                        v = np.full(len(start), i + 1, np.uint64)
-                        for row in keys[i * ROWS:(i + 1) * ROWS]:
-                            v = common.mix64(v * np.uint64(0x9E3779B97F4A7C15) + row)
-                        band[:, k, i] = v
-                sent_bands = np.ones((len(start), 2), bool)
-                sent_bands[:, 1] = (band[:, 0] != band[:, 1]).any(axis=1) & either
-                ends = np.concatenate(([0], np.cumsum(sent_bands.sum(axis=1) * BANDS))).astype(np.int32)
-                mine = doc[start].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in mine], pa.int64()), pa.array([md5(texts[d]).digest() for d in mine], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(band[sent_bands].view(np.int64).ravel()))],
-                    names=["doc_id", "digest", "bands"])
-
-    return _source(docs).filter("doc_id is not null").mapInArrow(signed, "doc_id long, digest binary, bands array<long>")
+            for row in b.to_pylist():
+                want, _, h, doc, w = _weighted(row, n_docs, shingler)
+                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))          # a text with a word has a shingle
+                ends = np.concatenate((first[1:], [len(h)]))
+                a = 0
+                while a < len(want):                                                          # about 2^17 shingles at a time
+                    z = max(a + 1, int(np.searchsorted(ends, first[a] + (1 << 17))))
+                    yield bands_of(want[a:z], h[first[a]:ends[z - 1]], w[first[a]:ends[z - 1]], first[a:z] - first[a], sampler)
+                    a = z
+
+    def bands_of(want: list[dict], h: np.ndarray, w: np.ndarray, start: np.ndarray, sampler: Sampler) -> pa.RecordBatch:
+        band = np.empty((len(start), 2, BANDS), np.uint64)
+        for k, keys in enumerate(sampler.both(h, w, start)):
+            for i in range(BANDS):
+                v = np.full(len(start), i + 1, np.uint64)
+                for row in keys[i * ROWS:(i + 1) * ROWS]:
+                    v = common.mix64(v * np.uint64(0x9E3779B97F4A7C15) + row)
+                band[:, k, i] = v
+        sent_bands = np.ones((len(start), 2), bool)
+        sent_bands[:, 1] = (band[:, 0] != band[:, 1]).any(axis=1) & either
+        sent_bands[[not x["named"] for x in want]] = False
+        ends = np.concatenate(([0], np.cumsum(sent_bands.sum(axis=1) * BANDS))).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x["node"] for x in want], pa.int64()),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(band[sent_bands].view(np.int64).ravel()))], names=["node", "bands"])
+
+    return blocks.drop("docs").mapInArrow(signed, "node long, bands array<long>").filter(F.size("bands") > 0)
 
 
 # ---- classes -----------------------------------------------------------------------------------
@@ -342,36 +400,22 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def features(docs: DataFrame, nodes: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """(node, hashes, weights): distinct shingles of the texts of ``nodes`` (node, rep, digest, repeated) in order.
-
-    A node's text is the one of the rows of doc_id ``rep`` that has its digest; only where that id has several rows
-    (``repeated``) digests are compared and the rows of one text made one.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+def features(blocks: DataFrame, n_docs: int) -> DataFrame:
+    """(node, hashes, weights): distinct shingles, in order, of the texts of ``blocks`` (with ``want`` and ``counts``) named in ``nodes``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, weights = Shingler(), Weights(sent.value)
+        shingler = Shingler()
         for b in batches:
-            for ids, texts in _slices(b):
-                h, doc, tf = _distinct(*shingler(texts)[:2])
-                w = weights(h, tf)
-                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            for row in b.to_pylist():
+                want, _, h, doc, w = _weighted(row, n_docs, shingler)
+                cut, mine = np.searchsorted(doc, np.arange(len(want) + 1)).tolist(), set(row["nodes"])
+                spans = [(x["node"], i, k) for x, i, k in zip(want, cut[:-1], cut[1:], strict=True) if x["node"] in mine]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([h[a:z].tobytes() for a, z in spans], pa.binary()),
-                     pa.array([b"" if (w[a:z] == 1).all() else w[a:z].tobytes() for a, z in spans], pa.binary())],
+                    [pa.array([x for x, _, _ in spans], pa.int64()), pa.array([h[i:k].tobytes() for _, i, k in spans], pa.binary()),
+                     pa.array([b"" if (w[i:k] == 1).all() else w[i:k].tobytes() for _, i, k in spans], pa.binary())],
                     names=["node", "hashes", "weights"])
 
-    source = _source(docs)
-    shape = "node long, hashes binary, weights binary"
-    once = source.join(nodes.filter("not repeated").select("node", "rep").hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "text")
-    if not nodes.filter("repeated").head(1):               # then no text is shuffled a second time
-        return once.mapInArrow(made, shape)
-    own = source.join(nodes.filter("repeated").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("own", digest(F.col("text")))
-    many = (own.join(nodes.filter("repeated").select("node", "rep", "digest"), (F.col("doc_id") == F.col("rep")) & (F.col("own") == F.col("digest")))
-            .select("node", "text").dropDuplicates(["node"]))
-    return once.unionByName(many).mapInArrow(made, shape)
+    return blocks.drop("docs").mapInArrow(made, "node long, hashes binary, weights binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -567,22 +611,27 @@ def text_classes(docs: DataFrame, threshold: float, either: bool) -> tuple[DataF
     ``nodes`` is (node, digest, rep, n, repeated): a number a distinct text, its least doc_id, its rows, whether that id
     has several rows; the edges (u, v) join node numbers.
     """
-    counts = frequent_shingles(docs)
-    sig = common.stored(signatures(docs, counts, either), "signatures")
+    blocks = text_blocks(docs)
+    rows = blocks.select("block", F.posexplode("docs").alias("at", "doc")).select("block", "at", "doc.*")
+    sig = rows.filter("doc_id is not null").select("doc_id", "digest")
     # exact copies first; a text's number is its row in the stored table of distinct texts
-    distinct = sig.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("s"), F.count(F.lit(1)).alias("n"))
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("n"), F.min(F.struct("block", "at")).alias("place"))
     shared_ids = common.stored(sig.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "shared-ids")
-    nodes = common.stored(distinct.select("digest", F.col("s.doc_id").alias("rep"), "s.bands", "n")
-                          .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    nodes = nodes.join(shared_ids.select(F.col("doc_id").alias("rep"), F.lit(True).alias("repeated")), "rep", "left") \
-        .withColumn("repeated", F.coalesce("repeated", F.lit(False)))
-    banded = (nodes.select("node", "bands", F.posexplode("bands").alias("at", "value"))
+    placed = common.stored(distinct.select("digest", "rep", "n", "place.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = (placed.filter("rep is not null").join(shared_ids.select(F.col("doc_id").alias("rep"), F.lit(True).alias("repeated")), "rep", "left")
+             .withColumn("repeated", F.coalesce("repeated", F.lit(False))))
+    want = placed.groupBy("block").agg(F.collect_list(F.struct("at", "node", F.col("rep").isNotNull().alias("named"))).alias("want"))
+    wanted = blocks.join(common.stored(want, "want"), "block")
+    counted = wanted.join(common.stored(document_counts(wanted), "counts"), "block")
+    n_docs = placed.count()
+    bands = common.stored(signatures(counted, n_docs, either), "signatures")
+    banded = (bands.select("node", "bands", F.posexplode("bands").alias("at", "value"))
               .filter(F.expr(f"at < {BANDS} or value <> bands[at % {BANDS}]"))
               .select("node", F.expr(f"at % {BANDS}").alias("band"), "value"))
-    nodes = nodes.drop("bands")
     shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = common.stored(_central(banded.join(shared, ["band", "value"])), "buckets")
-    feats = common.stored(features(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), counts), "features")
+    needed = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("block").agg(F.collect_list("node").alias("nodes"))
+    feats = common.stored(features(counted.join(common.stored(needed, "needed"), "block"), n_docs), "features")
 
     tried, served = _hub_pairs(members.withColumn("comp", F.col("node")))
     tried = common.stored(tried, "pairs")
