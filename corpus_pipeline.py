@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecspark.llm import common, decontam, mixing, neardup, quality, queries, repair
+from vecspark.session import bound_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the rules' posterior rejects go."""
     common.prepare(spark)
+    bound_batches(spark)
     return quality.keep_good(docs)
 
 

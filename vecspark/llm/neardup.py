@@ -43,13 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import common
-from vecspark.llm.substrings import BUCKET_BYTES, _by_bucket, _parts
+from vecspark.llm.substrings import BUCKET_BYTES, _by_bucket
+from vecspark.session import bound_batches
 
 WIDTH = 5
 BANDS, ROWS = 12, 3
 COMMON = 64                    # a shingle in 1/COMMON of the documents is frequent
 TEXT_BYTES = 3 << 20           # bytes of text of a block of texts, about
-PER_BUCKET = 1 << 21           # shingle hashes of blocks that one task adds up, about
+PER_BUCKET = 1 << 20           # shingle hashes of blocks that one task adds up, about
 PER_SALT = 128                 # partners of a hub in one verification group
 TURNS = 4                      # hubs a bucket gets while its members are not in one class
 SMALL = 32                     # a bucket of so many documents at most ends with its open pairs as rows, a larger one by blocks
@@ -225,13 +226,13 @@ def _places(want: list[dict]) -> list[int]:
 
 def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document frequency) of every entry of a bucket, in the order sent."""
-    _, c = _parts(table, {"h": np.uint64, "n": np.uint32})
-    order = np.argsort(c["h"], kind="stable")
-    ascending = c["h"][order]
+    h, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(k).to_pylist()]) for k, t in (("h", np.uint64), ("n", np.uint32)))
+    order = np.argsort(h)
+    ascending = h[order]
     first = np.concatenate(([True], ascending[1:] != ascending[:-1]))
     df = np.empty(len(order), np.uint32)
-    df[order] = np.add.reduceat(c["n"][order], np.flatnonzero(first))[np.cumsum(first) - 1]
-    return c["h"], df
+    df[order] = np.add.reduceat(n[order], np.flatnonzero(first))[np.cumsum(first, dtype=np.int32) - 1]
+    return h, df
 
 
 def document_counts(blocks: DataFrame) -> DataFrame:
@@ -611,6 +612,7 @@ def text_classes(docs: DataFrame, threshold: float, either: bool) -> tuple[DataF
     ``nodes`` is (node, digest, rep, n, repeated): a number a distinct text, its least doc_id, its rows, whether that id
     has several rows; the edges (u, v) join node numbers.
     """
+    bound_batches(docs.sparkSession)
     blocks = text_blocks(docs)
     rows = blocks.select("block", F.posexplode("docs").alias("at", "doc")).select("block", "at", "doc.*")
     sig = rows.filter("doc_id is not null").select("doc_id", "digest")

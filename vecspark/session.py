@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -79,6 +80,22 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+#: bytes of rows that one Arrow batch brings to a Python worker, about
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers end at ``BATCH_BYTES`` (Spark's default: 64 MB and 10 000 rows).
+
+    A task holds a batch in the executor's buffers (which double as they grow), in the worker, and once more as Python
+    objects, so wide rows (texts, blocks) cost a multiple of it.  A smaller limit of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", spark.conf.get(name).strip().lower()).groups()
+    if int(size) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 
