@@ -21,7 +21,7 @@ answers back does not shuffle text and a task's share does not grow with the cor
 A level's shuffle files go when its answers are written, so the disk holds the names of one level, not of all.
 
 Very long texts are taken whole (a block of their own); of equal places (rows that share a doc_id) the one in the lower
-block comes first.
+block comes first.  Texts and blocks come to a worker in batches of ``session.BATCH_BYTES``, or alone where they are longer.
 
 Edge cases: null and empty texts have no words (nothing removed, digest of the empty text); a document shorter than
 the window keeps all; a null doc_id comes before all others; rows with equal doc_id keep the order of their blocks;
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import common
+from vecspark.session import bound_batches
 
 BLOCK_WORDS = 1 << 19
 PER_BUCKET = 1 << 20
@@ -395,6 +396,7 @@ def repeated_lengths(blocks: DataFrame, marks: DataFrame, window: int) -> DataFr
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, spans, longest, text): the removed word spans [lo, hi), the longest repeated length, the kept words."""
+    bound_batches(docs.sparkSession)
     blocks = build_blocks(docs, window)
     halves = common.stored(repeated_halves(blocks), "halves")
     marks = common.stored(repeated_places(blocks, halves, window), "marks")
