@@ -407,8 +407,9 @@ def scan(base: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "l2"
         raise ValueError(f"unknown metric {metric!r}")
     metric = KERNELS.get(metric, metric)
     spark: SparkSession = base.sparkSession
-    from vecspark.session import cut_lineage, ship_package
+    from vecspark.session import bound_batches, cut_lineage, ship_package
     ship_package(spark)
+    bound_batches(spark)
     kinds, want = set(), []
     cols = {"vec": vec, "id": id_col}
     base_cols = [id_col, vec]
