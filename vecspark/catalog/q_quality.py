@@ -1,7 +1,7 @@
 """Catalog: search quality.
 
 truth = exact top-100 over uint8 codes (integer distances, so distance ties occur);
-run   = top-10 over 4-bit codes (``code // 16``), a deterministic approximate search.
+run   = top-10 over 4-bit codes (``code // 16``), a deterministic approximate search; top-100 for 1-recall@R.
 Range: truth = exact ``dist < r`` pairs; run = pairs whose SQ8-decoded distance is ``< r``.
 """
 
@@ -33,12 +33,12 @@ def _codes(spark, sf):
     return u8, c4
 
 
-def _truth_run(spark, sf):
+def _truth_run(spark, sf, run_k=TOPK):
     u8, c4 = _codes(spark, sf)
     qu, bu = fx.split(u8)
     qc, bc = fx.split(c4)
     truth = K.knn(bu, qu, TRUTH_K)
-    run = K.knn(bc, qc, TOPK)
+    run = K.knn(bc, qc, run_k)
     return truth, run
 
 
@@ -46,16 +46,17 @@ def _int_l2(a, b):
     return f"CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS DOUBLE)"
 
 
-_TR = ("u8 AS (SELECT id, list_transform(v, lambda x: CAST(floor((x + 1.0) * 127.5) AS INTEGER)) AS v FROM vectors),\n"
-       "c4 AS (SELECT id, list_transform(v, lambda x: x // 16) AS v FROM u8),\n"
-       "truth AS (SELECT qid, CAST(rk AS INTEGER) AS rk, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM ("
-       f"SELECT q.id AS qid, b.id, {_int_l2('q.v', 'b.v')} AS dist FROM u8 q, u8 b WHERE q.id % 25 = 0 AND b.id % 25 <> 0)) WHERE rk <= {TRUTH_K}),\n"
-       "run AS (SELECT qid, CAST(rk AS INTEGER) AS rk, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM ("
-       f"SELECT q.id AS qid, b.id, {_int_l2('q.v', 'b.v')} AS dist FROM c4 q, c4 b WHERE q.id % 25 = 0 AND b.id % 25 <> 0)) WHERE rk <= {TOPK})")
+def _tr(run_k=TOPK):
+    return ("u8 AS (SELECT id, list_transform(v, lambda x: CAST(floor((x + 1.0) * 127.5) AS INTEGER)) AS v FROM vectors),\n"
+            "c4 AS (SELECT id, list_transform(v, lambda x: x // 16) AS v FROM u8),\n"
+            "truth AS (SELECT qid, CAST(rk AS INTEGER) AS rk, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM ("
+            f"SELECT q.id AS qid, b.id, {_int_l2('q.v', 'b.v')} AS dist FROM u8 q, u8 b WHERE q.id % 25 = 0 AND b.id % 25 <> 0)) WHERE rk <= {TRUTH_K}),\n"
+            "run AS (SELECT qid, CAST(rk AS INTEGER) AS rk, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM ("
+            f"SELECT q.id AS qid, b.id, {_int_l2('q.v', 'b.v')} AS dist FROM c4 q, c4 b WHERE q.id % 25 = 0 AND b.id % 25 <> 0)) WHERE rk <= {run_k})")
 
 
-def _qcte(*extra):
-    return cte("vectors", extra=",\n".join([_TR, *extra]))
+def _qcte(*extra, run_k=TOPK):
+    return cte("vectors", extra=",\n".join([_tr(run_k), *extra]))
 
 
 def _r6(df, *cols):
@@ -88,12 +89,12 @@ def recall_with_ties(spark, sf):
     return _r6(Q.recall(truth, run, TOPK, ties=True), "mean", "std")
 
 
-@register("one_recall_at_r", _qcte() +
+@register("one_recall_at_r", _qcte(run_k=max(ONE_RECALL_R)) +
           "SELECT CAST(rr.r AS INTEGER) AS r, round(avg(CASE WHEN x.rk <= rr.r THEN 1.0 ELSE 0.0 END), 6) AS recall "
           "FROM (VALUES (1), (10), (100)) rr(r), (SELECT t.qid, ru.rk FROM truth t LEFT JOIN run ru ON ru.qid = t.qid "
           "AND ru.id = t.id WHERE t.rk = 1) x GROUP BY rr.r")
 def one_recall_at_r(spark, sf):
-    truth, run = _truth_run(spark, sf)
+    truth, run = _truth_run(spark, sf, run_k=max(ONE_RECALL_R))
     return _r6(Q.one_recall_at(truth, run, ONE_RECALL_R), "recall")
 
 
