@@ -242,3 +242,28 @@ def test_every_shingle_has_its_document_frequency(spark):
     assert share[0] == 1 and abs(share[1] - (np.log(7 / 4) + 1) / (np.log(7 / 2) + 1)) < 1e-6
     assert got[b"a b c d e f"] == got[b"a b c d e g"] == got[b"a b c d e h"] == sorted([share[1], 1.0])
     assert got[b"x x x x x x"] == [2.0] and got[b"p q r s t"] == [1.0] and got[b"q r s t u v"] == [1.0, 1.0]
+
+
+def test_near_copies_in_a_large_group_are_one_class(spark, tmp_path):
+    """Half of all texts are copies of one, edited so that the idf of what they share hides their similarity of 0.8."""
+    from vecspark.llm import queries
+    rng = random.Random(21)
+    hot = [f"h{k}" for k in range(200)]
+    docs = [(0, " ".join(hot))]
+    for i in range(1, 200):
+        w = list(hot)
+        for at in rng.sample(range(5, 195, 10), 4):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join(f"o{i}w{k}" for k in range(60))) for i in range(200)]
+    assert all(len(shingles(docs[0][1]) & shingles(t)) >= 0.8 * len(shingles(docs[0][1]) | shingles(t)) for _, t in docs[1:200])
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.QUERIES["op9_weighted_minhash"](spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in docs}
+    assert len({r.class_id for r in neardup.classes(d, either=False).collect()}) > 300       # by the weighted similarity alone
+
+
+def test_self_similarity():
+    w, start = np.array([1, 1, 0.5, 0.5, 4, 1], np.float32), np.array([0, 2, 4])
+    assert neardup.self_similarity(w, start).tolist() == [1, 0.5, 2 / 5]

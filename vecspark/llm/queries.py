@@ -100,8 +100,8 @@ def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class of every document (five-word TF-IDF shingles, weighted Jaccard similarity 0.8)."""
-    return neardup.classes(common.table(spark, sf_dir, "documents"), threshold=0.8, either=False)
+    """Near-duplicate class of every document (five-word TF-IDF shingles, weighted or unweighted Jaccard similarity 0.8)."""
+    return neardup.classes(common.table(spark, sf_dir, "documents"), threshold=0.8, close=neardup.CLOSE)
 
 
 #: production parameters of the mix: as many tokens as there are, no source more than 1.25 times
