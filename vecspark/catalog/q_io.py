@@ -129,14 +129,15 @@ def spmat_roundtrip(spark, sf):
     """Document bag-of-words written as a CSR file (term → column by hash order) and read back by row blocks."""
     import os
     from vecspark.operators.ranking import ordered_positions
-    from vecspark.session import cut_lineage
-    sp = cut_lineage(fx.sparse_docs(spark, sf))
-    dims = sp.select("dim").distinct().withColumn("h", F.xxhash64("dim"))
+    from vecspark.session import bound_batches, cut_lineage
+    bound_batches(spark)
+    sp = cut_lineage(fx.sparse_blocks(spark, sf))
+    dims = cut_lineage(sp.select(F.explode("terms").alias("dim")).distinct().withColumn("h", F.xxhash64("dim")))
     dims = ordered_positions(dims, ["h", "dim"], F.floor(F.col("h") / F.lit(float(1 << 44))), "col") \
-        .select("dim", (F.col("col") - 1).cast("int").alias("col")).checkpoint()
+        .select("dim", "h", (F.col("col") - 1).cast("int").alias("col")).checkpoint()
     n_rows = fx.read(spark, sf, "documents").agg(F.max("doc_id")).first()[0] + 1
     folder = posix_dir(spark, f"spmat-{uuid.uuid4().hex[:12]}")
     path = os.path.join(folder, "docs.csr")
-    B.write_spmat(sp.join(dims, "dim").select("id", "col", "w"), path, n_rows, dims)
+    B.write_spmat(sp, path, n_rows, dims)
     back = B.read_spmat(spark, path, block_rows=256)
     return back.groupBy("id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("w").alias("total_w"))

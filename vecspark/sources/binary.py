@@ -275,19 +275,35 @@ def read_range(spark: SparkSession, path: str, block_queries: int = 4096) -> Dat
 
 # ------------------------------------------------------------------ CSR sparse matrices
 
+PIECE = 1 << 18           # entries that leave a reading task at a time
+TASK_BYTES = 8 << 20      # bytes of entries that one reading task has, about
+WINDOW = 1 << 21          # hashes of a file of columns that a task maps at a time
+
+
 def write_spmat(sp: DataFrame, path: str, n_rows: int, dims: DataFrame) -> None:
     """Long-form ``(id, col, w)`` (``col`` an int column index) → CSR file at computed offsets.
 
     Layout: int64 (nrow, ncol, nnz); int64 indptr[nrow+1]; int32 indices[nnz]; float32 data[nnz].
     ``indptr`` is a prefix sum of per-row counts; entries are ordered by (row, col).
+
+    Blocks ``(ids, n, terms, code, w)`` of ``fixtures.sparse_blocks`` are not shuffled: with ``dims(dim, h, col)``, columns by
+    ascending xxhash64 ``h``, a task finds the columns in a file of all ``h`` and its rows' places in the written pointers.  Only
+    rows whose id other rows share go on in long form.
     """
     from pyspark.sql import Window
     from vecspark.operators.ranking import global_prefix_sum
     spark = sp.sparkSession
+    blocks = sp if "terms" in sp.columns else None
     ncol = dims.count()
-    nnz = sp.count()
+    if blocks is None:
+        nnz = sp.count()
+        n = sp.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        n = blocks.select(F.explode(F.arrays_zip("ids", "n")).alias("e")).filter("e.n > 0").select(F.col("e.ids").alias("id"), "e.n")
+        n = n.filter((F.col("id") >= 0) & (F.col("id") < n_rows)).groupBy("id").agg(F.sum("n").alias("n")).checkpoint()
+        nnz = n.agg(F.sum("n")).first()[0] or 0
     rows = spark.range(n_rows).select(F.col("id"))
-    per = rows.join(sp.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").fillna({"n": 0})
+    per = rows.join(n, "id", "left").fillna({"n": 0})
     ptr = global_prefix_sum(per, "id", "n", "ptr").checkpoint()
     hdr = np.array([n_rows, ncol, nnz], dtype="<i8").tobytes()
     base_i = 24 + 8 * (n_rows + 1)
@@ -297,14 +313,91 @@ def write_spmat(sp: DataFrame, path: str, n_rows: int, dims: DataFrame) -> None:
         f.seek(24 + 8 * n_rows)
         f.write(np.array([nnz], dtype="<i8").tobytes())
     _scatter(ptr.withColumn("off", 24 + 8 * F.col("id")).select("ptr", "off"), path, [("ptr", "<i8", "off")])
+    if blocks is not None:
+        sp = _place_blocks(blocks, path, n_rows, nnz, dims, ncol)
+        if sp.isEmpty():
+            return
     w = Window.partitionBy("id").orderBy("col")
     x = (sp.join(ptr.select("id", "ptr"), "id").withColumn("slot", F.col("ptr") + F.row_number().over(w) - 1)
            .withColumn("i_off", base_i + 4 * F.col("slot")).withColumn("d_off", base_d + 4 * F.col("slot")))
     _scatter(x.select("col", "w", "i_off", "d_off"), path, [("col", "<i4", "i_off"), ("w", "<f4", "d_off")])
 
 
+def _place_blocks(blocks: DataFrame, path: str, n_rows: int, nnz: int, dims: DataFrame, ncol: int) -> DataFrame:
+    """Writes the entries of the rows of ``blocks`` that are alone with their id; ``(id, col, w)`` of the other rows."""
+    import pyarrow as pa
+    hashes = path + ".columns"
+    _preallocate(hashes, 8 * ncol, b"")
+    _scatter(dims.select("h", (8 * F.col("col").cast("long")).alias("off")), hashes, [("h", "<i8", "off")])
+    # terms with equal hashes lie side by side in the order of ``col``; there are hardly any
+    twins = [r.h for r in dims.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").collect()]
+    named = {r.dim: r.col for r in dims.filter(F.col("h").isin(twins)).collect()} if twins else {}
+    base_i = 24 + 8 * (n_rows + 1)
+    base_d = base_i + 4 * nnz
+
+    def columns(terms: list[str]) -> np.ndarray:
+        import xxhash
+        h = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in terms], np.uint64).view(np.int64)      # Spark's xxhash64
+        order = np.argsort(h)
+        h, at, a = h[order], np.full(len(h), -1, np.int64), 0
+        for lo in range(0, ncol, WINDOW):                # one part of the file at a time: the rest is not in memory
+            part = np.memmap(hashes, "<i8", "r", offset=8 * lo, shape=(min(WINDOW, ncol - lo),))
+            z = int(np.searchsorted(h, part[-1], "right"))
+            got = np.searchsorted(part, h[a:z])
+            at[order[a:z]] = np.where(part[got] == h[a:z], lo + got, -1)
+            a = z
+        if (at < 0).any():
+            raise ValueError("term without a column")
+        if named:
+            at = np.array([named.get(t, a) for t, a in zip(terms, at.tolist(), strict=True)], np.int64)
+        return at
+
+    def placed(batches):
+        import zstandard
+        unpacked = zstandard.ZstdDecompressor().decompress
+        if not nnz:
+            return
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, n, terms, code, w = (batch.column(k)[i].as_py() for k in range(5))
+                    row = np.repeat(np.arange(len(n)), n)
+                    if not len(row):
+                        continue
+                    ptr = np.memmap(path, "<i8", "r", offset=24, shape=(n_rows + 1,))
+                    col = columns(terms)[np.frombuffer(unpacked(code), np.int32)]
+                    w = checked_cast(np.frombuffer(unpacked(w), np.float64), "<f4")
+                    order = np.argsort((row << 32) | col)
+                    col, w = checked_cast(col[order], "<i4"), w[order]
+                    ends = np.cumsum(n)
+                    known = np.array([x is not None and 0 <= x < n_rows and k > 0 for x, k in zip(ids, n, strict=True)])
+                    at = np.where(known, np.array([x if ok else 0 for x, ok in zip(ids, known, strict=True)], np.int64), 0)
+                    start = ptr[at]
+                    alone = known & (ptr[at + 1] - start == n)
+                    mine = np.flatnonzero(alone)
+                    mine = mine[np.argsort(start[mine], kind="stable")]
+                    # rows that follow each other in the block and in the file are written at once
+                    breaks = np.flatnonzero((np.diff(mine) != 1) | (np.diff(start[mine]) != np.array(n)[mine[:-1]])) + 1
+                    for lo, hi in zip(np.r_[0, breaks], np.r_[breaks, len(mine)], strict=True):
+                        if lo == hi:
+                            continue
+                        a, z, to = int(ends[mine[lo]] - n[mine[lo]]), int(ends[mine[hi - 1]]), int(start[mine[lo]])
+                        for base, values in ((base_i, col), (base_d, w)):
+                            f.seek(base + 4 * to)
+                            f.write(values[a:z].tobytes())
+                    rest = (known & ~alone)[row]
+                    for lo in range(0, int(rest.sum()), PIECE):
+                        e = np.flatnonzero(rest)[lo:lo + PIECE]
+                        yield pa.RecordBatch.from_arrays([pa.array(at[row[e]]), pa.array(col[e]), pa.array(w[e].astype(np.float64))], names=["id", "col", "w"])
+
+    return blocks.mapInArrow(placed, "id long, col int, w double").checkpoint()
+
+
 def read_spmat(spark: SparkSession, path: str, block_rows: int = 65536) -> DataFrame:
-    """``(id, col, w)`` by row blocks; each task checks its indices are in ``[0, ncol)`` and its pointers ordered."""
+    """``(id, col, w)`` by row blocks; each task checks its indices are in ``[0, ncol)`` and its pointers ordered.
+
+    A task has several blocks, about ``TASK_BYTES`` of entries; rows leave it ``PIECE`` entries at a time.
+    """
     with open(path, "rb") as f:
         nrow, ncol, nnz = np.frombuffer(f.read(24), dtype="<i8")
     last = np.fromfile(path, dtype="<i8", count=1, offset=24 + 8 * int(nrow))[0]
@@ -312,12 +405,14 @@ def read_spmat(spark: SparkSession, path: str, block_rows: int = 65536) -> DataF
         raise ValueError("indptr does not end at nnz")
     base_i = 24 + 8 * (int(nrow) + 1)
     base_d = base_i + 4 * int(nnz)
-    blocks = [(s, min(int(nrow), s + block_rows)) for s in range(0, int(nrow), block_rows)]
-    spec = spark.createDataFrame(blocks, "r0 long, r1 long").repartition(max(1, len(blocks)))
+    n_blocks = -(-int(nrow) // block_rows)
+    tasks = max(1, min(n_blocks, max(4 * spark.sparkContext.defaultParallelism, 8 * int(nnz) // TASK_BYTES)))
+    spec = spark.range(0, int(nrow), block_rows, tasks).select(F.col("id").alias("r0"), F.least(F.col("id") + block_rows, F.lit(int(nrow))).alias("r1"))
 
     def run(it):
-        for pdf in it:
-            for r0, r1 in pdf.itertuples(index=False):
+        import pyarrow as pa
+        for batch in it:
+            for r0, r1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ptr = np.fromfile(path, dtype="<i8", count=r1 - r0 + 1, offset=24 + 8 * r0)
                 if (np.diff(ptr) < 0).any():
                     raise ValueError("indptr not monotone")
@@ -326,6 +421,9 @@ def read_spmat(spark: SparkSession, path: str, block_rows: int = 65536) -> DataF
                 val = np.fromfile(path, dtype="<f4", count=cnt, offset=base_d + 4 * int(ptr[0]))
                 if cnt and ((idx < 0).any() or (idx >= ncol).any()):
                     raise ValueError("column index out of bounds")
-                yield pd.DataFrame({"id": np.repeat(np.arange(r0, r1), np.diff(ptr)), "col": idx.astype(np.int32),
-                                    "w": val.astype(np.float64)})
-    return spec.mapInPandas(run, "id long, col int, w double")
+                ids = np.repeat(np.arange(r0, r1), np.diff(ptr))
+                for lo in range(0, cnt, PIECE):
+                    hi = min(cnt, lo + PIECE)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(idx[lo:hi].astype(np.int32)), pa.array(val[lo:hi].astype(np.float64))],
+                                                     names=["id", "col", "w"])
+    return spec.mapInArrow(run, "id long, col int, w double")

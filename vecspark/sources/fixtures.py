@@ -211,6 +211,44 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.mapInArrow(_count_terms, "id long, dims array<string>, ws array<double>")
 
 
+BLOCK_ENTRIES = 1 << 20   # entries of a block of sparse vectors, about
+
+
+def _pack_entries(batches):
+    """Blocks of row-form vectors: ids, entries a row, distinct terms, and every entry's place among them and weight (row by row, packed)."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+    packed = zstandard.ZstdCompressor(level=1).compress
+
+    def block(rows):
+        dims = pa.concat_arrays([b.column(1).flatten() for b in rows]).dictionary_encode()
+        ws = np.concatenate([b.column(2).flatten().to_numpy() for b in rows])
+        ids = pa.concat_arrays([b.column(0).cast(pa.int64()) for b in rows])
+        n = pa.concat_arrays([b.column(1).value_lengths().cast(pa.int64()) for b in rows])
+        whole = [pa.array([0, len(x)], pa.int32()) for x in (ids, dims.dictionary)]
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(whole[0], ids), pa.ListArray.from_arrays(whole[0], n), pa.ListArray.from_arrays(whole[1], dims.dictionary),
+             pa.array([packed(dims.indices.to_numpy().astype(np.int32).tobytes())], pa.binary()), pa.array([packed(ws.tobytes())], pa.binary())],
+            names=["ids", "n", "terms", "code", "w"])
+
+    rows, held = [], 0
+    for b in _count_terms(batches):
+        rows.append(b)
+        held += len(b.column(1).flatten())
+        if held >= BLOCK_ENTRIES:
+            yield block(rows)
+            rows, held = [], 0
+    if rows:
+        yield block(rows)
+
+
+def sparse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of ``sparse_rows`` in blocks ``(ids, n, terms, code, w)``: a term is a string once a block; nothing is shuffled."""
+    src = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return src.mapInArrow(_pack_entries, "ids array<long>, n array<long>, terms array<string>, code binary, w binary")
+
+
 def sparse_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecspark.operators.sparse import long_form
     return long_form(sparse_rows(spark, sf_dir))
